@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import cosine, dot, doubles, unit
 from corpusloom.operators.ordering import with_running_total
+from corpusloom.runtime import materialize
 
 Encoder = Callable[[Column], Column] | Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 
@@ -200,8 +201,10 @@ def evaluate_encoder(
     pairs: DataFrame, vec_a: str = "vec_a", vec_b: str = "vec_b", label: str = "label"
 ) -> DataFrame:
     """One row ``(n_pairs, pearson, spearman)`` of cosine against label."""
-    scored = pairs.select(
-        F.round(cosine(F.col(vec_a), F.col(vec_b)), 6).alias("_cos"), F.col(label).alias("_label")
+    scored = materialize(
+        pairs.select(
+            F.round(cosine(F.col(vec_a), F.col(vec_b)), 6).alias("_cos"), F.col(label).alias("_label")
+        )
     )
     ranked = scored.join(average_ranks(scored, "_cos", "_rc"), "_cos").join(
         average_ranks(scored, "_label", "_rl"), "_label"

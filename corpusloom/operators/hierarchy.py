@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.ordering import with_row_ids, with_running_total
-from corpusloom.runtime import materialize
+from corpusloom.runtime import materialize, materialize_counted
 
 _EPSILON = 1e-12  # distances closer than this are ties
 _PAIR = ["a", "b", "na", "nb", "ha", "hb", "ra", "rb", "total", "listed"]
@@ -37,13 +37,14 @@ def _closest(pairs: DataFrame) -> DataFrame:
     return nearest.groupBy("pair").count().filter(F.col("count") == 2).select("pair.*")
 
 
-def _merge_rows(chosen: DataFrame, number: int) -> DataFrame:
+def _merge_rows(chosen: DataFrame) -> DataFrame:
+    """A merge is made one round after the later of its two parts."""
     return chosen.select(
         F.col("a").alias("left"),
         F.col("b").alias("right"),
         F.greatest("gap", "ha", "hb").alias("height"),
         (F.col("na") + F.col("nb")).alias("size"),
-        F.lit(number).alias("round"),
+        (F.greatest("ra", "rb") + 1).alias("round"),
         F.col("ra").alias("left_round"),
         F.col("rb").alias("right_round"),
     )
@@ -94,18 +95,17 @@ def _apply(pairs: DataFrame, merges: DataFrame) -> DataFrame:
     )
 
 
-def _rounds(pairs: DataFrame, absent: float, below: float | None, number: int, done: list):
+def _rounds(pairs: DataFrame, absent: float, below: float | None, done: list) -> DataFrame:
     """Merge closest pairs until none is left (closer than ``below`` when given)."""
     while True:
         open_pairs = pairs.withColumn("gap", _gap(absent))
         if below is not None:
             open_pairs = open_pairs.filter(F.col("gap") < below)
-        merges = materialize(_merge_rows(_closest(open_pairs), number))
-        if merges.isEmpty():
-            return pairs, number
+        merges, n_merges = materialize_counted(_merge_rows(_closest(open_pairs)))
+        if n_merges == 0:
+            return pairs
         done.append(merges)
         pairs = materialize(_apply(pairs, merges))
-        number += 1
 
 
 def _clusters(words: DataFrame, done: list[DataFrame]) -> DataFrame:
@@ -142,8 +142,9 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def _chain(clusters: DataFrame, height: float, number: int) -> DataFrame:
+def _chain(clusters: DataFrame, height: float) -> DataFrame:
     """Join all remaining clusters one after the other at the same height."""
+    last = clusters.agg(F.max("r")).scalar()
     placed = materialize(with_row_ids(clusters, ["id"], "_at"))
     sized = with_running_total(placed, ["_at"], "n", "_before")
     head = placed.filter(F.col("_at") == 0).select(
@@ -156,16 +157,16 @@ def _chain(clusters: DataFrame, height: float, number: int) -> DataFrame:
         F.col("id").alias("right"),
         F.greatest(F.lit(height), "h").alias("height"),
         (F.col("_before") + F.col("n")).alias("size"),
-        (F.lit(number - 1) + F.col("_at")).cast("int").alias("round"),
+        (last + F.col("_at")).cast("int").alias("round"),
         F.when(F.col("_at") == 1, first_round)
-        .otherwise(F.lit(number - 2) + F.col("_at"))
+        .otherwise(last + F.col("_at") - 1)
         .cast("int")
         .alias("left_round"),
         F.col("r").alias("right_round"),
     )
 
 
-def _all_pairs(clusters: DataFrame, pairs: DataFrame, absent: float) -> DataFrame:
+def _all_pairs(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
     """List the unlisted pairs too. Only called when they are a constant factor of ``pairs``."""
     placed = materialize(with_row_ids(clusters, ["id"], "_at"))
     ends = placed.select(F.col("_at"), F.struct("id", "n", "h", "r").alias("x"))
@@ -192,9 +193,9 @@ def _all_pairs(clusters: DataFrame, pairs: DataFrame, absent: float) -> DataFram
     )
 
 
-def _pair_up(clusters: DataFrame, pairs: DataFrame, absent: float, number: int) -> DataFrame:
+def _pair_up(clusters: DataFrame, pairs: DataFrame, absent: float, attempt: int) -> DataFrame:
     """Merge disjoint unlisted pairs: neighbours in a hash order that changes every round."""
-    shuffled = F.xxhash64(F.lit(number), F.col("id"))
+    shuffled = F.xxhash64(F.lit(attempt), F.col("id"))
     placed = with_row_ids(clusters.withColumn("_mix", shuffled), ["_mix", "id"], "_at").drop("_mix")
     couple = (
         placed.groupBy(F.floor(F.col("_at") / 2).alias("_couple"))
@@ -208,7 +209,7 @@ def _pair_up(clusters: DataFrame, pairs: DataFrame, absent: float, number: int)
         F.col("x.r").alias("ra"), F.col("y.r").alias("rb"),
         F.lit(absent).alias("gap"),
     )
-    return _merge_rows(rows.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), number)
+    return _merge_rows(rows.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
 
 
 def average_linkage(distances: DataFrame, absent: float) -> DataFrame:
@@ -232,26 +233,25 @@ def average_linkage(distances: DataFrame, absent: float) -> DataFrame:
         F.col("distance").alias("total"), one.alias("listed"),
     )
     done: list[DataFrame] = []
-    pairs, number = _rounds(materialize(pairs), absent, absent - _EPSILON, 1, done)
+    pairs = _rounds(materialize(pairs), absent, absent - _EPSILON, done)
+    attempt = 0
     while True:
-        clusters = materialize(_clusters(words, done))
-        count = clusters.count()
+        clusters, count = materialize_counted(_clusters(words, done))
         if count <= 1:
             break
         far = pairs.withColumn("gap", _gap(absent)).filter(F.col("gap") > absent + _EPSILON)
         n_far = far.count()
         if n_far == 0:  # every remaining pair is at the constant distance
-            done.append(materialize(_chain(clusters, absent, number)))
+            done.append(materialize(_chain(clusters, absent)))
             break
         if count * (count - 1) // 2 <= 4 * n_far + 1000:
-            dense = materialize(_all_pairs(clusters, pairs, absent))
-            _rounds(dense, absent, None, number, done)
+            _rounds(materialize(_all_pairs(clusters, pairs)), absent, None, done)
             break
-        merges = materialize(_pair_up(clusters, far, absent, number))
-        if not merges.isEmpty():
+        merges, n_merges = materialize_counted(_pair_up(clusters, far, absent, attempt))
+        attempt += 1
+        if n_merges:
             done.append(merges)
             pairs = materialize(_apply(pairs, merges))
-        number += 1
     merges = _union(done)
     return with_row_ids(merges, ["height", "round", "left", "right"], "_at").select(
         (F.col("_at") + 1).alias("step"),

@@ -342,7 +342,7 @@ def central_extremes(spark, d):
 def semantic_topk(spark, d):
     """The centre of every label looks for its nearest vectors in the whole table."""
     centers = embeddings.group_centroids(_vectors(spark, d), "label").withColumnRenamed("label", "query_id")
-    hits = search.semantic_search(centers, _vectors(spark, d), 5, 0.5, "vec_id")
+    hits = search.semantic_search(centers, _vectors(spark, d), 5, 0.35, "vec_id")
     return hits.select("query_id", "vec_id", F.col("score").alias("similarity"), "rank")
 
 

@@ -66,7 +66,8 @@ def _sentences(text: str) -> str:
     x = f"regexp_replace({text}, '([.!?][\"'')\\]]{{0,3}})(\\s+)', '\\1' || chr(1) || '\\2', 'g')"
     x = f"regexp_replace({x}, '{edge}{abbreviation}\\x01(\\s+(?:{starters})(?:[^\\p{{L}}]|$))', '\\1\\2' || chr(2) || '\\3', 'g')"
     x = f"regexp_replace({x}, '{edge}{abbreviation}\\x01', '\\1\\2', 'g')"
-    x = f"regexp_replace({x}, '{edge}(\\p{{Lu}}\\.)[\\x01\\x02](\\s+\\p{{Lu}})', '\\1\\2\\3', 'g')"
+    for _ in range(2):  # twice: the capital of one match can be the initial of the next
+        x = f"regexp_replace({x}, '{edge}(\\p{{Lu}}\\.)[\\x01\\x02](\\s+\\p{{Lu}})', '\\1\\2\\3', 'g')"
     x = f"regexp_replace({x}, '(\\.\\.)\\x01(\\s+[\"''(\\[]{{0,3}}\\p{{Lu}})', '\\1' || chr(2) || '\\2', 'g')"
     x = f"regexp_replace({x}, '\\.\\.\\x01', '..', 'g')"
     parts = f"regexp_split_to_array({x}, '[\\x01\\x02]\\s+')"
@@ -97,10 +98,10 @@ _PAIRS_DOC = (
     "JOIN flat b ON a.doc_id = b.doc_id AND b.pos - a.pos BETWEEN 1 AND 9 GROUP BY ALL HAVING count(*) >= 10)"
 )
 _PAIRS_CORPUS = (
-    f"{_TOKENS}, {_STREAM}, line AS (SELECT word, row_number() OVER (ORDER BY doc_id, pos) AS at FROM flat), "
-    "steps AS (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9]) AS step), "
-    "pairs AS (SELECT a.word AS word1, b.word AS word2, count(*) AS n_pair FROM line a, steps "
-    "JOIN line b ON b.at = a.at + step GROUP BY ALL HAVING count(*) >= 10)"
+    f"{_TOKENS}, {_STREAM}, line AS (SELECT word AS word1, unnest(["
+    + ", ".join(f"lead(word, {n}) OVER (ORDER BY doc_id, pos)" for n in range(1, 10))
+    + "]) AS word2 FROM flat), "
+    "pairs AS (SELECT word1, word2, count(*) AS n_pair FROM line WHERE word2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10)"
 )
 _WORDS = "words AS (SELECT word, count(*) AS frequency FROM flat GROUP BY word), total AS (SELECT sum(frequency)::DOUBLE AS n FROM words)"
 
@@ -315,8 +316,8 @@ def statements() -> dict[str, str]:
         ),
         "factorize_label": (
             f"WITH t AS (SELECT doc_id, ({_mentions('lower(text)', LEXICON_CHARACTERS)})[1] AS character FROM documents), "
-            "f AS (SELECT character, min(doc_id) AS at FROM t WHERE character IS NOT NULL GROUP BY character), "
-            "c AS (SELECT character, row_number() OVER (ORDER BY at, character) - 1 AS character_label FROM f) "
+            "f AS (SELECT character, min(doc_id) AS seen FROM t WHERE character IS NOT NULL GROUP BY character), "
+            "c AS (SELECT character, row_number() OVER (ORDER BY seen, character) - 1 AS character_label FROM f) "
             "SELECT doc_id, character, character_label FROM t JOIN c USING (character)"
         ),
         "hover_labels": (
@@ -356,7 +357,7 @@ def statements() -> dict[str, str]:
         "semantic_topk": (
             f"WITH {_FIRST_CENTER}, s AS (SELECT query_id, vec_id, round(list_dot_product(c, v) / sqrt(list_dot_product(c, c)), 6) AS similarity FROM ctr, u), "
             "t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) "
-            "SELECT * FROM t WHERE rank <= 5 AND similarity >= 0.5"
+            "SELECT * FROM t WHERE rank <= 5 AND similarity >= 0.35"
         ),
         "retrieve_priority": (
             f"WITH {_EXACT}, rest AS (SELECT query_id, keywords FROM queries WHERE query_id NOT IN (SELECT query_id FROM hits)), "

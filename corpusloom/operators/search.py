@@ -76,6 +76,12 @@ def _match_by_scan(queries, docs, id_col, text, case_sensitive) -> DataFrame:
     )
 
 
+def _grams(text: Column, size: int) -> Column:
+    """All substrings of ``size`` characters."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+
+
 def _match_by_grams(queries, docs, id_col, text, case_sensitive) -> DataFrame:
     """Join on one character gram per query, then test the whole keywords.
 
@@ -89,17 +95,7 @@ def _match_by_grams(queries, docs, id_col, text, case_sensitive) -> DataFrame:
     )
     sizes = [r[0] for r in anchored.select(F.length("gram")).distinct().collect()]  # at most _GRAM + 1
     hay = fold(F.col(text))
-    grams = F.array_distinct(
-        F.concat(
-            *[
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.length(hay) - n + 1, F.lit(1))),
-                    lambda i, n=n: F.substring(hay, i, F.lit(n)),
-                )
-                for n in sizes
-            ]
-        )
-    )
+    grams = F.array_distinct(F.concat(*[_grams(hay, n) for n in sizes]))
     pointers = docs.select(id_col, F.explode(grams).alias("gram"))
     candidates = pointers.join(anchored.select("query_id", "keywords", "gram"), "gram").drop("gram")
     return candidates.join(docs, id_col).filter(

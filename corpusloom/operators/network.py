@@ -81,11 +81,10 @@ def to_distance(matrix: DataFrame) -> DataFrame:
     Min-max scaling runs over every cell of the full matrix and is skipped when no score
     is positive; the distance is one minus the scaled score.
     """
-    limits = matrix_range(matrix)
-    low = limits.select("low").scalar()
-    high = limits.select("high").scalar()
+    limits = matrix_range(matrix).select(F.struct("low", "high")).scalar()
+    scaled = _scaled(F.col("mi"), limits["low"], limits["high"])
     return matrix.filter(F.col("a") < F.col("b")).select(
-        "a", "b", (F.lit(1.0) - _scaled(F.col("mi"), low, high)).alias("distance")
+        "a", "b", (F.lit(1.0) - scaled).alias("distance")
     )
 
 

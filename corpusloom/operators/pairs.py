@@ -38,16 +38,14 @@ def training_pairs(
     by a draw either a later one of the same document (more than 5 sentences) or a sentence of
     a document drawn from all of them. Documents of fewer than 3 sentences start no pairs.
     """
-    numbered = with_row_ids(
-        docs.select(F.col(id_col).alias("doc_id"), X.naive_sentences(F.col(text)).alias("s")), ["doc_id"], "doc_no"
-    )
-    numbered = materialize(numbered)
+    rows = docs.select(F.col(id_col).alias("doc_id"), X.naive_sentences(F.col(text)).alias("s"))
+    numbered = materialize(with_row_ids(rows.select("doc_id"), ["doc_id"], "doc_no"))
     total = numbered.agg(F.count(F.lit(1))).scalar()
     n = F.size("s")
     m = F.lit(_MODULUS).cast("long")
     at = lambda salt: draw(F.col("doc_id"), F.col("i").cast("long"), seed + salt)
     starts = (
-        numbered.filter(n >= 3)
+        rows.filter(n >= 3)
         .select("doc_id", "s", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 2)).alias("i"))
         .withColumn("stays", (at(1) < F.lit(int(far_share * _MODULUS))) & (F.col("n") > 5))
         .withColumn("low", F.least(F.col("i") + 3, F.col("n") - 1))
@@ -73,8 +71,10 @@ def training_pairs(
     asked = starts.filter(~F.col("stays") & (total > 1)).select(
         "doc_id", "i", here(F.col("i")).alias("text_a"), F.col("other_no").alias("doc_no"), "other_at"
     )
-    targets = numbered.filter(n > 0).select("doc_no", F.col("s").alias("o"))
-    away = asked.join(targets, "doc_no").select(
+    # draws are spread evenly over the documents, so no document is asked for too often
+    named = asked.join(numbered.withColumnRenamed("doc_id", "other_id"), "doc_no")
+    targets = rows.filter(n > 0).select(F.col("doc_id").alias("other_id"), F.col("s").alias("o"))
+    away = named.join(targets, "other_id").select(
         "doc_id",
         "i",
         F.lit("other").alias("kind"),

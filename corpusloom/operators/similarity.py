@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import doubles, dot, unit
@@ -24,7 +24,7 @@ from corpusloom.runtime import materialize
 BROADCAST_BYTES = 64 << 20  # largest query matrix sent to every executor
 _BLOCK_BYTES = 1 << 20
 _BLOCK_ROWS = 1024
-_CELLS = 64
+_CELLS = 1024  # at most; their centres are broadcast (a few MB)
 _PRODUCT_CELLS = 4 << 20  # scores held at once by one task
 _DECIMALS = 6  # scores are compared at this precision; ties go to the smaller id
 _SLACK = 1e-6
@@ -91,7 +91,13 @@ def _top_by_broadcast(queries: DataFrame, corpus: DataFrame, k: int, metric: str
 
     if not len(held):
         return corpus.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0)
-    return corpus.select("id", "vec").mapInPandas(scan, "query_id long, id long, score double")
+    # every task hands on k rows per query, so a task takes several splits of a large corpus
+    tasks = 4 * corpus.sparkSession.sparkContext.defaultParallelism
+    return (
+        corpus.select("id", "vec")
+        .coalesce(tasks)
+        .mapInPandas(scan, "query_id long, id long, score double")
+    )
 
 
 # --- blocks --------------------------------------------------------------------------
@@ -318,12 +324,32 @@ def neighbours(
     """The k closest rows of every row, itself included: ``(query_id, id, score, rank)``.
 
     With ``group`` only rows of the same group are compared; ids must be unique overall.
+
+    Copies of a vector share one list of neighbours, and as ties go to the smaller id only
+    the first k copies can be on any list. So the search runs on at most k copies of each
+    vector and the other copies look their list up.
     """
     rows = _prepared(df, id_col, vec_col, metric, group)
-    pivots = _pivots(rows)
-    blocks = _blocks(rows, pivots, metric, k=k)
+    copies = Window.partitionBy("grp", "vec").orderBy("id")
+    seen = Observation()
+    few = materialize(
+        rows.withColumn("_copy", F.row_number().over(copies))
+        .filter(F.col("_copy") <= k)
+        .observe(seen, F.count_if(F.col("_copy") > 1).alias("copies"))
+        .drop("_copy")
+    )
+    pivots = _pivots(few)
+    blocks = _blocks(few, pivots, metric, k=k)
     pairs = _block_pairs(blocks, blocks, pivots, metric)
-    return _ranked(_score_blocks(_join_blocks(pairs, blocks, blocks), k, metric, False), k)
+    hits = _ranked(_score_blocks(_join_blocks(pairs, blocks, blocks), k, metric, False), k)
+    if seen.get["copies"] == 0:
+        return hits
+    hits = materialize(hits)
+    leaders = rows.groupBy("grp", "vec").agg(F.min("id").alias("leader"))
+    lookup = rows.join(leaders, ["grp", "vec"]).select(F.col("id").alias("query_id"), "leader")
+    return lookup.join(hits.withColumnRenamed("query_id", "leader"), "leader").select(
+        "query_id", "id", "score", "rank"
+    )
 
 
 def similar_pairs(

@@ -66,6 +66,7 @@ def fold(text: Column) -> Column:
     return F.translate(expanded, source, target)
 
 
-def fold_if_needed(text: Column) -> Column:
-    """``fold`` behind a length test, so pure ASCII rows pay for one comparison only."""
-    return F.when(F.length(text) == F.octet_length(text), text).otherwise(fold(text))
+def lower_and_fold(text: Column) -> Column:
+    """Lower-case and fold; rows of pure ASCII, told by their byte length, skip the folding."""
+    lowered = F.lower(text)
+    return F.when(F.length(text) == F.octet_length(text), lowered).otherwise(fold(lowered))

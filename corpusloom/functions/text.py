@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.folding import fold_if_needed
+from corpusloom.functions.folding import lower_and_fold
 from corpusloom.functions.stopwords import LANGUAGE_OF_CODE, stop_words
 
 DEFAULT_HEADING = r"Chapter \d"
@@ -55,8 +55,7 @@ def one_line(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Lower-case, fold to ASCII letters, drop everything else, collapse whitespace."""
-    folded = fold_if_needed(F.lower(text))
-    letters = F.regexp_replace(folded, r"(?U)[^a-zA-Z\s]+", "")
+    letters = F.regexp_replace(lower_and_fold(text), r"(?U)[^a-zA-Z\s]+", "")
     return F.trim(F.regexp_replace(letters, r"(?U)\s+", " "))
 
 

@@ -62,7 +62,7 @@ def with_running_total(df: DataFrame, order: list, weight: str, name: str) -> Da
 
 def index_in_group(df: DataFrame, group: str, order: list, name: str = "idx") -> DataFrame:
     """0-based position of every row inside its group; a hot group is not one task."""
-    numbered = materialize(with_row_ids(df, [group, *order], "_rid"))
+    numbered = with_row_ids(df, [group, *order], "_rid")
     first = numbered.groupBy(group).agg(F.min("_rid").alias("_first"))
     return (
         numbered.join(first, group)

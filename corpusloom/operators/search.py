@@ -12,7 +12,7 @@ from corpusloom.functions import text as X
 from corpusloom.operators.similarity import nearest
 from corpusloom.runtime import materialize
 
-_LITERAL_BYTES = 1 << 20  # keyword lists up to this size travel inside the plan
+_LITERAL_BYTES = 1 << 16  # keyword lists up to this size travel inside the plan
 _GRAM = 6
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # BM25 constants

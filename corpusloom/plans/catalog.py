@@ -480,11 +480,15 @@ def pca_project(spark, d):
 
 
 def embed_text(spark, d):
-    """Word vectors trained on the documents; a document is the mean of its words."""
+    """Word vectors trained on the documents; a document is the mean of its words.
+
+    Training depends on how the rows are split over tasks, so only stable facts are returned.
+    """
     tokens = materialize(_tokens(spark, d))
     model = embeddings.fit_word2vec(tokens, size=32, maxIter=1, numPartitions=8, minCount=5)
     encoded = embeddings.embed_with_model(tokens, model)
-    return encoded.select("doc_id", F.size("embedding").alias("dim"), V.norm(V.doubles(F.col("embedding"))).alias("length"))
+    length = V.norm(V.doubles(F.col("embedding")))
+    return encoded.select("doc_id", F.size("embedding").alias("dim"), (length > 0).alias("has_words"))
 
 
 def embed_text_tfidf(spark, d):

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_SCRATCH: dict[str, str] = {}
+_LOCAL_SCRATCH: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -39,8 +39,10 @@ def scratch_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="corpusloom-")
-    return _LOCAL_SCRATCH[app]
+        _LOCAL_SCRATCH[app] = tempfile.TemporaryDirectory(
+            prefix="corpusloom-", ignore_cleanup_errors=True
+        )
+    return _LOCAL_SCRATCH[app].name
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -52,46 +52,32 @@ def _merge_rows(chosen: DataFrame) -> DataFrame:
 
 def _apply(pairs: DataFrame, merges: DataFrame) -> DataFrame:
     """Rewrite both ends of every pair to the merged clusters and re-aggregate."""
-    renamed = merges.select(
-        F.explode(F.array("left", "right")).alias("old"),
-        F.struct(
-            F.col("left").alias("id"),
-            F.col("size").alias("n"),
-            F.col("height").alias("h"),
-            F.col("round").alias("r"),
-        ).alias("new"),
+    renamed = merges.selectExpr(
+        "explode(array(`left`, `right`)) AS old",
+        "named_struct('id', `left`, 'n', size, 'h', height, 'r', round) AS new",
     )
     for end in "ab":
-        pairs = pairs.join(
-            renamed.select(F.col("old").alias(end), F.col("new").alias(f"new_{end}")), end, "left"
-        )
-    now_a = F.coalesce("new_a", F.struct(F.col("a").alias("id"), F.col("na").alias("n"), F.col("ha").alias("h"), F.col("ra").alias("r")))
-    now_b = F.coalesce("new_b", F.struct(F.col("b").alias("id"), F.col("nb").alias("n"), F.col("hb").alias("h"), F.col("rb").alias("r")))
-    moved = pairs.select(now_a.alias("x"), now_b.alias("y"), "total", "listed").filter(
-        F.col("x.id") != F.col("y.id")
-    )
-    swapped = F.col("x.id") > F.col("y.id")
+        pairs = pairs.join(renamed.selectExpr(f"old AS {end}", f"new AS new_{end}"), end, "left")
     return (
-        moved.select(
-            F.when(swapped, F.col("y")).otherwise(F.col("x")).alias("x"),
-            F.when(swapped, F.col("x")).otherwise(F.col("y")).alias("y"),
+        pairs.selectExpr(
+            "coalesce(new_a, named_struct('id', a, 'n', na, 'h', ha, 'r', ra)) AS p",
+            "coalesce(new_b, named_struct('id', b, 'n', nb, 'h', hb, 'r', rb)) AS q",
             "total",
             "listed",
         )
-        .groupBy("x", "y")
-        .agg(F.sum("total").alias("total"), F.sum("listed").alias("listed"))
-        .select(
-            F.col("x.id").alias("a"),
-            F.col("y.id").alias("b"),
-            F.col("x.n").alias("na"),
-            F.col("y.n").alias("nb"),
-            F.col("x.h").alias("ha"),
-            F.col("y.h").alias("hb"),
-            F.col("x.r").alias("ra"),
-            F.col("y.r").alias("rb"),
+        .where("p.id <> q.id")
+        .selectExpr(
+            "CASE WHEN p.id < q.id THEN p ELSE q END AS x",
+            "CASE WHEN p.id < q.id THEN q ELSE p END AS y",
             "total",
             "listed",
         )
+        .groupBy("x", "y")
+        .agg(F.sum("total").alias("total"), F.sum("listed").alias("listed"))
+        .selectExpr(
+            "x.id AS a", "y.id AS b", "x.n AS na", "y.n AS nb", "x.h AS ha", "y.h AS hb",
+            "x.r AS ra", "y.r AS rb", "total", "listed",
+        )
     )
 
 

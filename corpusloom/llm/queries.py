@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, license_index, secret_battery
+from corpusloom.llm import byte_cnn, exact_dedup, fm_index, license_index, secret_battery
 from corpusloom.runtime import scratch_dir
 
 
@@ -63,13 +63,82 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def contaminated(n_words, n_hit):
+    """The rule for a whole document: at least a twentieth of its words are hit."""
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    found = fm_index.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items").select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
+    )
+
+
+def remainder(doc_id, by: int):
+    return F.crc32(doc_id.cast("string").cast("binary")) % by
+
+
+def held_out_quality(doc_id):
+    """Rows the quality network never learns from; a null id is one of them."""
+    return F.coalesce(remainder(doc_id, 3) == 1, F.lit(True))
+
+
+def quality_network(spark: SparkSession, sf_dir: str) -> byte_cnn.Network:
+    return byte_cnn.train(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "quality", held_out_quality
+    )
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    scored = byte_cnn.score_texts(_table(spark, sf_dir, "documents"), quality_network(spark, sf_dir))
+    return scored.select(
+        "doc_id",
+        held_out_quality(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op3_exact_dedup,
     op7_secrets,
     op8_licenses,
+    op9_decontamination,
+    op10_quality,
 ]
 
+_WORDS = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), w -> w != '')"
+
 SQL = {
+    "op9_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, w[k:k + 12] AS win, least(len(w), 13) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM win),
+doc_win AS (
+  SELECT doc_id, k, n, w[k:k + n - 1] AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)
+), hit AS (SELECT doc_id, item_id, k, win.n AS n FROM doc_win JOIN win USING (win)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+          FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS said
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(said, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
     "op3_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h

@@ -7,7 +7,7 @@ from corpusloom.llm import secret_battery
 from corpusloom.llm.secret_battery import find_secrets
 
 PATTERNS = [
-    ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")),
+    ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)),
     ("access", re.compile(r"AKIA[A-Z0-9]+")),
     ("hex", re.compile(r"[0-9a-f]+")),
 ]
@@ -38,7 +38,7 @@ def test_base_spans(spark, table):
     assert len(got) == len(texts)
     for r in got:
         base = [tuple(s) for s in r.spans if s["rank"] < 3]
-        assert base == brute(texts[r.doc_id]), texts[r.doc_id]
+        assert base == brute(texts[r.doc_id]), r.doc_id
 
 
 def test_random_strings(table):
@@ -54,7 +54,7 @@ def test_random_strings(table):
 
 
 def test_null_ids_and_empty(spark, table):
-    assert find_secrets(table([]) if False else spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+    assert find_secrets(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     rows = find_secrets(table([(None, "token=abcdef"), (None, "token=abcdef"), (4, None)])).collect()
     assert sorted((r.doc_id or -1, len(r.spans)) for r in rows) == [(-1, 1), (-1, 1), (4, 0)]
 

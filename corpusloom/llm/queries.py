@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_cnn, exact_dedup, fm_index, license_index, secret_battery
+from corpusloom.llm import byte_cnn, exact_dedup, fm_index, jaccard_join, license_index, secret_battery
 from corpusloom.runtime import scratch_dir
 
 
@@ -24,6 +24,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.admit(_table(spark, sf_dir, "documents"), batch="documents")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of the documents."""
+    return jaccard_join.near_classes(_table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     found = secret_battery.find_secrets(_table(spark, sf_dir, "documents"))
@@ -110,13 +115,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op3_exact_dedup,
+    op5_jaccard_join,
     op7_secrets,
     op8_licenses,
     op9_decontamination,
     op10_quality,
 ]
 
-_WORDS = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), w -> w != '')"
+_WORDS = (
+    r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
 
 SQL = {
     "op9_decontamination": f"""

@@ -8,7 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import byte_cnn, exact_dedup, fm_index, jaccard_join, license_index, secret_battery
+from corpusloom.llm import (
+    byte_cnn,
+    exact_dedup,
+    fm_index,
+    jaccard_join,
+    length_buckets,
+    license_index,
+    secret_battery,
+    toxicity_chain,
+)
 from corpusloom.runtime import scratch_dir
 
 
@@ -24,6 +33,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.admit(_table(spark, sf_dir, "documents"), batch="documents")
 
 
+def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket and batch of every document."""
+    return length_buckets.pack(_table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of the documents."""
     return jaccard_join.near_classes(_table(spark, sf_dir, "documents"))
@@ -113,9 +127,33 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Categories of the chain, first to last.
+TOXICITY = {
+    "p_low_quality": "quality = 0",
+    "p_toxic": "toxic = 1",
+    "p_toxic_low_quality": "quality = 0 AND toxic = 1",
+}
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    models = toxicity_chain.train(docs, _table(spark, sf_dir, "labels"), TOXICITY, held_out_quality)
+    scored = toxicity_chain.score_texts(docs, models, list(TOXICITY))
+    return scored.select(
+        "doc_id",
+        held_out_quality(F.col("doc_id")).alias("held_out"),
+        F.col("p_toxic").alias("score"),
+        (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"),
+        *TOXICITY,
+    )
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op3_exact_dedup,
+    op4_length_buckets,
     op5_jaccard_join,
+    op6_toxicity,
     op7_secrets,
     op8_licenses,
     op9_decontamination,

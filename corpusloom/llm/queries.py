@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import (
     byte_cnn,
+    context_tree,
     exact_dedup,
     fm_index,
     jaccard_join,
@@ -25,6 +26,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out_model(doc_id):
+    """Rows the language model never learns from; a null id is one of them."""
+    return F.coalesce(remainder(doc_id, 7) == 2, F.lit(True))
+
+
+def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    return context_tree.score_corpus(_table(spark, sf_dir, "documents"), held_out_model)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents admitted to a new digest index."""
     index = exact_dedup.DigestIndex(
@@ -150,6 +161,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
+    op1_context_tree,
     op3_exact_dedup,
     op4_length_buckets,
     op5_jaccard_join,

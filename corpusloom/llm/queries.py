@@ -16,6 +16,7 @@ from corpusloom.llm import (
     jaccard_join,
     length_buckets,
     license_index,
+    page_templates,
     secret_battery,
     toxicity_chain,
 )
@@ -36,6 +37,11 @@ def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score_corpus(_table(spark, sf_dir, "documents"), held_out_model)
 
 
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return page_templates.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents admitted to a new digest index."""
     index = exact_dedup.DigestIndex(
@@ -162,6 +168,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_context_tree,
+    op2_page_text,
     op3_exact_dedup,
     op4_length_buckets,
     op5_jaccard_join,

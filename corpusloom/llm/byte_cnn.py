@@ -209,3 +209,15 @@ def score_texts(docs: DataFrame, net: Network, text: str = "text", keep: tuple[s
     return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(
         run, f"{schema}, score double"
     )
+
+
+def keep_good(docs: DataFrame, net: Network, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``least``, all columns unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(scores(shared.value, b.column(at)) >= least, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

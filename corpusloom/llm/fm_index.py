@@ -242,10 +242,11 @@ def decontaminate(
     key: str = "doc_id",
     text: str = "text",
     item: str = "item_id",
+    keep: tuple[str, ...] = (),
     window: int = WINDOW,
     pass_bytes: int = PASS_BYTES,
 ) -> DataFrame:
-    """One row per document: doc_id, n_words, spans, items.
+    """One row per document: doc_id, the columns ``keep``, n_words, spans, items.
 
     ``spans`` are the removal spans, array of (start, end) in words, merged and sorted;
     ``items`` the distinct ids (as strings, sorted) of items with a window in the text. A
@@ -264,8 +265,10 @@ def decontaminate(
         F.lit(0).cast("bigint").alias("n_words"),
         F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"),
         F.array().cast("array<string>").alias("items"),
+        *keep,
     )
     schema = f"doc_id {kind}, text string, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     slot = F.pmod(F.xxhash64(text), F.lit(passes))
     for k in range(passes):
         # a pass is bounded by pass_bytes on average; one item is never cut
@@ -273,14 +276,14 @@ def decontaminate(
         rows = [(r[0], r[1]) for r in part.collect()]
         shared = spark.sparkContext.broadcast((patterns(rows, window), [r[0] for r in rows]))
         df = df.mapInArrow(_searching(shared, first_pass=k == 0, last=k == passes - 1), schema)
-    return df.drop("text")
+    return df.select("doc_id", *keep, "n_words", "spans", "items")
 
 
 def _searching(shared, first_pass: bool, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, names = shared.value
         for b in batches:
-            ids, texts, _, spans, items = b.columns
+            ids, texts, _, spans, items, *kept = b.columns
             for first, n_words, new_spans, new_items in scan(texts, known):
                 n = len(n_words)
                 if first_pass:
@@ -299,6 +302,7 @@ def _searching(shared, first_pass: bool, last: bool):
                         pa.array(n_words, pa.int64()),
                         pa.array(merged, spans.type),
                         pa.array(named, items.type),
+                        *[c.slice(first, n) for c in kept],
                     ],
                     names=b.schema.names,
                 )

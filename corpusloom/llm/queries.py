@@ -99,6 +99,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hit_words(spans: str):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+
+
 def contaminated(n_words, n_hit):
     """The rule for a whole document: at least a twentieth of its words are hit."""
     return (n_hit > 0) & (20 * n_hit >= n_words)
@@ -107,8 +111,7 @@ def contaminated(n_words, n_hit):
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     found = fm_index.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items").select(
+    return found.select("doc_id", "n_words", hit_words("spans").alias("n_hit"), "items").select(
         "doc_id",
         "n_words",
         "n_hit",

@@ -124,9 +124,15 @@ def pca_project(
 
 
 def fit_word2vec(df: DataFrame, tokens: str = "tokens", size: int = 64, seed: int = 42, **params) -> PipelineModel:
-    """Train word vectors on the token column; a text is the mean of its words."""
+    """Train word vectors on the token column; a text is the mean of its words.
+
+    Trained in as many partitions as the session shuffles into; each sends the whole vocabulary
+    (words times ``size`` floats), so raise ``minCount`` before the vocabulary outgrows a task.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stage = Word2Vec(
-        vectorSize=size, inputCol=tokens, outputCol="_encoded", seed=seed, **{"minCount": 1, **params}
+        vectorSize=size, inputCol=tokens, outputCol="_encoded", seed=seed,
+        **{"minCount": 1, "numPartitions": parts, **params},
     )
     return Pipeline(stages=[stage]).fit(df)
 

@@ -198,18 +198,30 @@ def _pair_up(clusters: DataFrame, pairs: DataFrame, absent: float, attempt: int)
     return _merge_rows(rows.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
 
 
-def average_linkage(distances: DataFrame, absent: float) -> DataFrame:
+def _no_merges(words: DataFrame) -> DataFrame:
+    kind = words.schema["word"].dataType.simpleString()
+    return words.sparkSession.createDataFrame(
+        [],
+        f"step bigint, left {kind}, right {kind}, height double, size bigint, round int, left_round int, right_round int",
+    )
+
+
+def average_linkage(distances: DataFrame, absent: float, words: DataFrame | None = None) -> DataFrame:
     """Merge tree of the words in ``distances(a, b, distance)``, ``a < b``.
 
+    ``words(word)`` are all leaves; words without a listed distance (such as those that only
+    occur with themselves) are ``absent`` from every other. Without it the leaves are the words
+    of ``distances``. One word makes no merge, so the result is empty.
+
     Returns ``(step, left, right, height, size, round, left_round, right_round)`` with steps
     from 1 to n-1 in order of height. ``left`` and ``right`` are the smallest words of the
     merged clusters; ``(left, left_round)`` names the merge that made the left cluster, round
-    0 being a leaf. Merges below ``absent`` are exact; at and above it the order among tied
-    merges follows the words.
+    0 being a leaf. Merges below ``absent`` are exact. Words at ``absent`` are all tied there;
+    which of the tied couples merge first is left open (any order is an average linkage), and
+    is by word where every couple is listed, by hash where most are not.
     """
-    words = materialize(
-        distances.select(F.explode(F.array("a", "b")).alias("word")).distinct()
-    )
+    listed = distances.select(F.explode(F.array("a", "b")).alias("word"))
+    words = materialize((listed if words is None else listed.union(words.select("word"))).distinct())
     one = F.lit(1).cast("long")
     pairs = distances.select(
         "a", "b",
@@ -238,6 +250,8 @@ def average_linkage(distances: DataFrame, absent: float) -> DataFrame:
         if n_merges:
             done.append(merges)
             pairs = materialize(_apply(pairs, merges))
+    if not done:
+        return _no_merges(words)
     merges = _union(done)
     return with_row_ids(merges, ["height", "round", "left", "right"], "_at").select(
         (F.col("_at") + 1).alias("step"),

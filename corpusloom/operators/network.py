@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ordering import with_row_ids
+
 _BROADCAST_WORDS = 100_000  # a word list up to this length (a few MB) is broadcast
 
 
@@ -25,7 +27,16 @@ def word_strength(pairs: DataFrame) -> DataFrame:
 def strongest_words(pairs: DataFrame, max_words: int = 100) -> DataFrame:
     """The ``max_words`` words of highest strength, ties by word."""
     ranked = word_strength(pairs).withColumn("strength", F.round("strength", 6))
-    return ranked.orderBy(F.desc("strength"), "word").limit(max_words)
+    if max_words <= _BROADCAST_WORDS:
+        return ranked.orderBy(F.desc("strength"), "word").limit(max_words)
+    # a long list is numbered in place, so that no task holds all of it
+    numbered = with_row_ids(ranked, [F.desc("strength"), "word"], "_at")
+    return numbered.where(F.col("_at") < max_words).drop("_at")
+
+
+def matrix_words(matrix: DataFrame) -> DataFrame:
+    """Every word of a matrix, also those that only occur with themselves."""
+    return matrix.select(F.explode(F.array("a", "b")).alias("word")).distinct()
 
 
 def prune_network(pairs: DataFrame, max_words: int = 100) -> DataFrame:

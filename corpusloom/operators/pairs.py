@@ -9,19 +9,26 @@ from corpusloom.functions import text as X
 from corpusloom.operators.ordering import with_row_ids
 from corpusloom.runtime import materialize
 
-_MODULUS = 1_000_003  # prime; keeps every product inside BIGINT
+# Primes of the form 3n + 2, so that cubing is one to one; every product stays inside BIGINT.
+_PRIMES = (2_147_483_579, 2_147_483_549)
+_FACTORS = ((7_919_017, 104_729_011, 15_485_863), (32_452_843, 49_979_687, 86_028_121))
+DRAWS = _PRIMES[0] * _PRIMES[1]  # number of possible draws, about 2**62
 
 ADJACENT, SKIP_ONE, FAR, OTHER = 0.8, 0.4, 0.2, 0.1  # labels by kind of pair
 
 
 def draw(doc: Column, i: Column, salt: int) -> Column:
-    """Pseudo-random BIGINT in ``[0, _MODULUS)`` from the position of a sentence alone.
+    """Pseudo-random BIGINT in ``[0, DRAWS)`` from the position of a sentence alone.
 
-    Plain arithmetic: the same on every run, partitioning and engine.
+    Plain arithmetic: the same on every run, partitioning and engine. Two independent fields
+    make one number, so no corpus runs out of different draws.
     """
-    m = F.lit(_MODULUS).cast("long")
-    mixed = ((doc % m) * 7919 + (i % m) * 104_729 + F.lit(salt * 15_485_863)) % m
-    return (mixed * mixed + mixed * 31 + F.lit(12_820_163)) % m
+    fields = []
+    for prime, (a, b, c) in zip(_PRIMES, _FACTORS, strict=True):
+        p = F.lit(prime).cast("long")
+        mixed = ((doc % p) * a + (i % p) * b + F.lit(salt * c).cast("long")) % p
+        fields.append(mixed * mixed % p * mixed % p)
+    return fields[0] * F.lit(_PRIMES[1]).cast("long") + fields[1]
 
 
 def training_pairs(
@@ -42,16 +49,15 @@ def training_pairs(
     numbered = materialize(with_row_ids(rows.select("doc_id"), ["doc_id"], "doc_no"))
     total = numbered.agg(F.count(F.lit(1))).scalar()
     n = F.size("s")
-    m = F.lit(_MODULUS).cast("long")
     at = lambda salt: draw(F.col("doc_id"), F.col("i").cast("long"), seed + salt)
     starts = (
         rows.filter(n >= 3)
         .select("doc_id", "s", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 2)).alias("i"))
-        .withColumn("stays", (at(1) < F.lit(int(far_share * _MODULUS))) & (F.col("n") > 5))
+        .withColumn("stays", (at(1) < F.lit(int(far_share * 1000) * (DRAWS // 1000)).cast("long")) & (F.col("n") > 5))
         .withColumn("low", F.least(F.col("i") + 3, F.col("n") - 1))
         .withColumn("far", F.col("low") + at(2) % (F.col("n") - F.col("low")))
-        .withColumn("other_no", (at(3) * m + at(4)) % total)
-        .withColumn("other_at", at(5))
+        .withColumn("other_no", at(3) % total)
+        .withColumn("other_at", at(4))
     )
     here = lambda index: F.get("s", index)
     pair = lambda kind, other, label: F.struct(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,11 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.operators.ordering import with_row_ids
 from corpusloom.operators.similarity import nearest
-from corpusloom.runtime import materialize
+from corpusloom.runtime import materialize, materialize_counted
 
 _LITERAL_BYTES = 1 << 16  # keyword lists up to this size travel inside the plan
 _GRAM = 6
+_SENT_HITS = 1 << 20
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # BM25 constants
 
@@ -39,7 +42,11 @@ def exact_match(
         F.coalesce(F.sum(F.aggregate("keywords", F.lit(0), lambda n, k: n + F.octet_length(k) + 8) + 16), F.lit(0))
     ).first()[0]
     find = _match_by_scan if size <= literal_bytes else _match_by_grams
-    hits = find(queries.select("query_id", "keywords"), docs.select(id_col, text), id_col, text, case_sensitive)
+    # a null list or a null keyword asks for nothing that a text could contain
+    asked = queries.select("query_id", F.col("keywords").cast("array<string>").alias("keywords")).where(
+        F.col("keywords").isNotNull() & ~F.exists("keywords", lambda k: k.isNull())
+    )
+    hits = find(asked, docs.select(id_col, text), id_col, text, case_sensitive)
     return hits.select(
         "query_id",
         id_col,
@@ -50,28 +57,26 @@ def exact_match(
 
 
 def _match_by_scan(queries, docs, id_col, text, case_sensitive) -> DataFrame:
-    rows = queries.collect()
-    if not rows:
-        return docs.limit(0).select(F.lit(0).alias("query_id"), id_col, text, F.array().cast("array<string>").alias("keywords"))
-    folded = (lambda k: k) if case_sensitive else (lambda k: k.lower())
+    """Test every query in the scan: one compiled condition each, all on one lowered text."""
+    fold = (lambda c: c) if case_sensitive else F.lower
+    # at most literal_bytes of keywords; folded by the same function as the texts
+    rows = queries.withColumn("needles", F.array_distinct(F.transform("keywords", fold))).collect()
     kind = queries.schema["query_id"].dataType
-    literal = F.array(
-        *[
+    keywords = "array<string>"
+    hits = [
+        F.when(
+            functools.reduce(lambda a, b: a & b, [F.contains(F.col("_hay"), F.lit(k)) for k in r.needles], F.lit(True)),
             F.struct(
                 F.lit(r.query_id).cast(kind).alias("query_id"),
-                F.array(*[F.lit(k) for k in r.keywords]).cast("array<string>").alias("keywords"),
-                F.array(*[F.lit(folded(k)) for k in r.keywords]).cast("array<string>").alias("needles"),
-            )
-            for r in rows
-        ]
-    )
-    hay = F.col(text) if case_sensitive else F.lower(F.col(text))
-    # the one-element array binds the lowered text once per row
-    hits = F.transform(
-        F.array(hay),
-        lambda t: F.filter(literal, lambda q: F.forall(q["needles"], lambda k: F.contains(t, k))),
-    )[0]
-    return docs.select(id_col, text, F.explode_outer(hits).alias("_q")).filter(F.col("_q").isNotNull()).select(
+                F.array(*[F.lit(k) for k in r.keywords]).cast(keywords).alias("keywords"),
+            ),
+        )
+        for r in rows
+    ]
+    none = F.array().cast(f"array<struct<query_id:{kind.simpleString()},keywords:{keywords}>>")
+    found = F.array_compact(F.array(*hits)) if hits else none
+    scanned = docs.select(id_col, text, fold(F.col(text)).alias("_hay")).where(F.col("_hay").isNotNull())
+    return scanned.select(id_col, text, F.explode(found).alias("_q")).select(
         "_q.query_id", id_col, text, F.col("_q.keywords").alias("keywords")
     )
 
@@ -95,12 +100,12 @@ def _match_by_grams(queries, docs, id_col, text, case_sensitive) -> DataFrame:
     )
     sizes = [r[0] for r in anchored.select(F.length("gram")).distinct().collect()]  # at most _GRAM + 1
     hay = fold(F.col(text))
-    grams = F.array_distinct(F.concat(*[_grams(hay, n) for n in sizes]))
+    grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *[_grams(hay, n) for n in sizes]))
     pointers = docs.select(id_col, F.explode(grams).alias("gram"))
     candidates = pointers.join(anchored.select("query_id", "keywords", "gram"), "gram").drop("gram")
     return candidates.join(docs, id_col).filter(
         X.contains_all(F.col(text), F.col("keywords"), case_sensitive)
-    )
+    ).select("query_id", id_col, text, "keywords")
 
 
 # --- BM25 ----------------------------------------------------------------------------
@@ -193,15 +198,42 @@ def bm25_search(
     """
     scores = bm25_scores(queries, docs, id_col, text, **options)
     if keep_zero:
-        # of the first 2k documents at most k can be hits, so k fillers always remain
-        best = top_hits(scores, k, id_col).drop("rank")
-        best = materialize(best)
-        first = docs.select(id_col).orderBy(id_col).limit(2 * k).agg(F.collect_list(id_col)).scalar()
-        zero = queries.select("query_id", F.explode(first).alias(id_col), F.lit(0.0).alias("score"))
-        scores = best.unionByName(zero.join(best, ["query_id", id_col], "left_anti"))
+        scores = materialize(scores)
+        best = top_hits(scores.where(F.col("score") > 0), k, id_col).drop("rank")
+        below = top_hits(scores.where(F.col("score") <= 0), k, id_col).drop("rank")
+        short = queries.select("query_id").distinct().join(
+            best.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k), "query_id", "left_anti"
+        )
+        zero = _without_hit(short, scores.select("query_id", id_col), docs.select(id_col), k, id_col)
+        scores = best.unionByName(below).unionByName(zero.withColumn("score", F.lit(0.0)))
     return top_hits(scores, k, id_col)
 
 
+def _without_hit(queries: DataFrame, hits: DataFrame, docs: DataFrame, k: int, id_col: str) -> DataFrame:
+    """The first ``k`` documents by id that are no hit of a query, found in the gaps of its hits."""
+    numbered = materialize(with_row_ids(docs.distinct(), [id_col], "_no"))
+    total = numbered.agg(F.count(F.lit(1))).scalar()
+    ends = queries.select("query_id", F.lit(-1).cast("long").alias("_no")).unionByName(
+        hits.join(queries, "query_id").join(numbered, id_col).select("query_id", "_no")
+    )
+    order = Window.partitionBy("query_id").orderBy("_no")
+    gaps = ends.select(
+        "query_id",
+        (F.col("_no") + 1).alias("_from"),
+        F.coalesce(F.lead("_no").over(order), total).alias("_to"),
+        # hits before the gap; the row at -1 is none
+        (F.col("_no") + 1 - (F.row_number().over(order) - 1)).alias("_missed"),
+    ).where((F.col("_from") < F.col("_to")) & (F.col("_missed") < k))
+    last = F.least(F.col("_to"), F.col("_from") + k - F.col("_missed")) - 1
+    free = gaps.select("query_id", F.explode(F.sequence("_from", last)).alias("_no"))
+    return free.join(numbered, "_no").select("query_id", id_col)
+
+
+def first_documents(docs: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
+    """The first ``n`` rows by id: the prefix a trial run works on."""
+    return docs.orderBy(id_col).limit(n)
+
+
 # --- semantic ------------------------------------------------------------------------
 
 
@@ -258,10 +290,10 @@ def retrieve(
     open_queries = queries.join(exact.select("query_id").distinct(), "query_id", "left_anti")
     asked = encode(open_queries.withColumn("_query", query_text(F.col("keywords"))), "_query")
     encoded = docs if "embedding" in docs.columns else encode(docs, text)
-    hits = semantic_search(asked, encoded, k, threshold, id_col)
+    hits, found = _texts_of(semantic_search(asked, encoded, k, threshold, id_col), docs, id_col, text)
     semantic = (
         hits.join(open_queries, "query_id")
-        .join(docs.select(id_col, text), id_col)
+        .join(found, id_col)
         .select(
             "query_id",
             id_col,
@@ -287,7 +319,19 @@ def term_coverage(query: Column, passage: Column) -> Column:
 
 def attach_text(hits: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Look up the passage of every hit, on one line."""
-    return hits.join(docs.select(id_col, X.one_line(F.col(text)).alias("passage")), id_col)
+    hits, found = _texts_of(hits, docs, id_col, text)
+    return hits.join(found.select(id_col, X.one_line(F.col(text)).alias("passage")), id_col)
+
+
+def _texts_of(hits: DataFrame, docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The hits, written and counted, and the documents they name; no other text moves.
+
+    Up to ``_SENT_HITS`` ids are sent to the scan (8 bytes each), more are joined.
+    """
+    hits, n = materialize_counted(hits)
+    ids = hits.select(id_col).distinct()
+    needed = docs.select(id_col, text).join(F.broadcast(ids) if n <= _SENT_HITS else ids, id_col, "left_semi")
+    return hits, needed
 
 
 def rerank(
@@ -305,9 +349,8 @@ def rerank(
     ``scorer`` builds a column from the two texts. ``batch_scorer`` takes Arrow batches of the
     two texts instead, for an external model.
     """
-    paired = hits.drop("rank").join(queries.select("query_id", "query"), "query_id").join(
-        docs.select(id_col, text), id_col
-    )
+    hits, found = _texts_of(hits.drop("rank"), docs, id_col, text)
+    paired = hits.join(queries.select("query_id", "query"), "query_id").join(found, id_col)
     if batch_scorer is not None:
 
         def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -215,27 +215,17 @@ def absent_distance(spark, d):
 
 # --- hierarchy -----------------------------------------------------------------------
 
-_MERGES: dict[tuple[str, str], DataFrame] = {}
-
-
-def _grown_tree(spark, d) -> DataFrame:
+def _merges(spark, d) -> DataFrame:
     pairs_ = network.prune_network(materialize(_association(spark, d)), MAX_WORDS)
     matrix = materialize(network.association_matrix(pairs_))
     absent = network.absent_distance(matrix).first()["absent"]
-    return materialize(hierarchy.average_linkage(network.to_distance(matrix), absent))
-
-
-def _merges(spark, d) -> DataFrame:
-    """The tree, grown once per session: the cuts below all start from it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _MERGES:
-        _MERGES[key] = _grown_tree(spark, d)
-    return _MERGES[key]
+    return materialize(
+        hierarchy.average_linkage(network.to_distance(matrix), absent, network.matrix_words(matrix))
+    )
 
 
 def linkage_merges(spark, d):
-    merges = _MERGES[spark.sparkContext.applicationId, d] = _grown_tree(spark, d)
-    return _six(merges.select("step", "left", "right", "height", "size"), "height")
+    return _six(_merges(spark, d).select("step", "left", "right", "height", "size"), "height")
 
 
 def clusters_by_distance(spark, d):
@@ -304,6 +294,10 @@ def bm25_stats(spark, d):
     return _six(search.bm25_idf(materialize(search.bm25_stats(docs))), "idf")
 
 
+def first_documents(spark, d):
+    return search.first_documents(_documents(spark, d), 100).select("doc_id", "source")
+
+
 def bm25_topk(spark, d):
     return search.bm25_search(_text_queries(spark, d), _passages(spark, d), 5, keep_zero=True)
 
@@ -436,13 +430,19 @@ def layout_3d(spark, d):
 
 def layout_spectral(spark, d):
     edges = materialize(_fuzzy(spark, d))
-    return _six(graph.spectral_layout(edges, 2, 8), "x", "y")
+    return _six(graph.spectral_layout(edges, 2), "x", "y")
 
 
 def edge_table(spark, d):
-    return _six(
-        graph.edge_table(_fuzzy(spark, d), _layout(spark, d), "vec_id"), "x0", "y0", "x1", "y1", "weight"
-    )
+    """Neighbour edges drawn at the first two entries of their vectors."""
+    edges = graph.knn_graph(_vectors(spark, d), 50, "vec_id").select("src", "dst", (1 - F.col("distance")).alias("weight"))
+    return _six(graph.edge_table(edges, _corner(spark, d), "vec_id"), "x0", "y0", "x1", "y1", "weight")
+
+
+def _corner(spark, d):
+    """Given coordinates: the first two entries of each vector."""
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    return _vectors(spark, d).select("vec_id", at(0).alias("x"), at(1).alias("y"))
 
 
 def _chapter_vectors(spark, d):
@@ -468,8 +468,12 @@ def length_mismatch(spark, d):
 
 
 def point_table(spark, d):
-    vectors = _chapter_vectors(spark, d).drop("embedding").join(_layout(spark, d), "vec_id")
-    return graph.point_table(graph.align_pad(vectors, _chapter_texts(spark, d)))
+    """Every vector at its given coordinates, with its sentence and labels."""
+    vectors = _chapter_vectors(spark, d).drop("embedding").join(_corner(spark, d), "vec_id")
+    points = graph.point_table(graph.align_pad(vectors, _chapter_texts(spark, d)))
+    return _six(points, "x", "y").select(
+        "chapter", "idx", "vec_id", "x", "y", "sentence", "character", "place", "character_label", "place_label", "hover_text"
+    )
 
 
 def pca_project(spark, d):
@@ -485,10 +489,15 @@ def embed_text(spark, d):
     Training depends on how the rows are split over tasks, so only stable facts are returned.
     """
     tokens = materialize(_tokens(spark, d))
-    model = embeddings.fit_word2vec(tokens, size=32, maxIter=1, numPartitions=8, minCount=5)
+    model = embeddings.fit_word2vec(tokens, size=32)
     encoded = embeddings.embed_with_model(tokens, model)
     length = V.norm(V.doubles(F.col("embedding")))
-    return encoded.select("doc_id", F.size("embedding").alias("dim"), (length > 0).alias("has_words"))
+    return encoded.select(
+        "doc_id",
+        F.size("embedding").alias("dim"),
+        (length > 0).alias("has_words"),
+        F.forall("embedding", lambda x: ~F.isnan(x)).alias("finite"),
+    )
 
 
 def embed_text_tfidf(spark, d):
@@ -576,7 +585,7 @@ QUERIES = [
     vocabulary, word_strength, prune_network, association_matrix, distance_pairs, absent_distance,
     linkage_merges, clusters_by_distance, clusters_by_count, clusters_by_threshold, cluster_sizes,
     cluster_count, cluster_sample, tree_nodes, truncated_tree, exact_match, keyword_positions,
-    bm25_stats, bm25_topk, parse_embedding, cosine_pairs, centrality, central_extremes, semantic_topk,
+    bm25_stats, first_documents, bm25_topk, parse_embedding, cosine_pairs, centrality, central_extremes, semantic_topk,
     retrieve_priority, rerank_topk, search_report, training_pairs, pair_split, encoder_eval,
     knn_graph, knn_graph_grouped, fuzzy_graph, layout_2d, layout_3d, layout_spectral, edge_table,
     align_pad, length_mismatch, point_table, pca_project, embed_text, embed_text_tfidf, embed_profile,

@@ -198,16 +198,19 @@ _RERANKED = (
 
 
 def _draw(doc: str, i: str, salt: int) -> str:
-    mixed = f"((({doc} % 1000003) * 7919 + ({i} % 1000003) * 104729 + {(42 + salt) * 15485863}) % 1000003)"
-    return f"(({mixed} * {mixed} + {mixed} * 31 + 12820163) % 1000003)"
+    fields = []
+    for p, (a, b, c) in ((2147483579, (7919017, 104729011, 15485863)), (2147483549, (32452843, 49979687, 86028121))):
+        x = f"((({doc} % {p}) * {a} + ({i} % {p}) * {b} + {(42 + salt) * c}::BIGINT) % {p})"
+        fields.append(f"({x} * {x} % {p} * {x} % {p})")
+    return f"({fields[0]} * 2147483549 + {fields[1]})"
 
 
 _TRAINING = (
     f"d AS (SELECT doc_id, {_naive('text')} AS s, row_number() OVER (ORDER BY doc_id) - 1 AS doc_no FROM documents), "
     "tot AS (SELECT count(*) AS total FROM d), "
     "st0 AS (SELECT doc_id, s, len(s) AS n, unnest(range(0, len(s) - 1)) AS i FROM d WHERE len(s) >= 3), "
-    f"st AS (SELECT *, {_draw('doc_id', 'i', 1)} < 700002 AND n > 5 AS stays, least(i + 3, n - 1) AS low, "
-    f"{_draw('doc_id', 'i', 2)} AS d2, {_draw('doc_id', 'i', 3)} * 1000003::BIGINT + {_draw('doc_id', 'i', 4)} AS d34, {_draw('doc_id', 'i', 5)} AS d5 FROM st0), "
+    f"st AS (SELECT *, {_draw('doc_id', 'i', 1)} < {700 * (2147483579 * 2147483549 // 1000)} AND n > 5 AS stays, least(i + 3, n - 1) AS low, "
+    f"{_draw('doc_id', 'i', 2)} AS d2, {_draw('doc_id', 'i', 3)} AS d34, {_draw('doc_id', 'i', 4)} AS d5 FROM st0), "
     "st2 AS (SELECT *, low + d2 % (n - low) AS far FROM st), "
     "tp AS ("
     f"SELECT doc_id, i, 'adjacent' AS kind, s[i + 1] AS text_a, s[i + 2] AS text_b, {ADJACENT}::DOUBLE AS label FROM st2 "
@@ -246,6 +249,18 @@ _CHAPTERED = (
 )
 
 
+_ALIGNED = (
+    f"WITH {_CHAPTERED}, cnt AS (SELECT chapter, count(*) AS n FROM txt GROUP BY chapter) SELECT vec.chapter, vec.idx, vec_id, "
+    "CASE WHEN txt.idx IS NULL THEN 'Sentence ' || (vec.idx - coalesce(n, 0)) || ' from Chapter ' || vec.chapter ELSE sentence END AS sentence, "
+    "CASE WHEN txt.idx IS NULL THEN 'unknown' ELSE character END AS character, CASE WHEN txt.idx IS NULL THEN 'unknown' ELSE place END AS place "
+    "FROM vec LEFT JOIN txt ON txt.chapter = vec.chapter AND txt.idx = vec.idx LEFT JOIN cnt ON cnt.chapter = vec.chapter"
+)
+
+
+def _label(joined: str) -> str:
+    return f"CASE WHEN trim({joined}) = '' THEN 'unknown' ELSE trim(split_part({joined}, ',', 1)) END"
+
+
 def _knn(k: int, distance: str, same_label: bool) -> str:
     where = "WHERE a.label = b.label" if same_label else ""
     return (
@@ -343,6 +358,7 @@ def statements() -> dict[str, str]:
             f"WITH {_BM25_TOP} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM allsc "
             "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5"
         ),
+        "first_documents": "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100",
         "parse_embedding": "SELECT vec_id, len(embedding) AS dim, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings",
         "cosine_pairs": (
             f"WITH {_UNITS} SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 6) AS similarity FROM u a JOIN u b "
@@ -390,12 +406,20 @@ def statements() -> dict[str, str]:
         ),
         "knn_graph": _knn(50, "1.0 - round(list_dot_product(a.v, b.v), 6)", False),
         "knn_graph_grouped": _knn(20, "list_distance(a.e, b.e)", True),
-        "align_pad": (
-            f"WITH {_CHAPTERED}, cnt AS (SELECT chapter, count(*) AS n FROM txt GROUP BY chapter) SELECT vec.chapter, vec.idx, vec_id, "
-            "CASE WHEN txt.idx IS NULL THEN 'Sentence ' || (vec.idx - coalesce(n, 0)) || ' from Chapter ' || vec.chapter ELSE sentence END AS sentence, "
-            "CASE WHEN txt.idx IS NULL THEN 'unknown' ELSE character END AS character, CASE WHEN txt.idx IS NULL THEN 'unknown' ELSE place END AS place "
-            "FROM vec LEFT JOIN txt ON txt.chapter = vec.chapter AND txt.idx = vec.idx LEFT JOIN cnt ON cnt.chapter = vec.chapter"
+        "align_pad": _ALIGNED,
+        "edge_table": (
+            f"WITH k AS ({_knn(50, '1.0 - round(list_dot_product(a.v, b.v), 6)', False)}) "
+            "SELECT src, dst, round(a.embedding[1]::DOUBLE, 6) AS x0, round(a.embedding[2]::DOUBLE, 6) AS y0, "
+            "round(b.embedding[1]::DOUBLE, 6) AS x1, round(b.embedding[2]::DOUBLE, 6) AS y1, round(1 - distance, 6) AS weight "
+            "FROM k JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst"
+        ),
+        "point_table": (
+            f"WITH al AS ({_ALIGNED}) SELECT al.*, round(embedding[1]::DOUBLE, 6) AS x, round(embedding[2]::DOUBLE, 6) AS y, "
+            f"{_label('character')} AS character_label, {_label('place')} AS place_label, "
+            "CASE WHEN length(sentence) > 100 THEN left(sentence, 100) || '...' ELSE sentence END AS hover_text "
+            "FROM al JOIN embeddings USING (vec_id)"
         ),
+        "embed_text": f"WITH {_TOKENS} SELECT doc_id, 32 AS dim, len(tokens) > 0 AS has_words, true AS finite FROM toks",
         "length_mismatch": (
             f"WITH {_CHAPTERED}, a AS (SELECT chapter, count(*) AS n FROM vec GROUP BY chapter), b AS (SELECT chapter, count(*) AS n FROM txt GROUP BY chapter) "
             "SELECT coalesce(a.chapter, b.chapter) AS chapter, coalesce(a.n, 0) AS n_vectors, coalesce(b.n, 0) AS n_texts FROM a FULL JOIN b ON a.chapter = b.chapter "

@@ -52,11 +52,25 @@ def materialize(df: DataFrame) -> DataFrame:
     physical layout (partition numbers). ``DataFrame.checkpoint`` would run the plan twice.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{_own_scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what ``materialize`` has written in this application.
+
+    To be called when the results that build on it have been read or written.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """``materialize`` plus the number of rows, observed while writing."""
     seen = Observation()

@@ -154,3 +154,28 @@ def test_no_scaling_without_a_positive_score(spark):
     matrix = N.association_matrix(df)
     assert N.to_distance(matrix).first().distance == 2.0
     assert N.absent_distance(matrix).first().absent == 1.0
+
+
+def test_words_that_only_occur_with_themselves(spark):
+    rows = [("a", "b", 0.9), ("c", "c", 0.5), ("d", "d", 0.1)]
+    matrix = materialize(N.association_matrix(spark.createDataFrame(rows, "word1 string, word2 string, mi_score double")))
+    absent = N.absent_distance(matrix).first()
+    assert absent.n_words == 4
+    merges = H.average_linkage(N.to_distance(matrix), absent.absent, N.matrix_words(matrix)).collect()
+    assert len(merges) == 3 and merges[0].left == "a" and merges[0].right == "b"
+    assert max(m.size for m in merges) == 4
+
+
+def test_one_word(spark):
+    matrix = spark.createDataFrame([("c", "c", 0.5)], "a string, b string, mi double")
+    merges = H.average_linkage(N.to_distance(matrix), 1.0, N.matrix_words(matrix))
+    assert merges.count() == 0 and merges.columns[:3] == ["step", "left", "right"]
+
+
+def test_long_word_lists(spark, monkeypatch):
+    rows = [(f"w{i}", f"w{i + 1}", float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "word1 string, word2 string, mi_score double")
+    want = sorted(r.word for r in N.strongest_words(df, 7).collect())
+    monkeypatch.setattr(N, "_BROADCAST_WORDS", 3)
+    assert sorted(r.word for r in N.strongest_words(df, 7).collect()) == want
+    assert N.prune_network(df, 10**9).count() == 30

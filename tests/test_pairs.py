@@ -11,9 +11,9 @@ TEXTS = [
 
 
 def draw(doc, i, salt):
-    m = 1_000_003
-    x = (doc % m * 7919 + i % m * 104_729 + salt * 15_485_863) % m
-    return (x * x + x * 31 + 12_820_163) % m
+    x = (doc * 7_919_017 + i * 104_729_011 + salt * 15_485_863) % 2_147_483_579
+    y = (doc * 32_452_843 + i * 49_979_687 + salt * 86_028_121) % 2_147_483_549
+    return pow(x, 3, 2_147_483_579) * 2_147_483_549 + pow(y, 3, 2_147_483_549)
 
 
 def plain(rows, seed=42):
@@ -29,15 +29,15 @@ def plain(rows, seed=42):
             out.add((d, i, "adjacent", s[i], s[i + 1], 0.8))
             if n > 3 and i < n - 2:
                 out.add((d, i, "skip", s[i], s[i + 2], 0.4))
-            if draw(d, i, seed + 1) < 700_002 and n > 5:
+            if draw(d, i, seed + 1) < 700 * (2_147_483_579 * 2_147_483_549 // 1000) and n > 5:
                 low = min(i + 3, n - 1)
                 j = low + draw(d, i, seed + 2) % (n - low)
                 if j > i + 2:
                     out.add((d, i, "far", s[i], s[j], 0.2))
             else:
-                other = split[ids[(draw(d, i, seed + 3) * 1_000_003 + draw(d, i, seed + 4)) % len(ids)]]
+                other = split[ids[draw(d, i, seed + 3) % len(ids)]]
                 if other:
-                    out.add((d, i, "other", s[i], other[draw(d, i, seed + 5) % len(other)], 0.1))
+                    out.add((d, i, "other", s[i], other[draw(d, i, seed + 4) % len(other)], 0.1))
     return out
 
 
@@ -59,3 +59,13 @@ def test_cap_is_exact_and_split_is_disjoint(spark):
     assert len(split) == len(whole) and held == whole[: len(whole) // 10]
     few = pairs.split_pairs(pairs.training_pairs(df), most=3).filter("split = 'eval'").count()
     assert few == 3
+
+
+def test_draws_do_not_run_out(spark):
+    """Far more different draws than two fields of a million; ids a prime apart differ."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 300_000).select(pairs.draw(F.col("id") * 1_000_003, F.col("id") % 7, 3).alias("x"))
+    assert rows.distinct().count() == 300_000
+    got = rows.agg(F.count_distinct(F.col("x") % 10_000_000)).first()[0]
+    assert got > 290_000

@@ -118,3 +118,35 @@ def test_report_has_three_stages(spark, docs):
     queries = counts(spark.createDataFrame([(0, "frodo ring")], "query_id long, query string"), "query")
     rows = search.search_report(queries, counts(docs, "text"), 5, 3).collect()
     assert Counter(r.stage for r in rows) == {"lexical": 3, "vector": 3, "reranked": 3}
+
+
+def test_negative_scores_stay_below_documents_without_hits(spark):
+    """A word that most documents hold has a negative weight; its hits are never fillers."""
+    texts = ["common rare one", "other", "common", "common", "common x", "common y", "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    queries = spark.createDataFrame([(1, "common"), (2, "nothing here"), (3, "other"), (4, "common plain")], "query_id bigint, query string")
+    everything = search.bm25_scores(queries, docs, stop=[]).collect()
+    scores = {(r.query_id, r.doc_id): r.score for r in everything}
+    for k in (1, 3, 5, 20):
+        got = search.bm25_search(queries, docs, k, keep_zero=True, stop=[]).collect()
+        for q in (1, 2, 3, 4):
+            want = sorted(((-scores.get((q, d), 0.0), d) for d in range(len(texts))))[:k]
+            have = sorted((r.rank, r.doc_id, r.score) for r in got if r.query_id == q)
+            assert [(d, s) for _, d, s in have] == [(d, -s) for s, d in want]
+
+
+def test_both_keyword_paths_agree(spark):
+    texts = ["Anna met BOB", "bob", None, "", "İstanbul and Anna", "anna"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    lists = [["Anna"], ["anna", "bob"], None, [], ["Anna", None], ["İstanbul"], ["bob", "bob"]]
+    queries = spark.createDataFrame(list(enumerate(lists)), "query_id bigint, keywords array<string>")
+    for table in (queries, queries.limit(0)):
+        for case_sensitive in (True, False):
+            a, b = (search.exact_match(table, docs, case_sensitive=case_sensitive, literal_bytes=n) for n in (1 << 16, -1))
+            assert a.schema.simpleString() == b.schema.simpleString()
+            assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_first_documents(spark):
+    docs = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "doc_id bigint, text string")
+    assert [r.doc_id for r in search.first_documents(docs, 2).collect()] == [1, 2]

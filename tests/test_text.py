@@ -122,3 +122,16 @@ def test_text_choice_prefers_the_cleaned_column(spark):
     assert [r[0] for r in df.select(X.text_choice(df)).collect()] == ["frodo", ""]
     assert [r[0] for r in df.select(X.text_choice(df, False)).collect()] == ["Frodo!", "none"]
     assert keep_mentioned(tag_mentions(df, "sentence")).count() == 1
+
+
+def test_other_languages_come_from_a_table(spark):
+    import pytest
+
+    from corpusloom.functions.stopwords import stop_words_from
+
+    table = spark.createDataFrame([("greek", "Και"), ("greek", "το"), ("greek", "d'"), ("x", "y")], "language string, word string")
+    assert stop_words_from(table, "greek") == ["και", "το"]
+    with pytest.raises(ValueError, match="pass a list"):
+        stop_words("greek")
+    with pytest.raises(ValueError, match="no list"):
+        stop_words_from(table, "thai")

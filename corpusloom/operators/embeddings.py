@@ -70,13 +70,20 @@ def group_centroids(df: DataFrame, group: str, vec: str = "embedding") -> DataFr
 
 
 def pca_project(
-    df: DataFrame, k: int, vec: str = "embedding", group: str | None = None, name: str = "coords"
+    df: DataFrame, k: int, vec: str = "embedding", group: str | None = None, name: str = "coords",
+    only_above: int = 0,
 ) -> DataFrame:
     """Project onto the first ``k`` principal components, fitted per group or on all rows.
 
+    Vectors of at most ``only_above`` entries are taken as they are.
+
     First and second moments are summed per Arrow batch, then by a combining aggregate; only
     a d x d matrix per group is decomposed. The largest entry of a component is positive.
     """
+    if only_above:
+        widest = df.agg(F.max(F.size(vec))).first()[0] or 0
+        if widest <= only_above:
+            return df.withColumn(name, doubles(F.col(vec)))
     key = F.col(group).cast("string") if group else F.lit("")
     rows = df.withColumn("_key", key).withColumn("_vec", doubles(F.col(vec)))
 

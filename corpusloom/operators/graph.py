@@ -181,10 +181,12 @@ def _orthonormal(state: DataFrame, m: int) -> DataFrame:
 
 
 def edge_table(edges: DataFrame, coords: DataFrame, id_col: str = "id") -> DataFrame:
-    """Edges with the coordinates of both ends."""
-    start = coords.select(F.col(id_col).alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"))
-    end = coords.select(F.col(id_col).alias("dst"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    return edges.join(start, "src").join(end, "dst").select("src", "dst", "x0", "y0", "x1", "y1", "weight")
+    """Edges with the coordinates of both ends, in as many dimensions as ``coords`` has."""
+    axes = [a for a in ("x", "y", "z") if a in coords.columns]
+    start = coords.select(F.col(id_col).alias("src"), *[F.col(a).alias(f"{a}0") for a in axes])
+    end = coords.select(F.col(id_col).alias("dst"), *[F.col(a).alias(f"{a}1") for a in axes])
+    ends = [f"{a}{k}" for k in (0, 1) for a in axes]
+    return edges.join(start, "src").join(end, "dst").select("src", "dst", *ends, "weight")
 
 
 def align_pad(

@@ -513,6 +513,20 @@ def embed_profile(spark, d):
     )
 
 
+def embed_profile_batch(spark, d):
+    """The letter counts again, from an encoder that runs on Arrow batches."""
+
+    def encoder(batches):
+        for texts in batches:
+            lowered = texts.str.lower()
+            yield lowered.map(lambda t: [float(t.count(c)) for c in "abcdefghijklmnopqrstuvwxyz"])
+
+    encoded = embeddings.embed_text(_passages(spark, d), "text", encoder)
+    return encoded.select(
+        "doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), " ").alias("profile")
+    )
+
+
 # --- round trips ---------------------------------------------------------------------
 
 
@@ -572,6 +586,32 @@ def io_similarity(spark, d):
     ).json(f"{path}/summary")
 
 
+def io_similarity_pairs(spark, d):
+    """The pair table as written and read back."""
+    path = _scratch(spark)
+    writers.write_similarity(cosine_pairs(spark, d), central_extremes(spark, d), path, centrality(spark, d))
+    return readers.read_similarity(spark, path, "pairs")
+
+
+def io_similarity_averages(spark, d):
+    """Average similarity of every row, as written and read back."""
+    path = _scratch(spark)
+    writers.write_similarity(cosine_pairs(spark, d), central_extremes(spark, d), path, centrality(spark, d))
+    return readers.read_similarity(spark, path, "averages")
+
+
+def bad_vectors(spark, d):
+    """Cells of an embedding column that do not parse; every seventh is spoilt."""
+    text = F.when(F.col("vec_id") % 7 == 0, "no vector").otherwise(V.to_text(F.col("embedding")))
+    cells = _vectors(spark, d).select(text.alias("cell")).withColumn("v", V.parse(F.col("cell")))
+    return readers.bad_vectors(cells, "cell", "v")
+
+
+def training_sample(spark, d):
+    """The first pairs only, as a trial run asks for."""
+    return pairs.training_pairs(_passages(spark, d), max_samples=500)
+
+
 def io_corpus(spark, d):
     rows = readers.read_corpus(spark, f"{d}/documents.parquet")
     return rows.select("doc_id", F.length("text").alias("n"))
@@ -590,4 +630,5 @@ QUERIES = [
     knn_graph, knn_graph_grouped, fuzzy_graph, layout_2d, layout_3d, layout_spectral, edge_table,
     align_pad, length_mismatch, point_table, pca_project, embed_text, embed_text_tfidf, embed_profile,
     io_chapter_csv, io_association_csv, io_jsonl_gz, io_books, io_embeddings, io_similarity, io_corpus,
+    io_similarity_pairs, io_similarity_averages, bad_vectors, training_sample, embed_profile_batch,
 ]

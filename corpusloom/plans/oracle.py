@@ -444,4 +444,9 @@ def statements() -> dict[str, str]:
         "io_corpus": "SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL",
     }
     sql["io_similarity"] = sql["central_extremes"]
+    sql["io_similarity_pairs"] = sql["cosine_pairs"]
+    sql["io_similarity_averages"] = sql["centrality"]
+    sql["embed_profile_batch"] = sql["embed_profile"]
+    sql["bad_vectors"] = "SELECT count(*) FILTER (WHERE vec_id % 7 = 0) AS n_bad FROM embeddings"
+    sql["training_sample"] = f"{sql['training_pairs']} ORDER BY doc_id, i, kind LIMIT 500"
     return sql

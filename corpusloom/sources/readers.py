@@ -79,6 +79,11 @@ def bad_vectors(df: DataFrame, text: str, vector: str) -> DataFrame:
     return df.agg(F.count_if(F.col(text).isNotNull() & F.col(vector).isNull()).alias("n_bad"))
 
 
+def read_similarity(spark: SparkSession, path: str, part: str = "pairs") -> DataFrame:
+    """The ``pairs`` or ``averages`` that ``write_similarity`` has written."""
+    return spark.read.parquet(f"{path}/{part}")
+
+
 def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     """First paragraph of every record of (gzipped) JSON lines."""
     records = spark.read.schema(schemas.PARAGRAPH_RECORD).json(path)

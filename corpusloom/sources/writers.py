@@ -33,8 +33,10 @@ def write_embeddings(df: DataFrame, path: str, by: str = "chapter_no") -> None:
     df.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
-def write_similarity(pairs: DataFrame, summary: DataFrame, path: str) -> None:
-    """Pair table as Parquet and the per-chapter summary as JSON."""
+def write_similarity(pairs: DataFrame, summary: DataFrame, path: str, averages: DataFrame | None = None) -> None:
+    """Pair table (and each row's average similarity) as Parquet, the per-chapter summary as JSON."""
+    if averages is not None:
+        averages.write.mode("overwrite").parquet(f"{path}/averages")
     pairs.write.mode("overwrite").parquet(f"{path}/pairs")
     summary.write.mode("overwrite").json(f"{path}/summary")
 

@@ -91,3 +91,19 @@ def test_align_pad(spark):
     assert rows[1, 0].character_label == "frodo" and rows[2, 0].character_label == "unknown" and rows[3, 1].character == "unknown"
     off = {(r.chapter, r.n_vectors, r.n_texts) for r in graph.length_mismatch(vectors, texts).collect()}
     assert off == {(1, 3, 5), (2, 3, 1), (3, 3, 0)}
+
+
+def test_edges_in_three_dimensions(spark):
+    edges = spark.createDataFrame([(1, 2, 0.5)], "src bigint, dst bigint, weight double")
+    coords = spark.createDataFrame([(1, 0.0, 1.0, 2.0), (2, 3.0, 4.0, 5.0)], "id bigint, x double, y double, z double")
+    row = graph.edge_table(edges, coords).first()
+    assert (row.x0, row.y0, row.z0, row.x1, row.y1, row.z1, row.weight) == (0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 0.5)
+
+
+def test_pca_only_above(spark):
+    from corpusloom.operators import embeddings
+
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 5.0])], "id bigint, embedding array<float>")
+    same = embeddings.pca_project(df, 1, only_above=2).orderBy("id").collect()
+    assert [list(r.coords) for r in same] == [[1.0, 2.0], [0.0, 5.0]]
+    assert all(len(r.coords) == 1 for r in embeddings.pca_project(df, 1, only_above=1).collect())

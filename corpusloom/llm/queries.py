@@ -187,7 +187,27 @@ _WORDS = (
     r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 )
 
+_SPACED = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    r"'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+)
+
 SQL = {
+    "op5_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_have
+      FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+      WHERE 100 * both_have >= 80 * (nx.n + ny.n - both_have)),
+reach(doc_id, r) AS (SELECT x, y FROM l UNION SELECT reach.doc_id, l.y FROM reach JOIN l ON l.x = reach.r),
+least_of AS (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(r, doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_of USING (doc_id)
+""",
     "op9_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),

@@ -122,33 +122,16 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     )
 
 
-def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of 0 and 1 at the 255 decisions of a byte, from counts of its 256 values."""
-    sums = np.zeros((len(counts), 512))
-    sums[:, 256:] = counts
-    for u in range(255, 0, -1):
-        sums[:, u] = sums[:, 2 * u] + sums[:, 2 * u + 1]
-    u = np.arange(1, 256)
-    return sums[:, 2 * u], sums[:, 2 * u + 1]
+_COLUMNS = 32  # decisions worked on at a time, to keep the driver small
 
 
-def build_tree(contexts: list[tuple[int, int]], counts: np.ndarray) -> Tree:
-    """From contexts (depth, code) with their counts (contexts x 256); the first is the empty one.
-
-    Every context's suffixes must be among them.
-    """
-    index = {c: i for i, c in enumerate(contexts)}
-    depth = np.array([d for d, _ in contexts])
-    # the last byte before comes first on the walk: drop the oldest byte to get the parent
-    parent = np.array([index[(d - 1, c & ((1 << 8 * (d - 1)) - 1))] if d else 0 for d, c in contexts])
-    zeros, ones = _decisions(counts)
-    rest0, rest1, children = zeros.copy(), ones.copy(), np.zeros(len(contexts), bool)
-    for i in range(1, len(contexts)):
-        rest0[parent[i]] -= zeros[i]
-        rest1[parent[i]] -= ones[i]
-        children[parent[i]] = True
-    own = log_kt(zeros, ones)
-    below = log_kt(np.maximum(rest0, 0), np.maximum(rest1, 0))
+def _mixtures(zeros: np.ndarray, ones: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """Probability of 1 at some decisions (columns) with each context as the deepest one."""
+    rest0, rest1, children = zeros.copy(), ones.copy(), np.zeros(len(parent), bool)
+    np.subtract.at(rest0, parent[1:], zeros[1:])
+    np.subtract.at(rest1, parent[1:], ones[1:])
+    children[parent[1:]] = True
+    own, below = log_kt(zeros, ones), log_kt(rest0, rest1)
     weighted = own.copy()
     for d in range(int(depth.max()), -1, -1):
         here = np.flatnonzero((depth == d) & children)
@@ -159,25 +142,45 @@ def build_tree(contexts: list[tuple[int, int]], counts: np.ndarray) -> Tree:
     weight = np.exp(np.log(0.5) + own - weighted)  # of a context's own estimate
     weight[~children] = 1.0
     estimate = (ones + 0.5) / (zeros + ones + 1.0)
-    rest = (np.maximum(rest1, 0) + 0.5) / (np.maximum(rest0, 0) + np.maximum(rest1, 0) + 1.0)
+    rest = (rest1 + 0.5) / (rest0 + rest1 + 1.0)
     mixed = weight * estimate + (1 - weight) * rest
-    up = np.arange(len(contexts))
+    up = np.arange(len(parent))
     for _ in range(int(depth.max())):
         at = np.flatnonzero(up != 0)
         up[at] = parent[up[at]]
         w = weight[up[at]]
         mixed[at] = w * estimate[up[at]] + (1 - w) * mixed[at]
-    logs = np.zeros((len(contexts), 512))
-    for u in range(1, 256):
-        logs[:, 2 * u] = logs[:, u] + np.log10(1 - mixed[:, u - 1])
-        logs[:, 2 * u + 1] = logs[:, u] + np.log10(mixed[:, u - 1])
+    return mixed
+
+
+def build_tree(contexts: list[tuple[int, int]], counts: np.ndarray) -> Tree:
+    """From contexts (depth, code) with their counts (contexts x 256); the first is the empty one.
+
+    Every context's suffixes must be among them.
+    """
     k = len(contexts)
-    step = np.repeat(np.arange(k) + k, 256).reshape(k, 256)
+    index = {c: i for i, c in enumerate(contexts)}
+    depth = np.array([d for d, _ in contexts])
+    # the last byte before comes first on the walk: drop the oldest byte to get the parent
+    parent = np.array([index[(d - 1, c & ((1 << 8 * (d - 1)) - 1))] if d else 0 for d, c in contexts])
+    # heap order: decision u has the branches 2u and 2u + 1, symbol s is leaf 256 + s
+    sums = np.zeros((k, 512))
+    sums[:, 256:] = counts
+    for u in range(255, 0, -1):
+        sums[:, u] = sums[:, 2 * u] + sums[:, 2 * u + 1]
+    logs = np.zeros((k, 512), np.float32)
+    for lo in range(1, 256, _COLUMNS):
+        u = np.arange(lo, min(lo + _COLUMNS, 256))
+        one = _mixtures(sums[:, 2 * u], sums[:, 2 * u + 1], parent, depth)
+        logs[:, 2 * u], logs[:, 2 * u + 1] = np.log10(1 - one), np.log10(one)
+    for u in range(2, 512):
+        logs[:, u] += logs[:, u // 2]
+    step = np.empty((2 * k, 256), np.int32)
+    step[:] = (np.arange(2 * k) % k + k)[:, None]
     for i, (d, c) in enumerate(contexts):
         if d:
             step[parent[i], c >> (8 * (d - 1))] = i
-    stopped = np.repeat(np.arange(k) + k, 256).reshape(k, 256)
-    return Tree(np.vstack([step, stopped]).astype(np.int32), logs[:, 256:].astype(np.float32))
+    return Tree(step, logs[:, 256:].copy())
 
 
 def learn(grams: DataFrame, contexts: int = CONTEXTS) -> Tree:
@@ -293,8 +296,9 @@ def _scoring(shared, trained: int):
                     known += np.bincount(of[hit], minlength=n)
                     logs += np.bincount(of[hit], weights=frequent_logs[near[hit]], minlength=n)
                     h, of = h[~hit], of[~hit]
-                order = np.lexsort((h, of))
-                h, of = h[order], of[order]
+                cuts = np.searchsorted(of, np.arange(n + 1))
+                for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    h[a:z].sort()
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
                 starts = np.flatnonzero(new)

@@ -22,6 +22,8 @@ from corpusloom.llm.packed_text import LETTERS, LOWER, pieces, word_hashes, word
 WINDOW = 13
 SHARD_WORDS = 1 << 20
 SAMPLE = 16
+#: Bytes of text that make a shard.
+SHARD_BYTES = 4 << 20
 #: Benchmark text that one pass may hold; a larger benchmark takes more passes.
 PASS_BYTES = 16 << 20
 
@@ -199,7 +201,7 @@ def occurrences(symbols: np.ndarray, known: Patterns) -> tuple[np.ndarray, np.nd
 def scan(texts: pa.Array, known: Patterns) -> Iterator[tuple[int, np.ndarray, list, list]]:
     """For runs of rows: first row, word counts, hit spans of each row, item numbers of each row."""
     longest = known.windows.shape[1]
-    for first, stop, body, offsets in pieces(texts):
+    for first, stop, body, offsets in pieces(texts, SHARD_BYTES):
         n = stop - first
         low = LOWER[body]
         s, e, of = words(low, offsets, LETTERS)

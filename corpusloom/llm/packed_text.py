@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 _U = np.uint64
 
 
@@ -111,13 +111,3 @@ def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     sums = np.zeros(len(body) + 1, _U)
     np.cumsum(_BYTE_VALUES[body] * powers[: len(body)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U))
-
-
-def hash_of(word: str) -> np.uint64:
-    """The hash ``word_hashes`` gives for one word."""
-    body = np.frombuffer(word.encode(), np.uint8)
-    return word_hashes(body, np.array([0]), np.array([len(body)]))[0]
-
-
-def counts_per_text(text_of: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(text_of, minlength=n)

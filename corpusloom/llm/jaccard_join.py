@@ -6,10 +6,11 @@ prefix and size form one group, and only groups meet: one posting a group and to
 with equal sets are one class, so copies cost nothing beyond their membership row.
 
 Not every pair has to be verified to know the classes. First each group of a posting list
-meets one pivot of about its size; what links is contracted to components. Then all pairs
-left, whose members are still in different components, are verified too. Nothing is capped:
-a hot list of near copies collapses in the first step, and the order puts shingles that many
-documents share behind all others, so that shared passages hardly ever stand in a prefix.
+meets one pivot of about its size; what links is contracted to components, and what is still
+apart meets other pivots. Then all pairs left, whose members are still in different components,
+are verified too. Nothing is capped: a hot list of near copies collapses in the first steps,
+and the order puts shingles that many documents share behind all others, so that shared
+passages hardly ever stand in a prefix.
 """
 
 from __future__ import annotations
@@ -23,17 +24,20 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected
 from corpusloom.llm.packed_text import mix
-from corpusloom.llm.shingle_sets import distinct_sets
+from corpusloom.llm.shingle_sets import distinct_sets, ordered_shingles
 from corpusloom.runtime import materialize, materialize_counted
 
 SHINGLE, PERCENT = 5, 80
 
-#: Knowledge about frequent shingles; it shapes the order, never the result. Shingles that
-#: recur inside a run of ``CHUNK`` shingles are counted, the ``FREQUENT`` most frequent of at
-#: least ``LEAST`` are known to all tasks (16 bytes each).
-CHUNK, LEAST, FREQUENT = 2_000_000, 16, 1 << 20
-#: Up to so many ids are sent to the tasks (8 bytes each); beyond, sets are joined by shuffle.
-SENT_IDS = 4 << 20
+#: Knowledge about frequent shingles; it shapes the order, never the result. Counted are shingles
+#: that recur inside a run of ``CHUNK`` shingles, all those whose hash ends in ``SEED_BITS``
+#: zeros (a passage holds some), and those within ``REACH`` words of either. The ``FREQUENT``
+#: most frequent of at least ``LEAST`` are known to all tasks (16 bytes each).
+CHUNK, LEAST, FREQUENT, SEED_BITS, REACH = 2_000_000, 8, 1 << 18, 3, 48
+#: Rounds of one pivot a list before all pairs left are looked at.
+ROUNDS = 3
+#: Up to so many pairs are sent to the tasks (24 bytes each); beyond, sets are joined by shuffle.
+SENT_PAIRS = 2 << 20
 
 _U = np.uint64
 
@@ -42,32 +46,31 @@ def _texts(docs: DataFrame, text: str, *more: Column) -> DataFrame:
     return docs.select(*more, F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def frequent_shingles(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of shingles seen in many documents."""
-
-    def recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+def _counted(found: Iterator[np.ndarray], kept) -> Iterator[pa.RecordBatch]:
+    """token and n over runs of about CHUNK shingles, for the tokens that ``kept`` names."""
+    held, n = [], 0
 
-        def count() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            often = c > 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array(h[often].view(np.int64)), pa.array(c[often].astype(np.int64))], ["token", "n"]
-            )
+    def count() -> pa.RecordBatch:
+        h, c = np.unique(np.concatenate(held), return_counts=True)
+        wanted = kept(h, c)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h[wanted].view(np.int64)), pa.array(c[wanted].astype(np.int64))], ["token", "n"]
+        )
 
-        for b in batches:
-            for _, h, _ in distinct_sets(b.column(0), size):
-                held.append(h)
-                n += len(h)
-                if n >= CHUNK:
-                    yield count()
-                    held, n = [], 0
-        if n:
+    for h in found:
+        held.append(h)
+        n += len(h)
+        if n >= CHUNK:
             yield count()
+            held, n = [], 0
+    if n:
+        yield count()
+
 
+def _most_frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the most frequent tokens, at most FREQUENT."""
     found = (
-        _texts(docs, text).mapInArrow(recurring, "token bigint, n bigint")
-        .groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+        counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
         .orderBy(F.desc("n"), "token").limit(FREQUENT)
     ).toArrow()
     token = np.asarray(found["token"]).astype(np.int64).view(_U)
@@ -75,6 +78,43 @@ def frequent_shingles(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray
     return token[order], np.asarray(found["n"]).astype(np.int64)[order]
 
 
+def _among(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(tokens), bool)
+    return known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens
+
+
+def frequent_shingles(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of shingles seen in many documents."""
+    seed = _U((1 << SEED_BITS) - 1)
+
+    def recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = (h for b in batches for _, h, _ in distinct_sets(b.column(0), size))
+        yield from _counted(sets, lambda h, c: (c > 1) | (h & seed == 0))
+
+    first = _most_frequent(_texts(docs, text).mapInArrow(recurring, "token bigint, n bigint"))
+    shared = docs.sparkSession.sparkContext.broadcast(first[0])
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def neighbours() -> Iterator[np.ndarray]:
+            for b in batches:
+                for _, h, of in ordered_shingles(b.column(0), size):
+                    hit = _among(h, shared.value)
+                    at = np.flatnonzero(hit)
+                    steps = np.zeros(len(h) + 1, np.int64)
+                    np.add.at(steps, np.maximum(at - REACH, np.searchsorted(of, of[at])), 1)
+                    np.add.at(steps, np.minimum(at + REACH + 1, np.searchsorted(of, of[at], "right")), -1)
+                    yield h[(np.cumsum(steps[:-1]) > 0) & ~hit]
+
+        yield from _counted(neighbours(), lambda h, c: c > 0)
+
+    second = _most_frequent(_texts(docs, text).mapInArrow(around, "token bigint, n bigint"))
+    token, count = (np.concatenate(x) for x in zip(first, second, strict=True))
+    best = np.lexsort((token, -count))[:FREQUENT]
+    order = best[np.argsort(token[best])]
+    return token[order], count[order]
+
+
 def _prefix(tokens: np.ndarray, known: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
     """First tokens of one sorted set in the common order: unknown ones by hash, then by count."""
     n = len(tokens)
@@ -93,65 +133,68 @@ def _ids(tokens: np.ndarray, n: int) -> int:
     return int(mix(np.add.reduce(mix(tokens ^ _U(0x5851F42D4C957F2D))).reshape(1) + _U(n)).view(np.int64)[0])
 
 
-def _members(docs: DataFrame, key: str, text: str, size: int, percent: int, shared) -> DataFrame:
-    """doc_id, n, node (the set) and grp (prefix and size) of every document."""
+def _sketch(tokens: np.ndarray) -> bytes:
+    """How many tokens fall into each of about ``n / 4`` even ranges of hashes, a byte each.
+
+    Empty, which filters nothing, if a range holds too many.
+    """
+    bits = max(0, (len(tokens) // 4).bit_length())
+    counts = np.bincount((tokens >> _U(1) >> _U(63 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """Whether the sketches allow the similarity; never false for a pair that has it."""
+    if not x or not y:
+        return True
+    a, b = (np.frombuffer(s, np.uint8).astype(np.int64) for s in (x, y))
+    size = min(len(a), len(b))
+    a, b = a.reshape(size, -1).sum(1), b.reshape(size, -1).sum(1)
+    most = int(np.minimum(a, b).sum())
+    return 100 * most >= percent * (n + m - most)
+
+
+def _described(docs: DataFrame, key: str, text: str, size: int, percent: int, shared) -> DataFrame:
+    """One row per document: doc_id, n, node (its set), grp (prefix and size), sketch, prefix.
+
+    Sketch and prefix come once for each set and group in a task; copies have nulls.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: set[int] = set()
+        groups: set[int] = set()
         for b in batches:
             for first, h, cuts in distinct_sets(b.column(1), size):
-                node, grp = [], []
-                for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                node, grp, sketch, prefix = [], [], [], []
+                for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     tokens = h[a:z]
                     node.append(_ids(tokens, z - a) if z > a else None)
-                    grp.append(_ids(_prefix(tokens, shared.value, percent), z - a) if z > a else None)
+                    lead = _prefix(tokens, shared.value, percent) if z > a else None
+                    grp.append(_ids(lead, z - a) if z > a else None)
+                    new_set, new_group = z > a and node[-1] not in sets, z > a and grp[-1] not in groups
+                    sketch.append(_sketch(tokens) if new_set else None)
+                    prefix.append(lead.view(np.int64) if new_group else None)
+                    if z > a:
+                        sets.add(node[-1])
+                        groups.add(grp[-1])
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(first, len(cuts) - 1),
                         pa.array(np.diff(cuts).astype(np.int64)),
                         pa.array(node, pa.int64()),
                         pa.array(grp, pa.int64()),
+                        pa.array(sketch, pa.binary()),
+                        pa.array(prefix, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n", "node", "grp"],
+                    ["doc_id", "n", "node", "grp", "sketch", "prefix"],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
     return _texts(docs, text, F.col(key).alias("doc_id")).mapInArrow(
-        run, f"doc_id {kind}, n bigint, node bigint, grp bigint"
+        run, f"doc_id {kind}, n bigint, node bigint, grp bigint, sketch binary, prefix array<bigint>"
     )
 
 
-def _postings(docs: DataFrame, text: str, size: int, percent: int, shared) -> DataFrame:
-    """token, n, grp: one row for each prefix token of a group, once a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            for _, h, cuts in distinct_sets(b.column(0), size):
-                tokens, sizes, groups = [], [], []
-                for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                    if z == a:
-                        continue
-                    prefix = _prefix(h[a:z], shared.value, percent)
-                    grp = _ids(prefix, z - a)
-                    if grp not in seen:
-                        seen.add(grp)
-                        tokens.append(prefix)
-                        sizes.append(z - a)
-                        groups.append(grp)
-                if tokens:
-                    many = [len(t) for t in tokens]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate(tokens).view(np.int64)),
-                            pa.array(np.repeat(np.array(sizes, np.int32), many)),
-                            pa.array(np.repeat(np.array(groups, np.int64), many)),
-                        ],
-                        ["token", "n", "grp"],
-                    )
-
-    return _texts(docs, text).mapInArrow(run, "token bigint, n int, grp bigint")
-
-
 def _band(n: np.ndarray) -> np.ndarray:
     """Sizes of one band differ by less than a quarter."""
     return np.floor(np.log(n) / np.log(1.25) + 1e-9).astype(np.int64)
@@ -202,56 +245,110 @@ def _alike(n: str, m: str, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _sets(docs: DataFrame, text: str, size: int, nodes: DataFrame, count: int) -> DataFrame:
-    """node and its tokens, for the nodes asked for."""
-    wanted = None
-    if count <= SENT_IDS:
-        ids = np.sort(np.asarray(nodes.toArrow()["node"]).astype(np.int64))
-        wanted = docs.sparkSession.sparkContext.broadcast(ids)
+def _undirected(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow the similarity."""
+
+    def side(name: str) -> DataFrame:
+        return classes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            for _, h, cuts in distinct_sets(b.column(0), size):
-                ids, spans = [], []
-                for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                    if z == a:
+        for rows in batches:
+            n, m, x, y = (rows.column(i).to_pylist() for i in range(2, 6))
+            kept = [_may_link(p, q, k, l, percent) for p, q, k, l in zip(x, y, n, m, strict=True)]
+            yield pa.RecordBatch.from_arrays(rows.columns[:2], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _sets_in_place(docs: DataFrame, key: str, text: str, size: int, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, tokens: the set of b wherever a pair (a, b) needs it; b is null for the set of a.
+
+    The tasks know all pairs; only the row that stands for a class gives its set.
+    """
+    a, b = (np.asarray(c).astype(np.int64) for c in pairs.select("a", "b").toArrow().columns)
+    order = np.argsort(b, kind="stable")
+    hubs = np.unique(a)
+    ids = np.unique(np.concatenate([hubs, b]))
+    wanted = docs.sparkSession.createDataFrame(pa.table({"node": ids}))
+    stands = classes.join(wanted, "node").select("node", F.xxhash64("least_id").alias("row")).toArrow()
+    node, row = (np.asarray(stands[c]).astype(np.int64) for c in ("node", "row"))
+    at = np.argsort(node)
+    shared = docs.sparkSession.sparkContext.broadcast((node[at], row[at], b[order], a[order], hubs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, rows, second, first_of, hub = shared.value
+        for batch in batches:
+            keys = np.asarray(batch.column(0)).astype(np.int64)
+            for start, h, cuts in distinct_sets(batch.column(1), size):
+                left, right, spans = [], [], []
+                for k, (x, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                    if z == x:
                         continue
-                    node = _ids(h[a:z], z - a)
-                    if node in seen:
+                    own = _ids(h[x:z], z - x)
+                    i = np.searchsorted(nodes, own)
+                    if i == len(nodes) or nodes[i] != own or rows[i] != keys[start + k]:
                         continue
-                    if wanted is not None:
-                        at = np.searchsorted(wanted.value, node)
-                        if at == len(wanted.value) or wanted.value[at] != node:
-                            continue
-                    seen.add(node)
-                    ids.append(node)
-                    spans.append(h[a:z].view(np.int64))
-                if ids:
-                    ends = np.concatenate([[0], np.cumsum([len(s) for s in spans])]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate(spans))],
-                        ["node", "tokens"],
-                    )
-
-    found = _texts(docs, text).mapInArrow(run, "node bigint, tokens array<bigint>")
-    if wanted is None:
-        found = found.join(nodes, "node", "left_semi")
-    return found.dropDuplicates(["node"])
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity."""
-    nodes, count = materialize_counted(
-        pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    )
+                    lo, hi = np.searchsorted(second, own), np.searchsorted(second, own, "right")
+                    places = [(p, own) for p in first_of[lo:hi].tolist()]
+                    j = np.searchsorted(hub, own)
+                    if j < len(hub) and hub[j] == own:
+                        places.append((own, None))
+                    for p, q in places:
+                        left.append(p)
+                        right.append(q)
+                        spans.append(h[x:z].view(np.int64))
+                        if len(left) == 1000:
+                            yield _placed(left, right, spans)
+                            left, right, spans = [], [], []
+                if left:
+                    yield _placed(left, right, spans)
+
+    keyed = _texts(docs, text, F.xxhash64(key).alias("key"))
+    return keyed.mapInArrow(run, "a bigint, b bigint, tokens array<bigint>")
+
+
+def _placed(left: list, right: list, spans: list) -> pa.RecordBatch:
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in spans])]).astype(np.int32)
+    tokens = pa.ListArray.from_arrays(ends, np.concatenate(spans))
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), tokens], ["a", "b", "tokens"])
+
+
+def _all_sets(docs: DataFrame, text: str, size: int) -> DataFrame:
+    """node and tokens of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, h, cuts in distinct_sets(b.column(0), size):
+                spans = [(x, z) for x, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if z > x]
+                if spans:
+                    own = [_ids(h[x:z], z - x) for x, z in spans]
+                    yield _placed(own, [None] * len(own), [h[x:z].view(np.int64) for x, z in spans]).select(["a", "tokens"])
+
+    return _texts(docs, text).mapInArrow(run, "a bigint, tokens array<bigint>").withColumnRenamed("a", "node")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int, classes: DataFrame) -> DataFrame:
+    """u, v: the pairs (a, b) that reach the similarity."""
+    pairs, count = materialize_counted(_possible(pairs, classes, percent))
     if not count:
         return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    sets = materialize(_sets(docs, text, size, nodes, count))
+    if count <= SENT_PAIRS:
+        sets = materialize(_sets_in_place(docs, key, text, size, pairs, classes))
+        second = sets.where(F.col("b").isNotNull()).withColumnRenamed("tokens", "y")
+    else:
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        sets = materialize(_all_sets(docs, text, size).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+        second = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+        sets = sets.select(F.col("node").alias("a"), "tokens", F.lit(None).alias("b"))
+    first = sets.where(F.col("b").isNull()).select("a", F.col("tokens").alias("x"))
     common = F.size(F.array_intersect("x", "y"))
     return (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+        second.join(first, "a")
         .where(100 * common >= percent * (F.size("x") + F.size("y") - common))
         .select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
@@ -268,14 +365,17 @@ def near_classes(
     empty table gives no rows. Other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text, size))
-    members = materialize(_members(docs, key, text, size, percent, shared))
+    described = materialize(_described(docs, key, text, size, percent, shared))
+    members = described.select("doc_id", "n", "node")
     classes = materialize(
-        members.where(F.col("n") > 0).groupBy("node", "n", "grp")
-        .agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows"))
+        described.where(F.col("n") > 0).groupBy("node", "n", "grp")
+        .agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("rows"), F.max("sketch").alias("sketch"))
     )
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = _postings(docs, text, size, percent, shared)
+    postings = described.where(F.col("prefix").isNotNull()).select(
+        F.explode("prefix").alias("token"), F.col("n").cast("int").alias("n"), "grp"
+    )
     met = materialize(
         postings.repartition(partitions, "token").sortWithinPartitions("token", "n", "grp")
         .mapInArrow(_meetings, "token bigint, n int, grp bigint, pivot bigint, pivot_n int")
@@ -293,20 +393,45 @@ def near_classes(
     pairs = group_pairs.join(of_pivot, "pivot").join(of_group, "grp").select("a", "b")
     own = classes.join(crowded, "grp").where(F.col("node") != F.col("first"))
     pairs = pairs.union(own.select(F.col("first").alias("a"), F.col("node").alias("b")))
-    tried = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = materialize(_verified(tried, docs, text, size, percent))
+    pairs = materialize(pairs.distinct())
+    tried = _undirected(pairs)
+    links = materialize(_verified(pairs, docs, key, text, size, percent, classes))
     roots = materialize(connected(links))
 
-    # whatever else shares a token and is still apart
+    # what shares a token and is still apart
     placed = met.select("token", "grp").union(crowded.select(F.col("grp").alias("token"), "grp"))
-    placed = placed.join(classes.select("grp", "node", "n"), "grp").join(roots, "node", "left")
-    placed = placed.select(
-        "token", "node", "n", F.coalesce("root", "node").alias("root"),
-        F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9).alias("band"),
-    )
-    open_ = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    open_ = open_.where(F.col("lo") != F.col("hi")).select("token")
-    apart = materialize(placed.join(open_, "token", "left_semi"))
+    placed = placed.join(classes.select("grp", "node", "n"), "grp")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9)
+    placed = materialize(placed.select("token", "node", "n", band.alias("band")))
+
+    def still_apart() -> DataFrame:
+        rooted = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        lists = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+        return rooted.join(lists.where(F.col("lo") != F.col("hi")).select("token"), "token", "left_semi")
+
+    for k in range(1, ROUNDS + 1):
+        # another pivot for each list: what missed one member of a component may meet another
+        apart = still_apart()
+        pivot = apart.groupBy("token", "band").agg(
+            F.min_by(F.struct("node", "n", "root"), F.xxhash64("token", "node", F.lit(k))).alias("p")
+        )
+        pairs = apart.join(pivot, ["token", "band"]).select("token", "band", "node", "n", "root", "p.node", F.col("p.n").alias("pn"), F.col("p.root").alias("proot"))
+        pairs = pairs.toDF("token", "band", "b", "n", "root", "a", "pn", "proot")
+        pairs = pairs.where((F.col("root") != F.col("proot")) & _alike("n", "pn", percent)).select("a", "b").distinct()
+        pairs = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(
+            tried.toDF("lo", "hi"), ["lo", "hi"], "left_anti"
+        )
+        pairs, n = materialize_counted(pairs.select("a", "b"))
+        if not n:
+            break
+        tried = tried.union(_undirected(pairs))
+        more, n = materialize_counted(_verified(pairs, docs, key, text, size, percent, classes))
+        if not n:
+            break
+        links = links.union(more)
+        roots = materialize(connected(links))
+
+    apart = materialize(still_apart())
     left = apart.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"),
                         F.col("node").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), F.col("band").alias("xband"))
     right = apart.select("token", "band", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr"))
@@ -316,9 +441,9 @@ def near_classes(
                & ((F.col("xband") < F.col("band")) | (F.col("x") < F.col("y"))))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     )
-    rest, more = materialize_counted(rest.join(tried, ["a", "b"], "left_anti"))
-    if more:
-        links = links.union(_verified(rest, docs, text, size, percent))
+    rest, n = materialize_counted(rest.join(tried, ["a", "b"], "left_anti"))
+    if n:
+        links = links.union(_verified(rest, docs, key, text, size, percent, classes))
         roots = materialize(connected(links))
 
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -47,13 +47,21 @@ def shingle_hashes(body: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np
     return full, text
 
 
+def ordered_shingles(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For runs of rows: first row, shingle hashes in text order, the row of each in the run."""
+    for first, _, body, offsets in pieces(texts):
+        with np.errstate(over="ignore"):
+            yield first, *shingle_hashes(body, offsets, size)
+
+
 def distinct_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of rows: first row, all sets one after the other (each sorted), their borders."""
     for first, stop, body, offsets in pieces(texts):
         with np.errstate(over="ignore"):
             h, of = shingle_hashes(body, offsets, size)
-        order = np.lexsort((h, of)) if len(h) else np.empty(0, np.int64)
-        h, of = h[order], of[order]
+        cuts = np.searchsorted(of, np.arange(stop - first + 1))
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            h[a:z].sort()
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
         h, of = h[new], of[new]

@@ -88,7 +88,7 @@ def test_classes(spark, table, monkeypatch, seed, least):
 
 
 def test_sets_joined_by_shuffle(spark, table, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "SENT_IDS", -1)
+    monkeypatch.setattr(jaccard_join, "SENT_PAIRS", 0)
     rows = corpus(random.Random(3))
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_classes(table(rows)).collect()), key=str)
     assert got == brute(rows)
@@ -108,6 +108,20 @@ def test_sets():
     assert np.isin(got[4], got[0]).all()
 
 
+def test_sketches_never_lose_a_link():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 5, 9, 40, 300, 3000):
+        for _ in range(40):
+            x = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+            drop = rng.integers(0, max(1, n // 4) + 1)
+            y = np.concatenate([x[drop:], rng.integers(0, 1 << 63, rng.integers(0, n // 8 + 1)).astype(np.uint64)])
+            both = len(np.intersect1d(x, y))
+            if len(y) and 100 * both >= 80 * (len(x) + len(y) - both):
+                assert jaccard_join._may_link(jaccard_join._sketch(x), jaccard_join._sketch(y), len(x), len(y), 80)
+    x, y = (rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2) for _ in range(2))
+    assert not jaccard_join._may_link(jaccard_join._sketch(x), jaccard_join._sketch(y), 500, 500, 80)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randint(100, 400), rng.randint(100, 400)) for _ in range(150)]

@@ -3,10 +3,12 @@
 A byte is eight binary decisions; every decision has Krichevsky-Trofimov estimates in all
 contexts of up to ``DEPTH`` preceding bytes, and the estimates of all depths are mixed by the
 weights of the context-tree recursion. The counts are those of all training texts: runs of
-``DEPTH + 1`` bytes are counted in the tasks and summed by one shuffle. The tree keeps the
-``CONTEXTS`` most frequent contexts (with a context always its suffixes); what falls into the
-others is counted as one remaining child of its parent, so that nothing is left out. Scoring
-walks each byte down to its deepest context and moves no text.
+``DEPTH + 1`` bytes are counted in the tasks and summed by one shuffle. Every context is kept.
+A tree of at most ``CONTEXTS`` contexts goes to the tasks, which walk each byte down to its
+deepest context. Beyond, the tree is a table of (context, decision): the weights are summed
+level by level from the deepest contexts up, the mixtures follow from the root down, and
+every counted byte run gets its probability. Blocks of texts then meet the runs they hold.
+Both ways give the same scores.
 
 The word counts of the plain base score come from the same pass. Counts of the ``FREQUENT``
 most frequent words go to the tasks, all other words of a text are joined with the counts.
@@ -20,15 +22,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.packed_text import LOWER, SPACED, pieces, word_hashes, words
 from corpusloom.runtime import materialize
 
 DEPTH = 4
-#: Bounds of what every task holds: contexts (256 floats each) and frequent words (16 bytes each).
+#: Bounds of what every task holds: contexts (256 floats each), beyond which the tree is a table,
+#: and frequent words (16 bytes each).
 CONTEXTS, FREQUENT = 1 << 14, 1 << 17
+#: Bytes of a block of texts (or one longer text) that meets its byte runs in one task.
+BLOCK_BYTES = 32 << 20
 #: A byte that UTF-8 never uses: before the first byte of a text, and after its last.
 EDGE = 0xFF
 _FLUSH_PIECES = 8
@@ -63,8 +68,11 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return code, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
 
 
-def count_corpus(docs: DataFrame, text: str = "text") -> DataFrame:
-    """kind, code, n: counts of words (by hash) and byte runs over all rows of ``docs``."""
+def count_corpus(docs: DataFrame, text: str = "text", learned: Column | None = None) -> DataFrame:
+    """kind, code, n: counts of words (by hash) and byte runs over all rows of ``docs``.
+
+    Rows that ``learned`` does not name count nothing, but their byte runs are listed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {WORD: [], GRAM: []}
@@ -80,21 +88,26 @@ def count_corpus(docs: DataFrame, text: str = "text") -> DataFrame:
                     )
 
         for b in batches:
-            for _, _, body, offsets in pieces(b.column(0)):
+            teaches = np.asarray(b.column(1).to_numpy(zero_copy_only=False), bool)
+            for first, stop, body, offsets in pieces(b.column(0)):
                 low = LOWER[body]
-                s, e, _ = words(low, offsets, SPACED)
-                for kind, codes in (
-                    (WORD, word_hashes(low, s, e).view(np.int64)),
-                    (GRAM, gram_codes(*framed(low, offsets))),
-                ):
-                    held[kind].append(np.unique(codes, return_counts=True))
+                s, e, of = words(low, offsets, SPACED)
+                use = teaches[first:stop]
+                runs = gram_codes(*framed(low, offsets))
+                counts = np.repeat(use, np.diff(offsets) + 1)
+                held[WORD].append(np.unique(word_hashes(low, s, e).view(np.int64)[use[of]], return_counts=True))
+                held[GRAM].append(np.unique(runs[counts], return_counts=True))
+                if not use.all():
+                    listed = np.unique(runs[~counts])
+                    held[GRAM].append((listed, np.zeros(len(listed), np.int64)))
                 if len(held[GRAM]) >= _FLUSH_PIECES:
                     yield from flush()
         yield from flush()
 
-    counted = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(
-        run, "kind int, code bigint, n bigint"
-    )
+    counted = docs.select(
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        (F.lit(True) if learned is None else F.coalesce(learned, F.lit(False))).alias("learned"),
+    ).mapInArrow(run, "kind int, code bigint, n bigint")
     return counted.groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
 
@@ -183,8 +196,8 @@ def build_tree(contexts: list[tuple[int, int]], counts: np.ndarray) -> Tree:
     return Tree(step, logs[:, 256:].copy())
 
 
-def learn(grams: DataFrame, contexts: int = CONTEXTS) -> Tree:
-    """Tree of the most frequent contexts from counted byte runs (code, n)."""
+def _nodes(grams: DataFrame) -> DataFrame:
+    """depth, context, symbol, n: counted byte runs (code, n) under the contexts of all depths."""
     parts = F.array(
         *[
             F.struct(
@@ -194,7 +207,15 @@ def learn(grams: DataFrame, contexts: int = CONTEXTS) -> Tree:
             for d in range(DEPTH + 1)
         ]
     )
-    nodes = grams.select(F.inline(parts), F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), "n")
+    return grams.select(F.inline(parts), F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), "n")
+
+
+def learn(grams: DataFrame, contexts: int = CONTEXTS) -> Tree:
+    """Tree of the most frequent contexts from counted byte runs (code, n).
+
+    What falls into the others is one remaining child of its parent.
+    """
+    nodes = _nodes(grams)
     # a context is at least as frequent as what extends it, so its suffixes come with it
     kept = (
         nodes.groupBy("depth", "context").agg(F.sum("n").alias("n"))
@@ -214,6 +235,169 @@ def learn(grams: DataFrame, contexts: int = CONTEXTS) -> Tree:
     return build_tree(known, counts)
 
 
+def _log_gamma_of(x: Column) -> Column:
+    """As ``_log_gamma``, of a column."""
+    low = x
+    for k in range(1, 8):
+        low = low * (x + k)
+    y = x + 8
+    r = 1 / (y * y)
+    series = (F.lit(1 / 12) - r * (F.lit(1 / 360) - r * (F.lit(1 / 1260) - r / 1680))) / y
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - F.log(low)
+
+
+_HALF = float(np.log(0.5))
+
+
+def _with_kt(level: DataFrame) -> DataFrame:
+    zeros, ones = F.col("zeros"), F.col("ones")
+    kt = _log_gamma_of(zeros + 0.5) + _log_gamma_of(ones + 0.5) - _log_gamma_of(zeros + ones + 1.0) - float(np.log(np.pi))
+    return level.withColumn("kt", F.when(zeros + ones > 0, kt).otherwise(0.0))
+
+
+def _shorter(d: int) -> Column:
+    """The context one byte shorter than those of depth ``d``."""
+    return F.col("context").bitwiseAND(F.lit((1 << 8 * max(d - 1, 0)) - 1))
+
+
+def _deepest(grams: DataFrame) -> DataFrame:
+    """parent, context, symbol, n of byte runs (code, n), dealt by the parent of the context."""
+    return grams.select(
+        F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * (DEPTH - 1)) - 1)).alias("parent"),
+        F.shiftright("code", 8).alias("context"), F.col("code").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), "n",
+    ).repartition("parent")
+
+
+def _mix_deepest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """code, log10 from rows of a context, its symbols and what its parent says at each decision."""
+    for b in batches:
+        k = b.num_rows
+        context = b.column(0).to_numpy()
+        runs, said = b.column(1), b.column(2)
+        of = np.repeat(np.arange(k), runs.value_lengths().to_numpy(zero_copy_only=False))
+        symbol, n = (x.to_numpy(zero_copy_only=False) for x in runs.flatten().flatten())
+        u, mixed, left = (x.to_numpy(zero_copy_only=False) for x in said.flatten().flatten())
+        at = np.repeat(np.arange(k), said.value_lengths().to_numpy(zero_copy_only=False)) * 256 + u
+        above, remains = np.full(k * 256, np.nan), np.full(k * 256, np.nan)
+        above[at], remains[at] = mixed, left
+        log10 = np.zeros(len(of))
+        for step in range(8):
+            cell = of * 256 + ((symbol | 256) >> (8 - step))
+            bit = (symbol >> (7 - step)) & 1
+            ones = np.bincount(cell, weights=n * bit, minlength=k * 256)[cell]
+            total = np.bincount(cell, weights=n, minlength=k * 256)[cell]
+            one = above[cell] + remains[cell] * (ones + 0.5) / (total + 1.0)
+            log10 += np.log10(np.where(bit == 1, one, 1 - one))
+        yield pa.RecordBatch.from_arrays([pa.array((context[of] << 8) | symbol), pa.array(log10)], ["code", "log10"])
+
+
+def run_scores(grams: DataFrame) -> DataFrame:
+    """code, log10: of every listed byte run (code, n) the log10 probability of its last byte.
+
+    Only decisions with a listed run are rows; one without counts halves the probability at
+    every context, as does a context that is not there.
+    """
+    n, bit = F.col("n"), F.col("bit")
+    steps = F.array(
+        *[
+            F.struct(
+                F.shiftright(F.col("symbol").bitwiseOR(F.lit(256)), 8 - b).alias("u"),
+                F.shiftright("symbol", 7 - b).bitwiseAND(F.lit(1)).alias("bit"),
+            )
+            for b in range(8)
+        ]
+    )
+    level = _with_kt(
+        _deepest(grams).select("parent", "context", "n", F.inline(steps)).groupBy("parent", "context", "u")
+        .agg(F.sum(n * (1 - bit)).alias("zeros"), F.sum(n * bit).alias("ones"))
+    ).withColumn("weighted", F.col("kt"))
+    levels: list[DataFrame] = []
+    for _ in range(DEPTH):
+        # every occurrence goes on to one child, so nothing remains beside the children
+        above = _with_kt(
+            level.groupBy(F.col("parent").alias("context"), "u")
+            .agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
+        )
+        apart = F.log1p(F.exp(-F.abs(F.col("kt") - F.col("below"))))
+        above = materialize(above.withColumn("weighted", F.greatest("kt", "below") + apart + _HALF))
+        levels.insert(0, above)
+        level = above.withColumn("parent", _shorter(DEPTH - len(levels)))
+    own = F.exp(F.col("kt") + _HALF - F.col("weighted")) * (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
+    left = F.exp(F.col("below") + _HALF - F.col("weighted"))
+    # mixed: probability of 1 from the contexts so far; open: weight left to the deeper ones
+    down = levels[0].select("context", "u", own.alias("mixed"), left.alias("open"))
+    for d in range(1, DEPTH):
+        here = levels[d].withColumn("parent", _shorter(d))
+        down = here.join(down.withColumnRenamed("context", "parent"), ["parent", "u"]).select(
+            "context", "u", (F.col("mixed") + F.col("open") * own).alias("mixed"), (F.col("open") * left).alias("open")
+        )
+    # at most 255 decisions and 256 symbols in a list
+    said = down.groupBy(F.col("context").alias("parent")).agg(F.collect_list(F.struct("u", "mixed", "open")).alias("said"))
+    runs = _deepest(grams).groupBy("parent", "context").agg(F.collect_list(F.struct("symbol", "n")).alias("runs"))
+    return runs.join(said, "parent").select("context", "runs", "said").mapInArrow(_mix_deepest, "code bigint, log10 double")
+
+
+_ZSTD = pa.Codec("zstd")
+
+
+def _packed(low: np.ndarray, offsets: np.ndarray) -> bytes:
+    """A run of texts for the shuffle: sizes, then what was compressed of offsets and bytes."""
+    raw = offsets.tobytes() + low.tobytes()
+    return np.array([len(offsets), len(raw)], np.int64).tobytes() + _ZSTD.compress(raw, asbytes=True)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    k, size = np.frombuffer(data[:16], np.int64).tolist()
+    raw = _ZSTD.decompress(data[16:], size, asbytes=True)
+    return np.frombuffer(raw, np.uint8, offset=8 * k), np.frombuffer(raw, np.int64, k)
+
+
+def block_scores(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """row, score of texts (block, row, packed) from the log10 probabilities of all their byte runs.
+
+    ``packed`` stands on the first row of a run of texts and is null on the others.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        block = -1
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                code = np.unique(np.concatenate(held))
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), block)), pa.array(code)], ["block", "code"])
+
+        for b in batches:
+            blocks = b.column(0).to_numpy()
+            for i in np.flatnonzero(b.column(1).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                if blocks[i] != block:
+                    yield from flush()
+                    block = int(blocks[i])
+                held.append(np.unique(gram_codes(*framed(*_unpacked(b.column(1)[i].as_py())))))
+        yield from flush()
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        # a block read by two tasks has listed a run twice
+        code, at = np.unique(right.column("code").to_numpy(), return_index=True)
+        log10 = right.column("log10").to_numpy()[at]
+        rows, scores = [np.empty(0, np.int64)], [np.empty(0)]
+        for row, data in zip(left.column("row").to_pylist(), left.column("packed"), strict=True):
+            low, offsets = _unpacked(data.as_py())
+            logs = log10[np.searchsorted(code, gram_codes(*framed(low, offsets)))]
+            ends = np.cumsum(np.diff(offsets) + 1)
+            scores.append(np.add.reduceat(logs, np.concatenate([[0], ends[:-1]])))
+            rows.append(row + np.arange(len(ends)))
+        return pa.table({"row": np.concatenate(rows), "score": np.concatenate(scores)})
+
+    used = texts.select("block", "packed").mapInArrow(listed, "block bigint, code bigint")
+    return (
+        texts.where(F.col("packed").isNotNull()).select("block", "row", "packed").groupBy("block")
+        .cogroup(used.join(runs, "code").groupBy("block"))
+        .applyInArrow(scored, "row bigint, score double")
+    )
+
+
 def text_scores(tree: Tree, low: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Log10 probability of each text, its end included."""
     data, at = framed(low, offsets)
@@ -236,8 +420,11 @@ def score_corpus(docs: DataFrame, held_out, key: str = "doc_id", text: str = "te
     training row every count is 0. An empty table gives no rows. ``bits_per_byte`` follows the
     asked columns: the code length of ``score`` (its end included) for each byte.
     """
-    counts = materialize(count_corpus(docs.where(~held_out(F.col(key))), text))
-    tree = learn(counts.where(F.col("kind") == GRAM).select("code", "n"))
+    counts = materialize(count_corpus(docs, text, ~held_out(F.col(key))))
+    grams = counts.where(F.col("kind") == GRAM).select("code", "n")
+    taught = grams.where(F.col("n") > 0)
+    contexts = _nodes(taught).select("depth", "context").distinct().limit(CONTEXTS + 1).count()
+    tree = learn(taught, CONTEXTS) if contexts <= CONTEXTS else None
     vocabulary = counts.where(F.col("kind") == WORD).select(F.col("code").alias("word"), "n")
     seen = vocabulary.agg(F.sum("n"), F.count(F.lit(1))).first()
     trained = docs.where(~held_out(F.col(key))).count()
@@ -252,7 +439,7 @@ def score_corpus(docs: DataFrame, held_out, key: str = "doc_id", text: str = "te
         docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(
             _scoring(shared, trained),
             f"doc_id {kind}, row bigint, n_bytes bigint, n_tokens bigint, known bigint, logs double, score double, "
-            "words array<bigint>, times array<int>",
+            "words array<bigint>, times array<int>, block bigint, packed binary",
         )
     )
     # what no task knew: words below the frequent ones
@@ -265,7 +452,10 @@ def score_corpus(docs: DataFrame, held_out, key: str = "doc_id", text: str = "te
     )
     zero = F.lit(0)
     each = float(np.log10(total + distinct + 1.0))
-    return rows.drop("words", "times").join(found, "row", "left").select(
+    each_row = rows.drop("words", "times", "block", "packed")
+    if tree is None:
+        each_row = each_row.drop("score").join(block_scores(rows, run_scores(grams)), "row")
+    return each_row.join(found, "row", "left").select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "n_tokens",
@@ -280,10 +470,14 @@ def score_corpus(docs: DataFrame, held_out, key: str = "doc_id", text: str = "te
 def _scoring(shared, trained: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, frequent, frequent_logs = shared.value
-        row = TaskContext.get().partitionId() << 40
+        row = block = TaskContext.get().partitionId() << 40
+        filled = 0
         for b in batches:
             for first, stop, body, offsets in pieces(b.column(1)):
                 n = stop - first
+                if filled + len(body) > BLOCK_BYTES:
+                    block, filled = row, 0
+                filled += len(body)
                 low = LOWER[body]
                 s, e, of = words(low, offsets, SPACED)
                 h = word_hashes(low, s, e).view(np.int64)
@@ -312,11 +506,13 @@ def _scoring(shared, trained: int):
                         pa.array(n_tokens),
                         pa.array(known),
                         pa.array(logs),
-                        pa.array(text_scores(tree, low, offsets)),
+                        pa.nulls(n, pa.float64()) if tree is None else pa.array(text_scores(tree, low, offsets)),
                         pa.ListArray.from_arrays(cuts, h[starts]),
                         pa.ListArray.from_arrays(cuts, times.astype(np.int32)),
+                        pa.array(np.full(n, block)),
+                        pa.array([_packed(low, offsets) if tree is None else None] + [None] * (n - 1), pa.binary()),
                     ],
-                    ["doc_id", "row", "n_bytes", "n_tokens", "known", "logs", "score", "words", "times"],
+                    ["doc_id", "row", "n_bytes", "n_tokens", "known", "logs", "score", "words", "times", "block", "packed"],
                 )
                 row += n
 

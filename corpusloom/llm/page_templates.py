@@ -50,6 +50,15 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S,
 )
+_SKIPPED = set("noscript template iframe svg math object select".split())
+_DRAWN = ("svg", "math")
+# what opens and closes skipped elements, and the tags of text that end an open drawing
+_SKIP = re.compile(
+    r"<!--.*?(?:--\s*>|\Z)|<(script|style|textarea|title)\b.*?(?:</\1\b[^>]*>|\Z)"
+    r"|<(/?)(noscript|template|iframe|svg|math|object|select|foreignobject|p|div|h[1-6]|ul|ol|dl|table|blockquote|pre)\b"
+    r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    re.S | re.I,
+)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -79,12 +88,33 @@ def _named(tag: str, attributes: str) -> tuple[str, bool]:
     return name, any(w in ASIDE_NAMES for w in said) and tag not in ("html", "body", "article", "main")
 
 
+def _ends(source: str) -> dict[int, int]:
+    """Start of each skipped element that is closed, and where it ends; the others are not in it."""
+    opened: dict[str, list[int]] = {}
+    ends = {}
+    for m in _SKIP.finditer(source):
+        tag = (m[3] or "").lower()
+        if not tag:
+            continue
+        if tag not in _SKIPPED and tag != "foreignobject":
+            if not m[2] and not opened.get("foreignobject"):
+                for drawn in _DRAWN:
+                    opened.pop(drawn, None)
+        elif m[2]:
+            if opened.get(tag):
+                ends[opened[tag].pop()] = m.end()
+        elif not (tag in _DRAWN and m[4].rstrip().endswith("/")):
+            opened.setdefault(tag, []).append(m.start())
+    return ends
+
+
 def read_page(source: str) -> Page:
     """Tag tokens and text blocks of a page, however broken its markup is."""
     page = Page()
     stack = [Element("", "", False)]
     parts: list[str] = []
     at, n = 0, len(source)
+    ends: dict[int, int] | None = None
 
     def close_block() -> None:
         if parts:
@@ -134,6 +164,12 @@ def read_page(source: str) -> Page:
         aside = aside or tag in ASIDE or (tag == "header" and not re.search(r"/(article|main)\b", around.path))
         path = around.path + "/" + name if around.path.count("/") < PATH_DEPTH else around.path
         count(path)
+        if tag in _SKIPPED:
+            # one that is never closed is empty: the text after it stays
+            if ends is None:
+                ends = _ends(source)
+            at = ends.get(m.start(), at)
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
             at = end.end() if end else n

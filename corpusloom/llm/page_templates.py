@@ -37,11 +37,15 @@ INLINE = set(
 )
 RAW = set("script style textarea title noscript template iframe svg math object select".split())
 ASIDE = set("nav footer aside form button dialog menu head".split()) | RAW
-# Words of class and id attributes that name what is no main text.
+#: Weight of a character, against one in an element whose name speaks against main text.
+PLAIN = 8
+# Words of class and id attributes that name what is no main text, unless it holds
+# the fullest slot; HEADS hold the page's title or the article's.
+HEADS = {"header", "masthead"}
 ASIDE_NAMES = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
     "gdpr notice popup modal overlay newsletter subscribe subscription share sharing social related recommended "
-    "sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments disqus "
+    "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus "
     "respond reply replies login signup widget toolbar pagination pager copyright legal disclaimer".split()
 )
 
@@ -67,25 +71,28 @@ class Element:
     tag: str
     path: str  # of the element and all around it, to PATH_DEPTH
     aside: bool  # it or an element around it is no main text
+    named: tuple[str, ...]  # paths of it and those around it whose names speak against main text
+    headed: bool  # it or an element around it is a page header, unless the main text is around that
 
 
 @dataclass
 class Page:
     tokens: dict[str, int] = field(default_factory=dict)  # tag tokens and how often
-    mass: dict[str, int] = field(default_factory=dict)  # characters straight inside each path
-    blocks: list[tuple[str, bool, str]] = field(default_factory=list)  # path, aside, text
+    mass: dict[str, int] = field(default_factory=dict)  # weighted characters straight inside each path
+    blocks: list[tuple[Element, str]] = field(default_factory=list)  # innermost element, text
 
 
-def _named(tag: str, attributes: str) -> tuple[str, bool]:
-    """Name of an element in paths, and whether its attributes call it an aside."""
+def _named(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """Name of an element in paths, and whether its attributes call it an aside or a header."""
     if not attributes or attributes.isspace():
-        return tag, False
+        return tag, False, False
     said = []
     for m in _NAMES.finditer(attributes):
         said += re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower())
     said = [w for w in said if w]
     name = tag + "".join("." + re.sub("[0-9]+", "#", w) for w in said[:4])
-    return name, any(w in ASIDE_NAMES for w in said) and tag not in ("html", "body", "article", "main")
+    free = tag in ("html", "body", "article", "main")
+    return name, not free and any(w in ASIDE_NAMES for w in said), not free and any(w in HEADS for w in said)
 
 
 def _ends(source: str) -> dict[int, int]:
@@ -111,7 +118,7 @@ def _ends(source: str) -> dict[int, int]:
 def read_page(source: str) -> Page:
     """Tag tokens and text blocks of a page, however broken its markup is."""
     page = Page()
-    stack = [Element("", "", False)]
+    stack = [Element("", "", False, (), False)]
     parts: list[str] = []
     at, n = 0, len(source)
     ends: dict[int, int] | None = None
@@ -122,9 +129,10 @@ def read_page(source: str) -> Page:
             parts.clear()
             if text:
                 top = stack[-1]
-                page.blocks.append((top.path, top.aside, text))
+                page.blocks.append((top, text))
                 if not top.aside:
-                    page.mass[top.path] = page.mass.get(top.path, 0) + len(text)
+                    weight = 1 if top.named or top.headed else PLAIN
+                    page.mass[top.path] = page.mass.get(top.path, 0) + weight * len(text)
 
     def count(token: str) -> None:
         page.tokens[token] = page.tokens.get(token, 0) + 1
@@ -154,14 +162,14 @@ def read_page(source: str) -> Page:
             continue
         if tag in VOID:
             continue
-        name, aside = _named(tag, m[3] or "")
+        name, aside, header = _named(tag, m[3] or "")
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack[-1].tag == tag:
             stack.pop()  # such an element ends where the next begins
         elif stack[-1].tag == "p":
             stack.pop()
         around = stack[-1]
         # a header inside an article holds its title; elsewhere it is the page's
-        aside = aside or tag in ASIDE or (tag == "header" and not re.search(r"/(article|main)\b", around.path))
+        header = (header or tag == "header") and not re.search(r"/(article|main)\b", around.path)
         path = around.path + "/" + name if around.path.count("/") < PATH_DEPTH else around.path
         count(path)
         if tag in _SKIPPED:
@@ -174,7 +182,10 @@ def read_page(source: str) -> Page:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
             at = end.end() if end else n
             continue
-        stack.append(Element(tag, path, around.aside or aside))
+        named = (*around.named, path) if aside and path != around.path else around.named
+        if tag == "main":  # a page has one, and says so itself
+            named = ()
+        stack.append(Element(tag, path, around.aside or tag in ASIDE, named, tag != "main" and (around.headed or header)))
     close_block()
     return page
 
@@ -275,9 +286,13 @@ def deduce(counts: DataFrame, few: int = FEW_PAGES, support: float = SUPPORT) ->
 
 def main_text(source: str, main: str) -> str:
     """Blocks inside the main container in page order, or of the whole page if it has none."""
-    blocks = [(p, t) for p, aside, t in read_page(source).blocks if not aside]
-    inside = [t for p, t in blocks if p == main or p.startswith(main + "/")] if main else []
-    return " ".join(inside or [t for _, t in blocks])
+    blocks = [(e, t) for e, t in read_page(source).blocks if not e.aside]
+    below = main + "/"
+    inside = [
+        t for e, t in blocks
+        if (e.path == main or e.path.startswith(below)) and not any(p.startswith(below) for p in e.named)
+    ] if main else []
+    return " ".join(inside or [t for e, t in blocks if not e.named and not e.headed] or [t for _, t in blocks])
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:

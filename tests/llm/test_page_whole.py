@@ -16,3 +16,19 @@ def test_drawings_hide_no_text():
     assert main_text("<p>a</p><iframe src=x><p>b</p><select><option>x</select><p>c</p>", "") == "a b c"
     assert main_text("<p>a</p><object>x<object>y</object>z</object><p>b</p>", "") == "a b"
     assert main_text("<p>a</p><svg><!-- </svg> --><text>x</text></svg><p>b</p>", "") == "a b"
+
+
+def test_names_around_the_article(spark):
+    bar = '<div class="menu">Home {0} More</div><div class="sidebar">Popular {0}</div><div class="footer">Imprint</div>'
+    for wrap in ('<div class="content-sidebar-wrap">', '<div id="page" class="site no-sidebar">', '<div class="legal-news">'):
+        got = texts_of(spark, lambda i, w=wrap: f"<body>{w}<div class=text><p>Article {i} of many words.<p>And more {i}</div></div>{bar.format(i)}</body>")
+        assert got == {i: f"Article {i} of many words. And more {i}" for i in range(20)}, wrap
+    for head in ('<header class="entry-header">{}</header>', '<div class="post-header">{}</div>'):
+        for box in ("article", "div"):
+            got = texts_of(spark, lambda i, h=head, b=box: f"<body><{b} class=post>{h.format(f'<h1>Title {i}</h1>')}Words of the text {i}, quite a few."
+                           f"<div class=share>Share</div></{b}>{bar.format(i)}</body>")
+            assert got == {i: f"Title {i} Words of the text {i}, quite a few." for i in range(20)}, (head, box)
+    comments = '<section id="comments"><p>A long remark by reader {0}, with nothing to say, but saying it.</p></section>'
+    got = texts_of(spark, lambda i: f"<body><div class=text>Article {i} has a short text here.</div>{comments.format(i)}</body>")
+    assert got == {i: f"Article {i} has a short text here." for i in range(20)}
+    assert main_text('<div class="sidebar">all there is</div>', "") == "all there is"

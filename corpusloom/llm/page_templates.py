@@ -5,7 +5,8 @@ equally often on every page of a host (the same occurrence vector, compared by a
 hashes, which sums in one aggregate) form an equivalence class. Valid classes hold several
 tokens that stand once on most pages; nested by their paths they are the host's template. The
 text between template tokens fills its slots: the slot with most text over all pages of the
-host is the main one, and the article is its container. Hosts of few pages are pooled.
+host is the main one, and the article is the container of it and of the slots beside it whose
+text differs between pages. Hosts of few pages are pooled.
 Only counts are shuffled; a page moves only if the templates are too many to send.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -63,6 +65,7 @@ _SKIP = re.compile(
     r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
 )
+_HEADING = re.compile(r"/h[12]\b")
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
@@ -79,6 +82,7 @@ class Element:
 class Page:
     tokens: dict[str, int] = field(default_factory=dict)  # tag tokens and how often
     mass: dict[str, int] = field(default_factory=dict)  # weighted characters straight inside each path
+    said: dict[str, int] = field(default_factory=dict)  # hash of the plain text straight inside each path
     blocks: list[tuple[Element, str]] = field(default_factory=list)  # innermost element, text
 
 
@@ -132,6 +136,8 @@ def read_page(source: str) -> Page:
                 page.blocks.append((top, text))
                 if not top.aside:
                     weight = 1 if top.named or top.headed else PLAIN
+                    if weight == PLAIN:
+                        page.said[top.path] = zlib.crc32(text.encode("utf-8", "replace"), page.said.get(top.path, 0))
                     page.mass[top.path] = page.mass.get(top.path, 0) + weight * len(text)
 
     def count(token: str) -> None:
@@ -196,17 +202,20 @@ def host_of(url: Column) -> Column:
 
 
 def _token_counts(pages: DataFrame) -> DataFrame:
-    """host, token, vector, pages, total, mass: counts of one run of pages; token '' is the page."""
+    """host, token, vector, pages, total, mass, low, high: counts of one run of pages; token '' is the page.
+
+    ``low`` and ``high`` are the least and the greatest hash of a page's plain text in a path.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page_no = TaskContext.get().partitionId() << 36
         for b in batches:
-            sums: dict[tuple[str, str], list[int]] = {}
+            sums: dict[tuple[str, str], list[int | None]] = {}
             for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 page_no += 1
                 page = read_page(source)
                 for token, k in [("", 1), *page.tokens.items()]:
-                    s = sums.setdefault((host, token), [0, 0, 0, 0])
+                    s = sums.setdefault((host, token), [0, 0, 0, 0, None, None])
                     s[0] ^= _scrambled(page_no * 1000003 + k)
                     s[1] += 1
                     s[2] += k
@@ -214,18 +223,22 @@ def _token_counts(pages: DataFrame) -> DataFrame:
                     if (host, path) in sums:
                         sums[(host, path)][3] += chars
                     else:  # the root
-                        sums.setdefault((host, ""), [0, 0, 0, 0])[3] += chars
+                        sums[(host, "")][3] += chars
+                for path, said in page.said.items():
+                    s = sums[(host, path if (host, path) in sums else "")]
+                    s[4] = said if s[4] is None else min(s[4], said)
+                    s[5] = said if s[5] is None else max(s[5], said)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([h for h, _ in sums], pa.string()),
                     pa.array([t for _, t in sums], pa.string()),
-                    *[pa.array([s[i] for s in sums.values()], pa.int64()) for i in range(4)],
+                    *[pa.array([s[i] for s in sums.values()], pa.int64()) for i in range(6)],
                 ],
-                ["host", "token", "vector", "pages", "total", "mass"],
+                ["host", "token", "vector", "pages", "total", "mass", "low", "high"],
             )
 
     return pages.select("host", "html").mapInArrow(
-        run, "host string, token string, vector bigint, pages bigint, total bigint, mass bigint"
+        run, "host string, token string, vector bigint, pages bigint, total bigint, mass bigint, low bigint, high bigint"
     )
 
 
@@ -241,7 +254,7 @@ def _scrambled(x: int) -> int:
 def _merged(counts: DataFrame, host: str) -> DataFrame:
     return counts.groupBy(F.col(host).alias("host"), "token").agg(
         F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"),
-        F.sum("total").alias("total"), F.sum("mass").alias("mass"),
+        F.sum("total").alias("total"), F.sum("mass").alias("mass"), F.min("low").alias("low"), F.max("high").alias("high"),
     )
 
 
@@ -270,18 +283,54 @@ def deduce(counts: DataFrame, few: int = FEW_PAGES, support: float = SUPPORT) ->
         F.sequence(F.lit(2), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/")
     )
     texts = tags.where((F.col("mass") > 0) & ~F.col("token").startswith("//")).select(
-        "pool", "token", "mass", F.explode(around).alias("element")
+        "pool", "token", "mass", F.coalesce(F.col("low") < F.col("high"), F.lit(False)).alias("differs"),
+        F.explode(around).alias("element"),
     )
     slots = (
         texts.join(template, ["pool", "element"])
-        .groupBy("pool", "token", "mass").agg(F.max_by("element", F.length("element")).alias("element"))
-        .groupBy("pool", "element").agg(F.sum("mass").alias("mass"))
+        .groupBy("pool", "token", "mass", "differs").agg(F.max_by("element", F.length("element")).alias("element"))
+        .groupBy("pool", "element").agg(F.sum("mass").alias("mass"), F.max("differs").alias("differs"))
+    )
+    # as many as a page has once-only elements
+    elements = (
+        template.select("pool", "element").distinct().join(slots, ["pool", "element"], "left")
+        .groupBy("pool").agg(F.collect_list(F.struct("element", "mass", "differs")).alias("elements"))
     )
-    best = slots.groupBy("pool").agg(F.max(F.struct("mass", "element")).alias("best"))
-    # an article or main element around the slot is the container
-    path = F.col("best.element")
-    wide = F.regexp_extract(path, r"^(.*?/(?:article|main)(?:\.[^/]*)?)(?:/|$)", 1)
-    return pools, best.select("pool", F.when(wide != "", wide).otherwise(path).alias("main"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mains = [
+                container([(e["element"], e["mass"] or 0, bool(e["differs"])) for e in x]) for x in b.column(1).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(mains, pa.string())], ["pool", "main"])
+
+    return pools, elements.select("pool", "elements").mapInArrow(run, "pool string, main string")
+
+
+def container(elements: list[tuple[str, int, bool]]) -> str:
+    """Path of the main container from template elements: path, mass of the slot, whether its text differs.
+
+    The fullest slot, and around it as long as the next element holds more slots whose text
+    differs between pages. A slot alone without a heading looks through elements that hold nothing else.
+    An article or main element around the slot is the container.
+    """
+    mass, main = max((mass, path) for path, mass, _ in elements)
+    if not mass:
+        return ""
+    if wide := re.match(r".*?/(?:article|main)(?:\.[^/]*)?(?=/|$)", main):
+        return wide[0]
+    joined = False
+    live = [path + "/" for path, _, differs in elements if differs]
+    for up in sorted((path for path, _, _ in elements if main.startswith(path + "/")), key=len, reverse=True):
+        if any(path.startswith(up + "/") and not path.startswith(main + "/") for path in live):
+            main, joined = up, True
+        elif (
+            joined
+            or any(path.startswith(main + "/") and _HEADING.search(path[len(main) :]) for path in live)
+            or any(path.startswith(up + "/") and not f"{path}/".startswith(main + "/") and not main.startswith(path + "/") for path, _, _ in elements)
+        ):
+            break
+    return main
 
 
 def main_text(source: str, main: str) -> str:

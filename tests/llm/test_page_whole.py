@@ -32,3 +32,17 @@ def test_names_around_the_article(spark):
     got = texts_of(spark, lambda i: f"<body><div class=text>Article {i} has a short text here.</div>{comments.format(i)}</body>")
     assert got == {i: f"Article {i} has a short text here." for i in range(20)}
     assert main_text('<div class="sidebar">all there is</div>', "") == "all there is"
+
+
+def test_split_articles_stay_whole(spark):
+    bar = "<div class=top>The site</div><div class=wrap>{}</div><div class=foot>Number {}</div>"
+    posts = {
+        "<div class=post><h1>Title {0}</h1><p class=lead>Lead {0}</p><div class=entry><p>Long text of article {0}.</p></div></div>":
+            "Title {0} Lead {0} Long text of article {0}.",
+        "<div class=post><div class=one>First {0}</div><div class=two>And the second part {0}</div><div class=three>Third {0}</div></div>":
+            "First {0} And the second part {0} Third {0}",
+        "<div class=post><h1>Title {0}</h1><p>The only paragraph {0}.</p></div>": "Title {0} The only paragraph {0}.",
+    }
+    for post, want in posts.items():
+        got = texts_of(spark, lambda i, p=post: f"<body>{bar.format(p.format(i), i)}</body>")
+        assert got == {i: want.format(i) for i in range(20)}, post

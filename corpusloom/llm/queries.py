@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import (
     byte_cnn,
     context_tree,
+    count_streams,
     exact_dedup,
     fm_index,
     jaccard_join,
@@ -169,6 +170,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best phrases of every language of the documents."""
+    return count_streams.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_context_tree,
     op2_page_text,
@@ -180,6 +186,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op8_licenses,
     op9_decontamination,
     op10_quality,
+    op13_collocations,
 ]
 
 _WORDS = (
@@ -193,6 +200,38 @@ _SPACED = (
 )
 
 SQL = {
+    "op13_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE len(w) > 0),
+grams AS (SELECT lang, w[i:i + m - 1] AS g, m FROM (SELECT lang, w, i, unnest(range(1, 6)) AS m FROM starts)
+          WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, g, m, CAST(count(*) AS HUGEINT) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+inner_parts AS (
+  SELECT lang, g[i:i + k - 1] AS g, a
+  FROM (SELECT lang, g, m, a, k, unnest(range(1, m - k + 2)) AS i
+        FROM (SELECT lang, g, m, a, unnest(range(2, m)) AS k FROM f WHERE m > 2))
+), longer AS (SELECT lang, g, max(a) AS longer FROM inner_parts GROUP BY ALL),
+kept AS (SELECT f.* FROM f LEFT JOIN longer USING (lang, g) WHERE m > 1 AND (longer IS NULL OR longer < a)),
+cuts AS (SELECT lang, g, m, a, unnest(range(1, m)) AS k FROM kept),
+scored AS (
+  SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, n, 1000 * c.a * n // (x.a * y.a) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:c.m]
+  JOIN total ON total.lang = c.lang
+), weakest AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score
+  FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS cut FROM scored) WHERE cut = 1
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+  FROM weakest
+)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+""",
     "op5_jaccard_join": f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
 sh AS (

@@ -12,11 +12,13 @@ from corpusloom.llm import (
     byte_cnn,
     context_tree,
     count_streams,
+    cube_mixing,
     exact_dedup,
     fm_index,
     jaccard_join,
     length_buckets,
     license_index,
+    merkle_manifest,
     page_templates,
     secret_battery,
     toxicity_chain,
@@ -170,6 +172,24 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What makes a leaf of the manifest.
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proofs of all documents, half of them met without their line ends."""
+    docs = _table(spark, sf_dir, "documents")
+    bare = F.replace("text", F.lit("\n"), F.lit(""))
+    met = merkle_manifest.leaf_digest(*[bare if c == "text" else F.col(c) for c in LEAF])
+    tampered = (remainder(F.col("doc_id"), 2) == 0) & F.contains("text", F.lit("\n"))
+    return merkle_manifest.manifest(docs, F.when(tampered, met), fields=LEAF)
+
+
+def op12_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents mixed to target weights of their sources."""
+    return cube_mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best phrases of every language of the documents."""
     return count_streams.collocations(_table(spark, sf_dir, "documents"))
@@ -186,6 +206,8 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op8_licenses,
     op9_decontamination,
     op10_quality,
+    op11_manifest,
+    op12_cube_mix,
     op13_collocations,
 ]
 
@@ -200,6 +222,65 @@ _SPACED = (
 )
 
 SQL = {
+    "op11_manifest": r"""
+WITH RECURSIVE field AS (
+  SELECT doc_id, source, text,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+    || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    replace(text, chr(10), '') AS bare,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) AS crc
+  FROM documents
+), leaf AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN crc % 2 = 1 THEN sha256(head || coalesce(strlen(bare) || ':' || bare, '-')) END AS found
+  FROM field
+), tree AS (
+  SELECT source, row_number() OVER (ORDER BY source IS NOT NULL, source) - 1 AS tree, count(*) AS n FROM leaf GROUP BY source
+), placed AS (
+  SELECT doc_id, tree, n, leaf, coalesce(found, leaf) AS found,
+    row_number() OVER (PARTITION BY tree ORDER BY doc_id IS NULL, doc_id, leaf) - 1 AS idx
+  FROM leaf JOIN tree ON leaf.source IS NOT DISTINCT FROM tree.source
+), node AS (
+  SELECT tree, 0 AS lvl, idx, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT tree, lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM node WHERE n > 1
+  GROUP BY tree, lvl, n, idx // 3
+), sub AS (SELECT tree, lvl AS height, h AS subroot FROM node WHERE n = 1),
+peak AS (
+  SELECT 0 AS lvl, tree AS idx, (SELECT count(*) FROM sub) AS n, subroot AS h FROM sub
+  UNION ALL
+  SELECT lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM peak WHERE n > 1 GROUP BY lvl, n, idx // 3
+), step AS (
+  SELECT doc_id, idx, tree, leaf, found, unnest(range(0, height)) AS lvl, 0 AS part FROM placed JOIN sub USING (tree)
+  UNION ALL
+  SELECT doc_id, idx, tree, leaf, found, unnest(range(0, (SELECT max(lvl) FROM peak))), 1 FROM placed
+), power AS (SELECT unnest(range(0, 40)) AS lvl, unnest(list_transform(range(0, 40), lambda k: CAST(3 AS HUGEINT) ** k)) AS w),
+spot AS (
+  SELECT doc_id, s.idx AS leaf_idx, tree, part, s.lvl, CAST(CASE WHEN part = 0 THEN s.idx ELSE tree END // w AS BIGINT) AS i
+  FROM step s JOIN power USING (lvl)
+), every AS (SELECT 0 AS part, tree, lvl, idx, h FROM node UNION ALL SELECT 1, 0, lvl, idx, h FROM peak),
+side AS (
+  SELECT a.doc_id, a.leaf_idx, a.tree, a.part, a.lvl, coalesce(string_agg(e.h, '' ORDER BY e.idx) FILTER (e.idx < a.i), '') AS l,
+    coalesce(string_agg(e.h, '' ORDER BY e.idx) FILTER (e.idx > a.i), '') AS r
+  FROM spot a JOIN every e ON e.part = a.part AND e.tree = CASE WHEN a.part = 0 THEN a.tree ELSE 0 END
+    AND e.lvl = a.lvl AND e.idx // 3 = a.i // 3
+  GROUP BY ALL
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY tree, leaf_idx ORDER BY part, lvl) AS k FROM side
+), proof AS (
+  SELECT tree, leaf_idx AS idx, string_agg(l || r, '' ORDER BY k) AS said FROM numbered GROUP BY ALL
+), folded AS (
+  SELECT tree, idx, 0::BIGINT AS k, found AS h FROM placed
+  UNION ALL
+  SELECT f.tree, f.idx, f.k + 1, sha256(l || f.h || r) FROM folded f JOIN numbered m ON m.tree = f.tree AND m.leaf_idx = f.idx AND m.k = f.k + 1
+), ended AS (SELECT tree, idx, arg_max(h, k) AS folded_root FROM folded GROUP BY ALL),
+top AS (SELECT h AS root FROM peak WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(said, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN sub USING (tree) LEFT JOIN proof USING (tree, idx) JOIN ended USING (tree, idx), top
+""",
     "op13_collocations": r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),

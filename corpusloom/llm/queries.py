@@ -257,9 +257,9 @@ peak AS (
   SELECT doc_id, idx, tree, leaf, found, unnest(range(0, height)) AS lvl, 0 AS part FROM placed JOIN sub USING (tree)
   UNION ALL
   SELECT doc_id, idx, tree, leaf, found, unnest(range(0, (SELECT max(lvl) FROM peak))), 1 FROM placed
-), power AS (SELECT unnest(range(0, 40)) AS lvl, unnest(list_transform(range(0, 40), lambda k: CAST(3 AS HUGEINT) ** k)) AS w),
+), power AS (SELECT k AS lvl, CAST(pow(3, k) AS BIGINT) AS w FROM (SELECT unnest(range(0, 33)) AS k)),
 spot AS (
-  SELECT doc_id, s.idx AS leaf_idx, tree, part, s.lvl, CAST(CASE WHEN part = 0 THEN s.idx ELSE tree END // w AS BIGINT) AS i
+  SELECT doc_id, s.idx AS leaf_idx, tree, part, s.lvl, (CASE WHEN part = 0 THEN s.idx ELSE tree END) // w AS i
   FROM step s JOIN power USING (lvl)
 ), every AS (SELECT 0 AS part, tree, lvl, idx, h FROM node UNION ALL SELECT 1, 0, lvl, idx, h FROM peak),
 side AS (

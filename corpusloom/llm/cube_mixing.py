@@ -5,8 +5,9 @@ documents are taken. Whole copies are plain; the fraction that is left is an inc
 probability. The flight moves the probabilities of a block of documents along directions that
 change neither the expected words nor the expected number of documents, until they are 0 or 1.
 At most two documents of a block stay undecided; they go on to the next round in new blocks, until
-one block holds what is left of a source. Its last undecided documents, the smallest ones, are
-landed on the side that comes closest to the target.
+one block holds what is left of a source. Blocks are cut in order of size, and the smallest
+documents of a source wait for its last block, so that long ones always have others to make up for
+them. The last undecided documents are landed on the side that comes closest to the target.
 """
 
 from __future__ import annotations
@@ -195,18 +196,23 @@ def mix(
         counts = state.groupBy("source_no").agg(F.count(F.lit(1)).alias("_n"))
         starts = materialize(with_running_total(counts, ["source_no"], "_n", "_start"))
         mixed = F.xxhash64(F.lit(seed), F.lit(turn), "doc_id")
-        ordered = with_row_ids(state.withColumn("_mix", mixed), ["source_no", "_mix", "doc_id", "size", "chance"], "_at")
+        order = ["source_no", F.desc("size"), "_mix", "doc_id", "chance"]
+        ordered = with_row_ids(state.withColumn("_mix", mixed), order, "_at")
+        place, whole = F.col("_at") - F.col("_start"), F.col("_n") <= block
         blocks = ordered.join(send(starts), "source_no").select(
             *state.columns,
             "_at",
-            F.floor((F.col("_at") - F.col("_start")) / block).alias("block"),
-            (F.col("_n") <= block).alias("whole_source"),
+            F.floor(place / block).alias("block"),
+            whole.alias("whole_source"),
+            (~whole & (place >= F.col("_n") - block // 2)).alias("waits"),
         )
-        flown, left = _written(blocks.groupBy("source_no", "block").applyInPandas(_flight(seed, turn), blocks.schema))
+        ready = blocks.where(~F.col("waits"))
+        flown, left = _written(ready.groupBy("source_no", "block").applyInPandas(_flight(seed, turn), ready.schema))
         settled.append(flown.where((F.col("chance") == 0) | (F.col("chance") == 1)).select(state.columns))
         if not left:
             break
-        state = flown.where((F.col("chance") > 0) & (F.col("chance") < 1)).select(state.columns)
+        still = flown.where((F.col("chance") > 0) & (F.col("chance") < 1))
+        state = materialize(still.unionByName(blocks.where("waits")).select(state.columns))
         turn += 1
     whole = settled[0]
     for part in settled[1:]:

@@ -34,6 +34,9 @@ TOP = 2000
 #: Frequent words sent to every task; a longer list is joined instead.
 VOCABULARY_BYTES = 64 << 20
 RUN_BYTES = 4 << 20
+#: Places of the bit table of frequent pairs (a prime, 16 MB of bits).
+PAIR_PLACES = 134_217_689
+_PAIR_STEP = 1_000_003
 
 _STOPS = [*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]
 _WORD = byte_class((0x20, 0x20), (0x09, 0x0D), *[(s, s) for s in _STOPS])
@@ -223,17 +226,55 @@ def _numbers(keys: pa.Array, width: int, longest: int) -> np.ndarray:
     return wide.view(">u4")[:, :, 0].astype(np.int64)
 
 
-def _windows(width: int, longest: int):
-    """Arrow function: distinct windows of two words or more of each run, with their counts."""
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow function: distinct pairs of neighbours of each run, with their counts."""
+    for batch in batches:
+        for held in batch.column(0):
+            ids = np.frombuffer(held.as_buffer(), np.int32).astype(np.int64)
+            both = (ids[:-1] > 0) & (ids[1:] > 0)
+            pair, n = np.unique((ids[:-1] << 32 | ids[1:])[both], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n, pa.int64())], ["pair", "n"])
+
+
+def pair_table(encoded: DataFrame, least: int) -> np.ndarray:
+    """One bit for each place where a frequent pair of words may be: of one size for any corpus.
+
+    A clear bit proves that a pair is rare, and no frequent phrase holds a rare pair.
+    """
+    frequent = encoded.mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    first, second = F.shiftright("pair", 32), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
+    place = (first * _PAIR_STEP + second) % PAIR_PLACES + 1
+    parts = (
+        frequent.where(F.col("n") >= least)
+        .groupBy(F.bitmap_bucket_number(place).alias("part"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+        .toArrow()
+    )
+    size = 4096
+    table = np.zeros((PAIR_PLACES // (8 * size) + 1, size), np.uint8)
+    for part, bits in zip(parts["part"].to_pylist(), parts["bits"].to_pylist(), strict=True):
+        table[part - 1] = np.frombuffer(bits, np.uint8)
+    return table.ravel()
+
+
+def _windows(width: int, longest: int, shared):
+    """Arrow function: distinct windows of two words or more of each run, with their counts.
+
+    A window ends before a pair that is proven rare.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
             for held in batch.column(0):
                 ids = np.frombuffer(held.as_buffer(), np.int32)
-                padded = np.concatenate([ids, np.zeros(longest, np.int32)])
-                two = np.flatnonzero((padded[: len(ids)] > 0) & (padded[1 : len(ids) + 1] > 0))
+                padded = np.concatenate([ids, np.zeros(longest + 1, np.int32)])
+                place = (padded[:-1].astype(np.int64) * _PAIR_STEP + padded[1:]) % PAIR_PLACES
+                goes_on = (padded[:-1] > 0) & (padded[1:] > 0) & (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0)
+                two = np.flatnonzero(goes_on)
                 rows = padded[two[:, None] + np.arange(longest)]
-                rows[np.logical_or.accumulate(rows == 0, axis=1)] = 0
+                cut = ~np.logical_and.accumulate(goes_on[two[:, None] + np.arange(longest - 1)], axis=1)
+                rows[:, 1:][cut] = 0
                 order = np.lexsort(rows.T[::-1])
                 rows = rows[order]
                 new = np.ones(len(rows), bool)
@@ -313,7 +354,8 @@ def _run_sums(width: int, longest: int, least: int):
 
 def phrase_counts(encoded: DataFrame, width: int, longest: int, least: int) -> DataFrame:
     """``(key, n)`` of all phrases of two to ``longest`` frequent words that occur ``least`` times."""
-    windows = encoded.mapInArrow(_windows(width, longest), "key binary, n long")
+    shared = encoded.sparkSession.sparkContext.broadcast(pair_table(encoded, least))
+    windows = encoded.mapInArrow(_windows(width, longest, shared), "key binary, n long")
     runs = _in_order(windows, "key").mapInArrow(_run_sums(width, longest, least), "key binary, n long")
     return runs.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 

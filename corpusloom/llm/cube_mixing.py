@@ -32,6 +32,7 @@ BLOCK = 1024
 SEED = 42
 _SENT_SOURCES = 1 << 17
 _EDGE = 1e-9
+_BLOCKS_A_TASK = 16
 
 
 # --- targets -------------------------------------------------------------------------
@@ -206,7 +207,9 @@ def mix(
             whole.alias("whole_source"),
             (~whole & (place >= F.col("_n") - block // 2)).alias("waits"),
         )
-        ready = blocks.where(~F.col("waits"))
+        # flights are work, not bytes: tasks go by the number of blocks
+        tasks = 1 + (starts.agg(F.sum("_n")).first()[0] or 0) // (_BLOCKS_A_TASK * block)
+        ready = blocks.where(~F.col("waits")).repartition(tasks, "source_no", "block")
         flown, left = _written(ready.groupBy("source_no", "block").applyInPandas(_flight(seed, turn), ready.schema))
         settled.append(flown.where((F.col("chance") == 0) | (F.col("chance") == 1)).select(state.columns))
         if not left:

@@ -1,27 +1,28 @@
 """Phrase collocations from sorted count streams.
 
-Every word position gives one window of up to five words. The windows are counted and kept as a
-stream in prefix order, so that the count of each phrase is the sum of one run, and the runs of
-all lengths are read off in one pass. What is frequent enough forms a second, small stream. One
+Every word position gives one window of up to five words. The windows of a few MB of text are
+counted, sorted and dealt out as blocks to ranges of the prefix order. A range merges its blocks
+into one stream, in which the count of each phrase is the sum of one run; the runs of all lengths
+are read off together. What is frequent enough forms a second, small stream. One
 pass over it in prefix order meets every phrase after its own first parts (left counts) and before
 its continuations (extensions to the right); one pass in suffix order, words reversed, does the
 same for last parts and extensions to the left. Merging the two streams gives all counts a score
 needs. No table of phrases is held in memory: a pass keeps one open run for each length.
 
-Streams are range partitions of the sorted keys, so neither a hot word nor a hot phrase is a
-partition. Where a run crosses a border, the two sides are put together afterwards; that is a
+Ranges are cut from sampled keys, so neither a hot word nor a hot phrase is a partition. Where a run crosses a border, the two sides are put together afterwards; that is a
 handful of rows for each task.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.packed_text import LOWER, byte_class, pieces, words
@@ -34,9 +35,11 @@ TOP = 2000
 #: Frequent words sent to every task; a longer list is joined instead.
 VOCABULARY_BYTES = 64 << 20
 RUN_BYTES = 4 << 20
-#: Places of the bit table of frequent pairs (a prime, 16 MB of bits).
-PAIR_PLACES = 134_217_689
-_PAIR_STEP = 1_000_003
+#: Windows of a range, which one task merges, and keys sampled to find the ranges.
+RANGE_WINDOWS = 1 << 19
+SAMPLE_KEYS = 1 << 17
+BLOCK_WINDOWS = 1 << 16
+_SPOTS = 64
 
 _STOPS = [*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]
 _WORD = byte_class((0x20, 0x20), (0x09, 0x0D), *[(s, s) for s in _STOPS])
@@ -203,160 +206,154 @@ def _encode_by_join(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def _keys(ids: np.ndarray, width: int) -> pa.Array:
-    """Rows of word numbers as binary keys: ``width`` bytes a word, big end first, 0 ends a row.
+    """Rows of word numbers as binary keys: ``width`` bytes a word, 0 ends a row.
 
     Byte order of the keys is prefix order.
     """
-    raw = np.ascontiguousarray(ids, ">u4").view(np.uint8).reshape(*ids.shape, 4)[:, :, 4 - width :]
-    raw = raw.reshape(len(ids), ids.shape[1] * width)
+    raw = _raw(ids, width)
     size = (ids > 0).sum(1) * width
     flat = raw[np.arange(raw.shape[1]) < size[:, None]]
     ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
 
 
-def _numbers(keys: pa.Array, width: int, longest: int) -> np.ndarray:
-    """Binary keys back to rows of word numbers."""
-    ends = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
-    flat = np.frombuffer(keys.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-    raw = np.zeros((len(keys), longest * width), np.uint8)
-    raw[np.arange(longest * width) < np.diff(ends)[:, None]] = flat
-    wide = np.zeros((len(keys), longest, 4), np.uint8)
-    wide[:, :, 4 - width :] = raw.reshape(len(keys), longest, width)
-    return wide.view(">u4")[:, :, 0].astype(np.int64)
+def _windows_of(ids: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows of two words or more in prefix order, and their counts."""
+    padded = np.concatenate([ids, np.zeros(longest, np.int32)])
+    two = np.flatnonzero((padded[: len(ids)] > 0) & (padded[1 : len(ids) + 1] > 0))
+    rows = padded[two[:, None] + np.arange(longest)]
+    rows[np.logical_or.accumulate(rows == 0, axis=1)] = 0
+    rows = rows[np.lexsort(rows.T[::-1])]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(1)
+    at = np.flatnonzero(new)
+    return rows[at], np.diff(np.append(at, len(rows)))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow function: distinct pairs of neighbours of each run, with their counts."""
-    for batch in batches:
-        for held in batch.column(0):
-            ids = np.frombuffer(held.as_buffer(), np.int32).astype(np.int64)
-            both = (ids[:-1] > 0) & (ids[1:] > 0)
-            pair, n = np.unique((ids[:-1] << 32 | ids[1:])[both], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n, pa.int64())], ["pair", "n"])
-
-
-def pair_table(encoded: DataFrame, least: int) -> np.ndarray:
-    """One bit for each place where a frequent pair of words may be: of one size for any corpus.
+def _raw(ids: np.ndarray, width: int) -> np.ndarray:
+    """Word numbers as ``width`` bytes each, big end first: byte order is prefix order."""
+    wide = np.ascontiguousarray(ids, ">u4").view(np.uint8).reshape(*ids.shape, 4)
+    return np.ascontiguousarray(wide[:, :, 4 - width :]).reshape(len(ids), ids.shape[1] * width)
 
-    A clear bit proves that a pair is rare, and no frequent phrase holds a rare pair.
-    """
-    frequent = encoded.mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    first, second = F.shiftright("pair", 32), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
-    place = (first * _PAIR_STEP + second) % PAIR_PLACES + 1
-    parts = (
-        frequent.where(F.col("n") >= least)
-        .groupBy(F.bitmap_bucket_number(place).alias("part"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-        .toArrow()
-    )
-    size = 4096
-    table = np.zeros((PAIR_PLACES // (8 * size) + 1, size), np.uint8)
-    for part, bits in zip(parts["part"].to_pylist(), parts["bits"].to_pylist(), strict=True):
-        table[part - 1] = np.frombuffer(bits, np.uint8)
-    return table.ravel()
 
+def _unraw(raw: np.ndarray, width: int) -> np.ndarray:
+    wide = np.zeros((len(raw), raw.shape[1] // width, 4), np.uint8)
+    wide[:, :, 4 - width :] = raw.reshape(len(raw), -1, width)
+    return wide.view(">u4")[:, :, 0].astype(np.int32)
 
-def _windows(width: int, longest: int, shared):
-    """Arrow function: distinct windows of two words or more of each run, with their counts.
 
-    A window ends before a pair that is proven rare.
-    """
+def _sample(width: int, longest: int):
+    """Arrow function: a few windows of each run, evenly spaced, and how many it has."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for held in batch.column(0):
-                ids = np.frombuffer(held.as_buffer(), np.int32)
-                padded = np.concatenate([ids, np.zeros(longest + 1, np.int32)])
-                place = (padded[:-1].astype(np.int64) * _PAIR_STEP + padded[1:]) % PAIR_PLACES
-                goes_on = (padded[:-1] > 0) & (padded[1:] > 0) & (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0)
-                two = np.flatnonzero(goes_on)
-                rows = padded[two[:, None] + np.arange(longest)]
-                cut = ~np.logical_and.accumulate(goes_on[two[:, None] + np.arange(longest - 1)], axis=1)
-                rows[:, 1:][cut] = 0
-                order = np.lexsort(rows.T[::-1])
-                rows = rows[order]
-                new = np.ones(len(rows), bool)
-                new[1:] = (rows[1:] != rows[:-1]).any(1)
-                at = np.flatnonzero(new)
-                yield pa.RecordBatch.from_arrays(
-                    [_keys(rows[at], width), pa.array(np.diff(np.append(at, len(rows))), pa.int64())], ["key", "n"]
-                )
-
-    return count
-
-
-def _in_order(stream: DataFrame, key: str) -> DataFrame:
-    return stream.repartitionByRange(key).sortWithinPartitions(key)
+                rows, _ = _windows_of(np.frombuffer(held.as_buffer(), np.int32), longest)
+                if len(rows):
+                    spot = np.unique(np.linspace(0, len(rows) - 1, _SPOTS).astype(np.int64))
+                    many = np.zeros(len(spot), np.int64)
+                    many[0] = len(rows)
+                    salt = np.arange(len(spot)) + zlib.crc32(held.as_buffer())
+                    yield pa.RecordBatch.from_arrays(
+                        [_keys(rows[spot], width), pa.array(salt), pa.array(many)], ["key", "salt", "n"]
+                    )
+
+    return draw
+
+
+def range_borders(encoded: DataFrame, width: int, longest: int) -> np.ndarray:
+    """Keys that cut the windows into ranges of about ``RANGE_WINDOWS``, from a bounded sample."""
+    seen = Observation()
+    spots = encoded.mapInArrow(_sample(width, longest), "key binary, salt long, n long").observe(seen, F.sum("n").alias("n"))
+    drawn = spots.select("key", F.xxhash64("key", "salt").alias("_mix")).orderBy("_mix").limit(SAMPLE_KEYS).toArrow()
+    keys = sorted(drawn["key"].to_pylist())
+    ranges = min(max((seen.get["n"] or 0) // RANGE_WINDOWS, 1), max(len(keys), 1))
+    cut = [keys[len(keys) * r // ranges] for r in range(1, ranges)]
+    return np.unique(np.array(cut, f"S{width * longest}"))
+
+
+def _dealt(width: int, longest: int, borders: np.ndarray):
+    """Arrow function: the windows of each run, counted and sorted, as one block for each range."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for held in batch.column(0):
+                rows, n = _windows_of(np.frombuffer(held.as_buffer(), np.int32), longest)
+                raw = _raw(rows, width)
+                cut = np.searchsorted(raw.view(f"S{width * longest}")[:, 0] if len(raw) else np.empty(0, "S1"), borders)
+                cut = np.concatenate([[0], cut, [len(rows)]])
+                into = np.flatnonzero(np.diff(cut))
+                blocks = [
+                    # byte planes of a sorted block are long runs
+                    (int(r), np.ascontiguousarray(raw[a:z].T).tobytes(), n[a:z].astype(np.int32).tobytes())
+                    for r in into
+                    for a in range(cut[r], cut[r + 1], BLOCK_WINDOWS)
+                    for z in [min(a + BLOCK_WINDOWS, cut[r + 1])]
+                ]
+                columns = [pa.array(c, t) for c, t in zip(zip(*blocks), (pa.int32(), pa.binary(), pa.binary()))]
+                if columns:
+                    yield pa.RecordBatch.from_arrays(columns, ["range", "windows", "counts"])
+
+    return deal
 
 
 def _run_sums(width: int, longest: int, least: int):
-    """Arrow function over windows in prefix order: ``(key, n)`` of phrases of two words or more.
+    """Arrow function over blocks sorted by range: ``(key, n)`` of phrases of two words or more.
 
-    A run that may go on beyond the task's border is given whatever its count.
+    The blocks of a range are merged into one stream. A run that may go on beyond the border of
+    the range is given whatever its count.
     """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_row: np.ndarray | None = None  # last window seen
-        carried = np.zeros(longest + 1, np.int64)  # count of its open run of each length
-        at_border = np.ones(longest + 1, bool)  # the open run began at the border
-
-        def out(rows: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-            ids = np.concatenate(rows)
-            return pa.RecordBatch.from_arrays(
-                [_keys(ids, width), pa.array(np.concatenate(counts), pa.int64())], ["key", "n"]
-            )
-
+        at, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = _numbers(batch.column(0), width, longest)
-            n = batch.column(1).to_numpy()
-            differs = np.ones(ids.shape, bool)
-            differs[1:] = ids[1:] != ids[:-1]
-            if open_row is not None:
-                differs[0] = ids[0] != open_row
-            changed = np.logical_or.accumulate(differs, axis=1)
-            rows, counts = [], []
-            for m in range(2, longest + 1):
-                starts = np.flatnonzero(changed[:, m - 1])
-                cuts = starts if len(starts) and starts[0] == 0 else np.concatenate([[0], starts])
-                total = np.add.reduceat(n, cuts)
-                goes_on = not changed[0, m - 1]
-                if goes_on:
-                    total[0] += carried[m]
-                elif open_row is not None and open_row[m - 1] and (carried[m] >= least or at_border[m]):
-                    closed = open_row.copy()
-                    closed[m:] = 0
-                    rows.append(closed[None])
-                    counts.append(carried[m : m + 1].copy())
-                began = np.zeros(len(cuts), bool)
-                began[0] = at_border[m] if goes_on else open_row is None
-                # all runs but the last one end here
-                done = (total[:-1] >= least) | began[:-1]
-                done &= ids[cuts[:-1], m - 1] > 0
-                found = ids[cuts[:-1][done]]
-                found[:, m:] = 0
-                rows.append(found)
-                counts.append(total[:-1][done])
-                carried[m], at_border[m] = total[-1], began[-1]
-            open_row = ids[-1]
-            yield out(rows, counts)
-        if open_row is not None:
-            left = [m for m in range(2, longest + 1) if open_row[m - 1]]
-            last = np.array([np.where(np.arange(longest) < m, open_row, 0) for m in left])
-            if left:
-                yield out([last], [carried[left]])
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            for place, windows, counts in rows:
+                if place != at and held:
+                    yield merged(held)
+                    held = []
+                at = place
+                held.append((windows, np.frombuffer(counts, np.int32)))
+        if held:
+            yield merged(held)
+
+    def merged(blocks: list[tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
+        n = np.concatenate([c for _, c in blocks]).astype(np.int64)
+        raw = np.concatenate([np.frombuffer(w, np.uint8).reshape(longest * width, -1).T for w, _ in blocks])
+        ids = _unraw(raw, width)
+        order = np.lexsort(ids.T[::-1])
+        ids, n = ids[order], n[order]
+        differs = np.ones(ids.shape, bool)
+        differs[1:] = ids[1:] != ids[:-1]
+        changed = np.logical_or.accumulate(differs, axis=1)
+        keys, counts = [], []
+        for m in range(2, longest + 1):
+            starts = np.flatnonzero(changed[:, m - 1])
+            total = np.add.reduceat(n, starts)
+            given = total >= least
+            given[[0, -1]] = True
+            given &= ids[starts, m - 1] > 0
+            found = ids[starts[given]]
+            found[:, m:] = 0
+            keys.append(found)
+            counts.append(total[given])
+        return pa.RecordBatch.from_arrays(
+            [_keys(np.concatenate(keys), width), pa.array(np.concatenate(counts), pa.int64())], ["key", "n"]
+        )
 
     return sums
 
 
+def _in_order(stream: DataFrame, key: str) -> DataFrame:
+    return stream.repartitionByRange(key).sortWithinPartitions(key)
+
+
 def phrase_counts(encoded: DataFrame, width: int, longest: int, least: int) -> DataFrame:
     """``(key, n)`` of all phrases of two to ``longest`` frequent words that occur ``least`` times."""
-    shared = encoded.sparkSession.sparkContext.broadcast(pair_table(encoded, least))
-    windows = encoded.mapInArrow(_windows(width, longest, shared), "key binary, n long")
-    runs = _in_order(windows, "key").mapInArrow(_run_sums(width, longest, least), "key binary, n long")
+    borders = range_borders(encoded, width, longest)
+    blocks = encoded.mapInArrow(_dealt(width, longest, borders), "range int, windows binary, counts binary")
+    streams = blocks.repartition(len(borders) + 1, "range").sortWithinPartitions("range")
+    runs = streams.mapInArrow(_run_sums(width, longest, least), "key binary, n long")
     return runs.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 

@@ -53,9 +53,11 @@ def drawn(n, seed):
 
 
 @pytest.fixture
-def many_partitions(spark):
+def many_partitions(spark, monkeypatch):
     held = {"spark.sql.shuffle.partitions": "29", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k) for k in held}
+    monkeypatch.setattr(count_streams, "RANGE_WINDOWS", 40)
+    monkeypatch.setattr(count_streams, "BLOCK_WINDOWS", 16)
     for k, v in held.items():
         spark.conf.set(k, v)
     yield

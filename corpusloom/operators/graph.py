@@ -23,9 +23,10 @@ def knn_graph(
     vec: str = "embedding",
     metric: str = "cosine",
     group: str | None = None,
+    approximate: bool = False,
 ) -> DataFrame:
     """``(src, dst, distance, rank)``: the k nearest rows, the row itself among them."""
-    near = neighbours(df, k, id_col, vec, metric, group)
+    near = neighbours(df, k, id_col, vec, metric, group, approximate)
     distance = F.lit(1.0) - F.col("score") if metric == "cosine" else -F.col("score")
     return near.select(
         F.col("query_id").alias("src"),

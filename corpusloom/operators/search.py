@@ -244,12 +244,14 @@ def semantic_search(
     threshold: float | None = 0.5,
     id_col: str = "doc_id",
     vec: str = "embedding",
+    graph: DataFrame | None = None,
 ) -> DataFrame:
     """Top ``k`` by cosine, then the threshold, so fewer than ``k`` rows may remain.
 
-    ``queries(query_id, embedding)``; returns ``(query_id, id, score, rank)``.
+    ``queries(query_id, embedding)``; returns ``(query_id, id, score, rank)``. With a neighbour
+    ``graph(src, dst)`` of the documents the search is approximate.
     """
-    hits = nearest(queries, docs, k, "query_id", "embedding", id_col, vec)
+    hits = nearest(queries, docs, k, "query_id", "embedding", id_col, vec, graph=graph)
     hits = hits.withColumnRenamed("id", id_col)
     return hits if threshold is None else hits.filter(F.col("score") >= threshold)
 

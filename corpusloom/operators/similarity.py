@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import doubles, dot, unit
+from corpusloom.operators.descent import descend, walk
 from corpusloom.runtime import materialize
 
 BROADCAST_BYTES = 64 << 20  # largest query matrix sent to every executor
@@ -299,10 +300,17 @@ def nearest(
     corpus_vec: str = "embedding",
     metric: str = "cosine",
     broadcast_bytes: int = BROADCAST_BYTES,
+    graph: DataFrame | None = None,
 ) -> DataFrame:
-    """The k closest corpus rows of every query: ``(query_id, id, score, rank)``, exact."""
+    """The k closest corpus rows of every query: ``(query_id, id, score, rank)``, exact.
+
+    With ``graph(src, dst)``, a neighbour graph of the corpus, queries walk along its edges
+    instead: approximate, and only rows near the query are met.
+    """
     q = _prepared(queries, query_id, query_vec, metric, None)
     c = _prepared(corpus, corpus_id, corpus_vec, metric, None)
+    if graph is not None:
+        return walk(q.select(F.col("id").alias("query_id"), "vec"), c, graph, k, metric)
     size = q.agg(F.coalesce(F.sum(F.size("vec") * 8 + 16), F.lit(0))).first()[0]
     if size <= broadcast_bytes:
         return _ranked(_top_by_broadcast(q, c, k, metric), k)
@@ -320,10 +328,12 @@ def neighbours(
     vec_col: str = "embedding",
     metric: str = "cosine",
     group: str | None = None,
+    approximate: bool = False,
 ) -> DataFrame:
     """The k closest rows of every row, itself included: ``(query_id, id, score, rank)``.
 
     With ``group`` only rows of the same group are compared; ids must be unique overall.
+    Exact, unless ``approximate`` asks for neighbour-of-neighbour descent.
 
     Copies of a vector share one list of neighbours, and as ties go to the smaller id only
     the first k copies can be on any list. So the search runs on at most k copies of each
@@ -338,10 +348,13 @@ def neighbours(
         .observe(seen, F.count_if(F.col("_copy") > 1).alias("copies"))
         .drop("_copy")
     )
-    pivots = _pivots(few)
-    blocks = _blocks(few, pivots, metric, k=k)
-    pairs = _block_pairs(blocks, blocks, pivots, metric)
-    hits = _ranked(_score_blocks(_join_blocks(pairs, blocks, blocks), k, metric, False), k)
+    if approximate:
+        hits, _ = descend(few, k, metric)
+    else:
+        pivots = _pivots(few)
+        blocks = _blocks(few, pivots, metric, k=k)
+        pairs = _block_pairs(blocks, blocks, pivots, metric)
+        hits = _ranked(_score_blocks(_join_blocks(pairs, blocks, blocks), k, metric, False), k)
     if seen.get["copies"] == 0:
         return hits
     hits = materialize(hits)

@@ -1,16 +1,26 @@
-"""Average-linkage clustering of a sparse distance table, and the cuts of the tree.
+"""Hierarchical clustering of a sparse distance table, and the cuts of the tree.
 
-All closest reciprocal pairs merge in one round, which average linkage allows: merging two
-clusters never brings a third one closer to both. A pair of clusters keeps the sum and the
-number of its listed distances; every unlisted word pair is at the constant ``absent``.
+Average, complete and single linkage never bring a third cluster closer to two that merge, so all
+closest reciprocal pairs merge in one round. A pair of clusters keeps one number for its listed
+distances (their sum, largest or smallest) and how many are listed; every unlisted word pair is at
+the constant ``absent``. Single linkage needs the lightest edges only: a spanning forest is grown
+first, each component taking its lightest way out, and the tree is read off the forest.
 
 A cluster is named by its smallest word, so every word disappears into a smaller one at most
 once. Those disappearances form the forest that all cuts work on.
+
+Ties go to the pair with the smaller names. At ``absent``, where most pairs are tied, this rule
+makes the smallest cluster that has a partner there take up, in order of name, every cluster that
+is not farther from what it holds. That is the first independent set, by name, of the graph of
+farther pairs, so it is merged in one step.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.ordering import with_row_ids, with_running_total
@@ -20,10 +30,37 @@ _EPSILON = 1e-12  # distances closer than this are ties
 _PAIR = ["a", "b", "na", "nb", "ha", "hb", "ra", "rb", "total", "listed"]
 
 
-def _gap(absent: float) -> Column:
-    """Average distance of a cluster pair, rounded so that ties are ties."""
+@dataclass(frozen=True)
+class _Rule:
+    """How listed distances of two clusters combine, and their distance given ``absent``."""
+
+    combine: Callable[[str], Column]
+    gap: Callable[[Column], Column]
+
+
+def _mean_gap(absent: Column) -> Column:
     cells = F.col("na") * F.col("nb")
-    return F.round((F.col("total") + (cells - F.col("listed")) * F.lit(absent)) / cells, 12)
+    return (F.col("total") + (cells - F.col("listed")) * absent) / cells
+
+
+def _extreme_gap(extreme: Callable[..., Column]) -> Callable[[Column], Column]:
+    def gap(absent: Column) -> Column:
+        whole = F.col("listed") == F.col("na") * F.col("nb")
+        return F.when(whole, F.col("total")).otherwise(extreme(F.col("total"), absent))
+
+    return gap
+
+
+METHODS = {
+    "average": _Rule(F.sum, _mean_gap),
+    "complete": _Rule(F.max, _extreme_gap(F.greatest)),
+    "single": _Rule(F.min, _extreme_gap(F.least)),
+}
+
+
+def _gap(rule: _Rule, absent: float) -> Column:
+    """Distance of a cluster pair, rounded so that ties are ties."""
+    return F.round(rule.gap(F.lit(absent)), 12)
 
 
 def _closest(pairs: DataFrame) -> DataFrame:
@@ -50,12 +87,16 @@ def _merge_rows(chosen: DataFrame) -> DataFrame:
     )
 
 
-def _apply(pairs: DataFrame, merges: DataFrame) -> DataFrame:
-    """Rewrite both ends of every pair to the merged clusters and re-aggregate."""
-    renamed = merges.selectExpr(
+def _renamed(merges: DataFrame) -> DataFrame:
+    """``(old, new)``: what each end of the merges has become."""
+    return merges.selectExpr(
         "explode(array(`left`, `right`)) AS old",
         "named_struct('id', `left`, 'n', size, 'h', height, 'r', round) AS new",
     )
+
+
+def _apply(pairs: DataFrame, renamed: DataFrame, rule: _Rule) -> DataFrame:
+    """Rewrite both ends of every pair to the merged clusters and re-aggregate."""
     for end in "ab":
         pairs = pairs.join(renamed.selectExpr(f"old AS {end}", f"new AS new_{end}"), end, "left")
     return (
@@ -73,7 +114,7 @@ def _apply(pairs: DataFrame, merges: DataFrame) -> DataFrame:
             "listed",
         )
         .groupBy("x", "y")
-        .agg(F.sum("total").alias("total"), F.sum("listed").alias("listed"))
+        .agg(rule.combine("total").alias("total"), F.sum("listed").alias("listed"))
         .selectExpr(
             "x.id AS a", "y.id AS b", "x.n AS na", "y.n AS nb", "x.h AS ha", "y.h AS hb",
             "x.r AS ra", "y.r AS rb", "total", "listed",
@@ -81,17 +122,33 @@ def _apply(pairs: DataFrame, merges: DataFrame) -> DataFrame:
     )
 
 
-def _rounds(pairs: DataFrame, absent: float, below: float | None, done: list) -> DataFrame:
-    """Merge closest pairs until none is left (closer than ``below`` when given)."""
+def _rounds(pairs: DataFrame, absent: float, below: float | None, rule: _Rule, done: list) -> DataFrame:
+    """Merge closest pairs until none is left (closer than ``below`` when given).
+
+    A round writes its merges and the rewritten pairs as one table.
+    """
     while True:
-        open_pairs = pairs.withColumn("gap", _gap(absent))
+        open_pairs = pairs.withColumn("gap", _gap(rule, absent))
         if below is not None:
             open_pairs = open_pairs.filter(F.col("gap") < below)
-        merges, n_merges = materialize_counted(_merge_rows(_closest(open_pairs)))
-        if n_merges == 0:
+        merges = _merge_rows(_closest(open_pairs))
+        kept = _apply(pairs, _renamed(merges), rule)
+        seen = Observation()
+        both = materialize(
+            merges.select(F.struct(*merges.columns).alias("merge"), F.lit(None).cast(_struct_of(kept)).alias("pair"))
+            .unionByName(kept.select(F.lit(None).cast(_struct_of(merges)).alias("merge"), F.struct(*kept.columns).alias("pair")))
+            .observe(seen, F.count("merge").alias("merges"), F.count("pair").alias("pairs"))
+        )
+        pairs = both.where(F.col("pair").isNotNull()).select("pair.*")
+        if seen.get["merges"] == 0:
             return pairs
-        done.append(merges)
-        pairs = materialize(_apply(pairs, merges))
+        done.append(both.where(F.col("merge").isNotNull()).select("merge.*"))
+        if seen.get["pairs"] == 0:
+            return pairs
+
+
+def _struct_of(df: DataFrame) -> str:
+    return "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in df.schema) + ">"
 
 
 def _clusters(words: DataFrame, done: list[DataFrame]) -> DataFrame:
@@ -128,8 +185,11 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return whole
 
 
+# --- merges at the constant distance -------------------------------------------------
+
+
 def _chain(clusters: DataFrame, height: float) -> DataFrame:
-    """Join all remaining clusters one after the other at the same height."""
+    """Join clusters one after the other, in order of name, at the same height."""
     last = clusters.agg(F.max("r")).scalar()
     placed = materialize(with_row_ids(clusters, ["id"], "_at"))
     sized = with_running_total(placed, ["_at"], "n", "_before")
@@ -152,50 +212,107 @@ def _chain(clusters: DataFrame, height: float) -> DataFrame:
     )
 
 
-def _all_pairs(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
-    """List the unlisted pairs too. Only called when they are a constant factor of ``pairs``."""
-    placed = materialize(with_row_ids(clusters, ["id"], "_at"))
-    ends = placed.select(F.col("_at"), F.struct("id", "n", "h", "r").alias("x"))
-    upper = ends.filter(F.col("_at") > 0).select(
-        F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.col("_at") - 1)).alias("_at")
-    )
-    missing = ends.join(upper, "_at").select(
-        F.col("x.id").alias("a"),
-        F.col("y.id").alias("b"),
-        F.col("x.n").alias("na"),
-        F.col("y.n").alias("nb"),
-        F.col("x.h").alias("ha"),
-        F.col("y.h").alias("hb"),
-        F.col("x.r").alias("ra"),
-        F.col("y.r").alias("rb"),
-        F.lit(0.0).alias("total"),
-        F.lit(0).cast("long").alias("listed"),
-    )
-    return (
-        pairs.select(_PAIR)
-        .unionByName(missing)
-        .groupBy("a", "b", "na", "nb", "ha", "hb", "ra", "rb")
-        .agg(F.sum("total").alias("total"), F.sum("listed").alias("listed"))
-    )
+def _first_independent(clusters: DataFrame, far: DataFrame) -> DataFrame:
+    """Ids of the first independent set by name: those without a smaller neighbour in the set.
 
+    ``far(a, b)`` are the edges, ``a < b``. Every round takes what has no smaller neighbour left
+    and strikes its neighbours out.
+    """
+    edges = materialize(far.select("a", "b"))
+    state = materialize(clusters.select("id", F.lit(None).cast("boolean").alias("taken")))
+    while True:
+        open_ = state.where(F.col("taken").isNull()).select("id")
+        live = edges.join(open_.withColumnRenamed("id", "a"), "a", "left_semi").join(
+            open_.withColumnRenamed("id", "b"), "b", "left_semi"
+        )
+        held = live.select(F.col("b").alias("id"))
+        free = materialize(open_.join(held, "id", "left_anti"))
+        struck = live.join(free.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id"))
+        news = free.select("id", F.lit(True).alias("now")).unionByName(struck.distinct().select("id", F.lit(False).alias("now")))
+        seen = Observation()
+        state = materialize(
+            state.join(news, "id", "left").select("id", F.coalesce("taken", "now").alias("taken"))
+            .observe(seen, F.count_if(F.col("taken").isNull()).alias("open"))
+        )
+        if not seen.get["open"]:
+            return state.where("taken").select("id")
 
-def _pair_up(clusters: DataFrame, pairs: DataFrame, absent: float, attempt: int) -> DataFrame:
-    """Merge disjoint unlisted pairs: neighbours in a hash order that changes every round."""
-    shuffled = F.xxhash64(F.lit(attempt), F.col("id"))
-    placed = with_row_ids(clusters.withColumn("_mix", shuffled), ["_mix", "id"], "_at").drop("_mix")
-    couple = (
-        placed.groupBy(F.floor(F.col("_at") / 2).alias("_couple"))
-        .agg(F.min(F.struct("id", "n", "h", "r")).alias("x"), F.max(F.struct("id", "n", "h", "r")).alias("y"))
-        .filter(F.col("x.id") != F.col("y.id"))
-    )
-    rows = couple.select(
-        F.col("x.id").alias("a"), F.col("y.id").alias("b"),
-        F.col("x.n").alias("na"), F.col("y.n").alias("nb"),
-        F.col("x.h").alias("ha"), F.col("y.h").alias("hb"),
-        F.col("x.r").alias("ra"), F.col("y.r").alias("rb"),
-        F.lit(absent).alias("gap"),
+
+def _merge_absent(clusters: DataFrame, far: DataFrame, count: int, absent: float) -> DataFrame:
+    """The merges at ``absent`` that the tie rule makes first, as one chain."""
+    degree = far.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("_deg"))
+    partnered = materialize(
+        clusters.join(degree, "id", "left").where(F.coalesce("_deg", F.lit(0)) < count - 1).drop("_deg")
     )
-    return _merge_rows(rows.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    chosen = _first_independent(partnered, far.join(partnered.select(F.col("id").alias("a")), "a", "left_semi")
+                                .join(partnered.select(F.col("id").alias("b")), "b", "left_semi"))
+    return materialize(_chain(materialize(partnered.join(chosen, "id", "left_semi")), absent))
+
+
+def _renamed_chain(merges: DataFrame) -> DataFrame:
+    """``(old, new)`` of a whole chain: all of it has become its last merge."""
+    end = merges.agg(F.max(F.struct("round", "left", "size", "height")).alias("m")).select(
+        F.struct(F.col("m.left").alias("id"), F.col("m.size").alias("n"), F.col("m.height").alias("h"), F.col("m.round").alias("r"))
+    ).scalar()
+    ends = merges.select(F.explode(F.array("left", "right")).alias("old")).distinct()
+    return ends.select("old", end.alias("new"))
+
+
+# --- spanning forest -----------------------------------------------------------------
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """Lightest spanning forest of ``edges(a, b, distance)``, ``a < b``: a subset of the edges.
+
+    Every round each component picks its lightest edge to another (ties by name, so the order is
+    total and no cycle can close), and the components so joined become one. Rounds grow with the
+    logarithm of the number of nodes.
+    """
+    edge = F.struct("distance", "a", "b")
+    live = materialize(edges.select(F.col("a").alias("x"), F.col("b").alias("y"), edge.alias("edge")))
+    chosen = []
+    while True:
+        ends = live.select(F.col("x").alias("c"), F.col("y").alias("to"), "edge").unionByName(
+            live.select(F.col("y").alias("c"), F.col("x").alias("to"), "edge")
+        )
+        best, n = materialize_counted(ends.groupBy("c").agg(F.min(F.struct("edge", "to")).alias("best")))
+        if not n:
+            break
+        picked = best.select("c", F.col("best.to").alias("to"), "best.edge")
+        chosen.append(picked.select("edge.*").distinct())
+        # two components that picked the same edge point at each other: the smaller is the root
+        back = picked.select(F.col("c").alias("to"), F.col("to").alias("_back"))
+        up = picked.join(back, "to", "left").select(
+            "c", F.when((F.col("_back") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("up")
+        )
+        roots = _followed(up)
+        for end in "xy":
+            live = live.join(roots.select(F.col("c").alias(end), F.col("up").alias(f"_{end}")), end, "left")
+        x, y = F.coalesce("_x", "x"), F.coalesce("_y", "y")
+        live = materialize(
+            live.where(x != y).select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"), "edge")
+            .groupBy("x", "y").agg(F.min("edge").alias("edge"))
+        )
+    none = edges.select("distance", "a", "b").limit(0)
+    return (_union(chosen) if chosen else none).select("a", "b", "distance")
+
+
+def _followed(up: DataFrame) -> DataFrame:
+    """Follow ``(c, up)`` to the root of each by doubling the jumps."""
+    now = materialize(up)
+    while True:
+        above = now.select(F.col("c").alias("up"), F.col("up").alias("_next"))
+        seen = Observation()
+        now = materialize(
+            now.join(above, "up", "left")
+            .select("c", F.coalesce("_next", "up").alias("up"), (F.coalesce("_next", "up") != F.col("up")).alias("moved"))
+            .observe(seen, F.count_if("moved").alias("moved"))
+        ).drop("moved")
+        if not seen.get["moved"]:
+            return now
+
+
+# --- linkage -------------------------------------------------------------------------
 
 
 def _no_merges(words: DataFrame) -> DataFrame:
@@ -206,50 +323,61 @@ def _no_merges(words: DataFrame) -> DataFrame:
     )
 
 
-def average_linkage(distances: DataFrame, absent: float, words: DataFrame | None = None) -> DataFrame:
+def _opened(distances: DataFrame) -> DataFrame:
+    one = F.lit(1).cast("long")
+    return distances.select(
+        "a", "b",
+        one.alias("na"), one.alias("nb"),
+        F.lit(0.0).alias("ha"), F.lit(0.0).alias("hb"),
+        F.lit(0).alias("ra"), F.lit(0).alias("rb"),
+        F.col("distance").alias("total"), one.alias("listed"),
+    )
+
+
+def average_linkage(
+    distances: DataFrame, absent: float, words: DataFrame | None = None, method: str = "average"
+) -> DataFrame:
     """Merge tree of the words in ``distances(a, b, distance)``, ``a < b``.
 
     ``words(word)`` are all leaves; words without a listed distance (such as those that only
     occur with themselves) are ``absent`` from every other. Without it the leaves are the words
-    of ``distances``. One word makes no merge, so the result is empty.
+    of ``distances``. One word makes no merge, so the result is empty. ``method`` is
+    ``average``, ``complete`` or ``single``.
 
     Returns ``(step, left, right, height, size, round, left_round, right_round)`` with steps
     from 1 to n-1 in order of height. ``left`` and ``right`` are the smallest words of the
     merged clusters; ``(left, left_round)`` names the merge that made the left cluster, round
-    0 being a leaf. Merges below ``absent`` are exact. Words at ``absent`` are all tied there;
-    which of the tied couples merge first is left open (any order is an average linkage), and
-    is by word where every couple is listed, by hash where most are not.
+    0 being a leaf. Of tied pairs the one with the smaller names merges first.
     """
+    rule = METHODS[method]
     listed = distances.select(F.explode(F.array("a", "b")).alias("word"))
     words = materialize((listed if words is None else listed.union(words.select("word"))).distinct())
-    one = F.lit(1).cast("long")
-    pairs = distances.select(
-        "a", "b",
-        one.alias("na"), one.alias("nb"),
-        F.lit(0.0).alias("ha"), F.lit(0.0).alias("hb"),
-        F.lit(0).alias("ra"), F.lit(0).alias("rb"),
-        F.col("distance").alias("total"), one.alias("listed"),
-    )
     done: list[DataFrame] = []
-    pairs = _rounds(materialize(pairs), absent, absent - _EPSILON, done)
-    attempt = 0
+    below = absent - _EPSILON
+    pairs = materialize(_opened(distances))
+    if method == "single":
+        near = materialize(spanning_forest(distances.where(F.round("distance", 12) < below)))
+        _rounds(_opened(near), absent, None, _FOREST, done)
+        if done:  # only now are the listed pairs between the components of interest
+            pairs = materialize(_apply(pairs, _whole_renaming(words, done), rule))
+    else:
+        pairs = _rounds(pairs, absent, below, rule, done)
     while True:
         clusters, count = materialize_counted(_clusters(words, done))
         if count <= 1:
             break
-        far = pairs.withColumn("gap", _gap(absent)).filter(F.col("gap") > absent + _EPSILON)
-        n_far = far.count()
+        far, n_far = materialize_counted(
+            pairs.withColumn("gap", _gap(rule, absent)).filter(F.col("gap") > absent + _EPSILON)
+        )
         if n_far == 0:  # every remaining pair is at the constant distance
             done.append(materialize(_chain(clusters, absent)))
             break
-        if count * (count - 1) // 2 <= 4 * n_far + 1000:
-            _rounds(materialize(_all_pairs(clusters, pairs)), absent, None, done)
+        if n_far == count * (count - 1) // 2:
+            _rounds(pairs, absent, None, rule, done)
             break
-        merges, n_merges = materialize_counted(_pair_up(clusters, far, absent, attempt))
-        attempt += 1
-        if n_merges:
-            done.append(merges)
-            pairs = materialize(_apply(pairs, merges))
+        chain = _merge_absent(clusters, far, count, absent)
+        done.append(chain)
+        pairs = materialize(_apply(pairs, _renamed_chain(chain), rule))
     if not done:
         return _no_merges(words)
     merges = _union(done)
@@ -259,6 +387,20 @@ def average_linkage(distances: DataFrame, absent: float, words: DataFrame | None
     )
 
 
+#: In a forest two clusters have one edge at most.
+_FOREST = _Rule(F.min, lambda absent: F.col("total"))
+
+
+def _whole_renaming(words: DataFrame, done: list[DataFrame]) -> DataFrame:
+    """``(old, new)`` of every word after the merges in ``done``."""
+    into = _union(done).select(F.col("right").alias("c"), F.col("left").alias("up"))
+    up = words.join(into.withColumnRenamed("c", "word"), "word", "left").select(
+        F.col("word").alias("c"), F.coalesce("up", "word").alias("up")
+    )
+    cluster = _clusters(words, done).select(F.col("id").alias("up"), F.struct("id", "n", "h", "r").alias("new"))
+    return materialize(_followed(up).join(cluster, "up").select(F.col("c").alias("old"), "new"))
+
+
 # --- cuts ----------------------------------------------------------------------------
 
 

@@ -7,12 +7,13 @@ from corpusloom.operators import network as N
 from corpusloom.runtime import materialize
 
 
-def upgma(words, dist):
+def upgma(words, dist, method="average"):
     clusters = {w: [w] for w in words}
     out = []
+    combine = {"average": lambda d: sum(d) / len(d), "complete": max, "single": min}[method]
 
     def gap(a, b):
-        return round(sum(dist[min(x, y), max(x, y)] for x in a for y in b) / (len(a) * len(b)), 12)
+        return round(combine([dist[min(x, y), max(x, y)] for x in a for y in b]), 12)
 
     while len(clusters) > 1:
         names = sorted(clusters)
@@ -43,20 +44,21 @@ def dense_distances(words, rows):
     return {(a, b): known.get((a, b), absent) for i, a in enumerate(words) for b in words[i + 1 :]}, absent
 
 
-def grow(spark, rows):
+def grow(spark, rows, method="average"):
     matrix = materialize(N.association_matrix(spark.createDataFrame(rows, "word1 string, word2 string, mi_score double")))
     absent = N.absent_distance(matrix).first()["absent"]
-    return H.average_linkage(N.to_distance(matrix), absent), absent
+    return H.average_linkage(N.to_distance(matrix), absent, N.matrix_words(matrix), method), absent
 
 
-@pytest.mark.parametrize("seed,density,low", [(0, 1.0, 0.0), (1, 0.2, 0.0), (2, 0.2, -0.6)])
-def test_same_tree_as_one_merge_at_a_time(spark, seed, density, low):
+@pytest.mark.parametrize("method", ["average", "complete", "single"])
+@pytest.mark.parametrize("seed,density,low", [(0, 1.0, 0.0), (1, 0.2, 0.0), (2, 0.2, -0.6), (3, 0.5, -1.5)])
+def test_same_tree_as_one_merge_at_a_time(spark, seed, density, low, method):
     words, rows = network(seed, 16, density, low)
-    merges, absent = grow(spark, rows)
+    merges, absent = grow(spark, rows, method)
     got = merges.orderBy("step").collect()
     dist, d0 = dense_distances(words, rows)
     assert abs(absent - d0) < 1e-12
-    want = upgma(words, dist)
+    want = upgma(words, dist, method)
     below = sorted((a, b, round(h, 9), s) for a, b, h, s in want if h < d0 - 1e-9)
     assert sorted((r.left, r.right, round(r.height, 9), r.size) for r in got if r.height < d0 - 1e-9) == below
     assert [round(r.height, 9) for r in got] == sorted(round(h, 9) for _, _, h, _ in want)
@@ -64,6 +66,65 @@ def test_same_tree_as_one_merge_at_a_time(spark, seed, density, low):
     assert got[-1].size == len(words)
 
 
+@pytest.mark.parametrize("method", ["average", "complete", "single"])
+def test_ties_and_self_only_words(spark, method):
+    """Few different scores, so nearly everything is tied; the rule by name decides."""
+    rng = random.Random(4)
+    words = [f"w{i:02d}" for i in range(14)]
+    rows = [
+        (a, b, rng.choice([-1.0, -1.0, 1.0, 2.0]))
+        for i, a in enumerate(words) for b in words[i:] if a == b == "w03" or (rng.random() < 0.35 and "w03" not in (a, b))
+    ]
+    rows += [("w00", "w00", 2.0), ("w05", "w05", -1.0)]
+    merges, absent = grow(spark, rows, method)
+    dist, d0 = dense_distances(words, [*{(a, b): (a, b, s) for a, b, s in rows}.values()])
+    want = upgma(words, dist, method)
+    got = merges.orderBy("step").collect()
+    assert len(got) == len(words) - 1 and got[-1]["size"] == len(words)
+    if method == "single":  # cuts of single linkage do not depend on the order of ties
+        assert [round(r.height, 9) for r in got] == sorted(round(h, 9) for _, _, h, _ in want)
+    # whatever the order of ties: every merge is at the distance of its two parts
+    parts = {w: [w] for w in words}
+    combine = {"average": lambda d: sum(d) / len(d), "complete": max, "single": min}[method]
+    for r in sorted(got, key=lambda r: r["round"]):
+        a, b = parts[r.left], parts.pop(r.right)
+        assert abs(r.height - combine([dist[min(x, y), max(x, y)] for x in a for y in b])) < 1e-9
+        parts[r.left] = a + b
+
+
+def test_spanning_forest(spark):
+    rng = random.Random(8)
+    edges = [(f"n{i:02d}", f"n{j:02d}", rng.choice([0.1, 0.2, 0.3])) for i in range(30) for j in range(i + 1, 30) if rng.random() < 0.1]
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    want = set()
+    for d, a, b in sorted((d, a, b) for a, b, d in edges):
+        if root(a) != root(b):
+            up[root(a)] = root(b)
+            want.add((a, b, d))
+    df = spark.createDataFrame(edges, "a string, b string, distance double").repartition(4)
+    assert {tuple(r) for r in H.spanning_forest(df).collect()} == want
+    assert H.spanning_forest(df.limit(0)).collect() == []
+
+
+def test_first_independent_set(spark):
+    rng = random.Random(3)
+    names = [f"c{i:02d}" for i in range(25)]
+    far = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < 0.15]
+    want = []
+    for c in names:
+        if not any((w, c) in far for w in want):
+            want.append(c)
+    clusters = spark.createDataFrame([(c,) for c in names], "id string")
+    got = H._first_independent(clusters, spark.createDataFrame(far, "a string, b string")).collect()
+    assert sorted(r.id for r in got) == want
+
+
 @pytest.fixture(scope="module")
 def tree(spark):
     words, rows = network(5, 14, 0.4, 0.0)
@@ -130,7 +191,7 @@ def test_unconnected_words_chain_at_the_constant_distance(spark):
 
 
 def test_many_words_farther_than_the_constant(spark):
-    """Few pairs beyond the constant distance among many words: pairs up unlisted words."""
+    """Few pairs beyond the constant distance among many words: most merge at the constant."""
     words = [f"w{i:02d}" for i in range(60)]
     rows = [(words[i], words[i + 1], -0.5) for i in range(59)] + [(words[0], words[0], 1.0)]
     merges, absent = grow(spark, rows)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import functools
+import uuid
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
@@ -14,8 +16,7 @@ from corpusloom.operators.ordering import with_row_ids
 from corpusloom.operators.similarity import nearest
 from corpusloom.runtime import materialize, materialize_counted
 
-_LITERAL_BYTES = 1 << 16  # keyword lists up to this size travel inside the plan
-_GRAM = 6
+_AUTOMATON_BYTES = 32 << 20  # keywords of one automaton, which every worker builds
 _SENT_HITS = 1 << 20
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # BM25 constants
@@ -30,82 +31,116 @@ def exact_match(
     id_col: str = "doc_id",
     text: str = "text",
     case_sensitive: bool = False,
-    literal_bytes: int = _LITERAL_BYTES,
+    automaton_bytes: int = _AUTOMATON_BYTES,
 ) -> DataFrame:
     """Rows that contain every keyword of a query as a substring.
 
     ``queries(query_id, keywords)``; returns ``(query_id, id, text, keyword_positions,
-    match_type)``. The keyword lists are measured: small ones are tested row by row inside
-    the scan, larger ones go through an index of character grams.
+    match_type)``. All keywords are looked for in one pass over each text by an automaton, so
+    the work does not grow with their number. Queries whose keywords exceed ``automaton_bytes``
+    together are cut into several automata, a pass each.
+
+    An empty list matches every text, a null list or a null keyword none; a null text matches
+    nothing.
     """
-    size = queries.agg(
-        F.coalesce(F.sum(F.aggregate("keywords", F.lit(0), lambda n, k: n + F.octet_length(k) + 8) + 16), F.lit(0))
-    ).first()[0]
-    find = _match_by_scan if size <= literal_bytes else _match_by_grams
-    # a null list or a null keyword asks for nothing that a text could contain
+    fold = (lambda c: c) if case_sensitive else F.lower
+    kind = queries.schema["query_id"].dataType.simpleString()
     asked = queries.select("query_id", F.col("keywords").cast("array<string>").alias("keywords")).where(
         F.col("keywords").isNotNull() & ~F.exists("keywords", lambda k: k.isNull())
     )
-    hits = find(asked, docs.select(id_col, text), id_col, text, case_sensitive)
-    return hits.select(
-        "query_id",
-        id_col,
-        text,
-        X.keyword_positions(F.col(text), F.col("keywords"), case_sensitive).alias("keyword_positions"),
-        F.lit("accurate").alias("match_type"),
+    asked = materialize(
+        asked.select("query_id", "keywords", F.array_distinct("keywords").alias("names")).withColumn(
+            "needles", F.transform("names", fold)  # folded by the same function as the texts
+        )
     )
+    size = asked.agg(
+        F.coalesce(F.sum(F.aggregate("needles", F.lit(0), lambda n, k: n + F.octet_length(k) + 8) + 16), F.lit(0))
+    ).first()[0]
+    passes = -(-size // automaton_bytes) if size else 1
+    found = None
+    for at in range(passes):
+        part = asked.where(F.pmod(F.xxhash64("query_id", "keywords"), F.lit(passes)) == at) if passes > 1 else asked
+        held = part.select("query_id", "names", "needles").toArrow()  # bounded by automaton_bytes
+        named = queries.sparkSession.createDataFrame(
+            held.select(["query_id", "names"]).append_column("_q", pa.array(range(len(held)), pa.int32())),
+            f"query_id {kind}, names array<string>, _q int",
+        )
+        hits = docs.select(id_col, text, F.explode(_finder(held["needles"].to_pylist())(fold(F.col(text)))).alias("_hit"))
+        rows = hits.join(F.broadcast(named), F.col("_hit.q") == F.col("_q")).select(
+            "query_id",
+            id_col,
+            text,
+            F.map_from_arrays("names", "_hit.positions").alias("keyword_positions"),
+            F.lit("accurate").alias("match_type"),
+        )
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
-def _match_by_scan(queries, docs, id_col, text, case_sensitive) -> DataFrame:
-    """Test every query in the scan: one compiled condition each, all on one lowered text."""
-    fold = (lambda c: c) if case_sensitive else F.lower
-    # at most literal_bytes of keywords; folded by the same function as the texts
-    rows = queries.withColumn("needles", F.array_distinct(F.transform("keywords", fold))).collect()
-    kind = queries.schema["query_id"].dataType
-    keywords = "array<string>"
-    hits = [
-        F.when(
-            functools.reduce(lambda a, b: a & b, [F.contains(F.col("_hay"), F.lit(k)) for k in r.needles], F.lit(True)),
-            F.struct(
-                F.lit(r.query_id).cast(kind).alias("query_id"),
-                F.array(*[F.lit(k) for k in r.keywords]).cast(keywords).alias("keywords"),
-            ),
-        )
-        for r in rows
-    ]
-    none = F.array().cast(f"array<struct<query_id:{kind.simpleString()},keywords:{keywords}>>")
-    found = F.array_compact(F.array(*hits)) if hits else none
-    scanned = docs.select(id_col, text, fold(F.col(text)).alias("_hay")).where(F.col("_hay").isNotNull())
-    return scanned.select(id_col, text, F.explode(found).alias("_q")).select(
-        "_q.query_id", id_col, text, F.col("_q.keywords").alias("keywords")
-    )
+_BUILT: dict[int, tuple] = {}  # the automaton this worker used last
+
+
+def _finder(needles: list[list[str]]):
+    """Column function: ``(q, positions)`` of every query all of whose needles a text holds."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(needles)
 
+    name = uuid.uuid4().int
 
-def _grams(text: Column, size: int) -> Column:
-    """All substrings of ``size`` characters."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-    return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+    @F.arrow_udf("array<struct<q:int,positions:array<int>>>")
+    def find(texts: pa.Array) -> pa.Array:
+        held = _automaton_for(name, shared)
+        out = [hits_in(t, *held) for t in texts.to_pylist()]
+        return pa.array(out, pa.list_(pa.struct([("q", pa.int32()), ("positions", pa.list_(pa.int32()))])))
 
+    return find.asNondeterministic()  # evaluated once
 
-def _match_by_grams(queries, docs, id_col, text, case_sensitive) -> DataFrame:
-    """Join on one character gram per query, then test the whole keywords.
 
-    A text that contains a keyword contains its leading gram, so nothing is missed; the
-    gram comes from the longest keyword to keep the candidate lists short.
+def _automaton_for(name: int, shared) -> tuple:
+    """Built once by each worker process, not once a task."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = automaton_of(shared.value)
+    return _BUILT[name]
+
+
+def automaton_of(needles: list[list[str]]) -> tuple:
+    """Automaton over all needles, lists of needle numbers by query, queries by their anchor.
+
+    A query is looked at only where its longest needle, the anchor, is found.
     """
-    fold = (lambda c: c) if case_sensitive else F.lower
-    longest = F.array_max(F.transform("keywords", lambda k: F.struct(F.length(k).alias("n"), fold(k).alias("k"))))
-    anchored = queries.withColumn("_k", F.coalesce(longest["k"], F.lit(""))).withColumn(
-        "gram", F.substring("_k", 1, _GRAM)
-    )
-    sizes = [r[0] for r in anchored.select(F.length("gram")).distinct().collect()]  # at most _GRAM + 1
-    hay = fold(F.col(text))
-    grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *[_grams(hay, n) for n in sizes]))
-    pointers = docs.select(id_col, F.explode(grams).alias("gram"))
-    candidates = pointers.join(anchored.select("query_id", "keywords", "gram"), "gram").drop("gram")
-    return candidates.join(docs, id_col).filter(
-        X.contains_all(F.col(text), F.col("keywords"), case_sensitive)
-    ).select("query_id", id_col, text, "keywords")
+    number = {k: i for i, k in enumerate(dict.fromkeys(k for row in needles for k in row))}
+    automaton = ahocorasick.Automaton()
+    for k, i in number.items():
+        if k:
+            automaton.add_word(k, (i, len(k)))
+    if len(automaton):
+        automaton.make_automaton()
+    anchored: dict[int, list[int]] = {}
+    free = []
+    for q, row in enumerate(needles):
+        longest = max(row, key=len, default="")
+        if longest:
+            anchored.setdefault(number[longest], []).append(q)
+        else:
+            free.append(q)
+    return automaton, [[number[k] for k in row] for row in needles], anchored, free, number.get("")
+
+
+def hits_in(text: str | None, automaton, wanted, anchored, free, empty) -> list[dict]:
+    """Queries whose needles all occur in ``text``, with the first position of each needle."""
+    if text is None:
+        return []
+    first: dict[int, int] = {} if empty is None else {empty: 0}
+    if len(automaton):
+        for end, (i, n) in automaton.iter(text):
+            if i not in first:
+                first[i] = end - n + 1
+    hits = [{"q": q, "positions": [0] * len(wanted[q])} for q in free]
+    for i in first:
+        for q in anchored.get(i, ()):
+            if all(k in first for k in wanted[q]):
+                hits.append({"q": q, "positions": [first[k] for k in wanted[q]]})
+    return hits
 
 
 # --- BM25 ----------------------------------------------------------------------------

@@ -215,12 +215,12 @@ def absent_distance(spark, d):
 
 # --- hierarchy -----------------------------------------------------------------------
 
-def _merges(spark, d) -> DataFrame:
+def _merges(spark, d, method: str = "average") -> DataFrame:
     pairs_ = network.prune_network(materialize(_association(spark, d)), MAX_WORDS)
     matrix = materialize(network.association_matrix(pairs_))
     absent = network.absent_distance(matrix).first()["absent"]
     return materialize(
-        hierarchy.average_linkage(network.to_distance(matrix), absent, network.matrix_words(matrix))
+        hierarchy.average_linkage(network.to_distance(matrix), absent, network.matrix_words(matrix), method)
     )
 
 
@@ -228,6 +228,14 @@ def linkage_merges(spark, d):
     return _six(_merges(spark, d).select("step", "left", "right", "height", "size"), "height")
 
 
+def linkage_single(spark, d):
+    return _six(_merges(spark, d, "single").select("left", "right", "height", "size"), "height")
+
+
+def linkage_complete(spark, d):
+    return _six(_merges(spark, d, "complete").select("left", "right", "height", "size"), "height")
+
+
 def clusters_by_distance(spark, d):
     return hierarchy.cut_by_distance(_merges(spark, d), 0.7)
 
@@ -623,7 +631,7 @@ QUERIES = [
     cooccurrence_doc, cooccurrence_sentence, cooccurrence_corpus, pmi_doc, pmi_corpus, pmi_top,
     association_measure, row_ids, mention_tags, mention_filter, factorize_label, hover_labels,
     vocabulary, word_strength, prune_network, association_matrix, distance_pairs, absent_distance,
-    linkage_merges, clusters_by_distance, clusters_by_count, clusters_by_threshold, cluster_sizes,
+    linkage_merges, linkage_single, linkage_complete, clusters_by_distance, clusters_by_count, clusters_by_threshold, cluster_sizes,
     cluster_count, cluster_sample, tree_nodes, truncated_tree, exact_match, keyword_positions,
     bm25_stats, first_documents, bm25_topk, parse_embedding, cosine_pairs, centrality, central_extremes, semantic_topk,
     retrieve_priority, rerank_topk, search_report, training_pairs, pair_split, encoder_eval,

@@ -276,6 +276,62 @@ def _ranks(value: str, name: str) -> str:
         f"(SELECT {value}, count(*) AS n FROM sc GROUP BY {value}))"
     )
 
+# --- hierarchy: one merge at a time, the closest pair of clusters by (distance, names) -----
+
+
+def _tree(average: str = "avg") -> str:
+    """Common tables up to ``st(step, w, c, l, r, h)``: the cluster of every word after each merge,
+    and ``mg(step, l, r, h, size)``: the merges."""
+    return f"""RECURSIVE {_ASSOC}, {_STRENGTH},
+topw AS (SELECT word FROM strength ORDER BY strength DESC, word LIMIT {MAX_WORDS}),
+pm AS (SELECT least(word1, word2) AS a, greatest(word1, word2) AS b, min(mi_score) AS mi FROM assoc
+       WHERE word1 IN (SELECT word FROM topw) AND word2 IN (SELECT word FROM topw) GROUP BY ALL),
+ws AS (SELECT a AS w FROM pm UNION SELECT b FROM pm),
+cells AS (SELECT x.w AS a, y.w AS b, coalesce(pm.mi, 0.0) AS mi
+          FROM ws x CROSS JOIN ws y LEFT JOIN pm ON pm.a = least(x.w, y.w) AND pm.b = greatest(x.w, y.w)),
+span AS (SELECT min(mi) AS low, max(mi) AS high FROM cells),
+dm AS (SELECT a, b, 1.0 - CASE WHEN high <= 0 THEN mi WHEN high = low THEN mi - low ELSE (mi - low) / (high - low) END AS d
+       FROM cells, span WHERE a < b),
+st AS (
+  SELECT 0 AS step, w, w AS c, w AS l, w AS r, 0.0::DOUBLE AS h FROM ws
+  UNION ALL
+  SELECT st.step + 1, st.w, CASE WHEN st.c = m.r THEN m.l ELSE st.c END, m.l, m.r, m.h
+  FROM st, (SELECT l, r, h FROM (SELECT least(x.c, y.c) AS l, greatest(x.c, y.c) AS r, round({average}(d), 12) AS h
+            FROM st x JOIN dm ON dm.a = x.w JOIN st y ON y.w = dm.b WHERE x.c <> y.c GROUP BY ALL) ORDER BY h, l, r LIMIT 1) m
+),
+mg AS (SELECT step, l, r, h, sum(CASE WHEN c = l THEN 1 ELSE 0 END) AS size FROM st WHERE step > 0 GROUP BY ALL)"""
+
+
+def _cut(height: str) -> str:
+    """``(word, cluster)`` when all merges up to a height apply."""
+    return f"SELECT w AS word, c AS cluster FROM st WHERE step = (SELECT max(step) FROM st WHERE h <= {height} OR step = 0)"
+
+
+_BY_COUNT = _cut("(SELECT coalesce(max(h), -1) FROM mg WHERE step = (SELECT max(step) FROM mg) - 20 + 1)")
+_BY_DISTANCE = _cut("0.7")
+_CHILDREN = """kids AS (
+  SELECT m.step, m.h, m.size, m.l, m.r,
+    (SELECT max(e.step) FROM mg e WHERE e.l = m.l AND e.step < m.step) AS ls,
+    (SELECT max(e.step) FROM mg e WHERE e.l = m.r AND e.step < m.step) AS rs
+  FROM mg m
+)"""
+_NODES = f"""{_CHILDREN},
+leaf AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS node FROM ws),
+many AS (SELECT count(*) AS n FROM ws),
+inners AS (
+  SELECT n + step - 1 AS node, NULL AS label, coalesce(n + ls - 1, a.node) AS left_node, coalesce(n + rs - 1, b.node) AS right_node,
+    size AS leaves, h AS height
+  FROM kids JOIN leaf a ON a.w = kids.l JOIN leaf b ON b.w = kids.r, many
+),
+nodes AS (SELECT * FROM inners UNION ALL SELECT node, w, NULL, NULL, 1, 0.0 FROM leaf),
+up AS (SELECT left_node AS node, node AS parent FROM inners UNION ALL SELECT right_node, node FROM inners),
+deep AS (
+  SELECT node, 0 AS level FROM nodes WHERE node NOT IN (SELECT node FROM up)
+  UNION ALL
+  SELECT up.node, level + 1 FROM deep JOIN up ON up.parent = deep.node
+)"""
+_LAST = 49
+
 
 def statements() -> dict[str, str]:
     """Query name to SQL."""
@@ -348,6 +404,29 @@ def statements() -> dict[str, str]:
         "association_matrix": f"WITH {_MATRIX} SELECT a, b, round(mi, 6) AS mi FROM mat",
         "distance_pairs": f"WITH {_MATRIX} SELECT a, b, round({_scale('mi')}, 6) AS distance FROM mat, lim WHERE a < b",
         "absent_distance": f"WITH {_MATRIX} SELECT n_words, round({_scale('0.0')}, 6) AS absent FROM lim",
+        "linkage_merges": f'WITH {_tree()} SELECT step, l AS "left", r AS "right", round(h, 6) AS height, size FROM mg',
+        "linkage_single": f'WITH {_tree("min")} SELECT l AS "left", r AS "right", round(h, 6) AS height, size FROM mg',
+        "linkage_complete": f'WITH {_tree("max")} SELECT l AS "left", r AS "right", round(h, 6) AS height, size FROM mg',
+        "clusters_by_distance": f"WITH {_tree()} {_BY_DISTANCE}",
+        "clusters_by_count": f"WITH {_tree()} {_BY_COUNT}",
+        "clusters_by_threshold": f"WITH {_tree()} {_cut('(SELECT max(h) FROM mg WHERE step = (SELECT max(step) FROM mg) - 6 + 1)')}",
+        "cluster_sizes": f"WITH {_tree()}, cl AS ({_BY_COUNT}) SELECT cluster, count(*) AS size FROM cl GROUP BY cluster",
+        "cluster_count": f"WITH {_tree()}, cl AS ({_BY_DISTANCE}) SELECT count(DISTINCT cluster) AS n_clusters FROM cl",
+        "cluster_sample": (
+            f"WITH {_tree()}, cl AS ({_BY_COUNT}), sized AS (SELECT word, cluster, count(*) OVER (PARTITION BY cluster) AS size, "
+            "count(*) OVER () AS n, row_number() OVER (PARTITION BY cluster ORDER BY word) AS rank FROM cl) "
+            "SELECT cluster, word, rank, size FROM sized WHERE rank <= CASE WHEN n <= 50 THEN size ELSE greatest(round_even(50.0 * size / n, 0), 1) END"
+        ),
+        "tree_nodes": (
+            f"WITH {_tree()}, {_NODES} SELECT nodes.node, label, parent, left_node, right_node, leaves, 2 * leaves - 1 AS subtree, "
+            "round(height, 6) AS height, level FROM nodes JOIN deep ON deep.node = nodes.node LEFT JOIN up ON up.node = nodes.node"
+        ),
+        "truncated_tree": (
+            f"WITH {_tree()}, {_CHILDREN}, shown AS (SELECT * FROM kids WHERE step > (SELECT max(step) FROM mg) - {_LAST}), "
+            "ends AS (SELECT l AS cluster, ls AS s FROM shown UNION ALL SELECT r, rs FROM shown) "
+            "SELECT cluster, coalesce(mg.size, 1) AS leaves FROM ends LEFT JOIN mg ON mg.step = s "
+            "WHERE s IS NULL OR s NOT IN (SELECT step FROM shown)"
+        ),
         "exact_match": f"WITH {_EXACT} SELECT query_id, doc_id, 'accurate' AS match_type FROM hits",
         "keyword_positions": (
             f"WITH {_EXACT}, k AS (SELECT query_id, doc_id, text, unnest(list_distinct(keywords)) AS keyword FROM hits) "

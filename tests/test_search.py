@@ -30,9 +30,9 @@ def keyword_queries(spark):
 
 
 @pytest.mark.parametrize("case_sensitive", [False, True])
-@pytest.mark.parametrize("limit", [1 << 20, 0], ids=["scan", "grams"])
+@pytest.mark.parametrize("limit", [1 << 20, 60], ids=["one automaton", "several"])
 def test_exact_match(docs, keyword_queries, case_sensitive, limit):
-    hits = search.exact_match(keyword_queries, docs, case_sensitive=case_sensitive, literal_bytes=limit).collect()
+    hits = search.exact_match(keyword_queries, docs, case_sensitive=case_sensitive, automaton_bytes=limit).collect()
     fold = (lambda s: s) if case_sensitive else str.lower
     want = {}
     for q in keyword_queries.collect():
@@ -135,16 +135,36 @@ def test_negative_scores_stay_below_documents_without_hits(spark):
             assert [(d, s) for _, d, s in have] == [(d, -s) for s, d in want]
 
 
-def test_both_keyword_paths_agree(spark):
+def test_keywords_with_nulls_and_other_letters(spark):
     texts = ["Anna met BOB", "bob", None, "", "İstanbul and Anna", "anna"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    lists = [["Anna"], ["anna", "bob"], None, [], ["Anna", None], ["İstanbul"], ["bob", "bob"]]
+    lists = [["Anna"], ["anna", "bob"], None, [], ["Anna", None], ["İstanbul"], ["bob", "bob"], ["", "bob"]]
     queries = spark.createDataFrame(list(enumerate(lists)), "query_id bigint, keywords array<string>")
-    for table in (queries, queries.limit(0)):
-        for case_sensitive in (True, False):
-            a, b = (search.exact_match(table, docs, case_sensitive=case_sensitive, literal_bytes=n) for n in (1 << 16, -1))
-            assert a.schema.simpleString() == b.schema.simpleString()
-            assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    for automaton_bytes in (1 << 20, 60):
+        loose, strict = (
+            sorted((r.query_id, r.doc_id) for r in search.exact_match(queries, docs, case_sensitive=c, automaton_bytes=automaton_bytes).collect())
+            for c in (False, True)
+        )
+        every = [(3, 0), (3, 1), (3, 3), (3, 4), (3, 5)]
+        assert loose == sorted([(0, 0), (0, 4), (0, 5), (1, 0), *every, (5, 4), (6, 0), (6, 1), (7, 0), (7, 1)])
+        assert strict == sorted([(0, 0), (0, 4), *every, (5, 4), (6, 1), (7, 1)])
+    assert search.exact_match(queries.limit(0), docs).collect() == []
+    assert search.exact_match(queries, docs.limit(0)).collect() == []
+
+
+def test_automaton_against_plain_search():
+    """Keywords inside one another, overlapping, at the ends, and outside the basic plane."""
+    import random
+
+    draw = random.Random(1)
+    letters = "abé𝒳"
+    needles = [["".join(draw.choice(letters) for _ in range(draw.randint(1, 4))) for _ in range(draw.randint(0, 3))] for _ in range(60)]
+    held = search.automaton_of(needles)
+    for _ in range(40):
+        text = "".join(draw.choice(letters) for _ in range(draw.randint(0, 30)))
+        got = {h["q"]: h["positions"] for h in search.hits_in(text, *held)}
+        want = {q: [text.find(k) for k in row] for q, row in enumerate(needles) if all(k in text for k in row)}
+        assert got == want
 
 
 def test_first_documents(spark):

@@ -35,9 +35,9 @@ SHINGLE, PERCENT = 5, 80
 #: most frequent of at least ``LEAST`` are known to all tasks (16 bytes each).
 CHUNK, LEAST, FREQUENT, SEED_BITS, REACH = 2_000_000, 8, 1 << 18, 3, 48
 #: Rounds of one pivot a list before all pairs left are looked at.
-ROUNDS = 3
-#: Up to so many pairs are sent to the tasks (24 bytes each); beyond, sets are joined by shuffle.
-SENT_PAIRS = 2 << 20
+ROUNDS = 2
+#: Sizes of a band of the last step.
+_RATIO = 1.06
 
 _U = np.uint64
 
@@ -205,20 +205,20 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Only the last row and the current pivot are carried from batch to batch.
     """
-    names = ["token", "n", "grp", "pivot", "pivot_n"]
-    held = None  # last row: token, n, grp, pivot, pivot_n, whether an earlier row has its token
+    names = ["token", "n", "grp", "place", "pivot", "pivot_n"]
+    held = None  # last row: token, n, grp, place, pivot, pivot_n, whether an earlier row has its token
 
     def emit(rows: list[np.ndarray]) -> pa.RecordBatch:
-        kinds = [np.int64, np.int32, np.int64, np.int64, np.int32]
+        kinds = [np.int64, np.int32, np.int64, np.int32, np.int64, np.int32]
         return pa.RecordBatch.from_arrays([pa.array(r.astype(k)) for r, k in zip(rows, kinds, strict=True)], names)
 
     for b in batches:
-        token, n, grp = (np.asarray(b.column(i)).astype(np.int64) for i in range(3))
+        token, n, grp, place = (np.asarray(b.column(i)).astype(np.int64) for i in range(4))
         if held is not None:
-            token, n, grp = (np.concatenate([[x], y]) for x, y in zip(held[:3], (token, n, grp), strict=True))
+            token, n, grp, place = (np.concatenate([[x], y]) for x, y in zip(held[:4], (token, n, grp, place), strict=True))
         new = np.ones(len(token), bool)  # the same group comes once from each task
         new[1:] = (token[1:] != token[:-1]) | (grp[1:] != grp[:-1]) | (n[1:] != n[:-1])
-        token, n, grp = token[new], n[new], grp[new]
+        token, n, grp, place = token[new], n[new], grp[new], place[new]
         if not len(token):
             continue
         band = _band(n)
@@ -230,14 +230,14 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same[1:-1] = token[1:] == token[:-1]
         if held is not None:
             of_held = first == 0
-            pivot, pivot_n = np.where(of_held, held[3], pivot), np.where(of_held, held[4], pivot_n)
-            same[0] = held[5]
+            pivot, pivot_n = np.where(of_held, held[4], pivot), np.where(of_held, held[5], pivot_n)
+            same[0] = held[6]
         out = (same[:-1] | same[1:])[:-1]
         if out.any():
-            yield emit([x[:-1][out] for x in (token, n, grp, pivot, pivot_n)])
-        held = (token[-1], n[-1], grp[-1], pivot[-1], pivot_n[-1], bool(same[-2]))
-    if held is not None and held[5]:
-        yield emit([np.array([x]) for x in held[:5]])
+            yield emit([x[:-1][out] for x in (token, n, grp, place, pivot, pivot_n)])
+        held = (token[-1], n[-1], grp[-1], place[-1], pivot[-1], pivot_n[-1], bool(same[-2]))
+    if held is not None and held[6]:
+        yield emit([np.array([x]) for x in held[:6]])
 
 
 def _alike(n: str, m: str, percent: int) -> Column:
@@ -265,87 +265,30 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _sets_in_place(docs: DataFrame, key: str, text: str, size: int, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b, tokens: the set of b wherever a pair (a, b) needs it; b is null for the set of a.
-
-    The tasks know all pairs; only the row that stands for a class gives its set.
-    """
-    a, b = (np.asarray(c).astype(np.int64) for c in pairs.select("a", "b").toArrow().columns)
-    order = np.argsort(b, kind="stable")
-    hubs = np.unique(a)
-    ids = np.unique(np.concatenate([hubs, b]))
-    wanted = docs.sparkSession.createDataFrame(pa.table({"node": ids}))
-    stands = classes.join(wanted, "node").select("node", F.xxhash64("least_id").alias("row")).toArrow()
-    node, row = (np.asarray(stands[c]).astype(np.int64) for c in ("node", "row"))
-    at = np.argsort(node)
-    shared = docs.sparkSession.sparkContext.broadcast((node[at], row[at], b[order], a[order], hubs))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, rows, second, first_of, hub = shared.value
-        for batch in batches:
-            keys = np.asarray(batch.column(0)).astype(np.int64)
-            for start, h, cuts in distinct_sets(batch.column(1), size):
-                left, right, spans = [], [], []
-                for k, (x, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                    if z == x:
-                        continue
-                    own = _ids(h[x:z], z - x)
-                    i = np.searchsorted(nodes, own)
-                    if i == len(nodes) or nodes[i] != own or rows[i] != keys[start + k]:
-                        continue
-                    lo, hi = np.searchsorted(second, own), np.searchsorted(second, own, "right")
-                    places = [(p, own) for p in first_of[lo:hi].tolist()]
-                    j = np.searchsorted(hub, own)
-                    if j < len(hub) and hub[j] == own:
-                        places.append((own, None))
-                    for p, q in places:
-                        left.append(p)
-                        right.append(q)
-                        spans.append(h[x:z].view(np.int64))
-                        if len(left) == 1000:
-                            yield _placed(left, right, spans)
-                            left, right, spans = [], [], []
-                if left:
-                    yield _placed(left, right, spans)
-
-    keyed = _texts(docs, text, F.xxhash64(key).alias("key"))
-    return keyed.mapInArrow(run, "a bigint, b bigint, tokens array<bigint>")
-
-
-def _placed(left: list, right: list, spans: list) -> pa.RecordBatch:
-    ends = np.concatenate([[0], np.cumsum([len(s) for s in spans])]).astype(np.int32)
-    tokens = pa.ListArray.from_arrays(ends, np.concatenate(spans))
-    return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), tokens], ["a", "b", "tokens"])
-
-
-def _all_sets(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """node and tokens of every document."""
+def _sets_of(docs: DataFrame, key: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
+    """node and tokens of the classes ``wanted(node, least_id)``, from the row that stands for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, h, cuts in distinct_sets(b.column(0), size):
-                spans = [(x, z) for x, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if z > x]
-                if spans:
-                    own = [_ids(h[x:z], z - x) for x, z in spans]
-                    yield _placed(own, [None] * len(own), [h[x:z].view(np.int64) for x, z in spans]).select(["a", "tokens"])
+            for first, h, cuts in distinct_sets(b.column(1), size):
+                own = [_ids(h[a:z], z - a) if z > a else None for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                tokens = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(h.view(np.int64)))
+                ids = b.column(0).slice(first, len(own))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(own, pa.int64()), tokens], ["id", "node", "tokens"])
 
-    return _texts(docs, text).mapInArrow(run, "a bigint, tokens array<bigint>").withColumnRenamed("a", "node")
+    kind = docs.schema[key].dataType.simpleString()
+    found = _texts(docs, text, F.col(key).alias("id")).mapInArrow(run, f"id {kind}, node bigint, tokens array<bigint>")
+    stood = found.join(wanted.select("node", "least_id"), "node").where(F.col("id").eqNullSafe(F.col("least_id")))
+    return materialize(stood.select("node", "tokens").dropDuplicates(["node"]))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int, classes: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, classes: DataFrame) -> DataFrame:
     """u, v: the pairs (a, b) that reach the similarity."""
     pairs, count = materialize_counted(_possible(pairs, classes, percent))
     if not count:
         return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if count <= SENT_PAIRS:
-        sets = materialize(_sets_in_place(docs, key, text, size, pairs, classes))
-        second = sets.where(F.col("b").isNotNull()).withColumnRenamed("tokens", "y")
-    else:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = materialize(_all_sets(docs, text, size).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-        second = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-        sets = sets.select(F.col("node").alias("a"), "tokens", F.lit(None).alias("b"))
-    first = sets.where(F.col("b").isNull()).select("a", F.col("tokens").alias("x"))
+    second = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")).join(pairs, "b")
+    first = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
     common = F.size(F.array_intersect("x", "y"))
     return (
         second.join(first, "a")
@@ -354,6 +297,31 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int,
     )
 
 
+def _least_overlap(n: Column, m: Column, percent: int) -> Column:
+    """Common tokens that sets of two sizes need: ceil(p (n + m) / (100 + p))."""
+    return F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
+
+
+def _facing(postings: DataFrame, percent: int) -> DataFrame:
+    """Add ``low`` and ``high`` (bands of the two sizes) for every band that can still link there.
+
+    The first common token of a linking pair stands no farther back, in either set, than leaves
+    room for the overlap that their sizes need. A token farther back than that for the smallest
+    size of a band is not shown to that band.
+    """
+    here = F.col("band")
+    edge = F.ceil(F.pow(F.lit(_RATIO), F.col("other") - 1e-9) - 1e-6).cast("long")
+    smallest = F.greatest(edge, F.ceil(F.col("n") * percent / 100).cast("long"))
+    room = F.col("n") - _least_overlap(F.col("n"), smallest, percent) + 1
+    reach = F.ceil(F.log(F.lit(100.0 / percent)) / F.log(F.lit(_RATIO)) + 1).cast("int")
+    return (
+        postings.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(_RATIO)) + 1e-9).cast("int"))
+        .withColumn("other", F.explode(F.sequence(here - reach, here + reach)))
+        .where((100 * F.col("n") >= percent * edge) & (F.col("place") <= room))
+        .withColumns({"low": F.least(here, "other"), "high": F.greatest(here, "other"), "lower": here <= F.col("other")})
+    )
+
+
 def near_classes(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
@@ -374,11 +342,11 @@ def near_classes(
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = described.where(F.col("prefix").isNotNull()).select(
-        F.explode("prefix").alias("token"), F.col("n").cast("int").alias("n"), "grp"
-    )
+        F.posexplode("prefix").alias("place", "token"), F.col("n").cast("int").alias("n"), "grp"
+    ).select("token", "n", "grp", (F.col("place") + 1).alias("place"))
     met = materialize(
         postings.repartition(partitions, "token").sortWithinPartitions("token", "n", "grp")
-        .mapInArrow(_meetings, "token bigint, n int, grp bigint, pivot bigint, pivot_n int")
+        .mapInArrow(_meetings, "token bigint, n int, grp bigint, place int, pivot bigint, pivot_n int")
     )
     inside = classes.groupBy("grp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("k"))
     crowded = inside.where(F.col("k") > 1)
@@ -395,14 +363,15 @@ def near_classes(
     pairs = pairs.union(own.select(F.col("first").alias("a"), F.col("node").alias("b")))
     pairs = materialize(pairs.distinct())
     tried = _undirected(pairs)
-    links = materialize(_verified(pairs, docs, key, text, size, percent, classes))
-    roots = materialize(connected(links))
 
-    # what shares a token and is still apart
-    placed = met.select("token", "grp").union(crowded.select(F.col("grp").alias("token"), "grp"))
+    # what shares a token; members of one group share the first of their prefix
+    placed = met.select("token", "grp", "place").union(crowded.select(F.col("grp").alias("token"), "grp", F.lit(1).alias("place")))
     placed = placed.join(classes.select("grp", "node", "n"), "grp")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9)
-    placed = materialize(placed.select("token", "node", "n", band.alias("band")))
+    placed = materialize(placed.select("token", "node", "n", "place", band.alias("band")))
+    sets = _sets_of(docs, key, text, size, classes.join(placed.select("node").distinct(), "node", "left_semi"))
+    links = materialize(_verified(pairs, sets, percent, classes))
+    roots = materialize(connected(links))
 
     def still_apart() -> DataFrame:
         rooted = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -425,25 +394,30 @@ def near_classes(
         if not n:
             break
         tried = tried.union(_undirected(pairs))
-        more, n = materialize_counted(_verified(pairs, docs, key, text, size, percent, classes))
+        more, n = materialize_counted(_verified(pairs, sets, percent, classes))
         if not n:
             break
         links = links.union(more)
         roots = materialize(connected(links))
 
-    apart = materialize(still_apart())
-    left = apart.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"),
-                        F.col("node").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), F.col("band").alias("xband"))
-    right = apart.select("token", "band", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr"))
+    facing = materialize(_facing(still_apart().drop("band"), percent).select("token", "low", "high", "lower", "node", "n", "place", "root"))
+    left = facing.where("lower").select("token", "low", "high", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xp"), F.col("root").alias("xr"))
+    right = facing.where(~F.col("lower") | (F.col("low") == F.col("high"))).select(
+        "token", "low", "high", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yp"), F.col("root").alias("yr")
+    )
+    need = _least_overlap(F.col("xn"), F.col("yn"), percent)
     rest = (
-        left.join(right, ["token", "band"])
-        .where((F.col("xr") != F.col("yr")) & _alike("xn", "yn", percent)
-               & ((F.col("xband") < F.col("band")) | (F.col("x") < F.col("y"))))
+        left.join(right, ["token", "low", "high"])
+        .where(
+            (F.col("xr") != F.col("yr")) & _alike("xn", "yn", percent)
+            & (F.col("xp") <= F.col("xn") - need + 1) & (F.col("yp") <= F.col("yn") - need + 1)
+            & ((F.col("low") < F.col("high")) | (F.col("x") < F.col("y")))
+        )
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     )
     rest, n = materialize_counted(rest.join(tried, ["a", "b"], "left_anti"))
     if n:
-        links = links.union(_verified(rest, docs, key, text, size, percent, classes))
+        links = links.union(_verified(rest, sets, percent, classes))
         roots = materialize(connected(links))
 
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

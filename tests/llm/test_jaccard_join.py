@@ -87,13 +87,31 @@ def test_classes(spark, table, monkeypatch, seed, least):
     assert got == brute(rows)
 
 
-def test_sets_joined_by_shuffle(spark, table, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "SENT_PAIRS", 0)
-    rows = corpus(random.Random(3))
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_all_pairs_left(spark, table, monkeypatch, rounds):
+    """Without pivot rounds the last step alone has to find every link that the first left."""
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    rows = corpus(random.Random(3 + rounds))
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_classes(table(rows)).collect()), key=str)
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("percent", [80, 60])
+def test_faces_what_can_link(spark, percent):
+    """A posting is shown to the band of every size it can still link with, whatever its place."""
+    sizes = list(range(1, 40)) + [55, 80, 120, 200]
+    rows = [(n, p) for n in sizes for p in range(1, n - (percent * n + 99) // 100 + 2)]
+    df = spark.createDataFrame(rows, "n bigint, place int")
+    shown = {}
+    for r in jaccard_join._facing(df, percent).collect():
+        shown.setdefault((r.n, r.place), set()).add((r.low, r.high))
+    for n, p in rows:
+        for m, q in rows:
+            need = -(-percent * (n + m) // (100 + percent))
+            if 100 * min(n, m) >= percent * max(n, m) and p <= n - need + 1 and q <= m - need + 1:
+                assert shown[n, p] & shown[m, q], (n, p, m, q)
+
+
 def test_empty(spark):
     assert near_classes(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 

@@ -319,11 +319,11 @@ _NODES = f"""{_CHILDREN},
 leaf AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS node FROM ws),
 many AS (SELECT count(*) AS n FROM ws),
 inners AS (
-  SELECT n + step - 1 AS node, NULL AS label, coalesce(n + ls - 1, a.node) AS left_node, coalesce(n + rs - 1, b.node) AS right_node,
+  SELECT n + step - 1 AS node, CAST(NULL AS VARCHAR) AS label, coalesce(n + ls - 1, a.node) AS left_node, coalesce(n + rs - 1, b.node) AS right_node,
     size AS leaves, h AS height
   FROM kids JOIN leaf a ON a.w = kids.l JOIN leaf b ON b.w = kids.r, many
 ),
-nodes AS (SELECT * FROM inners UNION ALL SELECT node, w, NULL, NULL, 1, 0.0 FROM leaf),
+nodes AS (SELECT * FROM inners UNION ALL SELECT node, w, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 1, 0.0 FROM leaf),
 up AS (SELECT left_node AS node, node AS parent FROM inners UNION ALL SELECT right_node, node FROM inners),
 deep AS (
   SELECT node, 0 AS level FROM nodes WHERE node NOT IN (SELECT node FROM up)

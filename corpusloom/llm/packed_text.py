@@ -46,17 +46,23 @@ _powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least ``n`` of each; kept for the next piece."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, PIECE_BYTES + 1)
-        _powers[:] = []
-        for base in (_BASE, _INVERSE):
-            steps = np.full(size, base, _U)
-            steps[0] = 1
-            _powers.append(np.multiply.accumulate(steps))
+    """Powers of the base and of its inverse, at least ``n`` of each.
+
+    Tables for ordinary pieces are kept; those of a longer text go with it.
+    """
+    if n > PIECE_BYTES + 1:
+        return _powers_of(_BASE, n), _powers_of(_INVERSE, n)
+    if not _powers:
+        _powers[:] = [_powers_of(base, PIECE_BYTES + 1) for base in (_BASE, _INVERSE)]
     return _powers[0], _powers[1]
 
 
+def _powers_of(base: int, size: int) -> np.ndarray:
+    steps = np.full(size, base, _U)
+    steps[0] = 1
+    return np.multiply.accumulate(steps, out=steps)
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string array; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):

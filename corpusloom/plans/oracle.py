@@ -332,6 +332,92 @@ deep AS (
 )"""
 _LAST = 49
 
+# --- principal components by squaring the covariance matrix, one component after the other ---
+
+
+def _pca(group: str, k: int, squarings: int = 16) -> str:
+    """Tables up to ``pc(vec_id, label, c, val)``: coordinate ``c`` of every vector.
+
+    A symmetric matrix squared again and again keeps its leading eigenvector alone; the rows of
+    the square are inner products of rows. What a component explains is then taken out.
+    """
+    parts = [
+        f"""RECURSIVE vec AS (SELECT vec_id, label, {group} AS g, embedding::DOUBLE[] AS e FROM embeddings),
+flat AS (SELECT g, vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM vec),
+means AS (SELECT g, i, avg(x) AS m FROM flat GROUP BY ALL),
+centre AS (SELECT g, list(m ORDER BY i) AS m FROM means GROUP BY g),
+moment AS (SELECT a.g, a.i, b.i AS j, avg(a.x * b.x) AS v FROM flat a JOIN flat b ON a.g = b.g AND a.vec_id = b.vec_id GROUP BY ALL),
+c1 AS (SELECT v.g, v.i, list(v.v - a.m * b.m ORDER BY v.j) AS r FROM moment v JOIN means a ON a.g = v.g AND a.i = v.i
+       JOIN means b ON b.g = v.g AND b.i = v.j GROUP BY v.g, v.i)"""
+    ]
+    for c in range(1, k + 1):
+        parts.append(
+            f"""s{c} AS (
+  SELECT 0 AS step, g, i, r FROM c{c}
+  UNION ALL
+  SELECT step + 1, g, i, list_transform(r, lambda x: x / t) FROM (
+    SELECT step, g, i, r, sum(r[i]) OVER (PARTITION BY g) AS t FROM (
+      SELECT a.step, a.g, a.i, list(list_dot_product(a.r, b.r) ORDER BY b.i) AS r
+      FROM s{c} a JOIN s{c} b ON a.g = b.g GROUP BY a.step, a.g, a.i
+    )
+  ) WHERE step < {squarings}
+), w{c} AS (SELECT g, arg_max(r, r[i]) AS r FROM s{c} WHERE step = {squarings} GROUP BY g),
+v{c} AS (
+  SELECT g, list_transform(r, lambda x: x / sqrt(list_dot_product(r, r)) *
+    CASE WHEN list_max(r) >= -list_min(r) THEN 1 ELSE -1 END) AS v FROM w{c}
+), l{c} AS (SELECT c.g, sum(v[c.i] * list_dot_product(c.r, v)) AS l FROM c{c} c JOIN v{c} ON v{c}.g = c.g GROUP BY c.g)"""
+        )
+        if c < k:
+            parts.append(
+                f"c{c + 1} AS (SELECT c.g, c.i, list_transform(list_zip(c.r, v), lambda p: p[1] - l * v[c.i] * p[2]) AS r "
+                f"FROM c{c} c JOIN v{c} ON v{c}.g = c.g JOIN l{c} ON l{c}.g = c.g)"
+            )
+    each = " UNION ALL ".join(
+        f"SELECT vec_id, label, {c} AS c, list_dot_product(e, v) - list_dot_product(m, v) AS val "
+        f"FROM vec JOIN centre ON centre.g = vec.g JOIN v{c} ON v{c}.g = vec.g"
+        for c in range(1, k + 1)
+    )
+    return ", ".join([*parts, f"pc AS ({each})"])
+
+
+def _coordinates(names: list[str]) -> str:
+    return ", ".join(f"round(max(CASE WHEN c = {k} THEN val END), 6) AS {n}" for k, n in enumerate(names, 1))
+
+
+# --- fuzzy neighbour graph -----------------------------------------------------------
+
+
+def _fuzzy(k: int, steps: int = 64) -> str:
+    return f"""RECURSIVE nn AS ({_knn(k, "list_distance(a.e, b.e)", False)}),
+pts AS (
+  SELECT src, list(distance ORDER BY rank) AS d, coalesce(min(CASE WHEN distance > 0 THEN distance END), 0.0) AS rho, avg(distance) AS own
+  FROM nn GROUP BY src
+), bis AS (
+  SELECT src, d[2:{k}] AS d, rho, 0 AS step, 0.0::DOUBLE AS low, 'inf'::DOUBLE AS high, 1.0::DOUBLE AS mid, false AS done FROM pts
+  UNION ALL
+  SELECT src, d, rho, step + 1,
+    CASE WHEN ok OR w > log2({k}) THEN low ELSE mid END,
+    CASE WHEN NOT ok AND w > log2({k}) THEN mid ELSE high END,
+    CASE WHEN ok THEN mid WHEN w > log2({k}) THEN (low + mid) / 2 WHEN high = 'inf'::DOUBLE THEN mid * 2 ELSE (mid + high) / 2 END,
+    ok
+  FROM (
+    SELECT *, done OR abs(w - log2({k})) < 1e-5 AS ok FROM (
+      SELECT *, list_sum(list_transform(d, lambda x: CASE WHEN x > rho THEN exp(-(x - rho) / mid) ELSE 1.0 END)) AS w FROM bis WHERE step < {steps}
+    )
+  )
+), scaled AS (
+  SELECT pts.src, pts.rho, greatest(bis.mid, 0.001 * CASE WHEN pts.rho > 0 THEN own ELSE (SELECT avg(distance) FROM nn) END) AS sigma
+  FROM pts JOIN bis ON bis.src = pts.src AND bis.step = {steps}
+), arrow AS (
+  SELECT nn.src, nn.dst, CASE WHEN distance <= rho OR sigma = 0 THEN 1.0 ELSE exp(-(distance - rho) / sigma) END AS w
+  FROM nn JOIN scaled ON scaled.src = nn.src WHERE nn.src <> nn.dst
+), both_ways AS (
+  SELECT least(src, dst) AS a, greatest(src, dst) AS b, coalesce(max(CASE WHEN src < dst THEN w END), 0.0) AS f,
+    coalesce(max(CASE WHEN src > dst THEN w END), 0.0) AS r FROM arrow GROUP BY ALL
+)
+SELECT a AS src, b AS dst, round(f + r - f * r, 6) AS weight FROM both_ways WHERE f + r - f * r > 0"""
+
+
 
 def statements() -> dict[str, str]:
     """Query name to SQL."""
@@ -432,7 +518,13 @@ def statements() -> dict[str, str]:
             f"WITH {_EXACT}, k AS (SELECT query_id, doc_id, text, unnest(list_distinct(keywords)) AS keyword FROM hits) "
             "SELECT query_id, doc_id, keyword, strpos(lower(text), lower(keyword)) - 1 AS position FROM k"
         ),
-        "bm25_stats": f"WITH {_BM25} SELECT word, df, round(idf, 6) AS idf FROM idfs",
+        "bm25_stats": (
+            f"WITH said AS (SELECT unnest(list_distinct(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda t: trim(t, '{_PUNCT}')))) AS word FROM documents), "
+            f"freq AS (SELECT word, count(*) AS df FROM said WHERE word <> '' AND word NOT IN ({_STOP}) GROUP BY word), "
+            "raw AS (SELECT word, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM freq, (SELECT count(*) AS n FROM documents)), "
+            "usual AS (SELECT avg(r) AS m FROM raw) "
+            "SELECT word, df, round(CASE WHEN r < 0 THEN 0.25 * m ELSE r END, 6) AS idf FROM raw, usual"
+        ),
         "bm25_topk": (
             f"WITH {_BM25_TOP} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM allsc "
             "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5"
@@ -485,6 +577,10 @@ def statements() -> dict[str, str]:
         ),
         "knn_graph": _knn(50, "1.0 - round(list_dot_product(a.v, b.v), 6)", False),
         "knn_graph_grouped": _knn(20, "list_distance(a.e, b.e)", True),
+        "fuzzy_graph": f"WITH {_fuzzy(20)}",
+        "layout_2d": f"WITH {_pca('0', 2)} SELECT vec_id, {_coordinates(['x', 'y'])} FROM pc GROUP BY vec_id",
+        "layout_3d": f"WITH {_pca('0', 3)} SELECT vec_id, {_coordinates(['x', 'y', 'z'])} FROM pc GROUP BY vec_id",
+        "pca_project": f"WITH {_pca('label', 8)} SELECT vec_id, label, {_coordinates([f'pc{i}' for i in range(1, 9)])} FROM pc GROUP BY vec_id, label",
         "align_pad": _ALIGNED,
         "edge_table": (
             f"WITH k AS ({_knn(50, '1.0 - round(list_dot_product(a.v, b.v), 6)', False)}) "

@@ -47,7 +47,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Drop contaminated documents: benchmark windows cover a twentieth of their words or more."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    found = fm_index.decontaminate(whole, benchmark, keep=("row",))
+    found = fm_index.decontaminate(whole, benchmark, keep=("row",))  # rows stay where they are
     return found.where(~contaminated(F.col("n_words"), hit_words("spans"))).select("row.*")
 
 

@@ -37,7 +37,7 @@ CHUNK, LEAST, FREQUENT, SEED_BITS, REACH = 2_000_000, 8, 1 << 18, 3, 48
 #: Rounds of one pivot a list before all pairs left are looked at.
 ROUNDS = 2
 #: Sizes of a band of the last step.
-_RATIO = 1.06
+_RATIO = 1.12
 
 _U = np.uint64
 
@@ -278,8 +278,11 @@ def _sets_of(docs: DataFrame, key: str, text: str, size: int, wanted: DataFrame)
 
     kind = docs.schema[key].dataType.simpleString()
     found = _texts(docs, text, F.col(key).alias("id")).mapInArrow(run, f"id {kind}, node bigint, tokens array<bigint>")
-    stood = found.join(wanted.select("node", "least_id"), "node").where(F.col("id").eqNullSafe(F.col("least_id")))
-    return materialize(stood.select("node", "tokens").dropDuplicates(["node"]))
+    wanted, n_wanted = materialize_counted(wanted.select("node", "least_id"))
+    stood = found.join(wanted, "node").where(F.col("id").eqNullSafe(F.col("least_id"))).select("node", "tokens")
+    sets, n = materialize_counted(stood)
+    # more rows than classes: an id stands on several rows
+    return sets if n == n_wanted else materialize(sets.dropDuplicates(["node"]))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, classes: DataFrame) -> DataFrame:
@@ -288,7 +291,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, classes: DataFram
     if not count:
         return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
     second = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")).join(pairs, "b")
-    first = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
+    first = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")).join(pairs.select("a"), "a", "left_semi")
     common = F.size(F.array_intersect("x", "y"))
     return (
         second.join(first, "a")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.functions import vectors as V
 from corpusloom.operators import corpus, embeddings, graph, hierarchy, mentions, network, ordering, pairs, search
+from corpusloom.operators.lexical_index import LexicalIndex
 from corpusloom.operators.similarity import similar_pairs
 from corpusloom.runtime import materialize, scratch_dir, spread
 from corpusloom.schemas import ASSOCIATION, PROCESSED
@@ -306,6 +307,14 @@ def first_documents(spark, d):
     return search.first_documents(_documents(spark, d), 100).select("doc_id", "source")
 
 
+def bm25_indexed(spark, d):
+    """The passages indexed in two batches, then searched through the stored blocks."""
+    index = LexicalIndex(spark, _scratch(spark))
+    for k in range(2):
+        index.add(_passages(spark, d).where(F.col("doc_id") % 2 == k), f"part{k}")
+    return index.search(_text_queries(spark, d), 5)[0].select("query_id", "doc_id", "score", "rank")
+
+
 def bm25_topk(spark, d):
     return search.bm25_search(_text_queries(spark, d), _passages(spark, d), 5, keep_zero=True)
 
@@ -633,7 +642,7 @@ QUERIES = [
     vocabulary, word_strength, prune_network, association_matrix, distance_pairs, absent_distance,
     linkage_merges, linkage_single, linkage_complete, clusters_by_distance, clusters_by_count, clusters_by_threshold, cluster_sizes,
     cluster_count, cluster_sample, tree_nodes, truncated_tree, exact_match, keyword_positions,
-    bm25_stats, first_documents, bm25_topk, parse_embedding, cosine_pairs, centrality, central_extremes, semantic_topk,
+    bm25_stats, first_documents, bm25_topk, bm25_indexed, parse_embedding, cosine_pairs, centrality, central_extremes, semantic_topk,
     retrieve_priority, rerank_topk, search_report, training_pairs, pair_split, encoder_eval,
     knn_graph, knn_graph_grouped, fuzzy_graph, layout_2d, layout_3d, layout_spectral, edge_table,
     align_pad, length_mismatch, point_table, pca_project, embed_text, embed_text_tfidf, embed_profile,

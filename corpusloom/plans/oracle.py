@@ -529,6 +529,10 @@ def statements() -> dict[str, str]:
             f"WITH {_BM25_TOP} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM allsc "
             "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5"
         ),
+        "bm25_indexed": (
+            f"WITH {_BM25_TOP} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc "
+            "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5"
+        ),
         "first_documents": "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100",
         "parse_embedding": "SELECT vec_id, len(embedding) AS dim, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings",
         "cosine_pairs": (

@@ -36,6 +36,8 @@ SHINGLE, PERCENT = 5, 80
 CHUNK, LEAST, FREQUENT, SEED_BITS, REACH = 2_000_000, 8, 1 << 18, 3, 48
 #: Rounds of one pivot a list before all pairs left are looked at.
 ROUNDS = 2
+#: Classes that are sent to the pass that writes their sets (16 bytes each); more are joined by shuffle.
+SENT_CLASSES = 1 << 20
 #: Sizes of a band of the last step.
 _RATIO = 1.12
 
@@ -134,11 +136,11 @@ def _ids(tokens: np.ndarray, n: int) -> int:
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
-    """How many tokens fall into each of about ``n / 4`` even ranges of hashes, a byte each.
+    """How many tokens fall into each of ``n`` to ``2 n`` even ranges of hashes, a byte each.
 
     Empty, which filters nothing, if a range holds too many.
     """
-    bits = max(0, (len(tokens) // 4).bit_length())
+    bits = len(tokens).bit_length()
     counts = np.bincount((tokens >> _U(1) >> _U(63 - bits)).astype(np.int64), minlength=1 << bits)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
@@ -279,7 +281,8 @@ def _sets_of(docs: DataFrame, key: str, text: str, size: int, wanted: DataFrame)
     kind = docs.schema[key].dataType.simpleString()
     found = _texts(docs, text, F.col(key).alias("id")).mapInArrow(run, f"id {kind}, node bigint, tokens array<bigint>")
     wanted, n_wanted = materialize_counted(wanted.select("node", "least_id"))
-    stood = found.join(wanted, "node").where(F.col("id").eqNullSafe(F.col("least_id"))).select("node", "tokens")
+    few = F.broadcast(wanted) if n_wanted <= SENT_CLASSES else wanted
+    stood = found.join(few, "node").where(F.col("id").eqNullSafe(F.col("least_id"))).select("node", "tokens")
     sets, n = materialize_counted(stood)
     # more rows than classes: an id stands on several rows
     return sets if n == n_wanted else materialize(sets.dropDuplicates(["node"]))

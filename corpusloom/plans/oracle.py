@@ -387,8 +387,8 @@ def _coordinates(names: list[str]) -> str:
 # --- fuzzy neighbour graph -----------------------------------------------------------
 
 
-def _fuzzy(k: int, steps: int = 64) -> str:
-    return f"""RECURSIVE nn AS ({_knn(k, "list_distance(a.e, b.e)", False)}),
+def _fuzzy_raw(k: int, steps: int = 64) -> str:
+    return f"""WITH RECURSIVE nn AS ({_knn(k, "list_distance(a.e, b.e)", False)}),
 pts AS (
   SELECT src, list(distance ORDER BY rank) AS d, coalesce(min(CASE WHEN distance > 0 THEN distance END), 0.0) AS rho, avg(distance) AS own
   FROM nn GROUP BY src
@@ -415,8 +415,7 @@ pts AS (
   SELECT least(src, dst) AS a, greatest(src, dst) AS b, coalesce(max(CASE WHEN src < dst THEN w END), 0.0) AS f,
     coalesce(max(CASE WHEN src > dst THEN w END), 0.0) AS r FROM arrow GROUP BY ALL
 )
-SELECT a AS src, b AS dst, round(f + r - f * r, 6) AS weight FROM both_ways WHERE f + r - f * r > 0"""
-
+SELECT a AS src, b AS dst, f, r FROM both_ways WHERE f + r - f * r > 0"""
 
 
 def statements() -> dict[str, str]:
@@ -581,7 +580,7 @@ def statements() -> dict[str, str]:
         ),
         "knn_graph": _knn(50, "1.0 - round(list_dot_product(a.v, b.v), 6)", False),
         "knn_graph_grouped": _knn(20, "list_distance(a.e, b.e)", True),
-        "fuzzy_graph": f"WITH {_fuzzy(20)}",
+        "fuzzy_graph": f"SELECT src, dst, round(f + r - f * r, 6) AS weight FROM ({_fuzzy_raw(20)})",
         "layout_2d": f"WITH {_pca('0', 2)} SELECT vec_id, {_coordinates(['x', 'y'])} FROM pc GROUP BY vec_id",
         "layout_3d": f"WITH {_pca('0', 3)} SELECT vec_id, {_coordinates(['x', 'y', 'z'])} FROM pc GROUP BY vec_id",
         "pca_project": f"WITH {_pca('label', 8)} SELECT vec_id, label, {_coordinates([f'pc{i}' for i in range(1, 9)])} FROM pc GROUP BY vec_id, label",

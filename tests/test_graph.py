@@ -62,10 +62,26 @@ def test_spectral_layout_finds_the_leading_eigenvectors(points):
     deg = w.sum(1)
     m = w / np.sqrt(np.outer(deg, deg))
     top = np.sort(np.linalg.eigvalsh(m))[::-1]
-    rows = {r.id: (r.x, r.y) for r in graph.spectral_layout(edges, 2, 12).collect()}
+    rows = {r.id: (r.x, r.y) for r in graph.spectral_layout(edges, 2, 1e-7).collect()}
     v = np.array([rows[i] for i in range(n)])
-    assert np.allclose(v.T @ v, np.eye(2), atol=1e-6)
-    assert abs(v[:, 0] @ m @ v[:, 0] - top[1]) < 0.02
+    assert np.allclose(v.T @ v, np.eye(2), atol=1e-7)
+    for axis in (0, 1):
+        value = v[:, axis] @ m @ v[:, axis]
+        assert abs(value - top[axis + 1]) < 1e-9
+        assert np.linalg.norm(m @ v[:, axis] - value * v[:, axis]) < 1e-6
+        assert v[np.abs(v[:, axis]).argmax(), axis] > 0
+
+
+def test_spectral_layout_of_parts_and_of_a_tiny_graph(spark):
+    """Two parts: the first axis is constant (up to degree) on each and tells them apart."""
+    ring = [(i, (i + 1) % 7, 1.0) for i in range(7)] + [(10 + i, 10 + (i + 1) % 5, 1.0) for i in range(5)]
+    edges = spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in ring], "src long, dst long, weight double")
+    rows = {r.id: r.x for r in graph.spectral_layout(edges, 2).collect()}
+    first, second = ([v for i, v in rows.items() if (i < 10) == small] for small in (True, False))
+    assert np.ptp(first) < 1e-6 and np.ptp(second) < 1e-6 and first[0] * second[0] < 0
+    pair = spark.createDataFrame([(1, 2, 0.5)], "src long, dst long, weight double")
+    got = sorted((r.id, r.x, r.y) for r in graph.spectral_layout(pair, 2).collect())
+    assert np.allclose(sorted(x for _, x, _ in got), [-(0.5**0.5), 0.5**0.5], atol=1e-6)
 
 
 def test_layout_and_edge_table(points):

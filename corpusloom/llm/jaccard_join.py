@@ -33,7 +33,7 @@ SHINGLE, PERCENT = 5, 80
 #: that recur inside a run of ``CHUNK`` shingles, all those whose hash ends in ``SEED_BITS``
 #: zeros (a passage holds some), and those within ``REACH`` words of either. The ``FREQUENT``
 #: most frequent of at least ``LEAST`` are known to all tasks (16 bytes each).
-CHUNK, LEAST, FREQUENT, SEED_BITS, REACH = 2_000_000, 8, 1 << 18, 3, 48
+CHUNK, LEAST, FREQUENT, SEED_BITS, REACH = 1_000_000, 8, 1 << 18, 3, 48
 #: Rounds of one pivot a list before all pairs left are looked at.
 ROUNDS = 2
 #: Classes that are sent to the pass that writes their sets (16 bytes each); more are joined by shuffle.

@@ -9,6 +9,9 @@ import pyarrow as pa
 
 from corpusloom.llm.packed_text import LOWER, SPACED, mix, pieces, word_hashes, words
 
+#: Bytes of text worked on at once; a longer text is a run of its own.
+RUN_BYTES = 1 << 20
+
 _U = np.uint64
 _STEP = _U(0xD6E8FEB86659FD93)
 
@@ -49,14 +52,14 @@ def shingle_hashes(body: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np
 
 def ordered_shingles(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of rows: first row, shingle hashes in text order, the row of each in the run."""
-    for first, _, body, offsets in pieces(texts):
+    for first, _, body, offsets in pieces(texts, RUN_BYTES):
         with np.errstate(over="ignore"):
             yield first, *shingle_hashes(body, offsets, size)
 
 
 def distinct_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of rows: first row, all sets one after the other (each sorted), their borders."""
-    for first, stop, body, offsets in pieces(texts):
+    for first, stop, body, offsets in pieces(texts, RUN_BYTES):
         with np.errstate(over="ignore"):
             h, of = shingle_hashes(body, offsets, size)
         cuts = np.searchsorted(of, np.arange(stop - first + 1))

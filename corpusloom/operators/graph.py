@@ -191,7 +191,9 @@ def _best_mix(gram: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     Column ``i + m`` is column ``i`` after one more spreading.
     """
     q = len(gram) - m
-    scale = 1 / np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    length = np.maximum(np.diag(gram), 0.0)
+    spent = length <= 1e-24 * max(length.max(), 1e-300)  # a vector that the graph has sent to zero
+    scale = np.where(spent, 0.0, 1 / np.sqrt(np.where(spent, 1.0, length)))
     inner = gram[:q, :q] * np.outer(scale[:q], scale[:q])
     spread = gram[:q, m:] * scale[:q, None] * scale[None, :q]
     size, turn = np.linalg.eigh((inner + inner.T) / 2)

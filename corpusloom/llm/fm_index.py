@@ -247,9 +247,12 @@ def decontaminate(
     keep: tuple[str, ...] = (),
     window: int = WINDOW,
     pass_bytes: int = PASS_BYTES,
+    with_text: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, the columns ``keep``, n_words, spans, items.
 
+    ``with_text`` adds ``text`` (null as empty), which has been through the tasks anyway.
+
     ``spans`` are the removal spans, array of (start, end) in words, merged and sorted;
     ``items`` the distinct ids (as strings, sorted) of items with a window in the text. A
     window is ``window`` consecutive item words, or a shorter item whole. Null and empty texts
@@ -260,58 +263,56 @@ def decontaminate(
     spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
     passes = int(size // pass_bytes) + 1
+    kind = docs.schema[key].dataType.simpleString()
+    df = docs.select(
+        F.col(key).alias("doc_id"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.lit(0).cast("bigint").alias("n_words"),
+        F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"),
+        F.array().cast("array<string>").alias("items"),
+        *keep,
+    )
+    schema = f"doc_id {kind}, text string, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     slot = F.pmod(F.xxhash64(text), F.lit(passes))
-    found = []
     for k in range(passes):
         # a pass is bounded by pass_bytes on average; one item is never cut
         part = benchmark.select(F.col(item).cast("string"), text).where(F.col(text).isNotNull() & (slot == k))
         rows = [(r[0], r[1]) for r in part.collect()]
         shared = spark.sparkContext.broadcast((patterns(rows, window), [r[0] for r in rows]))
-        found.append(_searching(shared)(F.coalesce(F.col(text), F.lit(""))))
-    whole = _merging(*found) if passes > 1 else found[0]
-    searched = docs.select(F.col(key).alias("doc_id"), *keep, whole.alias("_found"))
-    return searched.select("doc_id", *keep, "_found.n_words", "_found.spans", "_found.items")
-
-
-_FOUND = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>"
-_FOUND_ARROW = pa.struct(
-    [
-        ("n_words", pa.int64()),
-        ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-        ("items", pa.list_(pa.string())),
-    ]
-)
+        df = df.mapInArrow(_searching(shared, first_pass=k == 0, blank=k == passes - 1 and not with_text), schema)
+    return df.select("doc_id", *keep, *(["text"] if with_text else []), "n_words", "spans", "items")
 
 
-def _searching(shared):
-    """Column function over a text: only texts go to the tasks' Python, and once a pass."""
-
-    @F.arrow_udf(_FOUND)
-    def search(texts: pa.Array) -> pa.Array:
+def _searching(shared, first_pass: bool, blank: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, names = shared.value
-        out = []
-        for _, n_words, spans, items in scan(texts, known):
-            for n, s, i in zip(n_words.tolist(), spans, items, strict=True):
-                said = sorted({names[k] for k in i if names[k] is not None})
-                out.append({"n_words": n, "spans": _merge([], s), "items": said})
-        return pa.array(out, _FOUND_ARROW)
-
-    return search.asNondeterministic()  # evaluated once
-
-
-def _merging(*found):
-    """One result from those of several passes."""
-
-    @F.arrow_udf(_FOUND)
-    def merge(passes: pa.Array) -> pa.Array:
-        out = []
-        for parts in passes.to_pylist():
-            spans = _merge([], [(s["start"], s["end"]) for p in parts for s in p["spans"]])
-            items = sorted({i for p in parts for i in p["items"]})
-            out.append({"n_words": parts[0]["n_words"], "spans": spans, "items": items})
-        return pa.array(out, _FOUND_ARROW)
-
-    return merge(F.array(*found))
+        for b in batches:
+            ids, texts, _, spans, items, *kept = b.columns
+            for first, n_words, new_spans, new_items in scan(texts, known):
+                n = len(n_words)
+                if first_pass:
+                    old_spans, old_items = [[]] * n, [[]] * n
+                else:
+                    old_spans, old_items = spans.slice(first, n).to_pylist(), items.slice(first, n).to_pylist()
+                merged = [_merge(o, m) for o, m in zip(old_spans, new_spans, strict=True)]
+                named = [
+                    sorted({*o, *(names[i] for i in m if names[i] is not None)})
+                    for o, m in zip(old_items, new_items, strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.slice(first, n),
+                        pa.array([""] * n, pa.string()) if blank else texts.slice(first, n),
+                        pa.array(n_words, pa.int64()),
+                        pa.array(merged, spans.type),
+                        pa.array(named, items.type),
+                        *[c.slice(first, n) for c in kept],
+                    ],
+                    names=b.schema.names,
+                )
+
+    return run
 
 
 def _merge(old: list[dict], new: list[tuple[int, int]]) -> list[dict]:

@@ -46,9 +46,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop contaminated documents: benchmark windows cover a twentieth of their words or more."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    found = fm_index.decontaminate(whole, benchmark, keep=("row",))  # rows stay where they are
-    return found.where(~contaminated(F.col("n_words"), hit_words("spans"))).select("row.*")
+    # the text goes to the tasks' Python once, the other columns beside it
+    others = [c for c in docs.columns if c != "text"]
+    rest = F.struct(F.col("text").isNull().alias("no_text"), *others)
+    found = fm_index.decontaminate(docs.select("doc_id", "text", rest.alias("rest")), benchmark, keep=("rest",), with_text=True)
+    text = F.when(~F.col("rest.no_text"), F.col("text")).alias("text")
+    clean = found.where(~contaminated(F.col("n_words"), hit_words("spans")))
+    return clean.select(*[text if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -158,7 +158,7 @@ def spectral_layout(
         gram = _gram(met, ["flat", *names])
         # everything is taken at right angles to the trivial axis
         along = gram[0, 1:] / gram[0, 0] if gram[0, 0] else gram[0, 1:]
-        mix, off = _best_mix(gram[1:, 1:] - np.outer(gram[0, 1:], along), m)
+        mix, off = _best_mix(gram[1:, 1:] - np.outer(gram[0, 1:], along), m, 1e-13 * np.diag(gram)[1:])
         m = mix.shape[1]  # a small graph has fewer directions
         block = materialize(met.select("id", "flat", *[
             _mixed([*names[: len(mix)], "flat"], np.append(mix[:, j], -along[: len(mix)] @ mix[:, j])).alias(f"v{j}") for j in range(m)
@@ -185,14 +185,15 @@ def _gram(met: DataFrame, names: list[str]) -> np.ndarray:
     return gram
 
 
-def _best_mix(gram: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+def _best_mix(gram: np.ndarray, m: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the leading vectors over the columns, and how far each is from an eigenvector.
 
-    Column ``i + m`` is column ``i`` after one more spreading.
+    Column ``i + m`` is column ``i`` after one more spreading. Columns whose square is at most
+    ``least`` hold rounding errors only.
     """
     q = len(gram) - m
     length = np.maximum(np.diag(gram), 0.0)
-    spent = length <= 1e-24 * max(length.max(), 1e-300)  # a vector that the graph has sent to zero
+    spent = length <= least
     scale = np.where(spent, 0.0, 1 / np.sqrt(np.where(spent, 1.0, length)))
     inner = gram[:q, :q] * np.outer(scale[:q], scale[:q])
     spread = gram[:q, m:] * scale[:q, None] * scale[None, :q]

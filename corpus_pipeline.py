@@ -48,11 +48,11 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     # the text goes to the tasks' Python once, the other columns beside it
     others = [c for c in docs.columns if c != "text"]
-    rest = F.struct(F.col("text").isNull().alias("no_text"), *others)
+    rest = F.struct(F.col("text").isNull().alias("no_text"), F.struct(*others).alias("row"))
     found = fm_index.decontaminate(docs.select("doc_id", "text", rest.alias("rest")), benchmark, keep=("rest",), with_text=True)
     text = F.when(~F.col("rest.no_text"), F.col("text")).alias("text")
     clean = found.where(~contaminated(F.col("n_words"), hit_words("spans")))
-    return clean.select(*[text if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
+    return clean.select(*[text if c == "text" else F.col("rest.row")[c].alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

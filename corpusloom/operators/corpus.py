@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators.ordering import with_row_ids
+from corpusloom.operators.word_pairs import count_pairs
 from corpusloom.runtime import materialize
 
 DEFAULT_WINDOW = 10
@@ -74,41 +75,30 @@ def term_frequency(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     return word_counts(df, tokens).orderBy(F.desc("frequency"), "word")
 
 
-def _pairs_within(df: DataFrame, tokens: str, window: int, singles: bool = False) -> DataFrame:
-    """Every token with each of the next ``window - 1`` tokens of the same row.
+def cooccurrence(
+    df: DataFrame, tokens: str = "tokens", window: int = DEFAULT_WINDOW, min_freq: int = 1
+) -> DataFrame:
+    """Ordered pair counts ``(word1, word2, n_pair)``; the window stops at the row border.
 
-    Two nested generators that stay inside one generated stage together with the partial
-    count, so the expanded pairs are never materialised. With ``singles`` every token also
-    appears once with a null partner, so one aggregate yields word counts and pair counts.
+    Pairs counted fewer than ``min_freq`` times are left out.
     """
-    heads = df.select(
-        F.col(tokens).alias("_t"), F.posexplode_outer(tokens).alias("_i", "word1")
-    ).filter(F.col("word1").isNotNull())
-    ahead = F.slice(F.col("_t"), F.col("_i") + 2, window - 1)
-    if singles:
-        partners = F.concat(ahead, F.array(F.lit(None).cast("string")))
-        return heads.select("word1", F.explode_outer(partners).alias("word2"))
-    return heads.select("word1", F.explode_outer(ahead).alias("word2")).filter(
-        F.col("word2").isNotNull()
-    )
-
-
-def _count_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("word1", "word2").agg(F.count(F.lit(1)).alias("n_pair"))
-
-
-def cooccurrence(df: DataFrame, tokens: str = "tokens", window: int = DEFAULT_WINDOW) -> DataFrame:
-    """Ordered pair counts ``(word1, word2, n_pair)``; the window stops at the row border."""
-    return _count_pairs(_pairs_within(df, tokens, window))
+    df = materialize(df.select(tokens))  # read for the words and for the pairs: tokenise once
+    return count_pairs(df, materialize(word_counts(df, tokens)), tokens, window, min_freq)
 
 
 def cooccurrence_stream(
-    df: DataFrame, order: list, tokens: str = "tokens", window: int = DEFAULT_WINDOW
+    df: DataFrame, order: list, tokens: str = "tokens", window: int = DEFAULT_WINDOW, min_freq: int = 1
 ) -> DataFrame:
     """Ordered pair counts over the concatenation of all rows in ``order``."""
     df = materialize(df.select(*order, tokens))
-    inside = _pairs_within(df, tokens, window)
-    return _count_pairs(inside.unionByName(_pairs_across(df, order, tokens, window)))
+    words = materialize(word_counts(df, tokens))
+    return count_pairs(_with_border_pairs(df, order, tokens, window), words, tokens, window, min_freq)
+
+
+def _with_border_pairs(df: DataFrame, order: list, tokens: str, window: int) -> DataFrame:
+    """The token lists, and every pair that crosses a row border as a list of two."""
+    across = _pairs_across(df, order, tokens, window).select(F.array("word1", "word2").alias(tokens))
+    return df.select(tokens).unionByName(across)
 
 
 def _pairs_across(df: DataFrame, order: list, tokens: str, window: int) -> DataFrame:
@@ -194,18 +184,11 @@ def pmi(
     """Association table of a token table, best first.
 
     With ``order`` the window runs over the whole token stream, else it stops at row borders.
-    The corpus is read once: a single aggregate counts words and pairs, and only the words
-    and the frequent pairs are written for the joins.
+    The corpus is tokenised once; the words and the frequent pairs are written for the joins.
     """
-    if order:  # the tokens are used for the pairs and for the edges: tokenise once
-        df = materialize(df.select(*order, tokens))
-    occurrences = _pairs_within(df, tokens, window, singles=True)
-    if order:
-        occurrences = occurrences.unionByName(_pairs_across(df, order, tokens, window))
-    single = F.col("word2").isNull()
-    kept = materialize(_count_pairs(occurrences).filter(single | (F.col("n_pair") >= min_freq)))
-    words = kept.filter(single).select(
-        F.col("word1").alias("word"), F.col("n_pair").alias("frequency")
-    )
-    scored = association(kept.filter(~single), words, window, min_freq, measure)
+    df = materialize(df.select(*(order or []), tokens))
+    words = materialize(word_counts(df, tokens))
+    lists = _with_border_pairs(df, order, tokens, window) if order else df
+    kept = materialize(count_pairs(lists, words, tokens, window, min_freq))
+    scored = association(kept, words, window, min_freq, measure)
     return scored.orderBy(F.desc("mi_score"), "word1", "word2")

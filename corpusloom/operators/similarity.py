@@ -3,28 +3,34 @@
 Small query sets (their size is measured first) are broadcast and every corpus partition
 keeps a running top-k per query. Larger ones use a block join: both sides are cut into
 blocks of bounded size that hold neighbouring vectors, block pairs whose best possible
-score is too low are dropped, and each remaining pair is one matrix product. Blocks are cut
-from range partitions on (group, cell, hash), so neither a hot group nor many copies of one
-vector ends up in one task.
+score is too low are dropped, and each remaining pair is one matrix product. A task holds a
+set of left blocks and meets right blocks one by one, so a block travels once a set and not
+once a pair, and a row hands on its k best of all it has met. Blocks are cut from range
+partitions on (group, cell, hash), so neither a hot group nor many copies of one vector ends
+up in one task.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.vectors import doubles, dot, unit
 from corpusloom.operators.descent import descend, walk
+from corpusloom.operators.ordering import with_row_ids
 from corpusloom.runtime import materialize
 
 BROADCAST_BYTES = 64 << 20  # largest query matrix sent to every executor
 _BLOCK_BYTES = 1 << 20
 _BLOCK_ROWS = 1024
+_TILE_BYTES = 32 << 20  # left vectors held by one task
+_STRIPE_BYTES = 128 << 20  # right vectors that pass by one task
 _CELLS = 1024  # at most; their centres are broadcast (a few MB)
 _PRODUCT_CELLS = 4 << 20  # scores held at once by one task
 _DECIMALS = 6  # scores are compared at this precision; ties go to the smaller id
@@ -246,40 +252,128 @@ def _block_pairs(left: DataFrame, right: DataFrame, pivots: np.ndarray, metric:
     )
 
 
-def _join_blocks(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    def side(blocks: DataFrame, name: str, extra: list[str]) -> DataFrame:
-        return blocks.select(*[F.col(c).alias(f"{name}_{c}") for c in ["block", "n", "ids", "data", *extra]])
+def _tiles(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of every tile: its left blocks, then its right blocks with the left ones they meet.
 
-    return (
-        pairs.join(side(left, "left", ["floors"]), "left_block")
-        .join(side(right, "right", []), "right_block")
-        .drop("grp")
+    A tile is a set of neighbouring left blocks, of at most ``_TILE_BYTES``, and one of several
+    stripes of the right blocks. A block travels once for every tile it is needed in.
+    """
+    tasks = 2 * pairs.sparkSession.sparkContext.defaultParallelism
+    weight = F.max(F.col("n") * F.size("center") * 8)
+    sizes = [side.agg(F.count(F.lit(1)).alias("blocks"), weight.alias("bytes")).first() for side in (left, right)]
+    held, passed = [(s.blocks, max(s.bytes or 1, 1)) for s in sizes]
+    per_set = max(1, min(_TILE_BYTES // held[1], held[0] // math.isqrt(tasks)))
+    sets = max(1, -(-held[0] // per_set))
+    stripes = min(max(-(-tasks // sets), -(-passed[0] * passed[1] // _STRIPE_BYTES)), max(1, passed[0]))
+
+    def placed(blocks: DataFrame, side: str, place: Column) -> DataFrame:
+        at = with_row_ids(blocks.select("grp", "cell", "block"), ["grp", "cell", "block"], "at")
+        return at.select(F.col("block").alias(f"{side}_block"), place.cast("int").alias(side))
+
+    met = (
+        pairs.join(placed(left, "left", F.floor(F.col("at") / per_set)), "left_block")
+        .join(placed(right, "right", F.col("at") % stripes), "right_block")
+        .select("left", "right", "left_block", "right_block")
+    )
+    met = materialize(met)
+
+    def side(keys: DataFrame, blocks: DataFrame, later: bool, floors: Column) -> DataFrame:
+        return keys.join(blocks, "block").select(
+            "left", "right", F.lit(later).alias("later"), "block", "n", "ids", "data", floors.alias("floors"), "lefts"
+        )
+
+    first = met.select("left", "right", F.col("left_block").alias("block"), F.array().cast("array<string>").alias("lefts"))
+    second = met.groupBy("left", "right", F.col("right_block").alias("block")).agg(F.collect_list("left_block").alias("lefts"))
+    rows = side(first.distinct(), left, False, F.col("floors")).unionByName(
+        side(second, right, True, F.array().cast("array<double>"))
     )
+    return rows.repartition(sets * stripes, "left", "right").sortWithinPartitions("left", "right", "later")
 
 
 def _matrix(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, dtype=float).reshape(n, -1)
 
 
-def _score_blocks(joined: DataFrame, k: int | None, metric: str, once: bool) -> DataFrame:
-    """One matrix product per block pair; ``once`` keeps each unordered id pair once."""
+def _over(left: np.ndarray, right: np.ndarray, floors: np.ndarray, metric: str):
+    """Flat (row, column, score) of the scores that reach the floor of their row."""
+    products = left @ right.T
+    if metric == "cosine":
+        rows, cols = np.nonzero(products >= (floors - _SLACK)[:, None])
+        scores = np.round(products[rows, cols], _DECIMALS)
+    else:
+        squares = (left**2).sum(1)[:, None] + (right**2).sum(1)[None, :] - 2 * products
+        rows, cols = np.nonzero(squares <= (np.maximum(_SLACK - floors, 0.0) ** 2)[:, None])
+        scores = np.round(-np.sqrt(np.maximum(squares[rows, cols], 0.0)), _DECIMALS)
+    keep = scores >= floors[rows]
+    return rows[keep], cols[keep], scores[keep]
+
+
+class _LeftBlock:
+    """A left block and the best candidates its rows have met."""
+
+    def __init__(self, row, k: int | None):
+        self.ids, self.matrix, self.k = np.asarray(row.ids), _matrix(row.data, row.n), k
+        self.floors = np.array(row.floors, dtype=float)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        self.found.append((rows, ids, scores))
+        self.waiting += len(rows)
+        if self.waiting > 2 * self.k * len(self.ids):
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keep the k best of every row; who has k of them needs the last one's score from now on."""
+        rows, ids, scores = _best(*(np.concatenate(part) for part in zip(*self.found)), self.k)
+        full = np.bincount(rows, minlength=len(self.ids)) >= self.k
+        worst = np.full(len(self.ids), np.inf)
+        np.minimum.at(worst, rows, scores)
+        self.floors = np.where(full, np.maximum(self.floors, worst), self.floors)
+        self.found, self.waiting = [(rows, ids, scores)], 0
+        return rows, ids, scores
+
+
+def _score_blocks(tiles: DataFrame, k: int | None, metric: str, once: bool) -> DataFrame:
+    """One matrix product per block pair; ``once`` keeps each unordered id pair once.
+
+    A tile holds its left blocks and meets the right ones one by one; with ``k`` it hands on the
+    best k of every row.
+    """
+
+    def best(held: dict[str, _LeftBlock]) -> Iterator[pd.DataFrame]:
+        for block in held.values():
+            if block.found:
+                rows, ids, scores = block.settle()
+                yield pd.DataFrame({"query_id": block.ids[rows], "id": ids, "score": scores})
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tile, held = None, {}
         for batch in batches:
             for row in batch.itertuples(index=False):
-                left_ids, right_ids = np.asarray(row.left_ids), np.asarray(row.right_ids)
-                found = _scores(_matrix(row.left_data, row.left_n), _matrix(row.right_data, row.right_n), metric)
-                rows, ids, scores = _candidates(found, right_ids, k, np.asarray(row.left_floors))
-                query = left_ids[rows]
-                if once:
-                    keep = query < ids if row.left_block == row.right_block else query != ids
-                    query, ids, scores = query[keep], ids[keep], scores[keep]
-                    query, ids = np.minimum(query, ids), np.maximum(query, ids)
-                elif k is not None:
-                    query, ids, scores = _best(query, ids, scores, k)
-                yield pd.DataFrame({"query_id": query, "id": ids, "score": scores})
-
-    return joined.mapInPandas(score, "query_id long, id long, score double")
+                if tile != (row.left, row.right):
+                    yield from best(held)
+                    tile, held = (row.left, row.right), {}
+                if not row.later:
+                    held[row.block] = _LeftBlock(row, k)
+                    continue
+                right_ids, right = np.asarray(row.ids), _matrix(row.data, row.n)
+                for name in row.lefts:
+                    block = held[name]
+                    rows, cols, scores = _over(block.matrix, right, block.floors, metric)
+                    if k is not None:
+                        if len(rows):
+                            block.add(rows, right_ids[cols], scores)
+                        continue
+                    query, ids = block.ids[rows], right_ids[cols]
+                    if once:
+                        keep = query < ids if name == row.block else query != ids
+                        query, ids, scores = query[keep], ids[keep], scores[keep]
+                        query, ids = np.minimum(query, ids), np.maximum(query, ids)
+                    yield pd.DataFrame({"query_id": query, "id": ids, "score": scores})
+        yield from best(held)
+
+    return tiles.mapInPandas(score, "query_id long, id long, score double")
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -318,7 +412,7 @@ def nearest(
     right = _blocks(c, pivots, metric)
     left = _blocks(q, pivots, metric)
     pairs = _block_pairs(left, right, pivots, metric)
-    return _ranked(_score_blocks(_join_blocks(pairs, left, right), k, metric, False), k)
+    return _ranked(_score_blocks(_tiles(pairs, left, right), k, metric, False), k)
 
 
 def neighbours(
@@ -354,7 +448,7 @@ def neighbours(
         pivots = _pivots(few)
         blocks = _blocks(few, pivots, metric, k=k)
         pairs = _block_pairs(blocks, blocks, pivots, metric)
-        hits = _ranked(_score_blocks(_join_blocks(pairs, blocks, blocks), k, metric, False), k)
+        hits = _ranked(_score_blocks(_tiles(pairs, blocks, blocks), k, metric, False), k)
     if seen.get["copies"] == 0:
         return hits
     hits = materialize(hits)
@@ -379,7 +473,7 @@ def similar_pairs(
     pairs = _block_pairs(blocks, blocks, pivots, "cosine").filter(
         F.col("left_block") <= F.col("right_block")
     )
-    scored = _score_blocks(_join_blocks(pairs, blocks, blocks), None, "cosine", True)
+    scored = _score_blocks(_tiles(pairs, blocks, blocks), None, "cosine", True)
     return scored.select(
         F.col("query_id").alias("a"), F.col("id").alias("b"), F.col("score").alias("similarity")
     )

@@ -146,3 +146,18 @@ def test_encoders(spark):
     assert all(len(r.embedding) == 16 for r in fitted.collect())
     trained = E.embed_text(df, "t")
     assert all(len(r.embedding) == 64 for r in trained.collect())
+
+
+def test_blocks_travel_once_a_set(spark, monkeypatch):
+    """Every block pair is scored, but the blocks are not sent once for each pair."""
+    monkeypatch.setattr(S, "_BLOCK_ROWS", 16)
+    x = np.random.default_rng(5).normal(size=(1200, 6))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, embedding array<double>")
+    rows = S._prepared(df, "id", "embedding", "cosine", None)
+    pivots = S._pivots(rows)
+    blocks = S._blocks(rows, pivots, "cosine")
+    pairs = S._block_pairs(blocks, blocks, pivots, "cosine")
+    sent = S._tiles(pairs, blocks, blocks).select("later", F.size("lefts").alias("n")).toPandas()
+    assert sent["n"].sum() == pairs.count() > 5000
+    assert len(sent) < pairs.count() / 4
+    check(S.neighbours(df, 7), expected(np.round(unit(x) @ unit(x).T, 6), 7))

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators.embeddings import pca_project
+from corpusloom.operators.ordering import with_row_ids
 from corpusloom.operators.similarity import neighbours
-from corpusloom.runtime import materialize
+from corpusloom.runtime import materialize, materialize_counted
 
 _STEPS = 64
 _TOLERANCE = 1e-5
 _MIN_SCALE = 1e-3
+_BLOCK_NODES = 1 << 16
 
 
 def knn_graph(
@@ -126,8 +129,9 @@ def spectral_layout(
 
     Block Krylov iteration: a few vectors are spread over the graph ``depth`` times, the best
     combinations of all that is met become the next start, until ``W v - t v`` is shorter than
-    ``tolerance`` for every axis (``restarts`` bounds the search). A spreading is one join and
-    one aggregate; only the small Gram matrix of the vectors visits the driver.
+    ``tolerance`` for every axis (``restarts`` bounds the search). Nodes are numbered once, and a
+    spreading joins blocks of links to blocks of vectors; only the small Gram matrix visits the
+    driver.
 
     Axes have unit length, their largest entry is positive, and the trivial axis (the root of the
     degree) is left out. In a graph of several parts the first axes tell parts from each other;
@@ -138,51 +142,106 @@ def spectral_layout(
         edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     )
     degree = both.groupBy("src").agg(F.sum("weight").alias("deg"))
-    links = materialize(
-        both.join(degree, "src")
-        .join(degree.select(F.col("src").alias("dst"), F.col("deg").alias("deg_dst")), "dst")
-        .select("src", "dst", (F.col("weight") / F.sqrt(F.col("deg") * F.col("deg_dst"))).alias("w"))
-    )
+    nodes, n = materialize_counted(with_row_ids(degree, ["src"], "at"))
+    size = min(_BLOCK_NODES, max(1024, n // edges.sparkSession.sparkContext.defaultParallelism))
+    links = _packed_links(both, nodes, size)
     noise = lambda j: (F.xxhash64(F.lit(j), F.col("src")) % 1_000_003).cast("double") / 1_000_003
-    block = materialize(degree.select(
-        F.col("src").alias("id"), F.sqrt("deg").alias("flat"), *[noise(j).alias(f"v{j}") for j in range(m)]
-    ))
+    rows = nodes.select((F.col("at") / size).cast("int").alias("block"), "at", F.array(F.sqrt("deg"), *[noise(j) for j in range(m)]).alias("row"))
+    block = materialize(rows.groupBy("block").applyInArrow(_pack_rows, _STATE))
     for _ in range(restarts):
-        met = block.select("id", "flat", *[F.col(f"v{j}").alias(f"b{j}") for j in range(m)])
-        last = block.drop("flat")
-        for step in range(1, depth + 1):
-            last = materialize(_spread(links, last, m))
-            met = met.join(last.select("id", *[F.col(f"v{j}").alias(f"b{step * m + j}") for j in range(m)]), "id")
-        met = materialize(met)
-        names = [f"b{i}" for i in range(m * (depth + 1))]
-        gram = _gram(met, ["flat", *names])
+        met = block
+        for _ in range(depth):
+            met = materialize(_spread(links, met, m))
+        gram = _gram(met, m * (depth + 1) + 1)
         # everything is taken at right angles to the trivial axis
         along = gram[0, 1:] / gram[0, 0] if gram[0, 0] else gram[0, 1:]
         mix, off = _best_mix(gram[1:, 1:] - np.outer(gram[0, 1:], along), m, 1e-13 * np.diag(gram)[1:])
         m = mix.shape[1]  # a small graph has fewer directions
-        block = materialize(met.select("id", "flat", *[
-            _mixed([*names[: len(mix)], "flat"], np.append(mix[:, j], -along[: len(mix)] @ mix[:, j])).alias(f"v{j}") for j in range(m)
-        ]))
+        block = materialize(_mixed(met, np.vstack([-along[: len(mix)] @ mix, mix])))
         if not m or (off[:k] <= tolerance).all():  # the test is good to about 8 digits
             break
-    top = block.agg(*[F.struct(F.max(f"v{j}"), F.min(f"v{j}")).alias(f"v{j}") for j in range(m)]).first() if m else ()
-    sign = [1.0 if hi >= -lo else -1.0 for hi, lo in top]
+    placed = materialize(_rows_of(block, m, size))
+    top = placed.agg(*[F.struct(F.max(f"v{j}"), F.min(f"v{j}")).alias(f"v{j}") for j in range(m)]).first() if m else ()
+    sign = [1.0 if hi is None or hi >= -lo else -1.0 for hi, lo in top]
     axes = [(F.col(f"v{j}") * sign[j] if j < m else F.lit(0.0)).alias("xyz"[j]) for j in range(k)]
-    return block.select("id", *axes)
+    return nodes.select(F.col("src").alias("id"), "at").join(placed, "at").select("id", *axes)
+
+
+# A block holds the vectors of consecutive nodes as one matrix: those met before (the root of the
+# degree first) and the last ones.
+_STATE = "block int, n int, met binary, last binary"
+
+
+def _floats(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=float).reshape(n, len(data) // (8 * n))
+
+
+def _packed_links(both: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """``(src_block, dst_block, src, dst, w)``: the normalised links between two blocks as arrays, by ``src``."""
+    ends = [nodes.select(F.col("src").alias(e), F.col("deg").alias(f"deg_{e}"), F.col("at").alias(f"at_{e}")) for e in ("src", "dst")]
+    weighed = both.join(ends[0], "src").join(ends[1], "dst").select(
+        *[(F.col(f"at_{e}") / size).cast("int").alias(f"{e}_block") for e in ("src", "dst")],
+        *[(F.col(f"at_{e}") % size).cast("int").alias(e) for e in ("src", "dst")],
+        (F.col("weight") / F.sqrt(F.col("deg_src") * F.col("deg_dst"))).alias("w"),
+    )
+
+    def pack(links: pa.Table) -> pa.Table:
+        links = links.sort_by([("src", "ascending"), ("dst", "ascending")])
+        arrays = {c: [links[c].to_numpy().tobytes()] for c in ("src", "dst", "w")}
+        return pa.table({"src_block": links["src_block"][:1], "dst_block": links["dst_block"][:1]} | arrays)
+
+    schema = "src_block int, dst_block int, src binary, dst binary, w binary"
+    return materialize(weighed.groupBy("src_block", "dst_block").applyInArrow(pack, schema))
+
+
+def _state_row(block: int, met: np.ndarray, last: np.ndarray) -> pa.Table:
+    return pa.table({
+        "block": pa.array([block], pa.int32()), "n": pa.array([len(met)], pa.int32()), "met": [met.tobytes()], "last": [last.tobytes()],
+    })
 
 
-def _mixed(names: list[str], weights: np.ndarray) -> Column:
-    return sum(float(c) * F.col(n) for n, c in zip(names, weights, strict=True))
+def _pack_rows(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("at")
+    matrix = np.stack(rows["row"].to_numpy())
+    return _state_row(rows["block"][0].as_py(), matrix[:, :1], matrix[:, 1:])
 
 
-def _gram(met: DataFrame, names: list[str]) -> np.ndarray:
-    """Inner products of the named columns."""
-    cells = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    row = met.agg(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in cells]).first()
-    gram = np.zeros((len(names), len(names)))
-    for (i, j), v in zip(cells, row, strict=True):
-        gram[i, j] = gram[j, i] = v or 0.0
-    return gram
+def _mixed(met: DataFrame, mix: np.ndarray) -> DataFrame:
+    """The start of the next round: combinations of the root of the degree and all but the last vectors."""
+
+    def start(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                held = _floats(r["met"], r["n"])
+                yield from _state_row(r["block"], held[:, :1].copy(), held[:, : len(mix)] @ mix).to_batches()
+
+    return met.mapInArrow(start, _STATE)
+
+
+def _rows_of(block: DataFrame, m: int, size: int) -> DataFrame:
+    def rows(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                last = np.frombuffer(r["last"], dtype=float).reshape(r["n"], m)
+                at = pa.array(r["block"] * size + np.arange(r["n"]), pa.int64())
+                yield pa.RecordBatch.from_arrays([at, *map(pa.array, last.T.copy())], names=["at", *[f"v{j}" for j in range(m)]])
+
+    return block.mapInArrow(rows, ", ".join(["at long", *[f"v{j} double" for j in range(m)]]))
+
+
+def _gram(met: DataFrame, width: int) -> np.ndarray:
+    """Inner products of all vectors met."""
+
+    def products(batches):
+        total = np.zeros((width, width))
+        for batch in batches:
+            for r in batch.to_pylist():
+                x = np.hstack([_floats(r["met"], r["n"]), _floats(r["last"], r["n"])])
+                total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
+
+    parts = met.coalesce(4 * met.sparkSession.sparkContext.defaultParallelism).mapInArrow(products, "sums binary").collect()
+    return sum((np.frombuffer(p.sums).reshape(width, width) for p in parts), np.zeros((width, width)))
 
 
 def _best_mix(gram: np.ndarray, m: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,15 +269,34 @@ def _best_mix(gram: np.ndarray, m: int, least: np.ndarray) -> tuple[np.ndarray,
 
 
 def _spread(links: DataFrame, state: DataFrame, m: int) -> DataFrame:
-    """Half a step of diffusion: ``(W + I) / 2`` applied to the vectors."""
-    moved = links.join(state.withColumnRenamed("id", "dst"), "dst").select(
-        F.col("src").alias("id"), *[(F.col("w") * F.col(f"v{j}")).alias(f"v{j}") for j in range(m)]
-    )
-    return (
-        moved.unionByName(state)
-        .groupBy("id")
-        .agg(*[(F.sum(f"v{j}") / 2).alias(f"v{j}") for j in range(m)])
-    )
+    """Half a step of diffusion: ``(W + I) / 2`` applied to the last vectors, which join those met."""
+    schema = f"{_STATE}, rows binary, moved binary"
+
+    def move(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                src, dst = np.frombuffer(r["src"], np.int32), np.frombuffer(r["dst"], np.int32)
+                parts = np.frombuffer(r["w"])[:, None] * _floats(r["last"], r["n"])[dst]
+                starts = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["src_block"]], pa.int32()), pa.array([None], pa.int32()), *[pa.array([None], pa.binary())] * 2,
+                     pa.array([src[starts].tobytes()]), pa.array([np.add.reduceat(parts, starts).tobytes()])],
+                    names=["block", "n", "met", "last", "rows", "moved"],
+                )
+
+    def add(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        own = next(r for r in rows if r["n"] is not None)
+        met, last = _floats(own["met"], own["n"]), _floats(own["last"], own["n"])
+        total = last.copy()
+        for r in rows:
+            if r["n"] is None:
+                total[np.frombuffer(r["rows"], np.int32)] += np.frombuffer(r["moved"]).reshape(-1, m)
+        return _state_row(own["block"], np.hstack([met, last]), total / 2)
+
+    moved = links.join(state.select(F.col("block").alias("dst_block"), "n", "last"), "dst_block").mapInArrow(move, schema)
+    own = state.select("*", *[F.lit(None).cast("binary").alias(c) for c in ("rows", "moved")])
+    return moved.unionByName(own).groupBy("block").applyInArrow(add, _STATE)
 
 
 # --- point and edge tables -----------------------------------------------------------

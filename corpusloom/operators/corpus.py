@@ -92,13 +92,8 @@ def cooccurrence_stream(
     """Ordered pair counts over the concatenation of all rows in ``order``."""
     df = materialize(df.select(*order, tokens))
     words = materialize(word_counts(df, tokens))
-    return count_pairs(_with_border_pairs(df, order, tokens, window), words, tokens, window, min_freq)
-
-
-def _with_border_pairs(df: DataFrame, order: list, tokens: str, window: int) -> DataFrame:
-    """The token lists, and every pair that crosses a row border as a list of two."""
-    across = _pairs_across(df, order, tokens, window).select(F.array("word1", "word2").alias(tokens))
-    return df.select(tokens).unionByName(across)
+    across = materialize(_pairs_across(df, order, tokens, window))
+    return count_pairs(df, words, tokens, window, min_freq, across)
 
 
 def _pairs_across(df: DataFrame, order: list, tokens: str, window: int) -> DataFrame:
@@ -173,7 +168,7 @@ def association(
     )
 
 
-def pmi(
+def pmi_pairs(
     df: DataFrame,
     tokens: str = "tokens",
     window: int = DEFAULT_WINDOW,
@@ -181,14 +176,25 @@ def pmi(
     order: list | None = None,
     measure: Callable[[Column, Column, Column, Column], Column] = pmi_measure,
 ) -> DataFrame:
-    """Association table of a token table, best first.
+    """Association table of a token table, in no order.
 
     With ``order`` the window runs over the whole token stream, else it stops at row borders.
     The corpus is tokenised once; the words and the frequent pairs are written for the joins.
     """
     df = materialize(df.select(*(order or []), tokens))
     words = materialize(word_counts(df, tokens))
-    lists = _with_border_pairs(df, order, tokens, window) if order else df
-    kept = materialize(count_pairs(lists, words, tokens, window, min_freq))
-    scored = association(kept, words, window, min_freq, measure)
-    return scored.orderBy(F.desc("mi_score"), "word1", "word2")
+    across = materialize(_pairs_across(df, order, tokens, window)) if order else None
+    kept = materialize(count_pairs(df, words, tokens, window, min_freq, across))
+    return association(kept, words, window, min_freq, measure)
+
+
+def pmi(
+    df: DataFrame,
+    tokens: str = "tokens",
+    window: int = DEFAULT_WINDOW,
+    min_freq: int = DEFAULT_MIN_FREQ,
+    order: list | None = None,
+    measure: Callable[[Column, Column, Column, Column], Column] = pmi_measure,
+) -> DataFrame:
+    """``pmi_pairs``, best first."""
+    return pmi_pairs(df, tokens, window, min_freq, order, measure).orderBy(F.desc("mi_score"), "word1", "word2")

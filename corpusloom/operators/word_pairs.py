@@ -1,9 +1,11 @@
 """Counts of word pairs inside a window, kept small between the tasks.
 
-A task numbers the words of a block of tokens, sorts the pairs of the block and hands on each
-distinct pair once. Pairs of two words of a shared word list are dealt by a hash of their two
-numbers and travel as sorted, compressed differences; pairs with any other word travel as words,
-dealt by a hash of both. So a pair takes a few bytes, and every part is summed on its own.
+A first pass bounds, for every word, the pairs it can lead and the pairs it can end; a word that
+stays under the least count on both sides is left out. A task numbers the other words of a block
+of tokens, sorts the pairs of the block and hands on each distinct pair once. Pairs of two words
+of a shared word list are cut into ranges of their order and travel as compressed differences;
+pairs with any other word travel as words, dealt by a hash of both. So a pair takes a few bytes,
+and every part is summed on its own.
 """
 
 from __future__ import annotations
@@ -17,41 +19,152 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LIST_WORDS = 1 << 20  # the most frequent words, sent to every task (some 16 MB)
-_BITS = 20
+from corpusloom.runtime import materialize
+
+_LIST_WORDS = 1 << 21  # the most frequent words, sent to every task (some 32 MB)
+_BITS = 21
 _BLOCK_TOKENS = 1 << 20
 _PART_PAIRS = 1 << 22  # pairs of one part, before equal ones are summed
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
-_ROW = "part int, pairs binary, counts binary, word1 array<string>, word2 array<string>, n array<long>"
+_SLICE_PAIRS = 1 << 20  # pairs that leave a task as words in one batch
+_ROW = pa.schema([
+    ("part", pa.int32()), ("pairs", pa.binary()), ("counts", pa.binary()),
+    ("word1", pa.list_(pa.string())), ("word2", pa.list_(pa.string())), ("n", pa.list_(pa.int64())),
+])
+_ROW_TYPE = "part int, pairs binary, counts binary, word1 array<string>, word2 array<string>, n array<long>"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """Blocks of whole token lists: the number of each token, the words numbered, the row of each token.
+
+    Null tokens have the number -1.
+    """
+    def block() -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        whole = pa.chunked_array(held).combine_chunks()
+        sizes = pc.fill_null(pc.list_value_length(whole), 0).to_numpy(zero_copy_only=False)
+        coded = whole.flatten().dictionary_encode()
+        codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return codes, coded.dictionary, np.repeat(np.arange(len(sizes)), sizes)
+
+    held, size = [], 0
+    for batch in batches:
+        lists = batch.column(0)
+        held.append(lists.cast(pa.list_(pa.string())) if lists.type != pa.list_(pa.string()) else lists)
+        size += len(lists.flatten())
+        if size >= _BLOCK_TOKENS:
+            yield block()
+            held, size = [], 0
+    if held:
+        yield block()
+
+
+def _close_repeats(codes: np.ndarray, row: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a word stands again in its row after fewer than ``reach`` tokens, and where it stood before."""
+    order = np.argsort(codes, kind="stable")
+    before, again = order[:-1], order[1:]
+    close = (codes[before] == codes[again]) & (codes[again] >= 0) & (again - before < reach) & (row[before] == row[again])
+    return before[close], again[close]
+
+
+def _more_than_places(codes: np.ndarray, row: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, how many of the next (of the last) ``reach`` tokens repeat another one of them.
+
+    No word stands there more often than that and once; places of other rows may be counted along.
+    """
+    before, again = _close_repeats(codes, row, reach)
+    n = len(codes)
+    following, preceding = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    np.add.at(following, np.maximum(again - reach, 0), 1)
+    np.add.at(following, before, -1)
+    np.add.at(preceding, again + 1, 1)
+    np.add.at(preceding, np.minimum(before + reach + 1, n), -1)
+    return np.cumsum(following[:-1]), np.cumsum(preceding[:-1])
+
+
+def _able_words(df: DataFrame, words: DataFrame, tokens: str, reach: int, min_freq: int, across: DataFrame | None) -> DataFrame:
+    """The words that may begin or end a pair counted ``min_freq`` times.
+
+    A word leads a pair once for each of its places, once more for each repeat behind the place,
+    and once for each of its pairs in ``across``; so it is with the pairs it ends.
+    """
 
+    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, own, row in _blocks(batches):
+            more = _more_than_places(codes, row, reach)
+            sums = [np.bincount(codes[codes >= 0], weights=x[codes >= 0], minlength=len(own)).astype(np.int64) for x in more]
+            some = pa.array((sums[0] > 0) | (sums[1] > 0))
+            yield pa.RecordBatch.from_arrays([own, *map(pa.array, sums)], ["word", "leads", "ends"]).filter(some)
 
-def _word_list(words: DataFrame) -> tuple[pa.Array, int]:
-    """The words down to the lowest frequency at which they fit, and that frequency."""
+    more = df.select(tokens).mapInArrow(repeats, "word string, leads long, ends long")
+    if across is not None:
+        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+        more = more.unionByName(across.select(F.col("word1").alias("word"), one.alias("leads"), none.alias("ends")))
+        more = more.unionByName(across.select(F.col("word2").alias("word"), none.alias("leads"), one.alias("ends")))
+    more = more.groupBy("word").agg(F.greatest(F.sum("leads"), F.sum("ends")).alias("more"))
+    return (
+        words.join(more, "word", "left")
+        .where(F.col("frequency") + F.coalesce("more", F.lit(0)) >= min_freq).select("word", "frequency")
+    )
+
+
+def _word_list(words: DataFrame) -> tuple[pa.Array, np.ndarray, bool]:
+    """The words down to the lowest frequency at which they fit, their frequencies, and whether others are left."""
     sizes = words.groupBy("frequency").agg(F.count(F.lit(1)).alias("n")).toArrow()
     frequency, n = sizes["frequency"].to_numpy(), sizes["n"].to_numpy()
     order = np.argsort(-frequency)
     fits = order[np.cumsum(n[order]) <= _LIST_WORDS]
     least = int(frequency[fits].min()) if len(fits) else int(frequency.max(initial=0)) + 1
-    held = words.where(F.col("frequency") >= least).toArrow()
-    return held.sort_by([("frequency", "descending"), ("word", "ascending")])["word"].combine_chunks(), least
+    held = words.where(F.col("frequency") >= least).select("word", "frequency").toArrow()
+    held = held.sort_by([("frequency", "descending"), ("word", "ascending")])
+    return held["word"].combine_chunks(), held["frequency"].to_numpy(), len(fits) < len(n)
+
+
+def _borders(frequency: np.ndarray, parts: int) -> np.ndarray:
+    """Keys that cut the pairs of the word list into parts of about one size.
+
+    A word leads pairs in proportion to its frequency, and so do its partners; so a frequent
+    word's pairs are cut again by their partner.
+    """
+    ends = np.cumsum(frequency)
+    if not len(ends) or parts < 2:
+        return np.array([], np.int64)
+    total = int(ends[-1])
+    at = np.arange(1, parts) * (total / parts)
+    first = np.minimum(np.searchsorted(ends, at, "right"), len(ends) - 1)
+    inside = (at - (ends[first] - frequency[first])) / frequency[first]
+    second = np.minimum(np.searchsorted(ends, inside * total, "right"), len(ends) - 1)
+    return np.maximum.accumulate((first << _BITS) + second)
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Byte planes of the values, compressed, behind their number."""
-    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+    """Byte planes of the values, compressed, behind their number and width."""
+    most = int(values.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
+    planes = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    return len(values).to_bytes(8, "little") + bytes([width]) + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd", asbytes=True)
-    return np.frombuffer(planes, np.uint8).reshape(8, n).T.copy().view("<u8").ravel().astype(np.int64)
+    n, width = int.from_bytes(data[:8], "little"), data[8]
+    planes = pa.decompress(data[9:], decompressed_size=width * n, codec="zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(width, n).T.copy().view(f"<u{width}").ravel().astype(np.int64)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Keys in order: the first one, then their differences."""
+    return int(keys[0]).to_bytes(8, "little") + _pack(np.diff(keys))
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.r_[int.from_bytes(data[:8], "little"), _unpack(data[8:])])
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and how often each occurs (or the sum of its counts)."""
     if counts is None:
         keys = np.sort(keys)
+    elif int(counts.max(initial=0)) < 1 << (63 - 2 * _BITS) and int(keys.max(initial=0)) < 1 << (2 * _BITS):
+        both = np.sort((keys << (63 - 2 * _BITS)) | counts)  # key and count sort as one number
+        keys, counts = both >> (63 - 2 * _BITS), both & ((1 << (63 - 2 * _BITS)) - 1)
     else:
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
@@ -60,14 +173,6 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[starts], total
 
 
-def _split(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(parts, kind="stable")
-    ordered = parts[order]
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(parts) else []
-    for start, end in zip(starts, [*starts[1:], len(parts)]):
-        yield int(ordered[start]), order[start:end]
-
-
 def _window_keys(codes: np.ndarray, row: np.ndarray, start: int, end: int, reach: int, base: int) -> np.ndarray:
     """``head * base + partner`` of the tokens ``start`` to ``end``; codes under 0 are no words."""
     found = []
@@ -81,94 +186,81 @@ def _window_keys(codes: np.ndarray, row: np.ndarray, start: int, end: int, reach
     return np.concatenate(found) if found else np.array([], np.int64)
 
 
-def _block_rows(lists: pa.ChunkedArray, listed: pa.Array, reach: int, parts: int, rare: bool) -> Iterator[dict]:
-    """Rows of one block of token lists; very long lists are taken in stretches."""
-    whole = lists.combine_chunks()
-    tokens = whole.flatten()
-    sizes = pc.fill_null(pc.list_value_length(whole), 0).to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    coded = tokens.dictionary_encode()
-    local = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    words = coded.dictionary
-    known = pc.fill_null(pc.index_in(words, value_set=listed), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    number = np.r_[known, -1][local]  # the last entry stands for null tokens
-    if rare:
-        hashes = pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False)
-    for start in range(0, len(local), _BLOCK_TOKENS):
-        end = min(start + _BLOCK_TOKENS, len(local))
-        keys, counts = _summed(_window_keys(number, row, start, end, reach, 1 << _BITS))
-        dealt = ((keys.astype(np.uint64) * _SPREAD) >> np.uint64(33)).astype(np.int64) % parts
-        for part, at in _split(dealt):
-            yield {"part": part, "pairs": _pack(np.diff(keys[at], prepend=0)), "counts": _pack(counts[at])}
-        if not rare:
-            continue
-        keys, counts = _summed(_window_keys(local, row, start, end, reach, len(words)))
-        first, second = keys // max(len(words), 1), keys % max(len(words), 1)
-        other = (known[first] < 0) | (known[second] < 0)
-        first, second, counts = first[other], second[other], counts[other]
-        dealt = ((hashes[first] * np.uint64(31) + hashes[second]) % np.uint64(parts)).astype(np.int64)
-        for part, at in _split(dealt):
-            yield {"part": part, "word1": words.take(first[at]), "word2": words.take(second[at]), "n": counts[at]}
+def _listed_rows(codes: np.ndarray, row: np.ndarray, start: int, end: int, reach: int, borders: np.ndarray) -> pa.RecordBatch:
+    """One row for each part that has pairs of listed words in the stretch."""
+    keys, counts = _summed(_window_keys(codes, row, start, end, reach, 1 << _BITS))
+    cuts = np.r_[0, np.searchsorted(keys, borders), len(keys)]
+    parts = np.flatnonzero(np.diff(cuts))
+    spans = [slice(cuts[p], cuts[p + 1]) for p in parts]
+    columns = {
+        "part": pa.array(parts, pa.int32()),
+        "pairs": pa.array([_pack_keys(keys[s]) for s in spans], pa.binary()),
+        "counts": pa.array([_pack(counts[s]) for s in spans], pa.binary()),
+    }
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(len(parts), f.type) for f in _ROW], schema=_ROW)
+
+
+def _other_rows(
+    codes: np.ndarray, row: np.ndarray, start: int, end: int, reach: int, parts: int, words: pa.Array, known: np.ndarray, hashes: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """Pairs with a word that is not listed, as lists of words for each part."""
+    base = max(len(words), 1)
+    keys, counts = _summed(_window_keys(codes, row, start, end, reach, base))
+    first, second = keys // base, keys % base
+    other = (known[first] < 0) | (known[second] < 0)
+    first, second, counts = first[other], second[other], counts[other]
+    dealt = ((hashes[first] * np.uint64(31) + hashes[second]) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(dealt)
+    for at in range(0, len(order), _SLICE_PAIRS):
+        some = order[at : at + _SLICE_PAIRS]
+        part, begin = np.unique(dealt[some], return_index=True)
+        ends = pa.array(np.r_[begin, len(some)], pa.int32())
+        columns = {
+            "part": pa.array(part, pa.int32()),
+            "word1": pa.ListArray.from_arrays(ends, words.take(pa.array(first[some]))),
+            "word2": pa.ListArray.from_arrays(ends, words.take(pa.array(second[some]))),
+            "n": pa.ListArray.from_arrays(ends, pa.array(counts[some], pa.int64())),
+        }
+        yield pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(len(part), f.type) for f in _ROW], schema=_ROW)
 
 
 def count_pairs(
-    df: DataFrame, words: DataFrame, tokens: str, window: int, min_freq: int = 1
+    df: DataFrame, words: DataFrame, tokens: str, window: int, min_freq: int = 1, across: DataFrame | None = None
 ) -> DataFrame:
     """``(word1, word2, n_pair)`` of every pair counted at least ``min_freq`` times, in order.
 
     A token is paired with each of the next ``window - 1`` tokens of its row. ``words`` holds the
-    ``frequency`` of every word of the table; null tokens take a place but make no pair.
+    ``frequency`` of every word of the table; null tokens take a place but make no pair. ``across``
+    are pairs ``(word1, word2)`` counted beside them, a row each. All of it is read twice.
     """
     spark, reach = df.sparkSession, window - 1
-    listed, least = _word_list(words)
     total = words.agg(F.sum("frequency")).first()[0] or 0
+    if min_freq > 1:
+        words = materialize(_able_words(df, words, tokens, reach, min_freq, across))
+    listed, frequency, rare = _word_list(words)
     parts = max(2 * spark.sparkContext.defaultParallelism, -(-total * reach // _PART_PAIRS))
-    rare = (least - 1) * reach >= min_freq  # a pair is met at most ``reach`` times for each place of a word
-    shared = spark.sparkContext.broadcast(listed)
-    out = pa.schema([
-        ("part", pa.int32()), ("pairs", pa.binary()), ("counts", pa.binary()),
-        ("word1", pa.list_(pa.string())), ("word2", pa.list_(pa.string())), ("n", pa.list_(pa.int64())),
-    ])
+    shared = spark.sparkContext.broadcast((listed, _borders(frequency, parts)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows, weight = [], 0
-            for row in _block_rows(pa.chunked_array(held), shared.value, reach, parts, rare):
-                rows.append({c: row.get(c) for c in out.names})
-                weight += len(row["pairs"]) if "pairs" in row else 32 * len(row["n"])
-                if weight > 1 << 23:
-                    yield _batch(rows)
-                    rows, weight = [], 0
-            if rows:
-                yield _batch(rows)
-
-        def _batch(rows: list[dict]) -> pa.RecordBatch:
-            columns = [
-                pa.array([r[f.name].to_pylist() if isinstance(r[f.name], pa.Array) else r[f.name] for r in rows], f.type)
-                for f in out
-            ]
-            return pa.RecordBatch.from_arrays(columns, schema=out)
-
-        for batch in batches:
-            lists = batch.column(0)
-            lists = lists.cast(pa.list_(pa.string())) if lists.type != pa.list_(pa.string()) else lists
-            held.append(lists)
-            size += len(lists.flatten())
-            if size >= _BLOCK_TOKENS:
-                yield from flush()
-                held, size = [], 0
-        if held:
-            yield from flush()
+        names, borders = shared.value
+        for local, own, row in _blocks(batches):
+            known = pc.fill_null(pc.index_in(own, value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            codes = np.r_[known, -1][local]  # the last entry stands for null tokens
+            if rare:
+                hashes = pd.util.hash_array(own.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+            for start in range(0, len(local), _BLOCK_TOKENS):
+                end = min(start + _BLOCK_TOKENS, len(local))
+                yield _listed_rows(codes, row, start, end, reach, borders)
+                if rare:
+                    yield from _other_rows(local, row, start, end, reach, parts, own, known, hashes)
 
     def summed(part: pa.Table) -> pa.Table:
-        names = shared.value
+        names = shared.value[0]
         packed = [(p, c) for p, c in zip(part["pairs"].to_pylist(), part["counts"].to_pylist()) if p is not None]
         tables = []
         if packed:
             keys, n = _summed(
-                np.concatenate([np.cumsum(_unpack(p)) for p, _ in packed]), np.concatenate([_unpack(c) for _, c in packed])
+                np.concatenate([_unpack_keys(p) for p, _ in packed]), np.concatenate([_unpack(c) for _, c in packed])
             )
             keys, n = keys[n >= min_freq], n[n >= min_freq]
             tables.append(pa.table({"word1": names.take(keys >> _BITS), "word2": names.take(keys & ((1 << _BITS) - 1)), "n_pair": n}))
@@ -181,7 +273,10 @@ def count_pairs(
         kept = pa.schema([("word1", pa.string()), ("word2", pa.string()), ("n_pair", pa.int64())])
         return pa.concat_tables([t.cast(kept) for t in tables]) if tables else kept.empty_table()
 
+    lists = df.select(tokens)
+    if across is not None:
+        lists = lists.unionByName(across.select(F.array("word1", "word2").alias(tokens)))
     return (
-        df.select(tokens).mapInArrow(counted, _ROW)
+        lists.mapInArrow(counted, _ROW_TYPE)
         .groupBy("part").applyInArrow(summed, "word1 string, word2 string, n_pair long")
     )

@@ -183,7 +183,7 @@ def hover_labels(spark, d):
 
 
 def _association(spark, d):
-    return corpus.pmi(_tokens(spark, d)).select("word1", "word2", "mi_score")
+    return corpus.pmi_pairs(_tokens(spark, d)).select("word1", "word2", "mi_score")
 
 
 def vocabulary(spark, d):
@@ -204,12 +204,12 @@ def association_matrix(spark, d):
 
 
 def distance_pairs(spark, d):
-    matrix = network.association_matrix(materialize(_association(spark, d)))
+    matrix = materialize(network.association_matrix(_association(spark, d)))
     return _six(network.to_distance(matrix), "distance")
 
 
 def absent_distance(spark, d):
-    matrix = network.association_matrix(materialize(_association(spark, d)))
+    matrix = materialize(network.association_matrix(_association(spark, d)))
     return _six(network.absent_distance(matrix), "absent")
 
 

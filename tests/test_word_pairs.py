@@ -48,3 +48,55 @@ def test_pairs_leave_a_task_packed(spark):
     assert word_pairs._unpack(word_pairs._pack(word_pairs.np.array(numbers))).tolist() == numbers
     near = word_pairs._pack(word_pairs.np.arange(100_000) % 200)
     assert len(near) < 100_000
+
+
+def test_words_that_cannot_reach_the_least_count_are_not_listed(spark):
+    rows = [["hot", f"once{i}", "hot", None] for i in range(30)] + [["twice", *["hot"] * 5], ["x", "x", "x"]]
+    df = frame(spark, rows)
+    words = corpus.word_counts(df)
+    able = word_pairs._able_words(df, words, "tokens", 9, 10, None)
+    assert {r.word for r in able.collect()} == {"hot"}
+    across = spark.createDataFrame([("x", "y")] * 7, "word1 string, word2 string")
+    able = word_pairs._able_words(df, words, "tokens", 9, 10, across)
+    assert {r.word for r in able.collect()} == {"hot", "x"}
+
+
+def test_bounds_of_places_hold():
+    rng, np = random.Random(5), word_pairs.np
+    for reach in [1, 2, 5, 9] * 20:
+        codes = np.array([rng.randrange(-1, rng.choice([2, 9])) for _ in range(40)])
+        row = np.sort(np.array([rng.randrange(3) for _ in codes]))
+        for way in (1, -1):
+            more = word_pairs._more_than_places(codes, row, reach)[0 if way == 1 else 1]
+            for i in np.flatnonzero(codes >= 0):
+                near = [i + way * s for s in range(1, reach + 1) if 0 <= i + way * s < len(codes)]
+                seen = Counter(int(codes[j]) for j in near if row[j] == row[i] and codes[j] >= 0)
+                assert max(seen.values(), default=0) <= more[i] + 1
+
+
+def test_parts_are_ranges_of_about_one_size(spark):
+    frequency = word_pairs.np.array([1000, 10, 10, 5, 1, 1])
+    borders = word_pairs._borders(frequency, 8)
+    assert len(borders) == 7 and (word_pairs.np.diff(borders) >= 0).all()
+    assert (borders >> word_pairs._BITS).max() == 0  # the hot word's pairs are cut by their partner
+    keys = word_pairs.np.array([3, 1 << 40, (1 << 40) + 2])
+    assert word_pairs._unpack_keys(word_pairs._pack_keys(keys)).tolist() == keys.tolist()
+
+
+def test_large_counts_are_summed():
+    np = word_pairs.np
+    keys, counts = np.array([7, 3, 7, 3]), np.array([1, 2, 1 << 40, 3])
+    for n in (counts, np.array([1, 2, 4, 3])):
+        got = word_pairs._summed(keys, n)
+        assert [x.tolist() for x in got] == [[3, 7], [5, int(n[0] + n[2])]]
+
+
+@pytest.mark.parametrize("listed", [3, 1000])
+@pytest.mark.parametrize("least", [2, 5, 10])
+def test_stream_counts_with_least_count(spark, listed, least, monkeypatch):
+    monkeypatch.setattr(word_pairs, "_LIST_WORDS", listed)
+    rows = [(i, r) for i, r in enumerate(lists(120))]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(3)
+    got = corpus.cooccurrence_stream(df, ["doc_id"], min_freq=least).collect()
+    stream = [t for _, r in rows for t in r or []]
+    assert {(r.word1, r.word2): r.n_pair for r in got} == brute([stream], 10, least) and len(got) == len(set(got))

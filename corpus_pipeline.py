@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import byte_cnn, exact_dedup, fm_index, jaccard_join, length_buckets
 from corpusloom.llm.queries import contaminated, held_out_quality, hit_words
-from corpusloom.runtime import materialize, scratch_dir
+from corpusloom.runtime import materialize, scratch_dir, small_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the byte network rejects (a score under one half)."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return byte_cnn.keep_good(docs, byte_cnn.train(docs, labels, "quality", held_out_quality))
 
@@ -30,6 +31,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate class, keep the row with the smallest id (null ids last)."""
+    small_batches(spark)
     odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     if odd.where((F.col("n") > 1) | F.col("doc_id").isNull()).isEmpty():
         found = jaccard_join.near_classes(docs)
@@ -45,6 +47,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop contaminated documents: benchmark windows cover a twentieth of their words or more."""
+    small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     # the text goes to the tasks' Python once, the other columns beside it
     others = [c for c in docs.columns if c != "text"]

@@ -23,7 +23,7 @@ WINDOW = 13
 SHARD_WORDS = 1 << 20
 SAMPLE = 16
 #: Bytes of text that make a shard.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Benchmark text that one pass may hold; a larger benchmark takes more passes.
 PASS_BYTES = 16 << 20
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators.ordering import with_row_ids
-from corpusloom.operators.word_pairs import count_pairs
+from corpusloom.operators.word_pairs import count_pairs, number_tokens
 from corpusloom.runtime import materialize
 
 DEFAULT_WINDOW = 10
@@ -76,27 +76,33 @@ def term_frequency(df: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 
 def cooccurrence(
-    df: DataFrame, tokens: str = "tokens", window: int = DEFAULT_WINDOW, min_freq: int = 1
+    df: DataFrame, tokens: str = "tokens", window: int = DEFAULT_WINDOW, min_freq: int = 1, language: str = "english"
 ) -> DataFrame:
     """Ordered pair counts ``(word1, word2, n_pair)``; the window stops at the row border.
 
-    Pairs counted fewer than ``min_freq`` times are left out.
+    Pairs counted fewer than ``min_freq`` times are left out. A column of texts stands for their
+    ``clean_tokens``.
     """
-    df = materialize(df.select(tokens))  # read for the words and for the pairs: tokenise once
-    return count_pairs(df, materialize(word_counts(df, tokens)), tokens, window, min_freq)
+    blocks, _ = _numbered(df, tokens, window, None, language)
+    return count_pairs(blocks, "_block", window, min_freq)
 
 
 def cooccurrence_stream(
-    df: DataFrame, order: list, tokens: str = "tokens", window: int = DEFAULT_WINDOW, min_freq: int = 1
+    df: DataFrame, order: list, tokens: str = "tokens", window: int = DEFAULT_WINDOW, min_freq: int = 1, language: str = "english"
 ) -> DataFrame:
     """Ordered pair counts over the concatenation of all rows in ``order``."""
-    df = materialize(df.select(*order, tokens))
-    words = materialize(word_counts(df, tokens))
-    across = materialize(_pairs_across(df, order, tokens, window))
-    return count_pairs(df, words, tokens, window, min_freq, across)
+    blocks, across = _numbered(df, tokens, window, order, language)
+    return count_pairs(blocks, "_block", window, min_freq, across)
 
 
-def _pairs_across(df: DataFrame, order: list, tokens: str, window: int) -> DataFrame:
+def _numbered(df: DataFrame, tokens: str, window: int, order: list | None, language: str) -> tuple[DataFrame, DataFrame | None]:
+    """Blocks of numbered tokens, written once, and with ``order`` the pairs across the row borders."""
+    blocks = materialize(number_tokens(df, tokens, window - 1, order, language))
+    across = materialize(_pairs_across(blocks.drop("_block"), order, window)) if order else None
+    return blocks, across
+
+
+def _pairs_across(edges: DataFrame, order: list, window: int) -> DataFrame:
     """Pairs of the concatenated stream that cross a row border.
 
     Pairs inside a row need no global order. Only the pairs that cross a border do, and for
@@ -105,14 +111,7 @@ def _pairs_across(df: DataFrame, order: list, tokens: str, window: int) -> DataF
     ``window - 1`` rows, so no stretch needs more than its own rows plus a constant halo.
     """
     reach = window - 1
-    edges = df.filter(F.size(tokens) > 0).select(
-        *order,
-        F.slice(tokens, 1, reach).alias("_head"),
-        F.expr(
-            f"slice({tokens}, greatest(size({tokens}) - {reach - 1}, 1), {reach})"
-        ).alias("_tail"),
-    )
-    numbered = with_row_ids(edges, order, "_rid").drop(*order)
+    numbered = with_row_ids(edges.filter(F.size("_head") > 0), order, "_rid").drop(*order)
     own = F.floor(F.col("_rid") / _STRETCH)
     borrowed = (F.col("_rid") % _STRETCH < reach) & (own > 0)
     stretches = F.when(borrowed, F.array(own, own - 1)).otherwise(F.array(own))
@@ -152,20 +151,20 @@ def association(
     number of tokens.
     """
     frequent = pairs.filter(F.col("n_pair") >= min_freq)
-    first = words.select(F.col("word").alias("word1"), F.col("frequency").alias("_n1"))
-    second = words.select(F.col("word").alias("word2"), F.col("frequency").alias("_n2"))
+    first = words.select(F.col("word").alias("word1"), F.col("frequency").alias("n_1"))
+    second = words.select(F.col("word").alias("word2"), F.col("frequency").alias("n_2"))
     total = words.agg(F.sum("frequency").cast("double").alias("_n")).scalar()
+    return _scored(frequent.join(first, "word1").join(second, "word2"), total, window, measure)
+
+
+def _scored(pairs: DataFrame, total: Column, window: int, measure: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
     score = measure(
         F.col("n_pair") / F.lit(float(window - 1)),
-        F.col("_n1").cast("double"),
-        F.col("_n2").cast("double"),
+        F.col("n_1").cast("double"),
+        F.col("n_2").cast("double"),
         total,
     )
-    return (
-        frequent.join(first, "word1")
-        .join(second, "word2")
-        .select("word1", "word2", "n_pair", score.alias("mi_score"))
-    )
+    return pairs.select("word1", "word2", "n_pair", score.alias("mi_score"))
 
 
 def pmi_pairs(
@@ -175,17 +174,16 @@ def pmi_pairs(
     min_freq: int = DEFAULT_MIN_FREQ,
     order: list | None = None,
     measure: Callable[[Column, Column, Column, Column], Column] = pmi_measure,
+    language: str = "english",
 ) -> DataFrame:
-    """Association table of a token table, in no order.
+    """Association table of a table of tokens or texts, in no order.
 
     With ``order`` the window runs over the whole token stream, else it stops at row borders.
-    The corpus is tokenised once; the words and the frequent pairs are written for the joins.
+    The corpus is tokenised and numbered once.
     """
-    df = materialize(df.select(*(order or []), tokens))
-    words = materialize(word_counts(df, tokens))
-    across = materialize(_pairs_across(df, order, tokens, window)) if order else None
-    kept = materialize(count_pairs(df, words, tokens, window, min_freq, across))
-    return association(kept, words, window, min_freq, measure)
+    blocks, across = _numbered(df, tokens, window, order, language)
+    kept = count_pairs(blocks, "_block", window, min_freq, across, counts=True)
+    return _scored(kept, blocks.agg(F.sum("_block.n").cast("double").alias("_n")).scalar(), window, measure)
 
 
 def pmi(
@@ -195,6 +193,8 @@ def pmi(
     min_freq: int = DEFAULT_MIN_FREQ,
     order: list | None = None,
     measure: Callable[[Column, Column, Column, Column], Column] = pmi_measure,
+    language: str = "english",
 ) -> DataFrame:
-    """``pmi_pairs``, best first."""
-    return pmi_pairs(df, tokens, window, min_freq, order, measure).orderBy(F.desc("mi_score"), "word1", "word2")
+    """``pmi_pairs``, best first; written for the sort, which reads them twice."""
+    pairs = materialize(pmi_pairs(df, tokens, window, min_freq, order, measure, language))
+    return pairs.orderBy(F.desc("mi_score"), "word1", "word2")

@@ -1,6 +1,7 @@
 """Counts of word pairs inside a window, kept small between the tasks.
 
-A first pass bounds, for every word, the pairs it can lead and the pairs it can end; a word that
+Tokens are numbered once: the rows of a batch become one block, their distinct words and the number
+of each token, and every later pass reads these blocks. A first pass bounds, for every word, the pairs it can lead and the pairs it can end; a word that
 stays under the least count on both sides is left out. A task numbers the other words of a block
 of tokens, sorts the pairs of the block and hands on each distinct pair once. Pairs of two words
 of a shared word list are cut into ranges of their order and travel as compressed differences;
@@ -18,48 +19,128 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from corpusloom.functions.raw_words import clean_codes
+from corpusloom.functions.stopwords import stop_words
 from corpusloom.runtime import materialize
 
 _LIST_WORDS = 1 << 21  # the most frequent words, sent to every task (some 32 MB)
 _BITS = 21
 _BLOCK_TOKENS = 1 << 20
+_BLOCK_BYTES = 1 << 24  # tokens or text numbered at once
 _PART_PAIRS = 1 << 22  # pairs of one part, before equal ones are summed
 _SLICE_PAIRS = 1 << 20  # pairs that leave a task as words in one batch
 _ROW = pa.schema([
     ("part", pa.int32()), ("pairs", pa.binary()), ("counts", pa.binary()),
     ("word1", pa.list_(pa.string())), ("word2", pa.list_(pa.string())), ("n", pa.list_(pa.int64())),
 ])
+_BLOCK = pa.struct([("n", pa.int64()), ("words", pa.list_(pa.string())), ("codes", pa.binary()), ("sizes", pa.binary())])
+_BLOCK_TYPE = T.StructType([
+    T.StructField("n", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())),
+    T.StructField("codes", T.BinaryType()), T.StructField("sizes", T.BinaryType()),
+])
+_SUMS = ("frequency", "leads", "ends")
+_WORDS_TYPE = "part int, word array<string>, frequency array<long>, leads array<long>, ends array<long>"
+_PART_WORDS = 1 << 22  # tokens whose words make one part
 _ROW_TYPE = "part int, pairs binary, counts binary, word1 array<string>, word2 array<string>, n array<long>"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
-    """Blocks of whole token lists: the number of each token, the words numbered, the row of each token.
+def _coded(column: pa.Array, stop: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The number of each token, the words numbered, and the number of tokens of each row.
 
-    Null tokens have the number -1.
+    A column of texts is cleaned and split first. Null tokens have the number -1.
     """
-    def block() -> tuple[np.ndarray, pa.Array, np.ndarray]:
-        whole = pa.chunked_array(held).combine_chunks()
-        sizes = pc.fill_null(pc.list_value_length(whole), 0).to_numpy(zero_copy_only=False)
-        coded = whole.flatten().dictionary_encode()
-        codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        return codes, coded.dictionary, np.repeat(np.arange(len(sizes)), sizes)
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return clean_codes(column.cast(pa.string()), stop)
+    if column.type != pa.list_(pa.string()):
+        column = column.cast(pa.list_(pa.string()))
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    coded = column.flatten().dictionary_encode()
+    codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return codes, coded.dictionary, sizes
+
+
+def _edge_words(codes: np.ndarray, words: pa.Array, sizes: np.ndarray, reach: int) -> list[pa.Array]:
+    """The first and the last ``reach`` tokens of every row."""
+    ends = np.cumsum(sizes)
+    few = np.minimum(sizes, reach)
+    offsets = np.r_[0, np.cumsum(few)]
+    inside = np.arange(offsets[-1]) - np.repeat(offsets[:-1], few)
+    found = []
+    for starts in (ends - sizes, ends - few):
+        some = codes[np.repeat(starts, few) + inside]
+        found.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words.take(pa.array(some, mask=some < 0))))
+    return found
+
+
+def number_tokens(df: DataFrame, tokens: str, reach: int, order: list | None = None, language: str = "english") -> DataFrame:
+    """``_block`` holds the numbered tokens of many rows, in the first of them.
+
+    ``tokens`` are lists of words, or texts to be cleaned and split as ``clean_tokens`` does. With
+    ``order`` every row keeps these columns and its first and last ``reach`` tokens, ``_head`` and ``_tail``.
+    """
+    stop = list(stop_words(language))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(tokens).nbytes
+            if size >= _BLOCK_BYTES:
+                yield row(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield row(pa.Table.from_batches(held))
+
+    def row(table: pa.Table) -> pa.RecordBatch:
+        codes, words, sizes = _coded(table[tokens].combine_chunks(), stop)
+        rest = pa.nulls(len(table) - 1 if order and len(table) else 0, _BLOCK)
+        block = pa.StructArray.from_arrays([
+            pa.array([int((codes >= 0).sum())]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
+            pa.array([codes.astype("<i4").tobytes()]), pa.array([sizes.astype("<i4").tobytes()]),
+        ], fields=list(_BLOCK))
+        columns = {"_block": pa.concat_arrays([block, rest])}
+        if order:
+            columns |= {c: table[c].combine_chunks() for c in order} | dict(zip(("_head", "_tail"), _edge_words(codes, words, sizes, reach)))
+        return pa.RecordBatch.from_pydict(columns)
+
+    schema = T.StructType([*(df.schema[c] for c in order or [])])
+    for name in ("_head", "_tail") if order else ():
+        schema.add(name, T.ArrayType(T.StringType()))
+    schema.add("_block", _BLOCK_TYPE)
+    names = [f.name for f in schema]
+    rows = df.select(*dict.fromkeys([*(order or []), tokens]))
+    return rows.mapInArrow(lambda batches: (b.select(names) for b in numbered(batches)), schema)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """Blocks of whole rows: the number of each token, the words numbered, the row of each token."""
+
+    def block(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        codes, words, sizes = _coded(column, [])
+        return codes, words, np.repeat(np.arange(len(sizes)), sizes)
 
     held, size = [], 0
     for batch in batches:
-        lists = batch.column(0)
-        held.append(lists.cast(pa.list_(pa.string())) if lists.type != pa.list_(pa.string()) else lists)
-        size += len(lists.flatten())
+        column = batch.column(0)
+        if pa.types.is_struct(column.type):
+            for i in np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False)):
+                codes, sizes = (np.frombuffer(column.field(f)[i].as_buffer(), "<i4") for f in ("codes", "sizes"))
+                yield codes.astype(np.int64), column.field("words")[i].values, np.repeat(np.arange(len(sizes)), sizes)
+            continue
+        held.append(column)
+        size += len(column.flatten())
         if size >= _BLOCK_TOKENS:
-            yield block()
+            yield block(pa.chunked_array(held).combine_chunks())
             held, size = [], 0
     if held:
-        yield block()
+        yield block(pa.chunked_array(held).combine_chunks())
 
 
 def _close_repeats(codes: np.ndarray, row: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """Places where a word stands again in its row after fewer than ``reach`` tokens, and where it stood before."""
-    order = np.argsort(codes, kind="stable")
+    order = np.sort((codes << 32) | np.arange(len(codes))) & ((1 << 32) - 1)  # by word, then by place
     before, again = order[:-1], order[1:]
     close = (codes[before] == codes[again]) & (codes[again] >= 0) & (again - before < reach) & (row[before] == row[again])
     return before[close], again[close]
@@ -80,30 +161,62 @@ def _more_than_places(codes: np.ndarray, row: np.ndarray, reach: int) -> tuple[n
     return np.cumsum(following[:-1]), np.cumsum(preceding[:-1])
 
 
-def _able_words(df: DataFrame, words: DataFrame, tokens: str, reach: int, min_freq: int, across: DataFrame | None) -> DataFrame:
+def _dealt_words(words: pa.Array, sums: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """Words and their numbers as lists, one row for each part they are dealt to by hash."""
+    dealt = pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False) % np.uint64(parts)
+    order = np.argsort(dealt, kind="stable")
+    part, begin = np.unique(dealt[order], return_index=True)
+    ends, order = pa.array(np.r_[begin, len(order)], pa.int32()), pa.array(order)
+    lists = [pa.ListArray.from_arrays(ends, x.take(order)) for x in (words, *map(pa.array, sums))]
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *lists], ["part", "word", *_SUMS])
+
+
+def _able_words(
+    df: DataFrame, words: DataFrame | None, tokens: str, reach: int, min_freq: int, across: DataFrame | None, parts: int = 16
+) -> DataFrame:
     """The words that may begin or end a pair counted ``min_freq`` times.
 
     A word leads a pair once for each of its places, once more for each repeat behind the place,
-    and once for each of its pairs in ``across``; so it is with the pairs it ends.
+    and once for each of its pairs in ``across``; so it is with the pairs it ends. Without ``words``
+    the ``frequency`` of every word is counted along.
     """
+    counting = words is None
 
-    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for codes, own, row in _blocks(batches):
-            more = _more_than_places(codes, row, reach)
-            sums = [np.bincount(codes[codes >= 0], weights=x[codes >= 0], minlength=len(own)).astype(np.int64) for x in more]
-            some = pa.array((sums[0] > 0) | (sums[1] > 0))
-            yield pa.RecordBatch.from_arrays([own, *map(pa.array, sums)], ["word", "leads", "ends"]).filter(some)
+            seen, none = codes >= 0, np.zeros(len(own), np.int64)
+            sums = [np.bincount(codes[seen], minlength=len(own)) if counting else none]
+            for more in _more_than_places(codes, row, reach) if min_freq > 1 else ():
+                sums.append(np.bincount(codes[seen], weights=more[seen], minlength=len(own)).astype(np.int64))
+            yield _dealt_words(own, (sums + [none, none])[:3], parts)
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in (0, 1):
+                seen = batch.column(at).value_counts()
+                seen = seen.filter(seen.field("values").is_valid())
+                counts = [np.zeros(len(seen), np.int64)] * 3
+                counts[1 + at] = seen.field("counts").to_numpy()
+                yield _dealt_words(seen.field("values").cast(pa.string()), counts, parts)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            none = np.zeros(len(batch), np.int64)
+            yield _dealt_words(batch.column(0).cast(pa.string()), [batch.column(1).to_numpy(), none, none], parts)
 
-    more = df.select(tokens).mapInArrow(repeats, "word string, leads long, ends long")
-    if across is not None:
-        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-        more = more.unionByName(across.select(F.col("word1").alias("word"), one.alias("leads"), none.alias("ends")))
-        more = more.unionByName(across.select(F.col("word2").alias("word"), none.alias("leads"), one.alias("ends")))
-    more = more.groupBy("word").agg(F.greatest(F.sum("leads"), F.sum("ends")).alias("more"))
-    return (
-        words.join(more, "word", "left")
-        .where(F.col("frequency") + F.coalesce("more", F.lit(0)) >= min_freq).select("word", "frequency")
-    )
+    def summed(part: pa.Table) -> pa.Table:
+        flat = pa.table({c: pc.list_flatten(part[c]) for c in ("word", *_SUMS)})
+        sums = flat.group_by("word").aggregate([(c, "sum") for c in _SUMS])
+        most = pc.add(sums["frequency_sum"], pc.max_element_wise(sums["leads_sum"], sums["ends_sum"]))
+        able = sums.filter(pc.greater_equal(most, min_freq))
+        return pa.table({"word": able["word"].cast(pa.string()), "frequency": able["frequency_sum"]})
+
+    rows = df.select(tokens).mapInArrow(places, _WORDS_TYPE)
+    if across is not None and min_freq > 1:
+        rows = rows.unionByName(across.select("word1", "word2").mapInArrow(sides, _WORDS_TYPE))
+    if not counting:
+        rows = rows.unionByName(words.select("word", "frequency").mapInArrow(known, _WORDS_TYPE))
+    return rows.groupBy("part").applyInArrow(summed, "word string, frequency long")
 
 
 def _word_list(words: DataFrame) -> tuple[pa.Array, np.ndarray, bool]:
@@ -138,15 +251,18 @@ def _borders(frequency: np.ndarray, parts: int) -> np.ndarray:
 def _pack(values: np.ndarray) -> bytes:
     """Byte planes of the values, compressed, behind their number and width."""
     most = int(values.max(initial=0))
-    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
-    planes = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    width = max(1, -(-most.bit_length() // 8))
+    planes = b"".join((values >> (8 * i)).astype(np.uint8).tobytes() for i in range(width))
     return len(values).to_bytes(8, "little") + bytes([width]) + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes) -> np.ndarray:
     n, width = int.from_bytes(data[:8], "little"), data[8]
-    planes = pa.decompress(data[9:], decompressed_size=width * n, codec="zstd", asbytes=True)
-    return np.frombuffer(planes, np.uint8).reshape(width, n).T.copy().view(f"<u{width}").ravel().astype(np.int64)
+    planes = np.frombuffer(pa.decompress(data[9:], decompressed_size=width * n, codec="zstd"), np.uint8).reshape(width, n)
+    values = planes[0].astype(np.int64)
+    for i in range(1, width):
+        values |= planes[i].astype(np.int64) << (8 * i)
+    return values
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -159,31 +275,35 @@ def _unpack_keys(data: bytes) -> np.ndarray:
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and how often each occurs (or the sum of its counts)."""
+    """Distinct keys in order, and how often each occurs (or the sum of its counts); sorts the keys in place."""
     if counts is None:
-        keys = np.sort(keys)
+        keys.sort()
     elif int(counts.max(initial=0)) < 1 << (63 - 2 * _BITS) and int(keys.max(initial=0)) < 1 << (2 * _BITS):
-        both = np.sort((keys << (63 - 2 * _BITS)) | counts)  # key and count sort as one number
+        both = (keys << (63 - 2 * _BITS)) | counts  # key and count sort as one number
+        both.sort()
         keys, counts = both >> (63 - 2 * _BITS), both & ((1 << (63 - 2 * _BITS)) - 1)
     else:
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.array([], int)
-    total = np.diff(np.r_[starts, len(keys)]) if counts is None else np.add.reduceat(counts, starts) if len(keys) else counts
-    return keys[starts], total
+    changes = np.ones(len(keys) + 1, bool)
+    np.not_equal(keys[1:], keys[:-1], out=changes[1:-1])
+    starts = np.flatnonzero(changes)
+    total = np.diff(starts) if counts is None else np.add.reduceat(counts, starts[:-1]) if len(keys) else counts
+    return keys[starts[:-1]], total
 
 
 def _window_keys(codes: np.ndarray, row: np.ndarray, start: int, end: int, reach: int, base: int) -> np.ndarray:
     """``head * base + partner`` of the tokens ``start`` to ``end``; codes under 0 are no words."""
-    found = []
+    at = np.flatnonzero(codes[start:end] >= 0) + start
+    heads, room = codes[at] * base, np.cumsum(np.bincount(row))[row[at]] - at if len(at) else at
+    short = codes.astype(np.int32)
+    keys, n = np.empty(reach * len(at), np.int64), 0
     for step in range(1, reach + 1):
-        stop = min(end, len(codes) - step)
-        if stop <= start:
-            break
-        head, partner = codes[start:stop], codes[start + step : stop + step]
-        keep = (row[start:stop] == row[start + step : stop + step]) & (head >= 0) & (partner >= 0)
-        found.append(head[keep] * base + partner[keep])
-    return np.concatenate(found) if found else np.array([], np.int64)
+        partner = short.take(at + step, mode="clip")
+        keep = np.flatnonzero((partner >= 0) & (room > step))
+        np.add(heads[keep], partner[keep], out=keys[n : n + len(keep)])
+        n += len(keep)
+    return keys[:n]
 
 
 def _listed_rows(codes: np.ndarray, row: np.ndarray, start: int, end: int, reach: int, borders: np.ndarray) -> pa.RecordBatch:
@@ -225,24 +345,25 @@ def _other_rows(
 
 
 def count_pairs(
-    df: DataFrame, words: DataFrame, tokens: str, window: int, min_freq: int = 1, across: DataFrame | None = None
+    df: DataFrame, tokens: str, window: int, min_freq: int = 1, across: DataFrame | None = None, counts: bool = False
 ) -> DataFrame:
     """``(word1, word2, n_pair)`` of every pair counted at least ``min_freq`` times, in order.
 
-    A token is paired with each of the next ``window - 1`` tokens of its row. ``words`` holds the
-    ``frequency`` of every word of the table; null tokens take a place but make no pair. ``across``
-    are pairs ``(word1, word2)`` counted beside them, a row each. All of it is read twice.
+    A token is paired with each of the next ``window - 1`` tokens of its row; null tokens take a place
+    but make no pair. ``tokens`` are the blocks of ``number_tokens``, read twice. ``across`` are pairs
+    ``(word1, word2)`` counted beside them, a row each. With ``counts`` the counts of both words,
+    ``n_1`` and ``n_2``, follow.
     """
     spark, reach = df.sparkSession, window - 1
-    total = words.agg(F.sum("frequency")).first()[0] or 0
-    if min_freq > 1:
-        words = materialize(_able_words(df, words, tokens, reach, min_freq, across))
+    total = df.agg(F.sum(f"{tokens}.n")).first()[0] or 0
+    least = 2 * spark.sparkContext.defaultParallelism
+    words = materialize(_able_words(df, None, tokens, reach, min_freq, across, max(least, -(-total // _PART_WORDS))))
     listed, frequency, rare = _word_list(words)
-    parts = max(2 * spark.sparkContext.defaultParallelism, -(-total * reach // _PART_PAIRS))
-    shared = spark.sparkContext.broadcast((listed, _borders(frequency, parts)))
+    parts = max(least, -(-total * reach // _PART_PAIRS))
+    shared = spark.sparkContext.broadcast((listed, frequency, _borders(frequency, parts)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, borders = shared.value
+        names, _, borders = shared.value
         for local, own, row in _blocks(batches):
             known = pc.fill_null(pc.index_in(own, value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             codes = np.r_[known, -1][local]  # the last entry stands for null tokens
@@ -255,7 +376,7 @@ def count_pairs(
                     yield from _other_rows(local, row, start, end, reach, parts, own, known, hashes)
 
     def summed(part: pa.Table) -> pa.Table:
-        names = shared.value[0]
+        names, often, _ = shared.value
         packed = [(p, c) for p, c in zip(part["pairs"].to_pylist(), part["counts"].to_pylist()) if p is not None]
         tables = []
         if packed:
@@ -263,20 +384,28 @@ def count_pairs(
                 np.concatenate([_unpack_keys(p) for p, _ in packed]), np.concatenate([_unpack(c) for _, c in packed])
             )
             keys, n = keys[n >= min_freq], n[n >= min_freq]
-            tables.append(pa.table({"word1": names.take(keys >> _BITS), "word2": names.take(keys & ((1 << _BITS) - 1)), "n_pair": n}))
+            first, second = keys >> _BITS, keys & ((1 << _BITS) - 1)
+            tables.append(pa.table([names.take(pa.array(first)), names.take(pa.array(second)), n, often[first], often[second]], schema=kept))
         others = pa.table({
             "word1": pc.list_flatten(part["word1"]), "word2": pc.list_flatten(part["word2"]), "n": pc.list_flatten(part["n"]),
         })
         if len(others):
             sums = others.group_by(["word1", "word2"]).aggregate([("n", "sum")]).filter(pc.field("n_sum") >= min_freq)
-            tables.append(pa.table({"word1": sums["word1"], "word2": sums["word2"], "n_pair": sums["n_sum"]}))
-        kept = pa.schema([("word1", pa.string()), ("word2", pa.string()), ("n_pair", pa.int64())])
-        return pa.concat_tables([t.cast(kept) for t in tables]) if tables else kept.empty_table()
+            unknown = pa.nulls(len(sums), pa.int64())
+            tables.append(pa.table([sums["word1"], sums["word2"], sums["n_sum"], unknown, unknown], schema=kept))
+        return pa.concat_tables(tables) if tables else kept.empty_table()
 
-    lists = df.select(tokens)
+    kept = pa.schema([("word1", pa.string()), ("word2", pa.string()), *((n, pa.int64()) for n in ("n_pair", "n_1", "n_2"))])
+    rows = df.select(tokens).mapInArrow(counted, _ROW_TYPE)
     if across is not None:
-        lists = lists.unionByName(across.select(F.array("word1", "word2").alias(tokens)))
-    return (
-        lists.mapInArrow(counted, _ROW_TYPE)
-        .groupBy("part").applyInArrow(summed, "word1 string, word2 string, n_pair long")
-    )
+        rows = rows.unionByName(across.select(F.array("word1", "word2")).mapInArrow(counted, _ROW_TYPE))
+    pairs = rows.groupBy("part").applyInArrow(summed, "word1 string, word2 string, n_pair long, n_1 long, n_2 long")
+    if not counts:
+        return pairs.drop("n_1", "n_2")
+    if not rare:
+        return pairs
+    pairs = materialize(pairs)  # pairs with a word that is not listed get the counts by joins
+    first = words.select(F.col("word").alias("word1"), F.col("frequency").alias("n_1"))
+    second = words.select(F.col("word").alias("word2"), F.col("frequency").alias("n_2"))
+    others = pairs.where(F.col("n_1").isNull()).drop("n_1", "n_2").join(first, "word1").join(second, "word2")
+    return pairs.where(F.col("n_1").isNotNull()).unionByName(others)

@@ -35,6 +35,11 @@ def _tokens(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", X.clean_tokens(F.col("text")).alias("tokens"))
 
 
+def _texts(spark, sf_dir):
+    """Texts for the word pair operators, which clean and split them as ``_tokens`` does."""
+    return _documents(spark, sf_dir).select("doc_id", F.col("text").alias("tokens"))
+
+
 def _scratch(spark) -> str:
     return f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
 
@@ -106,16 +111,16 @@ def split_chapters_long(spark, d):
 
 
 def cooccurrence_doc(spark, d):
-    return corpus.cooccurrence(_tokens(spark, d), min_freq=corpus.DEFAULT_MIN_FREQ)
+    return corpus.cooccurrence(_texts(spark, d), min_freq=corpus.DEFAULT_MIN_FREQ)
 
 
 def cooccurrence_sentence(spark, d):
-    rows = split_sentences(spark, d).select(X.clean_tokens(F.col("sentence")).alias("tokens"))
-    return corpus.cooccurrence(rows, min_freq=corpus.DEFAULT_MIN_FREQ)
+    rows = split_sentences(spark, d)
+    return corpus.cooccurrence(rows, "sentence", min_freq=corpus.DEFAULT_MIN_FREQ)
 
 
 def cooccurrence_corpus(spark, d):
-    return corpus.cooccurrence_stream(_tokens(spark, d), ["doc_id"], min_freq=corpus.DEFAULT_MIN_FREQ)
+    return corpus.cooccurrence_stream(_texts(spark, d), ["doc_id"], min_freq=corpus.DEFAULT_MIN_FREQ)
 
 
 def _six(df: DataFrame, *names: str) -> DataFrame:
@@ -125,11 +130,11 @@ def _six(df: DataFrame, *names: str) -> DataFrame:
 
 
 def pmi_doc(spark, d):
-    return _six(corpus.pmi(_tokens(spark, d)), "mi_score")
+    return _six(corpus.pmi(_texts(spark, d)), "mi_score")
 
 
 def pmi_corpus(spark, d):
-    return _six(corpus.pmi(_tokens(spark, d), order=["doc_id"]), "mi_score")
+    return _six(corpus.pmi(_texts(spark, d), order=["doc_id"]), "mi_score")
 
 
 def pmi_top(spark, d):
@@ -139,7 +144,7 @@ def pmi_top(spark, d):
 def association_measure(spark, d):
     """A measure of one's own: the share of the expected count."""
     ratio = lambda n_pair, n_1, n_2, total: n_pair * total / (n_1 * n_2)
-    return _six(corpus.pmi(_tokens(spark, d), measure=ratio), "mi_score")
+    return _six(corpus.pmi(_texts(spark, d), measure=ratio), "mi_score")
 
 
 def row_ids(spark, d):
@@ -183,7 +188,7 @@ def hover_labels(spark, d):
 
 
 def _association(spark, d):
-    return corpus.pmi_pairs(_tokens(spark, d)).select("word1", "word2", "mi_score")
+    return corpus.pmi_pairs(_texts(spark, d)).select("word1", "word2", "mi_score")
 
 
 def vocabulary(spark, d):
@@ -563,7 +568,7 @@ def io_chapter_csv(spark, d):
 
 def io_association_csv(spark, d):
     path = _scratch(spark)
-    table = corpus.pmi(_tokens(spark, d)).select(*[F.col(c.lower()).alias(c) for c in ASSOCIATION.names])
+    table = corpus.pmi(_texts(spark, d)).select(*[F.col(c.lower()).alias(c) for c in ASSOCIATION.names])
     writers.write_csv(table, path)
     return _six(readers.read_association(spark, path), "mi_score")
 

@@ -16,8 +16,7 @@ from corpusloom.functions.folding import fold_rules
 from corpusloom.functions.text import FUSED_WORDS
 
 _SPACES = b"\t\n\x0b\x0c\r "
-_SPACED = bytes.maketrans(_SPACES, b" " * len(_SPACES))
-_LOWERED = _SPACED.lower()
+_LOWERED = bytes.maketrans(_SPACES, b" " * len(_SPACES)).lower()
 _DROPPED = bytes(c for c in range(0x80) if c not in _SPACES and not chr(c).isalpha())
 _NOT_ASCII = re.compile("[^\\x00-\\x7f]+")
 _OTHER_SPACES = {0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
@@ -26,6 +25,8 @@ _FUSED = {w.replace("|", ""): w.index("|") for w in FUSED_WORDS}
 
 class _Folding(dict):
     def __missing__(self, code: int) -> str:
+        if code < 0x80:  # lower-casing may have brought it
+            return chr(code)
         return " " if code in _OTHER_SPACES else ""
 
 
@@ -35,12 +36,19 @@ def _folding() -> _Folding:
     return _Folding(str.maketrans(dict(zip(source, target)) | expansions))
 
 
+def _folded(run: str) -> str:
+    return run.lower().translate(_folding())
+
+
+_folded_short = lru_cache(maxsize=1 << 14)(_folded)
+
+
 def _cleaned(text: bytes | None) -> bytes:
     """Letters and blanks of a text, lower-cased and folded."""
     if text is None or text.isascii():
         return (text or b"").translate(_LOWERED, _DROPPED)
-    lowered = text.decode("utf-8", "replace").lower()
-    return _NOT_ASCII.sub(lambda m: m[0].translate(_folding()), lowered).encode().translate(_SPACED, _DROPPED)
+    lowered = text.translate(_LOWERED).decode("utf-8", "replace")  # folding may bring capitals, which stay
+    return _NOT_ASCII.sub(lambda m: (_folded_short if len(m[0]) < 8 else _folded)(m[0]), lowered).encode().translate(None, _DROPPED)
 
 
 def _unfused(words: pa.Array) -> tuple[np.ndarray, pa.Array]:

@@ -29,19 +29,20 @@ _LIST_WORDS = 1 << 21  # the most frequent words, sent to every task (some 32 MB
 _BITS = 21
 _BLOCK_TOKENS = 1 << 20
 _BLOCK_BYTES = 1 << 24  # tokens or text numbered at once
+_HEADS = 1 << 15  # places whose pairs are sorted at once
 _PART_PAIRS = 1 << 22  # pairs of one part, before equal ones are summed
 _SLICE_PAIRS = 1 << 20  # pairs that leave a task as words in one batch
 _ROW = pa.schema([
     ("part", pa.int32()), ("pairs", pa.binary()), ("counts", pa.binary()),
     ("word1", pa.list_(pa.string())), ("word2", pa.list_(pa.string())), ("n", pa.list_(pa.int64())),
 ])
-_BLOCK = pa.struct([("n", pa.int64()), ("words", pa.list_(pa.string())), ("codes", pa.binary()), ("sizes", pa.binary())])
+_BLOCK = pa.struct([("n", pa.int64()), ("words", pa.binary()), ("codes", pa.binary()), ("sizes", pa.binary())])
 _BLOCK_TYPE = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())),
+    T.StructField("n", T.LongType()), T.StructField("words", T.BinaryType()),
     T.StructField("codes", T.BinaryType()), T.StructField("sizes", T.BinaryType()),
 ])
 _SUMS = ("frequency", "leads", "ends")
-_WORDS_TYPE = "part int, word array<string>, frequency array<long>, leads array<long>, ends array<long>"
+_WORDS_TYPE = "part int, words binary"
 _PART_WORDS = 1 << 22  # tokens whose words make one part
 _ROW_TYPE = "part int, pairs binary, counts binary, word1 array<string>, word2 array<string>, n array<long>"
 
@@ -61,6 +62,18 @@ def _coded(column: pa.Array, stop: list[str]) -> tuple[np.ndarray, pa.Array, np.
     return codes, coded.dictionary, sizes
 
 
+def _written(batch: pa.RecordBatch) -> bytes:
+    """A batch as bytes, which Spark passes on as they are."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _read(data: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(data.as_buffer()).read_all()
+
+
 def _edge_words(codes: np.ndarray, words: pa.Array, sizes: np.ndarray, reach: int) -> list[pa.Array]:
     """The first and the last ``reach`` tokens of every row."""
     ends = np.cumsum(sizes)
@@ -97,7 +110,7 @@ def number_tokens(df: DataFrame, tokens: str, reach: int, order: list | None = N
         codes, words, sizes = _coded(table[tokens].combine_chunks(), stop)
         rest = pa.nulls(len(table) - 1 if order and len(table) else 0, _BLOCK)
         block = pa.StructArray.from_arrays([
-            pa.array([int((codes >= 0).sum())]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
+            pa.array([int((codes >= 0).sum())]), pa.array([_written(pa.record_batch([words], ["word"]))]),
             pa.array([codes.astype("<i4").tobytes()]), pa.array([sizes.astype("<i4").tobytes()]),
         ], fields=list(_BLOCK))
         columns = {"_block": pa.concat_arrays([block, rest])}
@@ -127,7 +140,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.
         if pa.types.is_struct(column.type):
             for i in np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False)):
                 codes, sizes = (np.frombuffer(column.field(f)[i].as_buffer(), "<i4") for f in ("codes", "sizes"))
-                yield codes.astype(np.int64), column.field("words")[i].values, np.repeat(np.arange(len(sizes)), sizes)
+                words = _read(column.field("words")[i])["word"].combine_chunks()
+                yield codes.astype(np.int64), words, np.repeat(np.arange(len(sizes)), sizes)
             continue
         held.append(column)
         size += len(column.flatten())
@@ -162,13 +176,13 @@ def _more_than_places(codes: np.ndarray, row: np.ndarray, reach: int) -> tuple[n
 
 
 def _dealt_words(words: pa.Array, sums: list[np.ndarray], parts: int) -> pa.RecordBatch:
-    """Words and their numbers as lists, one row for each part they are dealt to by hash."""
+    """Words and their numbers, one row for each part they are dealt to by hash."""
     dealt = pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False) % np.uint64(parts)
     order = np.argsort(dealt, kind="stable")
     part, begin = np.unique(dealt[order], return_index=True)
-    ends, order = pa.array(np.r_[begin, len(order)], pa.int32()), pa.array(order)
-    lists = [pa.ListArray.from_arrays(ends, x.take(order)) for x in (words, *map(pa.array, sums))]
-    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *lists], ["part", "word", *_SUMS])
+    table = pa.record_batch([x.take(pa.array(order)) for x in (words, *map(pa.array, sums))], ["word", *_SUMS])
+    spans = [_written(table.slice(a, b - a)) for a, b in zip(begin, np.r_[begin[1:], len(order)])]
+    return pa.record_batch([pa.array(part.astype(np.int32)), pa.array(spans, pa.binary())], ["part", "words"])
 
 
 def _able_words(
@@ -205,8 +219,7 @@ def _able_words(
             yield _dealt_words(batch.column(0).cast(pa.string()), [batch.column(1).to_numpy(), none, none], parts)
 
     def summed(part: pa.Table) -> pa.Table:
-        flat = pa.table({c: pc.list_flatten(part[c]) for c in ("word", *_SUMS)})
-        sums = flat.group_by("word").aggregate([(c, "sum") for c in _SUMS])
+        sums = pa.concat_tables([_read(x) for x in part["words"]]).group_by("word").aggregate([(c, "sum") for c in _SUMS])
         most = pc.add(sums["frequency_sum"], pc.max_element_wise(sums["leads_sum"], sums["ends_sum"]))
         able = sums.filter(pc.greater_equal(most, min_freq))
         return pa.table({"word": able["word"].cast(pa.string()), "frequency": able["frequency_sum"]})
@@ -292,23 +305,32 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[starts[:-1]], total
 
 
-def _window_keys(codes: np.ndarray, row: np.ndarray, start: int, end: int, reach: int, base: int) -> np.ndarray:
-    """``head * base + partner`` of the tokens ``start`` to ``end``; codes under 0 are no words."""
+def _window_counts(codes: np.ndarray, row: np.ndarray, start: int, end: int, reach: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """``head * base + partner`` of the tokens ``start`` to ``end``, in order, and how often each occurs.
+
+    Codes under 0 are no words. The heads are taken in order, some at a time, so that the keys at
+    work stay in the processor's cache; all places of a head are taken at once.
+    """
     at = np.flatnonzero(codes[start:end] >= 0) + start
-    heads, room = codes[at] * base, np.cumsum(np.bincount(row))[row[at]] - at if len(at) else at
-    short = codes.astype(np.int32)
-    keys, n = np.empty(reach * len(at), np.int64), 0
-    for step in range(1, reach + 1):
-        partner = short.take(at + step, mode="clip")
-        keep = np.flatnonzero((partner >= 0) & (room > step))
-        np.add(heads[keep], partner[keep], out=keys[n : n + len(keep)])
-        n += len(keep)
-    return keys[:n]
+    both = (codes[at] << 32) | at
+    both.sort()
+    heads, at = both >> 32, both & ((1 << 32) - 1)
+    room = np.cumsum(np.bincount(row))[row[at]] - at if len(at) else at
+    short, steps = codes.astype(np.int32), np.arange(1, reach + 1)
+    found, begin = [(np.array([], np.int64), np.array([], np.int64))], 0
+    while begin < len(at):
+        stop = int(np.searchsorted(heads, heads[min(begin + _HEADS, len(at)) - 1], "right"))
+        some = slice(begin, stop)
+        partner = short.take(at[some, None] + steps, mode="clip")
+        keep = (partner >= 0) & (room[some, None] > steps)
+        found.append(_summed((heads[some, None] * base + partner)[keep]))
+        begin = stop
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _listed_rows(codes: np.ndarray, row: np.ndarray, start: int, end: int, reach: int, borders: np.ndarray) -> pa.RecordBatch:
     """One row for each part that has pairs of listed words in the stretch."""
-    keys, counts = _summed(_window_keys(codes, row, start, end, reach, 1 << _BITS))
+    keys, counts = _window_counts(codes, row, start, end, reach, 1 << _BITS)
     cuts = np.r_[0, np.searchsorted(keys, borders), len(keys)]
     parts = np.flatnonzero(np.diff(cuts))
     spans = [slice(cuts[p], cuts[p + 1]) for p in parts]
@@ -325,7 +347,7 @@ def _other_rows(
 ) -> Iterator[pa.RecordBatch]:
     """Pairs with a word that is not listed, as lists of words for each part."""
     base = max(len(words), 1)
-    keys, counts = _summed(_window_keys(codes, row, start, end, reach, base))
+    keys, counts = _window_counts(codes, row, start, end, reach, base)
     first, second = keys // base, keys % base
     other = (known[first] < 0) | (known[second] < 0)
     first, second, counts = first[other], second[other], counts[other]

@@ -18,7 +18,7 @@ from corpusloom.functions.text import FUSED_WORDS
 _SPACES = b"\t\n\x0b\x0c\r "
 _LOWERED = bytes.maketrans(_SPACES, b" " * len(_SPACES)).lower()
 _DROPPED = bytes(c for c in range(0x80) if c not in _SPACES and not chr(c).isalpha())
-_NOT_ASCII = re.compile("[^\\x00-\\x7f]+")
+_NOT_ASCII = re.compile("([^\\x00-\\x7f]+)")
 _OTHER_SPACES = {0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
 _FUSED = {w.replace("|", ""): w.index("|") for w in FUSED_WORDS}
 
@@ -47,8 +47,9 @@ def _cleaned(text: bytes | None) -> bytes:
     """Letters and blanks of a text, lower-cased and folded."""
     if text is None or text.isascii():
         return (text or b"").translate(_LOWERED, _DROPPED)
-    lowered = text.translate(_LOWERED).decode("utf-8", "replace")  # folding may bring capitals, which stay
-    return _NOT_ASCII.sub(lambda m: (_folded_short if len(m[0]) < 8 else _folded)(m[0]), lowered).encode().translate(None, _DROPPED)
+    parts = _NOT_ASCII.split(text.translate(_LOWERED).decode("utf-8", "replace"))
+    parts[1::2] = [(_folded_short if len(x) < 8 else _folded)(x) for x in parts[1::2]]  # may bring capitals, which stay
+    return "".join(parts).encode().translate(None, _DROPPED)
 
 
 def _unfused(words: pa.Array) -> tuple[np.ndarray, pa.Array]:

@@ -1,12 +1,12 @@
 """Counts of word pairs inside a window, kept small between the tasks.
 
 Tokens are numbered once: the rows of a batch become one block, their distinct words and the number
-of each token, and every later pass reads these blocks. A first pass bounds, for every word, the pairs it can lead and the pairs it can end; a word that
+of each token, and every later pass reads these blocks. The same pass bounds, for every word, the pairs it can lead and the pairs it can end; a word that
 stays under the least count on both sides is left out. A task numbers the other words of a block
 of tokens, sorts the pairs of the block and hands on each distinct pair once. Pairs of two words
-of a shared word list are cut into ranges of their order and travel as compressed differences;
-pairs with any other word travel as words, dealt by a hash of both. So a pair takes a few bytes,
-and every part is summed on its own.
+of a shared word list are cut into ranges of their order and travel as compressed differences.
+Words left that the list has no room for are marked by their hash; pairs with one of them travel as
+words, dealt by a hash of both. So a pair takes a few bytes, and every part is summed on its own.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from corpusloom.runtime import materialize
 
 _LIST_WORDS = 1 << 21  # the most frequent words, sent to every task (some 32 MB)
 _BITS = 21
+_MARKS = 1 << 27  # bits that mark words off the list, sent to every task (16 MB)
+_PAGE = 1 << 20  # bits put together at once
 _BLOCK_TOKENS = 1 << 20
 _BLOCK_BYTES = 1 << 24  # tokens or text numbered at once
 _HEADS = 1 << 15  # places whose pairs are sorted at once
@@ -36,11 +38,9 @@ _ROW = pa.schema([
     ("part", pa.int32()), ("pairs", pa.binary()), ("counts", pa.binary()),
     ("word1", pa.list_(pa.string())), ("word2", pa.list_(pa.string())), ("n", pa.list_(pa.int64())),
 ])
-_BLOCK = pa.struct([("n", pa.int64()), ("words", pa.binary()), ("codes", pa.binary()), ("sizes", pa.binary())])
-_BLOCK_TYPE = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("words", T.BinaryType()),
-    T.StructField("codes", T.BinaryType()), T.StructField("sizes", T.BinaryType()),
-])
+_BYTES = ("words", "sums", "codes", "sizes")
+_BLOCK = pa.struct([("n", pa.int64()), *((f, pa.binary()) for f in _BYTES)])
+_BLOCK_TYPE = T.StructType([T.StructField("n", T.LongType()), *(T.StructField(f, T.BinaryType()) for f in _BYTES)])
 _SUMS = ("frequency", "leads", "ends")
 _WORDS_TYPE = "part int, words binary"
 _PART_WORDS = 1 << 22  # tokens whose words make one part
@@ -88,7 +88,7 @@ def _edge_words(codes: np.ndarray, words: pa.Array, sizes: np.ndarray, reach: in
 
 
 def number_tokens(df: DataFrame, tokens: str, reach: int, order: list | None = None, language: str = "english") -> DataFrame:
-    """``_block`` holds the numbered tokens of many rows, in the first of them.
+    """``_block`` holds the numbered tokens of many rows, in the first of them, and the sums of their words.
 
     ``tokens`` are lists of words, or texts to be cleaned and split as ``clean_tokens`` does. With
     ``order`` every row keeps these columns and its first and last ``reach`` tokens, ``_head`` and ``_tail``.
@@ -111,6 +111,7 @@ def number_tokens(df: DataFrame, tokens: str, reach: int, order: list | None = N
         rest = pa.nulls(len(table) - 1 if order and len(table) else 0, _BLOCK)
         block = pa.StructArray.from_arrays([
             pa.array([int((codes >= 0).sum())]), pa.array([_written(pa.record_batch([words], ["word"]))]),
+            pa.array([_written(pa.record_batch(_word_sums(codes, sizes, len(words), reach), _SUMS))]),
             pa.array([codes.astype("<i4").tobytes()]), pa.array([sizes.astype("<i4").tobytes()]),
         ], fields=list(_BLOCK))
         columns = {"_block": pa.concat_arrays([block, rest])}
@@ -127,6 +128,13 @@ def number_tokens(df: DataFrame, tokens: str, reach: int, order: list | None = N
     return rows.mapInArrow(lambda batches: (b.select(names) for b in numbered(batches)), schema)
 
 
+def _fields(df: DataFrame, tokens: str, *fields: str) -> DataFrame:
+    """The column ``tokens``, of blocks just these fields."""
+    if not isinstance(df.schema[tokens].dataType, T.StructType):
+        return df.select(tokens)
+    return df.where(F.col(f"{tokens}.n").isNotNull()).select(F.struct(*(f"{tokens}.{f}" for f in fields)).alias(tokens))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
     """Blocks of whole rows: the number of each token, the words numbered, the row of each token."""
 
@@ -138,7 +146,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.
     for batch in batches:
         column = batch.column(0)
         if pa.types.is_struct(column.type):
-            for i in np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False)):
+            for i in range(len(column)):
                 codes, sizes = (np.frombuffer(column.field(f)[i].as_buffer(), "<i4") for f in ("codes", "sizes"))
                 words = _read(column.field("words")[i])["word"].combine_chunks()
                 yield codes.astype(np.int64), words, np.repeat(np.arange(len(sizes)), sizes)
@@ -175,9 +183,20 @@ def _more_than_places(codes: np.ndarray, row: np.ndarray, reach: int) -> tuple[n
     return np.cumsum(following[:-1]), np.cumsum(preceding[:-1])
 
 
+def _word_sums(codes: np.ndarray, sizes: np.ndarray, n_words: int, reach: int) -> list[np.ndarray]:
+    """How often each word stands, and how often it may lead and end a pair beyond that."""
+    seen, row = codes >= 0, np.repeat(np.arange(len(sizes)), sizes)
+    more = (np.bincount(codes[seen], weights=x[seen], minlength=n_words) for x in _more_than_places(codes, row, reach))
+    return [np.bincount(codes[seen], minlength=n_words), *(x.astype(np.int64) for x in more)]
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+
+
 def _dealt_words(words: pa.Array, sums: list[np.ndarray], parts: int) -> pa.RecordBatch:
     """Words and their numbers, one row for each part they are dealt to by hash."""
-    dealt = pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False) % np.uint64(parts)
+    dealt = _hashes(words) % np.uint64(parts)
     order = np.argsort(dealt, kind="stable")
     part, begin = np.unique(dealt[order], return_index=True)
     table = pa.record_batch([x.take(pa.array(order)) for x in (words, *map(pa.array, sums))], ["word", *_SUMS])
@@ -197,12 +216,16 @@ def _able_words(
     counting = words is None
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for codes, own, row in _blocks(batches):
-            seen, none = codes >= 0, np.zeros(len(own), np.int64)
-            sums = [np.bincount(codes[seen], minlength=len(own)) if counting else none]
-            for more in _more_than_places(codes, row, reach) if min_freq > 1 else ():
-                sums.append(np.bincount(codes[seen], weights=more[seen], minlength=len(own)).astype(np.int64))
-            yield _dealt_words(own, (sums + [none, none])[:3], parts)
+        for batch in batches:
+            column = batch.column(0)
+            if pa.types.is_struct(column.type):
+                found = ((_read(w)["word"].combine_chunks(), _read(x)) for w, x in zip(*map(column.field, ("words", "sums"))))
+                sums = ((words, [x.combine_chunks().to_numpy() for x in table.columns]) for words, table in found)
+            else:
+                codes, words, sizes = _coded(column, [])
+                sums = [(words, _word_sums(codes, sizes, len(words), reach))]
+            for words, each in sums:
+                yield _dealt_words(words, each if counting else [np.zeros_like(each[0]), *each[1:]], parts)
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,7 +247,7 @@ def _able_words(
         able = sums.filter(pc.greater_equal(most, min_freq))
         return pa.table({"word": able["word"].cast(pa.string()), "frequency": able["frequency_sum"]})
 
-    rows = df.select(tokens).mapInArrow(places, _WORDS_TYPE)
+    rows = _fields(df, tokens, "words", "sums").mapInArrow(places, _WORDS_TYPE)
     if across is not None and min_freq > 1:
         rows = rows.unionByName(across.select("word1", "word2").mapInArrow(sides, _WORDS_TYPE))
     if not counting:
@@ -232,8 +255,8 @@ def _able_words(
     return rows.groupBy("part").applyInArrow(summed, "word string, frequency long")
 
 
-def _word_list(words: DataFrame) -> tuple[pa.Array, np.ndarray, bool]:
-    """The words down to the lowest frequency at which they fit, their frequencies, and whether others are left."""
+def _word_list(words: DataFrame) -> tuple[pa.Array, np.ndarray, DataFrame | None]:
+    """The words down to the lowest frequency at which they fit, their frequencies, and the others if there are any."""
     sizes = words.groupBy("frequency").agg(F.count(F.lit(1)).alias("n")).toArrow()
     frequency, n = sizes["frequency"].to_numpy(), sizes["n"].to_numpy()
     order = np.argsort(-frequency)
@@ -241,7 +264,38 @@ def _word_list(words: DataFrame) -> tuple[pa.Array, np.ndarray, bool]:
     least = int(frequency[fits].min()) if len(fits) else int(frequency.max(initial=0)) + 1
     held = words.where(F.col("frequency") >= least).select("word", "frequency").toArrow()
     held = held.sort_by([("frequency", "descending"), ("word", "ascending")])
-    return held["word"].combine_chunks(), held["frequency"].to_numpy(), len(fits) < len(n)
+    others = words.where(F.col("frequency") < least) if len(fits) < len(n) else None
+    return held["word"].combine_chunks(), held["frequency"].to_numpy(), others
+
+
+def _marks(words: DataFrame) -> np.ndarray:
+    """Bits at the hashes of the words: a word without its bit is none of them."""
+    most = _MARKS
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_hashes(batch.column(0).cast(pa.string())) % np.uint64(most)).astype(np.int64)
+            page, begin = np.unique(at // _PAGE, return_index=True)
+            inside = [x.astype("<i4").tobytes() for x in np.split(at % _PAGE, begin[1:])][: len(page)]
+            yield pa.record_batch([pa.array(page, pa.int32()), pa.array(inside, pa.binary())], ["page", "bits"])
+
+    def filled(rows: pa.Table) -> pa.Table:
+        bits = np.zeros(_PAGE, bool)
+        for x in rows["bits"]:
+            bits[np.frombuffer(x.as_buffer(), "<i4")] = True
+        return pa.table({"page": rows["page"][:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    typed = "page int, bits binary"
+    pages = words.select("word").mapInArrow(places, typed).groupBy("page").applyInArrow(filled, typed).toArrow()
+    marks = np.zeros(-(-most // _PAGE) * _PAGE // 8, np.uint8)
+    for page, bits in zip(pages["page"].to_pylist(), pages["bits"]):
+        marks[page * _PAGE // 8 : (page + 1) * _PAGE // 8] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return marks
+
+
+def _marked(marks: np.ndarray, hashes: np.ndarray, most: int) -> np.ndarray:
+    at = (hashes % np.uint64(most)).astype(np.int64)
+    return (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
 def _borders(frequency: np.ndarray, parts: int) -> np.ndarray:
@@ -305,13 +359,15 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[starts[:-1]], total
 
 
-def _window_counts(codes: np.ndarray, row: np.ndarray, start: int, end: int, reach: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+def _window_counts(
+    codes: np.ndarray, row: np.ndarray, start: int, end: int, reach: int, base: int, leads: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """``head * base + partner`` of the tokens ``start`` to ``end``, in order, and how often each occurs.
 
-    Codes under 0 are no words. The heads are taken in order, some at a time, so that the keys at
+    Codes under 0 are no words, and places without ``leads`` lead no pair. The heads are taken in order, some at a time, so that the keys at
     work stay in the processor's cache; all places of a head are taken at once.
     """
-    at = np.flatnonzero(codes[start:end] >= 0) + start
+    at = np.flatnonzero(codes[start:end] >= 0 if leads is None else (codes[start:end] >= 0) & leads[start:end]) + start
     both = (codes[at] << 32) | at
     both.sort()
     heads, at = both >> 32, both & ((1 << 32) - 1)
@@ -342,15 +398,27 @@ def _listed_rows(codes: np.ndarray, row: np.ndarray, start: int, end: int, reach
     return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(len(parts), f.type) for f in _ROW], schema=_ROW)
 
 
+def _other_pairs(
+    local: np.ndarray, row: np.ndarray, start: int, end: int, reach: int, known: np.ndarray, other: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of listed and ``other`` words, one of them at least not listed: both words, how often.
+
+    Just the places from which such a word can be reached lead pairs.
+    """
+    base = max(len(known), 1)
+    codes = np.r_[np.where(other | (known >= 0), np.arange(len(known)), -1), -1][local]
+    met = np.r_[0, np.cumsum(np.r_[other, False][local])]
+    leads = met[np.minimum(np.arange(len(local)) + reach + 1, len(local))] > met[:-1]
+    keys, counts = _window_counts(codes, row, start, end, reach, base, leads)
+    first, second = keys // base, keys % base
+    kept = other[first] | other[second]
+    return first[kept], second[kept], counts[kept]
+
+
 def _other_rows(
-    codes: np.ndarray, row: np.ndarray, start: int, end: int, reach: int, parts: int, words: pa.Array, known: np.ndarray, hashes: np.ndarray
+    first: np.ndarray, second: np.ndarray, counts: np.ndarray, parts: int, words: pa.Array, hashes: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
-    """Pairs with a word that is not listed, as lists of words for each part."""
-    base = max(len(words), 1)
-    keys, counts = _window_counts(codes, row, start, end, reach, base)
-    first, second = keys // base, keys % base
-    other = (known[first] < 0) | (known[second] < 0)
-    first, second, counts = first[other], second[other], counts[other]
+    """The pairs as lists of words for each part."""
     dealt = ((hashes[first] * np.uint64(31) + hashes[second]) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(dealt)
     for at in range(0, len(order), _SLICE_PAIRS):
@@ -380,25 +448,27 @@ def count_pairs(
     total = df.agg(F.sum(f"{tokens}.n")).first()[0] or 0
     least = 2 * spark.sparkContext.defaultParallelism
     words = materialize(_able_words(df, None, tokens, reach, min_freq, across, max(least, -(-total // _PART_WORDS))))
-    listed, frequency, rare = _word_list(words)
+    listed, frequency, others = _word_list(words)
+    rare, most = others is not None, _MARKS
     parts = max(least, -(-total * reach // _PART_PAIRS))
-    shared = spark.sparkContext.broadcast((listed, frequency, _borders(frequency, parts)))
+    shared = spark.sparkContext.broadcast((listed, frequency, _borders(frequency, parts), _marks(others) if rare else None))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, _, borders = shared.value
+        names, _, borders, marks = shared.value
         for local, own, row in _blocks(batches):
             known = pc.fill_null(pc.index_in(own, value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             codes = np.r_[known, -1][local]  # the last entry stands for null tokens
             if rare:
-                hashes = pd.util.hash_array(own.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+                hashes = _hashes(own)
+                other = (known < 0) & _marked(marks, hashes, most)
             for start in range(0, len(local), _BLOCK_TOKENS):
                 end = min(start + _BLOCK_TOKENS, len(local))
                 yield _listed_rows(codes, row, start, end, reach, borders)
                 if rare:
-                    yield from _other_rows(local, row, start, end, reach, parts, own, known, hashes)
+                    yield from _other_rows(*_other_pairs(local, row, start, end, reach, known, other), parts, own, hashes)
 
     def summed(part: pa.Table) -> pa.Table:
-        names, often, _ = shared.value
+        names, often, *_ = shared.value
         packed = [(p, c) for p, c in zip(part["pairs"].to_pylist(), part["counts"].to_pylist()) if p is not None]
         tables = []
         if packed:
@@ -408,17 +478,17 @@ def count_pairs(
             keys, n = keys[n >= min_freq], n[n >= min_freq]
             first, second = keys >> _BITS, keys & ((1 << _BITS) - 1)
             tables.append(pa.table([names.take(pa.array(first)), names.take(pa.array(second)), n, often[first], often[second]], schema=kept))
-        others = pa.table({
+        unlisted = pa.table({
             "word1": pc.list_flatten(part["word1"]), "word2": pc.list_flatten(part["word2"]), "n": pc.list_flatten(part["n"]),
         })
-        if len(others):
-            sums = others.group_by(["word1", "word2"]).aggregate([("n", "sum")]).filter(pc.field("n_sum") >= min_freq)
+        if len(unlisted):
+            sums = unlisted.group_by(["word1", "word2"]).aggregate([("n", "sum")]).filter(pc.field("n_sum") >= min_freq)
             unknown = pa.nulls(len(sums), pa.int64())
             tables.append(pa.table([sums["word1"], sums["word2"], sums["n_sum"], unknown, unknown], schema=kept))
         return pa.concat_tables(tables) if tables else kept.empty_table()
 
     kept = pa.schema([("word1", pa.string()), ("word2", pa.string()), *((n, pa.int64()) for n in ("n_pair", "n_1", "n_2"))])
-    rows = df.select(tokens).mapInArrow(counted, _ROW_TYPE)
+    rows = _fields(df, tokens, "words", "codes", "sizes").mapInArrow(counted, _ROW_TYPE)
     if across is not None:
         rows = rows.unionByName(across.select(F.array("word1", "word2")).mapInArrow(counted, _ROW_TYPE))
     pairs = rows.groupBy("part").applyInArrow(summed, "word1 string, word2 string, n_pair long, n_1 long, n_2 long")
@@ -429,5 +499,5 @@ def count_pairs(
     pairs = materialize(pairs)  # pairs with a word that is not listed get the counts by joins
     first = words.select(F.col("word").alias("word1"), F.col("frequency").alias("n_1"))
     second = words.select(F.col("word").alias("word2"), F.col("frequency").alias("n_2"))
-    others = pairs.where(F.col("n_1").isNull()).drop("n_1", "n_2").join(first, "word1").join(second, "word2")
-    return pairs.where(F.col("n_1").isNotNull()).unionByName(others)
+    scored = pairs.where(F.col("n_1").isNull()).drop("n_1", "n_2").join(first, "word1").join(second, "word2")
+    return pairs.where(F.col("n_1").isNotNull()).unionByName(scored)

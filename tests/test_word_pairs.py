@@ -100,3 +100,39 @@ def test_stream_counts_with_least_count(spark, listed, least, monkeypatch):
     got = corpus.cooccurrence_stream(df, ["doc_id"], min_freq=least).collect()
     stream = [t for _, r in rows for t in r or []]
     assert {(r.word1, r.word2): r.n_pair for r in got} == brute([stream], 10, least) and len(got) == len(set(got))
+
+
+def test_only_pairs_of_able_words_travel_as_words(spark, monkeypatch):
+    """With a full list, words under the least count stay at home and listed pairs are not counted again."""
+    monkeypatch.setattr(word_pairs, "_LIST_WORDS", 1)
+    rows = [["hot", "hot", f"once{i}", "warm", f"rare{i}", "hot"] for i in range(40)]
+    got = corpus.cooccurrence(frame(spark, rows, 1), min_freq=10).collect()
+    assert {(r.word1, r.word2): r.n_pair for r in got} == brute(rows, 10, 10)
+    array = word_pairs.np.array
+    words = ["hot", "warm", "once", "able"]
+    local = array([0, 2, 1, 0, 0, 0, 2, 0, 3])
+    pairs = word_pairs._other_pairs(local, array([0] * 9), 0, 9, 2, array([0, -1, -1, 1]), array([False, True, False, False]))
+    assert [(words[a], words[b], n) for a, b, n in zip(*pairs)] == [("hot", "warm", 1), ("warm", "hot", 2)]
+
+
+def test_marks_hold_every_word(spark):
+    np = word_pairs.np
+    words = [f"w{i}" for i in range(5000)]
+    marks = word_pairs._marks(spark.createDataFrame([(w,) for w in words], "word string").repartition(3))
+    assert len(marks) * 8 == word_pairs._MARKS
+    hashes = lambda w: word_pairs._hashes(word_pairs.pa.array(w))
+    assert word_pairs._marked(marks, hashes(words), word_pairs._MARKS).all()
+    assert word_pairs._marked(marks, hashes([f"x{i}" for i in range(5000)]), word_pairs._MARKS).sum() < 50
+    assert not np.unpackbits(word_pairs._marks(spark.createDataFrame([], "word string"))).any()
+
+
+def test_blocks_bring_the_sums_of_their_words(spark):
+    """The words are bounded while they are numbered; the pass over the bounds reads no token."""
+    rows = [(r,) for r in lists(60)]
+    df = spark.createDataFrame(rows, "tokens array<string>").repartition(3)
+    blocks = word_pairs.materialize(word_pairs.number_tokens(df, "tokens", 9))
+    able = word_pairs._able_words(blocks, None, "_block", 9, 10, None)
+    plan = able._jdf.queryExecution().executedPlan().toString()
+    assert "sums:binary" in plan and "codes:binary" not in plan
+    want = word_pairs._able_words(df, None, "tokens", 9, 10, None)
+    assert sorted(map(tuple, able.collect())) == sorted(map(tuple, want.collect())) != []

@@ -33,6 +33,9 @@ the there these they this though thus under when while yet
 # Fused words the word tokenizer takes apart, as head|tail.
 FUSED_WORDS = ["can|not", "gim|me", "gon|na", "got|ta", "lem|me", "wan|na"]
 
+# Every character of the Unicode property White_Space, which is what ``\s`` means under ``(?U)``.
+_WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 _ASCII_PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 
 
@@ -42,7 +45,7 @@ def _alternatives(words: list[str]) -> str:
 
 def strip_space(text: Column) -> Column:
     """Trim Unicode whitespace at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.trim(text, F.lit(_WHITE_SPACE))
 
 
 def one_line(text: Column) -> Column:

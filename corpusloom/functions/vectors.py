@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,10 +32,44 @@ def unit(vector: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; 0 when either vector is zero."""
-    x, y = doubles(a), doubles(b)
-    lengths = norm(x) * norm(y)
-    return F.when(lengths > 0, dot(x, y) / lengths).otherwise(F.lit(0.0))
+    """Cosine similarity; 0 when either vector is zero, null or has a null entry, null when only the sizes differ."""
+    return F.arrow_udf(_cosines, "double")(doubles(a), doubles(b))
+
+
+def _cosines(a: pa.Array, b: pa.Array) -> pa.Array:
+    sides = [_Rows(a), _Rows(b)]
+    lengths = np.sqrt(sides[0].products(sides[0])) * np.sqrt(sides[1].products(sides[1]))
+    known = sides[0].whole & sides[1].whole & (lengths != 0)  # NaN stays
+    same = sides[0].sizes == sides[1].sizes
+    with np.errstate(all="ignore"):
+        found = np.where(known & same, sides[0].products(sides[1]) / lengths, 0.0)
+    return pa.array(found, mask=known & ~same)
+
+
+class _Rows:
+    """The vectors of a batch, by size."""
+
+    def __init__(self, lists: pa.Array):
+        self.sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten()
+        self.values = flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.whole = lists.is_valid().to_numpy(zero_copy_only=False)
+        if flat.null_count:
+            gaps = np.r_[0, np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))]
+            self.whole &= gaps[self.starts] == gaps[self.starts + self.sizes]
+
+    def products(self, other: _Rows) -> np.ndarray:
+        """Inner products of rows of one size, added from the first entry to the last; 0 for other rows."""
+        out = np.zeros(len(self.sizes))
+        with np.errstate(all="ignore"):
+            for size in np.unique(self.sizes):
+                at = np.flatnonzero((self.sizes == size) & (other.sizes == size))
+                x, y, total = self.starts[at], other.starts[at], np.zeros(len(at))
+                for i in range(size):
+                    total += self.values[x + i] * other.values[y + i]
+                out[at] = total
+        return out
 
 
 def to_text(vector: Column) -> Column:

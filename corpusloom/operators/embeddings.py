@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -268,20 +269,39 @@ def _with_hints(encoder):
 
 def letter_profile(text: Column) -> Column:
     """A tiny native encoder: how often each letter a-z occurs, as ``array<float>``."""
-    lowered = F.lower(text)
-    size = F.length(lowered)
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    return F.array(
-        *[(size - F.length(F.replace(lowered, F.lit(c), F.lit("")))).cast("float") for c in letters]
-    )
+    return F.arrow_udf(_letter_counts, "array<float>")(F.lower(text))
+
+
+_LETTERS = 26
+_LETTER_OF = np.full(256, _LETTERS, np.uint8)
+_LETTER_OF[ord("a") : ord("z") + 1] = np.arange(_LETTERS)
+_LETTER_BYTES = 1 << 20  # bytes counted at a time
+
+
+def _letter_counts(texts: pa.Array) -> pa.Array:
+    """Letters of lower-cased texts, counted as bytes; a null text has null counts."""
+    held = texts.fill_null("").cast(pa.large_binary())
+    ends = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+    counts = np.zeros((len(held), _LETTERS + 1), np.int64)
+    for low in range(ends[0], ends[-1], _LETTER_BYTES):
+        high = min(low + _LETTER_BYTES, ends[-1])
+        first, last = np.searchsorted(ends, [low, high - 1], "right") - 1
+        held_here = np.diff(np.clip(ends[first : last + 2], low, high))
+        rows = np.repeat(np.arange(len(held_here)) * (_LETTERS + 1), held_here)
+        letters = _LETTER_OF[np.frombuffer(held.buffers()[2], np.uint8, high - low, low)]
+        counts[first : last + 1] += np.bincount(rows + letters, minlength=len(held_here) * (_LETTERS + 1)).reshape(-1, _LETTERS + 1)
+    flat = counts[:, :_LETTERS].astype(np.float32).ravel()
+    gone = np.repeat(texts.is_null().to_numpy(zero_copy_only=False), _LETTERS)
+    places = pa.array(np.arange(len(held) + 1, dtype=np.int32) * _LETTERS)
+    return pa.ListArray.from_arrays(places, pa.array(flat, mask=gone))
 
 
 # --- evaluation ----------------------------------------------------------------------
 
 
-def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """``(value, rank)`` with ties sharing the mean of their ranks."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+def average_ranks(df: DataFrame, value: str, name: str, times: str | None = None) -> DataFrame:
+    """``(value, rank)`` with ties sharing the mean of their ranks; a row counts ``times`` times."""
+    counts = df.groupBy(value).agg((F.sum(times) if times else F.count(F.lit(1))).alias("_n"))
     running = with_running_total(counts, [value], "_n", "_before")
     return running.select(value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
 
@@ -289,17 +309,43 @@ def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
 def evaluate_encoder(
     pairs: DataFrame, vec_a: str = "vec_a", vec_b: str = "vec_b", label: str = "label"
 ) -> DataFrame:
-    """One row ``(n_pairs, pearson, spearman)`` of cosine against label."""
+    """One row ``(n_pairs, pearson, spearman)`` of cosine against label.
+
+    Pairs are counted by (cosine, label) as they are scored; ranks and sums come from the counts.
+    """
     scored = materialize(
         pairs.select(
             F.round(cosine(F.col(vec_a), F.col(vec_b)), 6).alias("_cos"), F.col(label).alias("_label")
         )
+        .groupBy("_cos", "_label")
+        .agg(F.count(F.lit(1)).alias("_times"))
     )
-    ranked = scored.join(average_ranks(scored, "_cos", "_rc"), "_cos").join(
-        average_ranks(scored, "_label", "_rl"), "_label"
+    ranked = materialize(
+        scored.join(average_ranks(scored, "_cos", "_rc", "_times"), "_cos").join(
+            average_ranks(scored, "_label", "_rl", "_times"), "_label"
+        )
+    )
+    return _correlations(ranked, {"pearson": ("_cos", "_label"), "spearman": ("_rc", "_rl")}, "_times")
+
+
+def _correlations(df: DataFrame, asked: dict[str, tuple[str, str]], times: str) -> DataFrame:
+    """``(n_pairs, ...)``: the number of rows and correlations of columns, a row counting ``times`` times.
+
+    Columns are centred before they are squared; one row, or columns that do not vary, have none.
+    """
+    names = [c for pair in asked.values() for c in pair]
+    total = lambda x: F.sum(F.col(times) * x)
+    sums = df.agg(F.sum(times).alias("_n"), *[total(F.col(c).cast("double")).alias(f"_sum{c}") for c in names])
+    off = lambda c: F.col(c) - F.col(f"_sum{c}") / F.col("_n")
+    moments = (
+        df.crossJoin(F.broadcast(sums))
+        .agg(
+            F.coalesce(F.sum(times), F.lit(0)).alias("n_pairs"),
+            *[total(off(x) * off(y)).alias(f"_{name}") for name, (x, y) in asked.items()],
+            *[F.when(F.min(c) < F.max(c), total(off(c) * off(c))).otherwise(0.0).alias(f"_square{c}") for c in names],
+        )
     )
-    return ranked.agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.corr("_cos", "_label").alias("pearson"),
-        F.corr("_rc", "_rl").alias("spearman"),
+    spread = lambda x, y: F.sqrt(F.col(f"_square{x}") * F.col(f"_square{y}"))
+    return moments.select(
+        "n_pairs", *[F.when(F.col("n_pairs") > 1, F.col(f"_{name}") / spread(x, y)).alias(name) for name, (x, y) in asked.items()]
     )

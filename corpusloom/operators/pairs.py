@@ -45,50 +45,50 @@ def training_pairs(
     by a draw either a later one of the same document (more than 5 sentences) or a sentence of
     a document drawn from all of them. Documents of fewer than 3 sentences start no pairs.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), X.naive_sentences(F.col(text)).alias("s"))
+    # split once; the pairs of a document, the drawn ones and their targets all read what was written
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), X.naive_sentences(F.col(text)).alias("s")))
     numbered = materialize(with_row_ids(rows.select("doc_id"), ["doc_id"], "doc_no"))
     total = numbered.agg(F.count(F.lit(1))).scalar()
     n = F.size("s")
-    at = lambda salt: draw(F.col("doc_id"), F.col("i").cast("long"), seed + salt)
-    starts = (
-        rows.filter(n >= 3)
-        .select("doc_id", "s", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 2)).alias("i"))
-        .withColumn("stays", (at(1) < F.lit(int(far_share * 1000) * (DRAWS // 1000)).cast("long")) & (F.col("n") > 5))
-        .withColumn("low", F.least(F.col("i") + 3, F.col("n") - 1))
-        .withColumn("far", F.col("low") + at(2) % (F.col("n") - F.col("low")))
-        .withColumn("other_no", at(3) % total)
-        .withColumn("other_at", at(4))
+    at = lambda salt, i: draw(F.col("doc_id"), i.cast("long"), seed + salt)
+    low = lambda i: F.least(i + 3, n - 1)
+    far = lambda i: low(i) + at(2, i) % (n - low(i))
+    i = F.col("i")
+
+    def starts(*beside: Column) -> DataFrame:
+        """A row for each sentence with those it may be paired with, so that no row carries its whole document."""
+        return (
+            rows.filter(n >= 3)
+            .select("doc_id", n.alias("n"), F.posexplode(F.arrays_zip(F.slice("s", 1, n - 1).alias("text_a"), *beside)).alias("i", "t"))
+            .withColumn("stays", (at(1, i) < F.lit(int(far_share * 1000) * (DRAWS // 1000)).cast("long")) & (F.col("n") > 5))
+        )
+
+    later = F.transform(
+        F.transform(F.sequence(F.lit(0), n - 2), far), lambda k: F.struct(k.alias("at"), F.get("s", k).alias("text"))
     )
-    here = lambda index: F.get("s", index)
     pair = lambda kind, other, label: F.struct(
-        F.lit(kind).alias("kind"), other.alias("text_b"), F.lit(label).alias("label")
+        F.lit(kind).alias("kind"), F.col("t.text_a").alias("text_a"), other.alias("text_b"), F.lit(label).alias("label")
     )
     inside = F.array_compact(
         F.array(
-            pair("adjacent", here(F.col("i") + 1), ADJACENT),
-            F.when((F.col("n") > 3) & (F.col("i") < F.col("n") - 2), pair("skip", here(F.col("i") + 2), SKIP_ONE)),
-            F.when(F.col("stays") & (F.col("far") > F.col("i") + 2), pair("far", here(F.col("far")), FAR)),
+            pair("adjacent", F.col("t.next"), ADJACENT),
+            F.when((F.col("n") > 3) & (i < F.col("n") - 2), pair("skip", F.col("t.skip"), SKIP_ONE)),
+            F.when(F.col("stays") & (F.col("t.later.at") > i + 2), pair("far", F.col("t.later.text"), FAR)),
         )
     )
-    columns = ["doc_id", "i", "kind", "text_a", "text_b", "label"]
-    local = starts.select("doc_id", "i", here(F.col("i")).alias("text_a"), F.explode(inside).alias("p")).select(
-        "doc_id", "i", "p.kind", "text_a", "p.text_b", "p.label"
-    )
-    asked = starts.filter(~F.col("stays") & (total > 1)).select(
-        "doc_id", "i", here(F.col("i")).alias("text_a"), F.col("other_no").alias("doc_no"), "other_at"
+    columns = ["doc_id", "i", "p.kind", "p.text_a", "p.text_b", "p.label"]
+    near = starts(F.slice("s", 2, n - 1).alias("next"), F.slice("s", 3, n - 2).alias("skip"), later.alias("later"))
+    local = near.select("doc_id", "i", F.explode(inside).alias("p"))
+    asked = starts().filter(~F.col("stays") & (total > 1)).select(
+        "doc_id", "i", "t", (at(3, i) % total).alias("doc_no"), at(4, i).alias("other_at")
     )
     # draws are spread evenly over the documents, so no document is asked for too often
     named = asked.join(numbered.withColumnRenamed("doc_id", "other_id"), "doc_no")
     targets = rows.filter(n > 0).select(F.col("doc_id").alias("other_id"), F.col("s").alias("o"))
-    away = named.join(targets, "other_id").select(
-        "doc_id",
-        "i",
-        F.lit("other").alias("kind"),
-        "text_a",
-        F.get("o", (F.col("other_at") % F.size("o")).cast("int")).alias("text_b"),
-        F.lit(OTHER).alias("label"),
-    )
-    pairs = local.select(columns).unionByName(away)
+    drawn = F.get("o", (F.col("other_at") % F.size("o")).cast("int"))
+    # exploded, as an array read by an expression further up would travel whole to Python
+    away = named.join(targets, "other_id").select("doc_id", "i", F.explode(F.array(pair("other", drawn, OTHER))).alias("p"))
+    pairs = local.select(columns).unionByName(away.select(columns))
     if max_samples is not None:
         pairs = pairs.orderBy("doc_id", "i", "kind").limit(max_samples)
     return pairs

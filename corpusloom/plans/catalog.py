@@ -415,7 +415,7 @@ def encoder_eval(spark, d):
         embeddings.letter_profile(F.col("text_a")).alias("vec_a"),
         embeddings.letter_profile(F.col("text_b")).alias("vec_b"),
     )
-    return _six(embeddings.evaluate_encoder(materialize(encoded)), "pearson", "spearman")
+    return _six(embeddings.evaluate_encoder(encoded), "pearson", "spearman")
 
 
 # --- graphs and maps -----------------------------------------------------------------
